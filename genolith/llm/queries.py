@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, lines, mixing, simhash
+from . import decontam, lines, mixing, simhash, tokenstore
 from .common import table
 
 
@@ -28,7 +28,14 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(docs, weights=(5, 2, 1), cap=3.0, block=128).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op5_decontamination, op7_source_mix)}
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenstore.stored(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op5_decontamination, op7_source_mix, op10_token_store)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
