@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, lines, mixing, simhash, tokenstore
+from . import decontam, langid, lines, mixing, simhash, tokenstore
 from .common import table
 
 
@@ -12,6 +12,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, tau=3)
 
 
+#: Rows that labels may be learned from are those whose remainder isn't HELD_OUT.
+HELD_OUT = 2
+
+
+def _remainder():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(_remainder() != HELD_OUT).select("doc_id", "text", "lang"))
+    asked = docs.select("doc_id", F.coalesce(_remainder() == HELD_OUT, F.lit(False)).alias("held_out"), "text")
+    return langid.identify(asked, model).drop("text")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs, min_chars=20, min_docs=3).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -35,7 +50,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.stored(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op5_decontamination, op7_source_mix, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_line_dedup, op5_decontamination, op7_source_mix, op10_token_store)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
