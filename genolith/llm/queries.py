@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, lines, mixing, simhash, tokenstore
+from . import decontam, langid, lines, mixing, simhash, tokenstore, toxicity
 from .common import table
 
 
@@ -38,6 +38,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs.filter(_remainder() != HELD_OUT).select("doc_id", "text"), table(spark, sf_dir, "labels").filter(_remainder() != HELD_OUT))
+    asked = docs.select("doc_id", F.coalesce(_remainder() == HELD_OUT, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score(asked, model).drop("text").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sizes(docs, weights=(5, 2, 1), cap=3.0, block=128).select("doc_id", "size", "source_size", "target", "taken")
@@ -50,7 +57,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.stored(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_line_dedup, op5_decontamination, op7_source_mix, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_line_dedup, op5_decontamination, op6_toxicity, op7_source_mix, op10_token_store)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
