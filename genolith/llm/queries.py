@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, lines, mixing, simhash, tokenstore, toxicity
+from . import decontam, langid, lines, mixing, simhash, tokenstore, toxicity, warc
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(docs, weights=(5, 2, 1), cap=3.0, block=128).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,7 +61,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.stored(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_line_dedup, op5_decontamination, op6_toxicity, op7_source_mix, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_line_dedup, op5_decontamination, op6_toxicity, op7_source_mix, op8_warc, op10_token_store)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
