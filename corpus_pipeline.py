@@ -1,7 +1,63 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token ids.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from genolith.llm import decontam, mixing, simhash, tokenstore, toxicity
+from genolith.llm.common import shared_path, table
+
+#: Documents of this score or more are rejected.
+TOXIC = 0.3
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model (trained on these documents' labels) doesn't reject."""
+    model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, name="__score").filter(f"__score < {TOXIC}").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return simhash.drop_duplicates(docs, k=5, similarity=0.8)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no ten consecutive words of a benchmark item occur."""
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"), size=10)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' words mixed to the sources' target weights: a row for each time that a document is taken."""
+    return mixing.mix_documents(docs, weights=(5, 2, 1), cap=3.0, block=128)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as a store of token ids, read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokenstore.stored(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("tokens", token_stage),
+]
+
+#: Trees, fingerprints and tokenizers aren't SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

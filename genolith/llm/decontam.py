@@ -113,3 +113,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
         F.coalesce(F.size("__items"), F.lit(0)).cast("long").alias(names[2]),
         F.coalesce("__items", none).alias(names[3]),
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a window of an item."""
+    hits = written(phrase_matches(docs, items, size, id_col, text_col).select(F.struct("id", "row").alias("__key")).distinct(), "hits")
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"))
+    return docs.join(_bounded(hits), own.eqNullSafe(F.col("__key")), "left_anti")

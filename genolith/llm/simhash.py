@@ -27,12 +27,14 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import TO_LOWER, connected_components, written
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED, BITS = 42, 64
+#: The largest threshold of a partition: more bits would be more keys than any corpus is worth.
+MOST = 4
 #: Rows for which bits are unpacked at once.
 STEP = 65536
 
@@ -62,6 +64,14 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Hashes for one more word of a wide fingerprint: ``hashes`` through a 64-bit finaliser with its own constant."""
+    x = hashes.astype(np.uint64) + np.uint64((word * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).astype(">u8")
+
+
 def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, fp): fp as a signed long, row the xxhash64 of the text. Null text has no words."""
 
@@ -124,7 +134,7 @@ class Allocation:
 
     def __init__(self, n: int, ones: np.ndarray, groups: list[list[int]], tau: int):
         self.n, self.p, self.groups, self.tau = n, ones / max(n, 1), groups, tau
-        self.most = min(tau, max(0, tau - len(groups) + 1) + 2)  # thresholds beyond that are never the cheapest
+        self.most = min(tau, MOST)
 
     def costs(self, bits: np.ndarray) -> np.ndarray:
         """[row, partition, t + 1]: keys plus expected candidates for threshold t; 0 for t = -1."""
@@ -173,8 +183,8 @@ def plan(fps: DataFrame, tau: int) -> Allocation:
     typical = (np.random.default_rng(0).random((64, BITS)) < ones / max(n, 1)).astype(np.uint8)
     found = []
     for m in range(2, tau + 2):
-        if m == 2 and tau > 3 or comb(-(-BITS // m), max(0, (tau + 1) // m - 1)) > 50_000:
-            continue  # too many keys for any corpus
+        if m * (min(tau, MOST) + 1) < tau + 1:
+            continue
         a = Allocation(n, ones, partition_bits(n, both, m), tau)
         found.append((float(a.thresholds(typical)[1].mean()) + m, m, a))
     return min(found, key=lambda x: x[:2])[2]
@@ -250,3 +260,104 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 3, id_col: str = "do
     found = written(fingerprint_components(distinct, tau), "components")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return each.join(found.select("fp", "component"), "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: Words of the wide fingerprint that verifies candidates, besides the one that finds them.
+MORE_WORDS = 3
+BROADCAST_ROWS = 200_000
+
+
+def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, t1, t2, n, fp, w1, w2, w3): t1 and t2 hash the sequence of words, n counts distinct shingles, fp and
+    w1 to w3 are the wide fingerprint."""
+    names = ["id", "row", "t1", "t2", "n", "fp", *[f"w{i + 1}" for i in range(MORE_WORDS)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[int]] = [[] for _ in names[2:]]
+            for t in batch.column(2):
+                text = t.as_py()
+                hashes = shingle_hashes(text, k)
+                tight = b" ".join(WORDS.findall((text or "").translate(TO_LOWER).encode()))
+                row = [xxhash.xxh64_intdigest(tight, 1), xxhash.xxh64_intdigest(tight, 2), len(np.unique(hashes)), fingerprint(hashes), *[fingerprint(_mixed(hashes, w + 1)) for w in range(MORE_WORDS)]]
+                for column, x in zip(out, row):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in out]], names)
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it is small, which is counted, else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Those of ``pairs`` (a, a_row, b, b_row) whose shingle sets have Jaccard similarity ``similarity`` or more."""
+    wanted = pairs.select(F.col("a").alias("id"), F.col("a_row").alias("row")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_row").alias("row"))).distinct()
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).join(_bounded(written(wanted, "wanted")), ["id", "row"], "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), k)).astype(np.uint64).view(np.int64) for t in batch.column(2)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, np.concatenate([*sets, np.empty(0, np.int64)]))], ["id", "set"])
+
+    sets = written(narrow.mapInArrow(run, "id long, set array<bigint>").dropDuplicates(["id"]), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tau: int = 10, most: int = 58, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, rep, first): each row's id and text hash, its group (the smallest id), and whether it is of the row
+    that stays.
+
+    Equal word sequences are one group. Others link if their k-word shingle sets are ``similarity`` alike or more by
+    Jaccard: candidates differ in at most ``tau`` bits of their fingerprint and ``most`` of the 256 bits of the
+    wide one (3 standard deviations beyond the mean at similarity 0.8), and are verified by their shingle sets.
+    """
+    each = written(signatures(docs.filter(F.col(id_col).isNotNull()), k, id_col, text_col), "signatures")
+    rest = [f"w{i + 1}" for i in range(MORE_WORDS)]
+    other = [F.min_by(F.struct("row", "n", "fp", *rest), F.struct("id", "row")).alias("x")]
+    reps = written(each.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), *other).select("t1", "t2", "rep", "copies", "x.*"), "texts")
+    a = plan(reps, tau)
+    side = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}" if c not in ("part", "key") else c) for c in df.columns])
+
+    def near(x: str, y: str):
+        sizes = (F.col(f"{x}_n") >= similarity * F.col(f"{y}_n")) & (F.col(f"{y}_n") >= similarity * F.col(f"{x}_n"))
+        first = _distance(f"{x}_fp", f"{y}_fp")
+        wide = first + sum((_distance(f"{x}_{w}", f"{y}_{w}") for w in rest), F.lit(0))
+        return sizes & (first <= tau) & (wide <= most)
+
+    def pairs(found: DataFrame) -> DataFrame:
+        return written(found.select(F.col("x_rep").alias("a"), F.col("x_row").alias("a_row"), F.col("y_rep").alias("b"), F.col("y_row").alias("b_row")).dropDuplicates(["a", "b"]), "pairs")
+
+    columns = ["rep", "row", "n", "fp", *rest]
+    own = values(reps.select(*columns, "copies"), a)
+    hub = own.groupBy("part", "key").agg(F.max_by(F.struct(*columns), F.struct("copies", "rep")).alias("h")).select("part", "key", "h.*")
+    star = side(own.drop("copies"), "x").join(side(hub, "y"), ["part", "key"]).filter((F.col("x_rep") != F.col("y_rep")) & near("x", "y"))
+    linked = similar(docs, pairs(star), k, similarity, id_col, text_col)
+    grouped = written(reps.select(*columns).join(connected_components(linked).withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "stars")
+    left, right = side(probes(grouped, a), "x"), side(values(grouped, a), "y")
+    cross = left.join(right.hint("merge"), ["part", "key"]).filter((F.col("x_n") <= F.col("y_n")) & (F.col("x_rep") != F.col("y_rep")) & (F.col("x_c") != F.col("y_c")) & near("x", "y"))
+    linked = similar(docs, pairs(cross), k, similarity, id_col, text_col)
+    c = grouped.select("rep", "c")
+    edges = linked.join(c.select(F.col("rep").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    last = connected_components(edges).withColumnRenamed("node", "c")
+    final = c.join(last, "c", "left").select("rep", F.coalesce("component", "c").alias("group"))
+    texts = written(reps.select("t1", "t2", "rep", "row").join(final, "rep"), "groups")
+    return each.join(texts.select("t1", "t2", "group", F.col("rep").alias("text_rep"), F.col("row").alias("rep_row")), ["t1", "t2"]).select("id", "row", F.col("group").alias("rep"), ((F.col("id") == F.col("group")) & (F.col("row") == F.col("rep_row"))).alias("first"))
+
+
+def drop_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest id; rows without id stay."""
+    found = written(duplicate_groups(docs, k, similarity, id_col=id_col, text_col=text_col), "found")
+    gone = _bounded(written(found.filter(~F.col("first")).select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct(), "gone"))
+    stay = docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__row")), "left_anti")
+    twice = found.filter("first").groupBy("id", "row").count().filter("count > 1")
+    if twice.isEmpty():
+        return stay
+    nth = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0)))
+    return stay.withColumn("__n", nth).filter((F.col("__n") == 1) | F.col(id_col).isNull()).select(*docs.columns)
