@@ -40,55 +40,79 @@ SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr eu
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
 
 WORD = re.compile(r"[^\W\d_]+")
-HIDDEN = re.compile(r"[^\W\d_]*(?:[\d@$!|*._\-]+[^\W\d_]+)+")
+HIDING = re.compile(r"[\d@$!|*._\-]+(?=[^\W\d_])")
 SYMBOLS = re.compile(r"[^\w]|_")
-NAMES = ("log_words", "hit_rate", "log_hits", "distinct_hits", "weight_rate", "near_rate", "near_hits", "second_rate", "stem_rate", "log_stems", "stem_weight_rate", "top_stem", "capitals", "shouted", "exclaimed", "punctuation", "digits", "hidden_rate", "hidden_hits")
+NAMES = ("log_words", "hit_rate", "log_hits", "distinct_hits", "weight_rate", "near_rate", "near_hits", "second_rate", "stem_rate", "log_stems", "stem_weight_rate", "top_stem", "capitals", "exclaimed", "punctuation", "digits", "hidden_rate", "hidden_hits")
 
 #: Character classes: 0 other, 1 lower-case letter, 2 capital, 3 white space, 4 digit, 5 punctuation, 6 exclamation mark.
 _CLASS = np.array([6 if c == "!" else 3 if c.isspace() else 2 if c.isupper() else 1 if c.isalpha() else 4 if c.isdigit() else 5 if c.isprintable() else 0 for c in map(chr, range(1 << 16))], np.uint8)
 
 
-class Lexicon:
-    """Words and stems (ending in *) with their log odds; ``of`` gives a word's weight as a word, its weight and number
-    as a stem (-1: none) and whether it is a second-person word."""
+class Lexicon(dict):
+    """Words and stems (ending in *) with their log odds. As a dict, it numbers words: 0 says nothing of a text, i stands
+    for ``special[i - 1]``: weight as a word, weight and number as a stem (-1: none), second person or not."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.stems, self.known = weights, {w: i for i, w in enumerate(sorted(w for w in weights if w[-1] == "*"))}, {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
-
-    def of(self, word: str) -> tuple[float, float, int, bool]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            stem = max((s for k in STEMS if len(word) >= k and (s := word[:k] + "*") in self.stems), key=self.weights.__getitem__, default=None)
-            found = self.known[word] = (self.weights.get(word, 0.0), self.weights[stem] if stem else 0.0, self.stems[stem] if stem else -1, word in SECOND_PERSON)
-        return found
+        super().__init__()
+        self.weights, self.stems = weights, {w: i for i, w in enumerate(sorted(w for w in weights if w[-1] == "*"))}
+        self.special: list[tuple[float, float, int, bool]] = []
+
+    def __reduce__(self):
+        return Lexicon, (self.weights,)
+
+    def __missing__(self, word: str) -> int:
+        stem = max((s for k in STEMS if len(word) >= k and (s := word[:k] + "*") in self.stems), key=self.weights.__getitem__, default=None)
+        found = (self.weights.get(word, 0.0), self.weights[stem] if stem else 0.0, self.stems[stem] if stem else -1, word in SECOND_PERSON)
+        number = 0
+        if found != (0.0, 0.0, -1, False):
+            self.special.append(found)
+            number = len(self.special)
+        self[word] = number
+        return number
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, list[tuple[float, float, int, bool]]]:
+        """Places of the words that say something, and what."""
+        if len(self) > MEMORY:
+            self.clear()
+            self.special.clear()
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        places = np.flatnonzero(numbers)
+        return places, [self.special[i - 1] for i in numbers[places].tolist()]
+
+
+def _hidden(lowered: str) -> list[str]:
+    """The chunks between white space in which digits or symbols stand before letters."""
+    out, past = [], 0
+    for m in HIDING.finditer(lowered):
+        if m.start() >= past:
+            start = max(lowered.rfind(" ", 0, m.start()), lowered.rfind("\n", 0, m.start())) + 1
+            ends = [e for e in (lowered.find(" ", m.end()), lowered.find("\n", m.end())) if e >= 0]
+            past = min(ends, default=len(lowered))
+            out.append(lowered[start:past])
+    return out
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The features of one text, in the order of NAMES."""
     text = text or ""
     kinds = np.bincount(_CLASS[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)], minlength=7) if text else np.zeros(7)
-    raw = WORD.findall(text)
-    words = WORD.findall(text.lower())
+    lowered = text.lower()
+    words = WORD.findall(lowered)
     n = max(1, len(words))
-    about = list(map(lexicon.of, words))
-    hits = [i for i, x in enumerate(about) if x[0]]
-    persons = np.array([i for i, x in enumerate(about) if x[3]])
-    near = sum(1 for i in hits if np.abs(persons - i).min() <= NEAR) if len(persons) else 0
+    places, about = lexicon.of(words)
+    hits = [(p, x[0]) for p, x in zip(places.tolist(), about) if x[0]]
+    persons = np.array([p for p, x in zip(places.tolist(), about) if x[3]])
+    near = sum(1 for p, _ in hits if np.abs(persons - p).min() <= NEAR) if len(persons) else 0
     stems = [x for x in about if x[2] >= 0]
     top = max(Counter(x[2] for x in stems).values(), default=0)
     weights = lexicon.weights
-    hidden = [m.group() for m in HIDDEN.finditer(text.lower())]
+    hidden = _hidden(lowered)
     folded = sum(1 for w in hidden if SYMBOLS.sub("", w.translate(LOOKALIKES)) in weights and not any(x in weights for x in WORD.findall(w)))
     letters, chars = max(1, kinds[1] + kinds[2]), max(1, len(text))
     return [
-        float(np.log1p(len(words))), len(hits) / n, float(np.log1p(len(hits))), float(len({words[i] for i in hits})), sum(about[i][0] for i in hits) / n, near / n, float(near), len(persons) / n,
+        float(np.log1p(len(words))), len(hits) / n, float(np.log1p(len(hits))), float(len({words[p] for p, _ in hits})), sum(w for _, w in hits) / n, near / n, float(near), len(persons) / n,
         len(stems) / n, float(np.log1p(len(stems))), sum(x[1] for x in stems) / n, float(top),
-        kinds[2] / letters, sum(1 for w in raw if len(w) > 2 and w.isupper()) / n, kinds[6] / chars, (kinds[5] + kinds[6]) / chars, kinds[4] / chars, len(hidden) / n, float(folded),
+        kinds[2] / letters, kinds[6] / chars, (kinds[5] + kinds[6]) / chars, kinds[4] / chars, len(hidden) / n, float(folded),
     ]
 
 
