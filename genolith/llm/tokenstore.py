@@ -1,8 +1,7 @@
 """Token ids as a content-addressed store: chunks, recipes and Merkle manifests.
 
-* Texts are encoded with the ``tokenizers`` library. No rule of the tokenizer reaches over ASCII white space (its
-  pattern, its normalisation and its special tokens hold none), so each piece between white space is encoded once per
-  batch of Arrow rows and remembered. ``encode_whole`` encodes without that; tests hold one against the other.
+* Texts are encoded with the ``tokenizers`` library. Where its rules encode each word by itself, distinct
+  words are encoded once and remembered (see ``Encoder``); tests hold that against whole texts.
 * A document's ids (little-endian, as wide as the vocabulary asks: ``uint16`` up to 65,536 ids) are cut where a rolling
   hash of the last WINDOW ids hits a mask, within least and most lengths. Chunks are named by SHA-256; each is stored
   once.
@@ -20,7 +19,9 @@ A null doc_id sorts first. Extra columns are left out of the store.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import shared_path
 
 WINDOW, LEAST, MOST, MASK_BITS = 16, 64, 4096, 9
-#: Pieces that an encoder remembers; then it forgets them all.
-MEMORY = 200_000
+#: Words that an encoder remembers; then it forgets them all.
+MEMORY = 500_000
 
 
 def _gear() -> np.ndarray:
@@ -41,59 +42,115 @@ def _gear() -> np.ndarray:
     return np.random.default_rng(20240101).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for; ``new`` lists those not yet learned."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+#: Fixed value: the split pattern of the word tokenizers for which ``Encoder`` splits texts itself.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The characters up to here, and general punctuation, are split here; Unicode's versions agree on them.
+LATIN = 0x24F
+_LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(LATIN + 1)) if kind(c)) for kind in (str.isalpha, str.isnumeric))
+#: WORD_PATTERN for such characters, in terms of ``re``.
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+"
+BEYOND = re.compile("[^\x00-\u024f\u2010-\u2027]")
+#: Texts with these go to the whole tokenizer: white space to Python alone, and what begins a special token.
+SPECIAL = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: What the byte-level step of the library writes for each byte: the byte's own character if printable, else the next free.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_BYTE_TEXT = str.maketrans({b: c for b, c in _BYTES.items()})
+
+
 class Encoder:
-    """Encodes texts with one tokenizer; made on each Python worker."""
+    """Encodes texts with one tokenizer; made once on each Python worker.
+
+    A tokenizer that lower-cases, splits by WORD_PATTERN and drops white space (``by_words``) encodes each word by itself,
+    so texts are split by that pattern here, and the library's model encodes each distinct word once. Texts that
+    hold characters beyond LATIN or anything of SPECIAL go to the whole tokenizer, as all do with other tokenizers.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        with open(path) as f:
+            rules = json.load(f)
+        split = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers") or []]
+        self.by_words = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("behavior") == "Removed"
+        if self.by_words:
+            self.model.normalizer = self.model.pre_tokenizer = None
+        self.split = re.compile(LATIN_PATTERN).findall
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.flat, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
 
-    def encode_whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def encode_whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_TEXT) for w in words]
+        return [e.ids for e in self.model.encode_batch_fast(shown, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        n, at = len(self.known), int(self.ends[len(self.known)])
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        n = len(self.known) - len(new)
+        at, ids = int(self.ends[n]), self._encode_words(new)
         ends = at + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         while n + len(new) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while len(new) and ends[-1] > len(self.flat):
+        while new and ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         if new:
             self.flat[at : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) - at)
             self.ends[n + 1 : n + 1 + len(new)] = ends
-        self.known.update(zip(new, range(n, n + len(new))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. What one call asks for is kept whole; MEMORY bounds what stays from earlier calls."""
-        split = [_pieces(t) for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
-        if len(self.known) + len(new) > MEMORY:
+        if not self.by_words:
+            return [np.array(ids, np.uint32) for ids in self.encode_whole(texts)]
+        if len(self.known) > MEMORY:
             self._forget()
-            new = list(dict.fromkeys(chain.from_iterable(split)))
+        number, every = self.known.__getitem__, []
+        for text in texts:
+            if any(x in text for x in SPECIAL) or not text.isascii() and BEYOND.search(text):
+                every.append(self.encode_whole([text])[0])
+                continue
+            words = self.split(text.lower())
+            every.append(np.fromiter(map(number, words), np.int64, len(words)))
+        new, self.known.new = self.known.new, []
         self._learn(new)
         out = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        for at in every:
+            if isinstance(at, list):
+                out.append(np.array(at, np.uint32))
+                continue
             first, lens = self.ends[at], self.ends[at + 1] - self.ends[at]
             before = np.cumsum(lens) - lens
             out.append(self.flat[np.arange(int(lens.sum())) + np.repeat(first - before, lens)])
         return out
 
 
-def _pieces(text: str) -> list[str]:
-    return text.translate(_SPACES).split(" ")
+_ENCODERS: dict[str, Encoder] = {}
 
 
-#: \t..\r to a space; other white space, which the tokenizer drops too, stays inside the pieces.
-_SPACES = {c: " " for c in range(9, 14)}
+def encoder(path: str) -> Encoder:
+    """This Python worker's encoder for ``path``."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def cut(ids: np.ndarray, gear: np.ndarray) -> list[int]:
@@ -149,11 +206,11 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
     kind = _width(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, gear = Encoder(tokenizer), _gear()
+        own_encoder, gear = encoder(tokenizer), _gear()
         for whole in batches:
             for batch in _slices(whole):
                 roots, counts, chunks = [], [], []
-                for ids in encoder.encode([x or "" for x in batch.column(1).to_pylist()]):
+                for ids in own_encoder.encode([x or "" for x in batch.column(1).to_pylist()]):
                     ids = np.append(ids, np.uint32(end_id))
                     data, start, own = ids.astype(kind), 0, []
                     for end in cut(ids, gear):
@@ -172,8 +229,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
     encoded.write.option("compression", "zstd").parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
     parts = encoded.select("root", F.posexplode("chunks").alias("part", "c"))
-    parts.select("c.name", "c.ids").dropDuplicates(["name"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    parts.select("root", "part", "c.name", "c.n", "c.offset").dropDuplicates(["root", "part"]).write.parquet(f"{path}/recipes")
+    parts.select("c.name", "c.ids").distinct().write.option("compression", "zstd").parquet(f"{path}/chunks")
+    parts.select("root", "part", "c.name", "c.n", "c.offset").distinct().write.parquet(f"{path}/recipes")
     _started(encoded.select("doc_id", "root", "n_tokens")).write.parquet(f"{path}/documents")
 
 
