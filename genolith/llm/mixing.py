@@ -26,7 +26,7 @@ from .common import WS, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a hash bucket, about; slots that one row explodes to.
-BUCKET, CHUNK = 4096, 8192
+BUCKET, CHUNK = 1024, 4096
 
 
 def words(text: Column) -> Column:
@@ -88,7 +88,8 @@ def slots(sources: DataFrame, block: int, seed: int, per_shard: int = 4096) -> D
     whole = F.floor(target / size).cast("long")
     drawn = sources.filter("source_size > 0").select("k", "rank", n.alias("blocks"), (whole * n + F.least(F.round((target - whole * size) / block).cast("long"), n)).alias("slots"))
     shards = drawn.agg(F.greatest(F.lit(1), F.ceil(F.sum("slots") / per_shard)).alias("shards"))
-    chunks = drawn.filter("slots > 0").crossJoin(F.broadcast(shards)).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long")))).repartition("k", "from")  # shards has one row
+    chunks = drawn.filter("slots > 0").crossJoin(F.broadcast(shards)).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long"))))  # shards has one row
+    chunks = chunks.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "from")
     each = chunks.withColumn("slot", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK, F.col("slots")) - 1)))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("int")
     return each.select("k", "slot", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "rank", "slot"), F.col("shards")).alias("shard"), turn.alias("pass"), permuted(F.pmod("slot", F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("rank"), turn).alias("index"))
@@ -104,9 +105,10 @@ def _pieces(rows: DataFrame, block: int) -> DataFrame:
 
 def mix_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, block: int = 128, seed: int = 7) -> DataFrame:
     """The mix itself: shard, slot, source key k and, for each of the block's documents, id, start and words."""
+    # Spark takes the slots for as few rows as they come from, and would broadcast them: hence the hints here and below.
     rows, sources = placed(docs, seed)
     inside = _pieces(rows, block).groupBy("k", "index").agg(F.array_sort(F.collect_list(F.struct("offset", "id", "start", "words"))).alias("pieces"))
-    return slots(targets(sources, weights, cap), block, seed).join(inside, ["k", "index"]).select("shard", "k", "slot", "pass", "index", "pieces")
+    return slots(targets(sources, weights, cap), block, seed).hint("merge").join(inside, ["k", "index"]).select("shard", "k", "slot", "pass", "index", "pieces")
 
 
 def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, block: int = 128, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -115,7 +117,7 @@ def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: floa
     aims = written(targets(sources, weights, cap), "targets")
     times = slots(aims, block, seed).groupBy("k", "index").agg(F.count(F.lit(1)).cast("int").alias("times"))
     part = F.struct("start", "words", "times")
-    taken = _pieces(rows, block).join(times, ["k", "index"]).groupBy("k", "bucket", "n").agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"), F.array_sort(F.collect_list(part)).alias("parts"))
+    taken = _pieces(rows, block).join(times.hint("merge"), ["k", "index"]).groupBy("k", "bucket", "n").agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"), F.array_sort(F.collect_list(part)).alias("parts"))
     every = rows.join(taken, ["k", "bucket", "n"], "left").join(aims.select("k", "source_size", "target"), "k")
     return every.select(F.col("id").alias(id_col), "row", "k", "offset", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "parts")
 
