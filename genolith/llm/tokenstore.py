@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import shared_path
@@ -58,13 +59,12 @@ class _Numbers(dict):
 #: Fixed value: the split pattern of the word tokenizers for which ``Encoder`` splits texts itself.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The characters up to here, and general punctuation, are split here; Unicode's versions agree on them.
-LATIN = 0x24F
+LATIN = 0x17F
 _LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(LATIN + 1)) if kind(c)) for kind in (str.isalpha, str.isnumeric))
 #: WORD_PATTERN for such characters, in terms of ``re``.
 LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+"
-BEYOND = re.compile("[^\x00-\u024f\u2010-\u2027]")
-#: Texts with these go to the whole tokenizer: white space to Python alone, and what begins a special token.
-SPECIAL = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Pieces with these go to the whole tokenizer: characters beyond, white space to Python alone, begins of special tokens.
+BEYOND = re.compile("[^\x00-\x1b\x20-\u017f\u2010-\u2027]|<\\|")
 #: What the byte-level step of the library writes for each byte: the byte's own character if printable, else the next free.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -74,9 +74,10 @@ _BYTE_TEXT = str.maketrans({b: c for b, c in _BYTES.items()})
 class Encoder:
     """Encodes texts with one tokenizer; made once on each Python worker.
 
-    A tokenizer that lower-cases, splits by WORD_PATTERN and drops white space (``by_words``) encodes each word by itself,
-    so texts are split by that pattern here, and the library's model encodes each distinct word once. Texts that
-    hold characters beyond LATIN or anything of SPECIAL go to the whole tokenizer, as all do with other tokenizers.
+    A tokenizer that lower-cases, splits by WORD_PATTERN and drops white space (``by_words``) encodes each word by itself.
+    So texts are cut at white space, the distinct pieces of a batch are split into words by that pattern here, and the
+    library's model encodes each distinct word once. Pieces that hold anything of BEYOND go to the whole tokenizer, as
+    all texts do with other tokenizers.
     """
 
     def __init__(self, path: str):
@@ -91,11 +92,12 @@ class Encoder:
         self.by_words = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("behavior") == "Removed"
         if self.by_words:
             self.model.normalizer = self.model.pre_tokenizer = None
-        self.split = re.compile(LATIN_PATTERN).findall
+        self.split = re.compile(f"{LATIN_PATTERN}| ").findall
         self._forget()
 
     def _forget(self) -> None:
         self.known = _Numbers()
+        self.known[" "] = 0  # parts pieces; no ids
         self.flat, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
 
     def encode_whole(self, texts: list[str]) -> list[list[int]]:
@@ -117,30 +119,48 @@ class Encoder:
             self.flat[at : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) - at)
             self.ends[n + 1 : n + 1 + len(new)] = ends
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. What one call asks for is kept whole; MEMORY bounds what stays from earlier calls."""
-        if not self.by_words:
-            return [np.array(ids, np.uint32) for ids in self.encode_whole(texts)]
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all words in order, and where each word's end."""
+        first, lens = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        ends = np.cumsum(lens)
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - lens), lens)], ends
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of pieces without white space; what one call asks for is kept whole, MEMORY bounds the rest."""
         if len(self.known) > MEMORY:
             self._forget()
-        number, every = self.known.__getitem__, []
-        for text in texts:
-            if any(x in text for x in SPECIAL) or not text.isascii() and BEYOND.search(text):
-                every.append(self.encode_whole([text])[0])
-                continue
-            words = self.split(text.lower())
-            every.append(np.fromiter(map(number, words), np.int64, len(words)))
+        odd = [i for i, x in enumerate(pieces) if not (x.isascii() and x.isprintable() and "<|" not in x) and BEYOND.search(x)]
+        plain = pieces.copy()
+        for i in odd:
+            plain[i] = ""
+        words = self.split(" ".join(plain).lower())
+        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         new, self.known.new = self.known.new, []
         self._learn(new)
-        out = []
-        for at in every:
-            if isinstance(at, list):
-                out.append(np.array(at, np.uint32))
-                continue
-            first, lens = self.ends[at], self.ends[at + 1] - self.ends[at]
-            before = np.cumsum(lens) - lens
-            out.append(self.flat[np.arange(int(lens.sum())) + np.repeat(first - before, lens)])
-        return out
+        ids, word_ends = self._gathered(numbers)
+        ends = np.append(word_ends[numbers == 0], len(ids)) if pieces else np.zeros(0, np.int64)
+        if odd:
+            parts = np.split(ids, ends[:-1])
+            for i, own in zip(odd, self.encode_whole([pieces[i] for i in odd])):
+                parts[i] = np.array(own, np.uint32)
+            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return ids, ends
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array without nulls."""
+        if not self.by_words:
+            return [np.array(ids, np.uint32) for ids in self.encode_whole(texts.to_pylist())]
+        lists = pc.ascii_split_whitespace(texts)
+        cuts = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        ids, ends = self._encode_pieces(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        lens = np.diff(ends, prepend=0)
+        first, n = (ends - lens)[at], lens[at]
+        last = np.cumsum(n)
+        every = ids[np.arange(int(last[-1]) if len(last) else 0) + np.repeat(first - (last - n), n)]
+        bounds = np.concatenate([[0], last])[cuts - cuts[0]]
+        return [every[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -182,7 +202,7 @@ def merkle_root(names: list[bytes]) -> bytes:
     return level[0]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 256, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 4096, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of at most ``rows`` rows and about ``most`` bytes of its second column, or of one row."""
     sizes = np.nan_to_num(batch.column(1).cast(pa.binary()).to_pandas().str.len().to_numpy(float))
     at, size = 0, 0.0
@@ -210,7 +230,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
         for whole in batches:
             for batch in _slices(whole):
                 roots, counts, chunks = [], [], []
-                for ids in own_encoder.encode([x or "" for x in batch.column(1).to_pylist()]):
+                for ids in own_encoder.encode(batch.column(1).fill_null("")):
                     ids = np.append(ids, np.uint32(end_id))
                     data, start, own = ids.astype(kind), 0, []
                     for end in cut(ids, gear):
