@@ -35,6 +35,8 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED, BITS = 42, 64
 #: The largest threshold of a partition: more bits would be more keys than any corpus is worth.
 MOST = 4
+#: What writing, sorting and reading a key costs, in candidates that the join compares.
+KEY_COST = 64
 #: Rows for which bits are unpacked at once.
 STEP = 65536
 
@@ -148,7 +150,7 @@ class Allocation:
                 within *= 1 - differ
                 within[:, 1:] += moved
             keys = np.cumsum([comb(len(group), t) for t in range(self.most + 1)])
-            out[:, g, 1:] = keys + self.n * np.cumsum(within, axis=1)
+            out[:, g, 1:] = KEY_COST * keys + self.n * np.cumsum(within, axis=1)
         return out
 
     def thresholds(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +312,7 @@ def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float, id_col
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tau: int = 10, most: int = 58, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tau: int = 12, most: int = 58, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, rep, first): each row's id and text hash, its group (the smallest id), and whether it is of the row
     that stays.
 
@@ -323,25 +325,31 @@ def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tau:
     other = [F.min_by(F.struct("row", "n", "fp", *rest), F.struct("id", "row")).alias("x")]
     reps = written(each.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), *other).select("t1", "t2", "rep", "copies", "x.*"), "texts")
     a = plan(reps, tau)
-    side = lambda df, name: df.select(*[F.col(c).alias(f"{name}_{c}" if c not in ("part", "key") else c) for c in df.columns])
+    sketch = reps.select("rep", "row", "fp", *rest)
 
     def near(x: str, y: str):
         sizes = (F.col(f"{x}_n") >= similarity * F.col(f"{y}_n")) & (F.col(f"{y}_n") >= similarity * F.col(f"{x}_n"))
-        first = _distance(f"{x}_fp", f"{y}_fp")
-        wide = first + sum((_distance(f"{x}_{w}", f"{y}_{w}") for w in rest), F.lit(0))
-        return sizes & (first <= tau) & (wide <= most)
+        return sizes & (_distance(f"{x}_fp", f"{y}_fp") <= tau)
 
     def pairs(found: DataFrame) -> DataFrame:
-        return written(found.select(F.col("x_rep").alias("a"), F.col("x_row").alias("a_row"), F.col("y_rep").alias("b"), F.col("y_row").alias("b_row")).dropDuplicates(["a", "b"]), "pairs")
-
-    columns = ["rep", "row", "n", "fp", *rest]
-    own = values(reps.select(*columns, "copies"), a)
-    hub = own.groupBy("part", "key").agg(F.max_by(F.struct(*columns), F.struct("copies", "rep")).alias("h")).select("part", "key", "h.*")
-    star = side(own.drop("copies"), "x").join(side(hub, "y"), ["part", "key"]).filter((F.col("x_rep") != F.col("y_rep")) & near("x", "y"))
+        """The pairs (x_rep, y_rep) whose wide fingerprints are near, with the hashes of their texts."""
+        distinct = found.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct()
+        of = lambda x: sketch.select(*[F.col(c).alias({"rep": x}.get(c, f"{x}_{c}")) for c in sketch.columns])
+        wide = sum((_distance(f"a_{w}", f"b_{w}") for w in ("fp", *rest)), F.lit(0))
+        return written(distinct.join(of("a"), "a").join(of("b"), "b").filter(wide <= most).select("a", "a_row", "b", "b_row"), "pairs")
+
+    named = lambda df, x: df.select(*[F.col(c).alias(c if c in ("part", "key") else f"{x}_{c}") for c in df.columns])
+    own = values(reps.select("rep", "n", "fp", "copies"), a)
+    hub = own.groupBy("part", "key").agg(F.max_by(F.struct("rep", "n", "fp"), F.struct("copies", "rep")).alias("h")).select("part", "key", "h.*")
+    star = named(own.drop("copies"), "x").join(named(hub, "y"), ["part", "key"]).filter((F.col("x_rep") != F.col("y_rep")) & near("x", "y"))
     linked = similar(docs, pairs(star), k, similarity, id_col, text_col)
-    grouped = written(reps.select(*columns).join(connected_components(linked).withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "stars")
-    left, right = side(probes(grouped, a), "x"), side(values(grouped, a), "y")
-    cross = left.join(right.hint("merge"), ["part", "key"]).filter((F.col("x_n") <= F.col("y_n")) & (F.col("x_rep") != F.col("y_rep")) & (F.col("x_c") != F.col("y_c")) & near("x", "y"))
+    grouped = written(reps.select("rep", "n", "fp").join(connected_components(linked).withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "stars")
+    # Similar texts have numbers of shingles in the same class or neighbouring ones; the smaller of a pair probes.
+    klass = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-np.log(similarity))).cast("int")
+    sized = grouped.withColumn("class", klass)
+    left = named(probes(sized, a), "x").withColumnRenamed("x_class", "class")
+    right = named(values(sized, a).withColumn("class", F.explode(F.array("class", F.col("class") - 1))), "y").withColumnRenamed("y_class", "class")
+    cross = left.join(right.hint("merge"), ["part", "key", "class"]).filter((F.col("x_n") <= F.col("y_n")) & (F.col("x_rep") != F.col("y_rep")) & (F.col("x_c") != F.col("y_c")) & near("x", "y"))
     linked = similar(docs, pairs(cross), k, similarity, id_col, text_col)
     c = grouped.select("rep", "c")
     edges = linked.join(c.select(F.col("rep").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
