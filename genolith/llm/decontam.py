@@ -72,8 +72,7 @@ def probed(phrases: DataFrame, counts: DataFrame) -> DataFrame:
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", exact: bool = True, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(item, id, row, start, n): the windows found in the documents, by place of their first word and their length.
 
-    With ``exact`` false, a match is any place where all terms of a window stand, in any order and as often as in the
-    window, within a span of its length that begins or ends at its rarest term.
+    With ``exact`` false, a match is any span of a window's length that holds its words in any order.
     """
     wins = written(windows(items, size, item_id, item_text), "windows")
     phrases = wins.select("phrase").distinct()
@@ -87,9 +86,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, id_col: st
         span = F.when(at >= F.col("place"), F.slice("near", F.greatest(F.lit(1), at - F.col("place") + 1), F.size("phrase")))
         found = both.filter("pos >= place").filter(second).filter(span == F.col("phrase")).select("phrase", "id", "row", (F.col("pos") - F.col("place")).alias("start"))
     else:
-        forward, back = F.slice("near", at + 1, F.size("phrase")), F.slice("near", F.greatest(F.lit(1), at - F.size("phrase") + 2), F.least(F.size("phrase"), at + 1))
-        same = lambda x: F.array_sort(x) == F.array_sort("phrase")
-        found = both.select("phrase", "id", "row", F.when(same(forward), F.col("pos")).when(same(back), F.col("pos") - F.size("phrase") + 1).alias("start")).filter("start is not null").distinct()
+        back = F.sequence(F.lit(0), F.size("phrase") - 1)  # words of the span before the probe
+        same = F.filter(back, lambda o: (at >= o) & (F.array_sort(F.slice("near", at - F.least(o, at) + 1, F.size("phrase"))) == F.array_sort("phrase")))
+        found = both.select("phrase", "id", "row", "pos", F.explode(same).alias("o")).select("phrase", "id", "row", (F.col("pos") - F.col("o")).alias("start")).distinct()
     return found.join(_bounded(wins), "phrase").select("item", "id", "row", "start", F.size("phrase").alias("n"))
 
 

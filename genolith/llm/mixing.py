@@ -103,7 +103,7 @@ def _pieces(rows: DataFrame, block: int) -> DataFrame:
     return cut.withColumn("start", (start - F.col("offset")).cast("int")).withColumn("words", (F.least(last, (F.col("index") + 1) * block) - start).cast("int"))
 
 
-def mix_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, block: int = 128, seed: int = 7) -> DataFrame:
+def mix_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, block: int = 64, seed: int = 7) -> DataFrame:
     """The mix itself: shard, slot, source key k and, for each of the block's documents, id, start and words."""
     # Spark takes the slots for as few rows as they come from, and would broadcast them: hence the hints here and below.
     rows, sources = placed(docs, seed)
@@ -111,7 +111,7 @@ def mix_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: flo
     return slots(targets(sources, weights, cap), block, seed).hint("merge").join(inside, ["k", "index"]).select("shard", "k", "slot", "pass", "index", "pieces")
 
 
-def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, block: int = 128, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, block: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per row: id_col, row, size, source_size, target, taken, and parts (array of start, words, times) by start."""
     rows, sources = placed(docs, seed, id_col, text_col, source_col)
     aims = written(targets(sources, weights, cap), "targets")
@@ -122,7 +122,7 @@ def mix_sizes(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: floa
     return every.select(F.col("id").alias(id_col), "row", "k", "offset", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "parts")
 
 
-def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, block: int = 128, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, block: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` mixed, with its columns: a row for each time that any of a document's words are taken.
 
     The c-th row of a document holds the words taken at least c times, with the white space that follows them; if

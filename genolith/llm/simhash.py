@@ -184,7 +184,7 @@ def plan(fps: DataFrame, tau: int) -> Allocation:
     n, ones, both = bit_statistics(fps)
     typical = (np.random.default_rng(0).random((64, BITS)) < ones / max(n, 1)).astype(np.uint8)
     found = []
-    for m in range(2, tau + 2):
+    for m in range(min(2, tau + 1), tau + 2):
         if m * (min(tau, MOST) + 1) < tau + 1:
             continue
         a = Allocation(n, ones, partition_bits(n, both, m), tau)

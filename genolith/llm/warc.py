@@ -117,6 +117,8 @@ class Reader:
         self.buffer += piece + END.encode()
         while (head := self.buffer.find(END.encode())) >= 0:
             lines = bytes(self.buffer[:head]).decode().split("\r\n")
+            if not self.buffer.strip(b"\r\n"):
+                return  # a last payload's own end, which the source gives as a row before the file's end
             if lines[0] != "WARC/1.1":
                 raise ValueError(f"no WARC record at {lines[0][:40]!r}")
             fields = dict(x.split(": ", 1) for x in lines[1:])
