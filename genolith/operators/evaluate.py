@@ -47,3 +47,17 @@ def phase_switches(phases: DataFrame) -> DataFrame:
 def usable_calls(calls: DataFrame, missing: float = 0.05) -> DataFrame:
     """Sites (snp) of calls (snp, g) of which at most a share of ``missing`` is null."""
     return calls.groupBy("snp").agg(F.avg(F.col("g").isNull().cast("double")).alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("m") <= missing).select("snp", "n")
+
+
+def phase_switches_without_doubles(phases: DataFrame) -> DataFrame:
+    """(sample, sites, switches, discordant): as ``phase_switches``, but a single site that is off between two that agree with each other counts as
+    discordant and not as two switches."""
+    het = phases.filter(F.col("t1") + F.col("t2") == 1).withColumn("off", (F.col("h1") != F.col("t1")).cast("int"))
+    w = Window.partitionBy("sample").orderBy("pos")
+    alone = (F.lag("off").over(w) == F.lead("off").over(w)) & (F.col("off") != F.lag("off").over(w))
+    marked = het.withColumn("alone", F.coalesce(alone, F.lit(False)))
+    # Of alternating runs, each second site stands for the discordant ones.
+    run = marked.withColumn("odd", F.col("alone") & ~F.coalesce(F.lag("alone").over(w), F.lit(False)))
+    kept = run.filter("not odd").withColumn("c", (F.col("off") != F.lag("off").over(w)).cast("int"))
+    switches = kept.groupBy("sample").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("switches"))
+    return run.groupBy("sample").agg(F.count(F.lit(1)).alias("sites"), F.count_if("odd").alias("discordant")).join(switches, "sample").select("sample", "sites", "switches", "discordant")

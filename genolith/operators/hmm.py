@@ -238,3 +238,49 @@ def sampled_phase(gamma: np.ndarray, m: Model, grid_of: np.ndarray, paths: int =
             pair[:, g] = before = now
         votes += np.stack([m.p[pair[:, grid_of, h], np.arange(len(grid_of))] for h in (0, 1)], axis=2)
     return votes / paths
+
+
+def marginals(r: Reads, m: Model, method: str) -> np.ndarray:
+    """[sample, grid, k]: how much of a sample is of each founder along the chromosome."""
+    e = read_likelihoods(r, m)
+    grids = m.stay.shape[0] + 1
+    if method == "diploid":
+        return diploid(_grid_emissions(r, np.log((e[:, :, None] + e[:, None, :]) / 2), grids), m)[0].sum(axis=3)
+    return haploid(_grid_emissions(r, np.log(e), grids), m)[0]
+
+
+def breaks(m: Model, middle: np.ndarray, radius: float, least: int = 1) -> list[tuple[int, int]]:
+    """(left, right) grids around places where founders may have swapped: steps whose smoothed recombination is a local
+    maximum above the median, highest first and apart by more than twice the radius."""
+    rate = -np.log(np.clip(m.stay, 1e-300, 1 - 1e-15)) / np.maximum(np.diff(middle), 1)
+    at = (middle[1:] + middle[:-1]) / 2
+    smooth = np.array([rate[np.abs(at - x) <= radius].mean() for x in at])
+    peak = [i for i in np.argsort(-smooth, kind="stable") if smooth[i] > np.median(smooth) and smooth[i] >= smooth[max(0, i - 1) : i + 2].max()]
+    kept: list[int] = []
+    for i in peak:
+        if all(abs(at[i] - at[j]) > 2 * radius for j in kept):
+            kept.append(int(i))
+    sides = [(max(0, i - least), min(len(middle) - 1, i + 1 + least)) for i in sorted(kept)]
+    return sides
+
+
+def best_order(counts: np.ndarray) -> np.ndarray:
+    """order[k]: the founder right of a break that continues founder k, the greatest counts [left, right] first."""
+    c, order = counts.astype(float).copy(), np.full(len(counts), -1)
+    for _ in range(len(c)):
+        a, b = np.unravel_index(int(np.argmax(c)), c.shape)
+        order[a] = b
+        c[a, :], c[:, b] = -1, -1
+    return order
+
+
+def reorder(m: Model, at: list[tuple[int, int]], counts: np.ndarray, grid_of: np.ndarray) -> Model:
+    """The model with founders reordered right of each break as the counts say; orders compose along the chromosome."""
+    p, switch, total = m.p.copy(), m.switch.copy(), np.arange(m.k)
+    for (left, right), own in zip(at, counts):
+        order = best_order(own)
+        total = order[total]
+        cut = (left + right) // 2
+        sites, steps = grid_of > cut, np.arange(switch.shape[1]) > cut
+        p[:, sites], switch[:, steps] = m.p[total][:, sites], m.switch[total][:, steps]
+    return Model(p, switch, m.stay, m.prior)

@@ -67,3 +67,13 @@ def diploid_emissions(read_emission: DataFrame, central: DataFrame, floor: float
     each = x.join(y, ["sample", "read"]).join(central.select("sample", "read", F.col("central").alias("snp")), ["sample", "read"]).groupBy("sample", "snp", "k1", "k2").agg(F.sum(F.log((F.col("e1") + F.col("e2")) / 2)).alias("l"))
     top = F.max("l").over(Window.partitionBy("sample", "snp"))
     return each.select("sample", "snp", "k1", "k2", F.greatest(F.exp(F.col("l") - top), F.lit(1 / floor)).alias("e"))
+
+
+def read_proportions(observations: DataFrame, read_emission: DataFrame) -> DataFrame:
+    """(snp, k, ref, alt): expected numbers of reads of each founder at each site, by allele; a read is shared among founders by
+    its likelihoods."""
+    from pyspark.sql import Window
+
+    share = F.col("e") / F.sum("e").over(Window.partitionBy("sample", "read"))
+    shared = read_emission.select("sample", "read", "k", share.alias("w"))
+    return observations.join(shared, ["sample", "read"]).groupBy("snp", "k").agg(F.sum(F.when(F.col("bq") < 0, F.col("w")).otherwise(0.0)).alias("ref"), F.sum(F.when(F.col("bq") > 0, F.col("w")).otherwise(0.0)).alias("alt"))

@@ -129,3 +129,19 @@ def thin(reads: DataFrame, fraction: float) -> DataFrame:
 def inside(reads: DataFrame, first: int, last: int) -> DataFrame:
     """Reads (snp array) with all sites in first..last, renumbered from 0."""
     return reads.filter((F.size("snp") > 0) & F.forall("snp", lambda x: x.between(first, last))).withColumn("snp", F.transform("snp", lambda x: x - first))
+
+
+def reads_of_blocks(centred: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(sample, block, first, last, n): which of a sample's reads (sample, read, central), numbered by central site, feed each output block
+    (block, snp_start, snp_end)."""
+    w = Window.partitionBy("sample").orderBy("central", "read")
+    numbered = centred.withColumn("i", F.row_number().over(w) - 1)
+    found = range_join(blocks, numbered, "snp_start", "snp_end", "central", width=256)
+    return found.groupBy("sample", "block").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def choose_samples(samples: DataFrame, keep: DataFrame, n: int) -> DataFrame:
+    """``n`` samples: those of ``keep`` first, then by an arithmetic hash."""
+    kept = samples.join(keep.select("sample", F.lit(1).alias("__k")).distinct(), "sample", "left")
+    order = (F.col("sample") * 7919 + 13) % 10007
+    return kept.orderBy(F.col("__k").isNull(), order, "sample").limit(n).select("sample")

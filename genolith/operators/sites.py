@@ -64,6 +64,36 @@ def no_switch(cm_step: Column, n_gen: float) -> Column:
     return F.exp(-n_gen * cm_step / 100)
 
 
+def map_rates(gmap: DataFrame) -> DataFrame:
+    """A map (chr, position, cm) with rate in cM/Mb to the next point, 0 at the last."""
+    w = _by("position")
+    step = (F.lead("cm").over(w) - F.col("cm")) / ((F.lead("position").over(w) - F.col("position")) / 1e6)
+    return gmap.withColumn("rate", F.coalesce(step, F.lit(0.0)))
+
+
+def constant_map(sites: DataFrame, rate: float) -> DataFrame:
+    """(chr, position, rate, cm) of a map of one rate at the sites."""
+    w = _by("pos")
+    last = F.lead("pos").over(w).isNull()
+    return sites.select("chr", F.col("pos").alias("position"), F.when(last, 0.0).otherwise(rate).alias("rate"), (rate * (F.col("pos") - F.min("pos").over(Window.partitionBy("chr"))) / 1e6).alias("cm"))
+
+
+def adaptive_grid(mapped: DataFrame, most: float) -> DataFrame:
+    """(chr, snp, grid) of sites (chr, snp, pos, cm): a grid begins where more than ``most`` cM have passed since its own
+    begin. Each begin depends on the one before, so a chromosome is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        out, start, n = [], None, -1
+        for cm in pdf["cm"]:
+            if start is None or cm - start > most:
+                start, n = cm, n + 1
+            out.append(n)
+        return pdf[["chr", "snp"]].assign(grid=out)
+
+    return mapped.select("chr", "snp", "pos", "cm").groupBy("chr").applyInPandas(run, "chr string, snp long, grid long")
+
+
 def sigma(mapped: DataFrame, n_gen: float) -> DataFrame:
     """(chr, snp, sigma, t0, t1, t2): P(no switch) to the next site, and the diploid chances of 0, 1, 2 switches."""
     step = F.lead("cm").over(_by("pos")) - F.col("cm")
@@ -142,4 +172,4 @@ def match_panel(sites: DataFrame, legend: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("s").isNotNull() & F.col("l").isNotNull()).alias("both"), F.count_if(F.col("l").isNull()).alias("only_sites"), F.count_if(F.col("s").isNull()).alias("only_legend"))
 
 
-__all__ = ["cumulate", "grid", "grid_meta", "interpolate", "match_panel", "no_switch", "output_blocks", "peaks", "region", "sigma", "smooth", "subset", "validate"]
+__all__ = ["adaptive_grid", "constant_map", "cumulate", "grid", "grid_meta", "interpolate", "map_rates", "match_panel", "no_switch", "output_blocks", "peaks", "region", "sigma", "smooth", "subset", "validate"]

@@ -18,6 +18,8 @@ class Config:
     niterations: int = 40
     switchModelIteration: int | None = None
     refillIterations: tuple[int, ...] = (6, 10, 14, 18)
+    shuffleHaplotypeIterations: tuple[int, ...] = (4, 8, 12, 16)
+    shuffle_bin_radius: int = 5000
     expRate: float = 0.5
     minRate: float = 0.1
     maxRate: float = 100.0
@@ -51,6 +53,8 @@ class Config:
         need(self.method in METHODS, f"method must be one of {', '.join(METHODS)}")
         need(self.niterations >= 1, "niterations must be at least 1")
         need(all(i <= self.niterations - 5 for i in self.refillIterations) or self.niterations < 6, "refill iterations must be at least 5 before the last")
+        need(all(i <= self.niterations - 5 for i in self.shuffleHaplotypeIterations) or self.niterations < 6, "shuffle iterations must be at least 5 before the last")
+        need(self.shuffle_bin_radius > 0, "shuffle_bin_radius must be positive")
         need(0 <= self.downsampleFraction <= 1, "downsampleFraction must be from 0 to 1")
         need(0 < self.downsampleSamples <= 1, "downsampleSamples must be above 0 and at most 1")
         need(self.gridWindowSize is None or self.gridWindowSize >= 2, "gridWindowSize must be at least 2")

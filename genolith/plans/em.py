@@ -76,6 +76,25 @@ def expect(samples: DataFrame, model: hmm.Model, grid_of: np.ndarray, method: st
     return out
 
 
+def continued(samples: DataFrame, model: hmm.Model, method: str, at: list[tuple[int, int]]) -> np.ndarray:
+    """[break, k, j]: over all samples, founder k left of a break and j right of it."""
+    shared = samples.sparkSession.sparkContext.broadcast((model, at))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, places = shared.value
+        out = np.zeros((len(places), m.k, m.k))
+        for pdf in _slices(batches):
+            own = hmm.marginals(_batch(pdf), m, method)
+            for b, (left, right) in enumerate(places):
+                out[b] += own[:, left].T @ own[:, right]
+        yield pd.DataFrame({"i": np.arange(out.size), "v": out.ravel()})
+
+    total = samples.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros((len(at), model.k, model.k))
+    out.ravel()[total["i"].to_numpy()] = total["v"].to_numpy()
+    return out
+
+
 def fit(samples: DataFrame, layout: pd.DataFrame, af: np.ndarray, n: int, config: Config, seed: int) -> tuple[hmm.Model, str]:
     """The model after ``niterations``, and the method of the last one."""
     rng = np.random.default_rng([config.seed, seed])
@@ -90,6 +109,10 @@ def fit(samples: DataFrame, layout: pd.DataFrame, af: np.ndarray, n: int, config
             method = "diploid"
         sums = expect(samples, model, grid_of, method)
         model = hmm.maximise(sums, model, n, af, distance, config.nGen, config.minRate, config.maxRate, config.emissionThreshold)
+        if i in config.shuffleHaplotypeIterations and config.K > 1:
+            at = hmm.breaks(model, middle, config.shuffle_bin_radius)
+            if at:
+                model = hmm.reorder(model, at, continued(samples, model, method, at), grid_of)
         if i in config.refillIterations:
             usage = np.maximum(sums.switch, 0) if sums.switch.size else sums.prior[:, None]
             model = hmm.refill(model, usage * n / max(float(usage.sum(axis=0).mean()), 1e-300), grid_of, n, int(rng.integers(1 << 31)))

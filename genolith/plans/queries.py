@@ -444,6 +444,47 @@ def missing_call_filter(spark, d):
     return evaluate.usable_calls(calls)
 
 
+@query(with_tables("gmap") + f",\n{_CM},\nr AS (SELECT position, coalesce((lead(cm) OVER (ORDER BY position) - cm) / ((lead(position) OVER (ORDER BY position) - position) / 1e6), 0) AS r FROM c)\nSELECT position, round_even(r + 1e-10, 6) AS rate FROM r")
+def gmap_rates(spark, d):
+    return site_ops.map_rates(_map(spark, d).drop("rate")).select("position", r6(F.col("rate") + 1e-10).alias("rate"))
+
+
+@query(with_tables("sites") + "\nSELECT pos AS position, CASE WHEN lead(pos) OVER (ORDER BY pos) IS NULL THEN 0.0 ELSE 0.5 END::DOUBLE AS rate, round_even(0.5 * (pos - min(pos) OVER ()) / 1e6 + 1e-12, 8) AS cm FROM sites")
+def constant_map(spark, d):
+    return site_ops.constant_map(adapter.sites(spark, d), 0.5).select("position", "rate", F.bround(F.col("cm") + 1e-12, 8).alias("cm"))
+
+
+@query()
+def adaptive_grid(spark, d):
+    return site_ops.adaptive_grid(site_ops.interpolate(_map(spark, d), adapter.sites(spark, d)), 0.01).select("snp", "grid")
+
+
+@query(with_tables("prob") + f",\n{_FOUNDERS},\n{_READ_E},\nw AS (SELECT sample, read, k, e / sum(e) OVER (PARTITION BY sample, read) AS w FROM re)\nSELECT snp, CAST(k AS INT) AS k, round_even(sum(CASE WHEN bq < 0 THEN w ELSE 0 END), 6) AS ref, round_even(sum(CASE WHEN bq > 0 THEN w ELSE 0 END), 6) AS alt FROM obs JOIN w USING (sample, read) GROUP BY snp, k")
+def read_proportions(spark, d):
+    obs = _obs(spark, d)
+    return pileup.read_proportions(obs, pileup.read_emissions(obs, _founders(spark, d))).select("snp", "k", r6("ref").alias("ref"), r6("alt").alias("alt"))
+
+
+@query(with_tables("obs", "sites") + f",\n{_CENTRAL},\nn AS (SELECT sample, snp, row_number() OVER (PARTITION BY sample ORDER BY snp, read) - 1 AS i FROM ce)\nSELECT sample, snp // 200 AS block, min(i) AS first, max(i) AS last, count(*) AS n FROM n GROUP BY ALL")
+def reads_in_output_blocks(spark, d):
+    blocks = adapter.sites(spark, d).groupBy(F.floor(F.col("snp") / 200).alias("block")).agg(F.min("snp").alias("snp_start"), F.max("snp").alias("snp_end"))
+    found = reads.reads_of_blocks(reads.central(_obs(spark, d), adapter.sites(spark, d)), blocks)
+    return found.select("sample", "block", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n")
+
+
+@query(with_tables("samples") + "\nSELECT sample FROM samples ORDER BY sample % 50 <> 0, (sample * 7919 + 13) % 10007, sample LIMIT 100")
+def downsample_individuals(spark, d):
+    every = adapter.samples(spark, d)
+    return reads.choose_samples(every, every.filter("sample % 50 = 0"), 100)
+
+
+@query()
+def phase_discordance(spark, d):
+    s, n = F.col("sample"), F.col("snp")
+    p = _obs(spark, d).select("sample", "snp").distinct().select("sample", n.alias("pos"), ((s + n) % 2).alias("t1"), ((s + n + 1) % 2).alias("t2"), ((s + n + F.floor(n / 9)) % 2).alias("h1"))
+    return evaluate.phase_switches_without_doubles(p)
+
+
 def _imputed(method: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         config = Config(K=4, nGen=100, method=method, niterations=4, refillIterations=(), gridWindowSize=5000)
