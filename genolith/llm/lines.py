@@ -2,8 +2,8 @@
 
 Lines explode to 128-bit hashes, the text itself moves once (the join that brings a document its dropped positions).
 A line's documents are counted in two steps, first by (line, document), then by line, so that a line shared by a third
-of all rows is pre-aggregated on many tasks; the join back to the lines is a plain shuffled join, which Spark's
-skew-join handling can split.
+of all rows is pre-aggregated on many tasks; repeated lines are written, so that the join back to the lines has plain
+exchanges on both sides, which Spark's skew-join handling can split.
 
 Cases: a null or empty text is one empty line. Rows that repeat a ``doc_id`` count as one document. A row without
 ``doc_id`` isn't a document: it keeps all its lines and counts for none. Extra columns pass through; output names that
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WS, free_name, lower_ascii, second_hash
+from .common import WS, free_name, lower_ascii, second_hash, written
 
 
 def line_key(line: Column) -> Column:
@@ -40,7 +40,8 @@ def _exploded(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> Da
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` (longs)."""
-    hits = _exploded(docs, min_chars, id_col, text_col).join(repeated_lines(docs, min_chars, min_docs, id_col, text_col), ["h1", "h2"]).filter("id != keep")
+    hot = written(repeated_lines(docs, min_chars, min_docs, id_col, text_col), "lines")
+    hits = _exploded(docs, min_chars, id_col, text_col).join(hot, ["h1", "h2"]).filter("id != keep")
     drops = hits.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__drops"))
     kept, n, nd = (free_name(docs, x) for x in ("kept_text", "n_lines", "n_dropped"))
     rows = docs.withColumn("__hash", F.xxhash64(text_col)).join(drops, (F.col(id_col) == F.col("__id")) & (F.col("__hash") == F.col("__row")), "left")
