@@ -83,7 +83,7 @@ def central(observations: DataFrame, sites: DataFrame) -> DataFrame:
 
 def cap_depth(reads: DataFrame, most: int, *by: str) -> DataFrame:
     """At most ``most`` rows for each value of ``by``: the least of an arithmetic hash of (read, snp)."""
-    order = (F.col("read") * 7919 + F.col("snp") * 104729) % 1000003
+    order = (F.pmod("read", F.lit(1000003)) * 7919 + F.pmod("snp", F.lit(1000003)) * 104729) % 1000003
     w = Window.partitionBy(*by).orderBy(order, "read", "snp", "bq")
     return reads.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
 
