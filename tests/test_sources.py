@@ -83,3 +83,22 @@ def test_stream_sessions_equal_batch(spark, sf_dir, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert wanted and set(map(tuple, spark.table("sessions_out").collect())) <= set(wanted)
+
+
+@pytest.mark.parametrize("bits", [8, 16, 24, 32])
+def test_bgen_round_trip(spark, tmp_path, bits):
+    import numpy as np
+
+    from genolith.sources import bgen
+
+    rng = np.random.default_rng(bits)
+    gp = rng.dirichlet([1, 1, 1], (4, 3))
+    sites = spark.createDataFrame([(i, "1", 10 * i + 5, "A", "G") for i in range(4)], "snp long, chr string, pos long, ref string, alt string")
+    post = spark.createDataFrame([(f"s{j}", i, *map(float, gp[i, j])) for i in range(4) for j in range(3)], "sample string, snp long, g0 double, g1 double, g2 double")
+    names = ["s0", "s1", "s2"]
+    bgen.assemble(bgen.blocks(post, sites, names, bits), names, str(tmp_path / "x.bgen"))
+    got = {(r.pos, r.sample): (r.g0, r.g1, r.g2) for r in bgen.read_bgen(spark, str(tmp_path / "x.bgen")).collect()}
+    for i in range(4):
+        for j in range(3):
+            assert np.allclose(got[10 * i + 5, f"s{j}"], gp[i, j], atol=1.01 / ((1 << bits) - 1))
+    assert [p for p, *_ in [(v[1],) for v in bgen.parse((tmp_path / "x.bgen").read_bytes())[1]]] == [5, 15, 25, 35]
