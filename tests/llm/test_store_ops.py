@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import components
+from grouping import components
 from tokenizers import Tokenizer
 
 import corpus_pipeline

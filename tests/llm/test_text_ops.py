@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from conftest import components
+from grouping import components
 
 from genolith.llm import decontam, langid, lines, queries, simhash, toxicity
 from pyspark.sql import functions as F
