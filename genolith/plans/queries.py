@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import bits, cigar, hwe, phred
-from ..operators import evaluate, forward, pileup, reads, sites as site_ops
+from ..operators import evaluate, forward, panel as panels, pileup, reads, sites as site_ops
 from . import adapter, em
 from .adapter import with_tables
 from .config import Config
@@ -507,3 +507,8 @@ def phase_votes(spark, d):
 @query()
 def panel_init_em(spark, d):
     return em.panel_model(adapter.panel(spark, d), 4).select("k", "snp", r6("p").alias("p"))
+
+
+@query()
+def panel_founders(spark, d):
+    return panels.choose_founders(adapter.panel(spark, d), 4)

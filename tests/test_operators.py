@@ -219,3 +219,13 @@ def test_double_switches(spark):
     rows = [(1, i, int(t), 1 - int(t), int(h)) for i, (h, t) in enumerate(zip("00010000", "00000000"))]
     r = evaluate.phase_switches_without_doubles(make(spark, rows, "sample int, pos int, t1 int, t2 int, h1 int")).first()
     assert (r.sites, r.switches, r.discordant) == (8, 0, 1)
+
+
+def test_founders_are_of_different_kinds(spark):
+    from genolith.operators import panel
+
+    kinds = np.random.default_rng(0).integers(0, 2, (3, 40))
+    rows = [(h, s, int(kinds[h % 3, s])) for h in range(30) for s in range(40)]
+    got = panel.choose_founders(make(spark, rows, "hap int, snp int, allele int"), 3).collect()
+    assert sorted(r.hap % 3 for r in got) == [0, 1, 2]
+    assert panel.choose_founders(make(spark, rows[:80], "hap int, snp int, allele int"), 3).count() == 2
