@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The white space of every contract here: space and \t \n \v \f \r.
@@ -90,3 +92,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 def conjunction(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x & y, conditions)
+
+
+#: Bytes of an Arrow batch of texts, about.
+BATCH = "8m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold about BATCH (one row at least), as texts may be very long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

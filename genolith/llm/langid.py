@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free_name
+from .common import bounded, free_name
 
 ROWS, EXCERPT, LETTERS, BLOCK = 96, 512, 63, 2048
 #: Characters of texts that are parsed together, about.
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             labels, scores = shared.value.predict(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores)], [*batch.schema.names, label, score])
 
-    return docs.mapInArrow(run, _with(docs, f"`{label}` string, `{score}` double"))
+    return bounded(docs).mapInArrow(run, _with(docs, f"`{label}` string, `{score}` double"))
 
 
 def _with(df: DataFrame, more: str) -> str:

@@ -27,9 +27,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import TO_LOWER, connected_components, written
+from .common import TO_LOWER, bounded, connected_components, release, written
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED, BITS = 42, 64
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["id", "row", "fp"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "id long, row long, fp long")
+    return bounded(narrow).mapInArrow(run, "id long, row long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -197,7 +197,8 @@ def _mask(group: list[int]) -> np.uint64:
 
 
 def probes(fps: DataFrame, a: Allocation) -> DataFrame:
-    """(part, key, fp) and the other columns of ``fps`` for each value that a fingerprint probes."""
+    """(part, key, t) and the columns of ``fps`` for each value that a fingerprint probes; t holds all its thresholds, three
+    bits (threshold + 1) a partition."""
     masks = [_mask(g) for g in a.groups]
     flips = [[np.array([int(_mask(list(c))) for c in combinations(g, t)], np.uint64) for t in range(min(a.most, len(g)) + 1)] for g in a.groups]
     ball = [[np.concatenate(f[: t + 1]) for t in range(len(f))] for f in flips]
@@ -209,6 +210,7 @@ def probes(fps: DataFrame, a: Allocation) -> DataFrame:
                 batch = whole.slice(at, 2048)
                 fp = batch.column(names.index("fp")).to_numpy(zero_copy_only=False).view(np.uint64)
                 t, _ = a.thresholds(_bits(fp.view(np.int64)))
+                packed = (t.astype(np.int64) + 1 << 3 * np.arange(t.shape[1])).sum(axis=1)
                 part, key, row = [], [], []
                 for g, mask in enumerate(masks):
                     for v in np.unique(t[:, g][t[:, g] >= 0]):
@@ -218,10 +220,21 @@ def probes(fps: DataFrame, a: Allocation) -> DataFrame:
                         row.append(np.repeat(rows, len(b)))
                         part.append(np.full(len(rows) * len(b), g, np.int8))
                 if row:
-                    taken = batch.take(pa.array(np.concatenate(row)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.concatenate(key).view(np.int64)), *taken.columns], ["part", "key", *names])
+                    rows = np.concatenate(row)
+                    taken = batch.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.concatenate(key).view(np.int64)), pa.array(packed[rows]), *taken.columns], ["part", "key", "t", *names])
+        release()
 
-    return fps.mapInArrow(run, "part byte, key long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fps.schema))
+    return fps.mapInArrow(run, "part byte, key long, t long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fps.schema))
+
+
+def first_meeting(a: Allocation, x: str, y: str, part: str, t: str) -> Column:
+    """Whether no partition before ``part`` brings fingerprints x (which probes with thresholds t) and y together."""
+    out = F.lit(True)
+    for g, bits in enumerate(a.groups[:-1]):
+        apart = F.bit_count(F.col(x).bitwiseXOR(F.col(y)).bitwiseAND(F.lit(int(_mask(bits).view(np.int64)))))
+        out = out & ((F.col(part) <= g) | (apart > F.shiftright(t, 3 * g).bitwiseAND(F.lit(7)) - 1))
+    return out
 
 
 def values(fps: DataFrame, a: Allocation) -> DataFrame:
@@ -285,9 +298,10 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
                 for column, x in zip(out, row):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in out]], names)
+        release()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return bounded(narrow).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -306,50 +320,49 @@ def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float, id_col
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, np.concatenate([*sets, np.empty(0, np.int64)]))], ["id", "set"])
 
-    sets = written(narrow.mapInArrow(run, "id long, set array<bigint>").dropDuplicates(["id"]), "sets")
+    sets = written(bounded(narrow).mapInArrow(run, "id long, set array<bigint>").dropDuplicates(["id"]), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tau: int = 12, most: int = 58, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tau: int = 12, most: int = 54, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, rep, first): each row's id and text hash, its group (the smallest id), and whether it is of the row
     that stays.
 
     Equal word sequences are one group. Others link if their k-word shingle sets are ``similarity`` alike or more by
     Jaccard: candidates differ in at most ``tau`` bits of their fingerprint and ``most`` of the 256 bits of the
-    wide one (3 standard deviations beyond the mean at similarity 0.8), and are verified by their shingle sets.
+    wide one (2.7 standard deviations beyond the mean at similarity 0.8), and are verified by their shingle sets.
     """
     each = written(signatures(docs.filter(F.col(id_col).isNotNull()), k, id_col, text_col), "signatures")
     rest = [f"w{i + 1}" for i in range(MORE_WORDS)]
     other = [F.min_by(F.struct("row", "n", "fp", *rest), F.struct("id", "row")).alias("x")]
     reps = written(each.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), *other).select("t1", "t2", "rep", "copies", "x.*"), "texts")
     a = plan(reps, tau)
-    sketch = reps.select("rep", "row", "fp", *rest)
 
     def near(x: str, y: str):
         sizes = (F.col(f"{x}_n") >= similarity * F.col(f"{y}_n")) & (F.col(f"{y}_n") >= similarity * F.col(f"{x}_n"))
-        return sizes & (_distance(f"{x}_fp", f"{y}_fp") <= tau)
+        wide = sum((_distance(f"{x}_{w}", f"{y}_{w}") for w in ("fp", *rest)), F.lit(0))
+        return sizes & (_distance(f"{x}_fp", f"{y}_fp") <= tau) & (wide <= most)
 
     def pairs(found: DataFrame) -> DataFrame:
-        """The pairs (x_rep, y_rep) whose wide fingerprints are near, with the hashes of their texts."""
+        """The distinct pairs (x_rep, y_rep), with the hashes of their texts."""
         distinct = found.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct()
-        of = lambda x: sketch.select(*[F.col(c).alias({"rep": x}.get(c, f"{x}_{c}")) for c in sketch.columns])
-        wide = sum((_distance(f"a_{w}", f"b_{w}") for w in ("fp", *rest)), F.lit(0))
-        return written(distinct.join(of("a"), "a").join(of("b"), "b").filter(wide <= most).select("a", "a_row", "b", "b_row"), "pairs")
+        of = lambda x: reps.select(F.col("rep").alias(x), F.col("row").alias(f"{x}_row"))
+        return written(distinct.join(of("a"), "a").join(of("b"), "b"), "pairs")
 
     named = lambda df, x: df.select(*[F.col(c).alias(c if c in ("part", "key") else f"{x}_{c}") for c in df.columns])
-    own = values(reps.select("rep", "n", "fp", "copies"), a)
-    hub = own.groupBy("part", "key").agg(F.max_by(F.struct("rep", "n", "fp"), F.struct("copies", "rep")).alias("h")).select("part", "key", "h.*")
+    own = values(reps.select("rep", "n", "fp", *rest, "copies"), a)
+    hub = own.groupBy("part", "key").agg(F.max_by(F.struct("rep", "n", "fp", *rest), F.struct("copies", "rep")).alias("h")).select("part", "key", "h.*")
     star = named(own.drop("copies"), "x").join(named(hub, "y"), ["part", "key"]).filter((F.col("x_rep") != F.col("y_rep")) & near("x", "y"))
     linked = similar(docs, pairs(star), k, similarity, id_col, text_col)
-    grouped = written(reps.select("rep", "n", "fp").join(connected_components(linked).withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "stars")
+    grouped = written(reps.select("rep", "n", "fp", *rest).join(connected_components(linked).withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "stars")
     # Similar texts have numbers of shingles in the same class or neighbouring ones; the smaller of a pair probes.
     klass = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-np.log(similarity))).cast("int")
     sized = grouped.withColumn("class", klass)
     left = named(probes(sized, a), "x").withColumnRenamed("x_class", "class")
     right = named(values(sized, a).withColumn("class", F.explode(F.array("class", F.col("class") - 1))), "y").withColumnRenamed("y_class", "class")
-    cross = left.join(right.hint("merge"), ["part", "key", "class"]).filter((F.col("x_n") <= F.col("y_n")) & (F.col("x_rep") != F.col("y_rep")) & (F.col("x_c") != F.col("y_c")) & near("x", "y"))
+    cross = left.join(right.hint("merge"), ["part", "key", "class"]).filter((F.col("x_n") <= F.col("y_n")) & (F.col("x_rep") != F.col("y_rep")) & (F.col("x_c") != F.col("y_c")) & near("x", "y") & first_meeting(a, "x_fp", "y_fp", "part", "x_t"))
     linked = similar(docs, pairs(cross), k, similarity, id_col, text_col)
     c = grouped.select("rep", "c")
     edges = linked.join(c.select(F.col("rep").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))

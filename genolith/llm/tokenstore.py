@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import shared_path
+from .common import bounded, release, shared_path
 
 WINDOW, LEAST, MOST, MASK_BITS = 16, 64, 4096, 9
 #: Words that an encoder remembers; then it forgets them all.
@@ -84,14 +84,13 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
             rules = json.load(f)
         split = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers") or []]
         self.by_words = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("behavior") == "Removed"
-        if self.by_words:
-            self.model.normalizer = self.model.pre_tokenizer = None
+        self.model = Tokenizer(self.tokenizer.model)  # the same one, without normalisation and splitting
         self.split = re.compile(f"{LATIN_PATTERN}| ").findall
         self._forget()
 
@@ -202,14 +201,14 @@ def merkle_root(names: list[bytes]) -> bytes:
     return level[0]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 4096, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 4096, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of at most ``rows`` rows and about ``most`` bytes of its second column, or of one row."""
-    sizes = np.nan_to_num(batch.column(1).cast(pa.binary()).to_pandas().str.len().to_numpy(float))
-    at, size = 0, 0.0
+    sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+    at, size = 0, 0
     for i, x in enumerate(sizes):
         if i > at and (i - at >= rows or size + x > most):
             yield batch.slice(at, i - at)
-            at, size = i, 0.0
+            at, size = i, 0
         size += x
     if at < batch.num_rows:
         yield batch.slice(at)
@@ -242,14 +241,15 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
                     chunks.append(own)
                 kinds = pa.list_(pa.struct([("name", pa.binary()), ("n", pa.int32()), ("offset", pa.int64()), ("ids", pa.binary())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary()), pa.array(counts, pa.int64()), pa.array(chunks, kinds)], ["doc_id", "root", "n_tokens", "chunks"])
+        release()
 
     spark = docs.sparkSession
     spark.createDataFrame([(int(kind[2]), end_id)], "width int, end_id int").coalesce(1).write.parquet(f"{path}/format")
-    encoded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, root binary, n_tokens long, chunks array<struct<name:binary,n:int,offset:bigint,ids:binary>>")
-    encoded.write.option("compression", "zstd").parquet(f"{path}/encoded")
+    encoded = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, root binary, n_tokens long, chunks array<struct<name:binary,n:int,offset:bigint,ids:binary>>")
+    encoded.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
     parts = encoded.select("root", F.posexplode("chunks").alias("part", "c"))
-    parts.select("c.name", "c.ids").distinct().write.option("compression", "zstd").parquet(f"{path}/chunks")
+    parts.select("c.name", "c.ids").distinct().write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(f"{path}/chunks")
     parts.select("root", "part", "c.name", "c.n", "c.offset").distinct().write.parquet(f"{path}/recipes")
     _started(encoded.select("doc_id", "root", "n_tokens")).write.parquet(f"{path}/documents")
 
@@ -280,7 +280,7 @@ def read_contents(spark: SparkSession, path: str, width: int) -> DataFrame:
                     every.append(b"".join(c["ids"] for c in own))
                 yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(every, pa.binary())], ["root", "ids"])
 
-    return rebuilt.mapInArrow(run, "root binary, ids binary")
+    return bounded(rebuilt).mapInArrow(run, "root binary, ids binary")
 
 
 def _check(right: bool, name: bytes) -> None:
@@ -347,7 +347,7 @@ def read_digests(spark: SparkSession, path: str, width: int) -> DataFrame:
             shifted = crc32_shifted(crc.to_numpy().astype(np.uint64), 4 * (past[ends - 1][content] - past))
             yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(total, pa.int64()), pa.array(np.bitwise_xor.reduceat(shifted, starts).astype(np.int64))], ["root", "n", "ids_crc32"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").select("name", "ids").mapInArrow(digest, "name binary, found int, crc long")
+    chunks = bounded(spark.read.parquet(f"{path}/chunks")).select("name", "ids").mapInArrow(digest, "name binary, found int, crc long")
     lists = spark.read.parquet(f"{path}/recipes").join(chunks, "name").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("part", "name", "n", "found", "crc"))).alias("chunks"))
     return lists.mapInArrow(join, "root binary, n long, ids_crc32 long")
 

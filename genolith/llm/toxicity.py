@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free_name, written
+from .common import bounded, free_name, release, written
 from .langid import _with
 
 ROWS, LEXICON = 20_000, 256
@@ -32,7 +32,7 @@ LEAST_ROWS, LEAST_SHARE = 4, 0.005
 #: The log odds of the lexicon's words and stems exceed these; a hit at most NEAR words from a second-person word is near it.
 WORD_ODDS, STEM_ODDS, NEAR = 2.5, 1.2, 6
 #: Letters of stems, which end in * in the lexicon; words that a worker remembers, before it forgets them all.
-STEMS, MEMORY = (4, 5, 6), 200_000
+STEMS, MEMORY = (4, 5, 6), 100_000
 
 #: Second-person words of English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros su".split())
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "d
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t.as_py(), lexicon) for t in batch.column(2)], pa.list_(pa.float64()))], ["id", "toxic", "x"])
 
-    found = sample.select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, x array<double>").withColumn("aside", F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)) == 0).toArrow()
+    found = bounded(sample).select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, x array<double>").withColumn("aside", F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)) == 0).toArrow()
     order = np.argsort(found["id"].to_numpy(), kind="stable")
     x = np.array(found["x"].to_pylist(), float).reshape(-1, len(NAMES))[order]
     return Model(lexicon, x, found["toxic"].to_numpy().astype(float)[order], found["aside"].to_numpy()[order].astype(bool))
@@ -251,5 +251,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(batch.column(place).to_pylist()), pa.float64())], [*batch.schema.names, name])
+        release()
 
-    return docs.mapInArrow(run, _with(docs, f"`{name}` double"))
+    return bounded(docs).mapInArrow(run, _with(docs, f"`{name}` double"))

@@ -26,7 +26,7 @@ from datetime import datetime, timedelta, timezone
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_path, written
+from .common import bounded, shared_path, written
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -153,7 +153,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, per_file: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(sha1, payloads), pa.string()), pa.array(map(len, payloads), pa.int64())], ["id", "row", "digest", "bytes"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("id"), F.xxhash64("url", "html").alias("row"), "url", "html")
-    each = written(rows.select("id", "row", "html").mapInArrow(digests, "id long, row long, digest string, bytes long"), "digests")
+    each = written(bounded(rows).select("id", "row", "html").mapInArrow(digests, "id long, row long, digest string, bytes long"), "digests")
     first = each.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
     later = each.join(written(first.select("digest", "first"), "firsts"), "digest").filter("id is null or id < first").select(F.struct("id", "row").alias("key"), "first").distinct()
 
@@ -164,7 +164,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, per_file: in
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
 
     typed = rows.join(later, F.struct("id", "row").eqNullSafe(F.col("key")), "left").select("id", "url", "html", "first")
-    typed.mapInArrow(records, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    bounded(typed).mapInArrow(records, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -188,7 +188,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
     schema = pa.schema(list(kinds.items()))
     lines = spark.read.option("lineSep", END).schema("value string").text(path).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return bounded(lines).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _row(fields: dict[str, str], block: bytes) -> dict[str, object]:
