@@ -95,7 +95,7 @@ def conjunction(conditions: list[Column]) -> Column:
 
 
 #: Bytes of an Arrow batch of texts, about.
-BATCH = "8m"
+BATCH = "4m"
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from .common import bounded, release, shared_path
 
 WINDOW, LEAST, MOST, MASK_BITS = 16, 64, 4096, 9
 #: Words that an encoder remembers; then it forgets them all.
-MEMORY = 500_000
+MEMORY = 400_000
 
 
 def _gear() -> np.ndarray:
@@ -201,7 +201,7 @@ def merkle_root(names: list[bytes]) -> bytes:
     return level[0]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 4096, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 4096, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of at most ``rows`` rows and about ``most`` bytes of its second column, or of one row."""
     sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
     at, size = 0, 0
