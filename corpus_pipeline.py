@@ -39,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as a store of token ids, read back: doc_id, start, n_tokens, ids_crc32."""
-    return tokenstore.stored(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokenstore.stored(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, together=2_000_000, batch="4m")
 
 
 STAGES = [

@@ -98,9 +98,9 @@ def conjunction(conditions: list[Column]) -> Column:
 BATCH = "4m"
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold about BATCH (one row at least), as texts may be very long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+def bounded(df: DataFrame, batch: str = BATCH) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold about ``batch`` (one row at least), as texts may be very long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
     return df
 
 

@@ -35,7 +35,7 @@ from .common import bounded, release, shared_path
 
 WINDOW, LEAST, MOST, MASK_BITS = 16, 64, 4096, 9
 #: Words that an encoder remembers; then it forgets them all.
-MEMORY = 400_000
+MEMORY = 500_000
 
 
 def _gear() -> np.ndarray:
@@ -201,7 +201,7 @@ def merkle_root(names: list[bytes]) -> bytes:
     return level[0]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 4096, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 4096, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of at most ``rows`` rows and about ``most`` bytes of its second column, or of one row."""
     sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
     at, size = 0, 0
@@ -220,14 +220,15 @@ def _width(path: str, end_id: int) -> str:
     return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode all rows of ``docs`` and write a store to ``path``."""
+def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text", together: int = 8_000_000, batch: str = "64m") -> None:
+    """Encode all rows of ``docs`` and write a store to ``path``. Texts of about ``together`` bytes are encoded at a time, from Arrow
+    batches of about ``batch``: more of either saves time (distinct words) and takes memory."""
     kind = _width(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder, gear = encoder(tokenizer), _gear()
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in _slices(whole, most=together):
                 roots, counts, chunks = [], [], []
                 for ids in own_encoder.encode(batch.column(1).fill_null("")):
                     ids = np.append(ids, np.uint32(end_id))
@@ -245,7 +246,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
 
     spark = docs.sparkSession
     spark.createDataFrame([(int(kind[2]), end_id)], "width int, end_id int").coalesce(1).write.parquet(f"{path}/format")
-    encoded = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, root binary, n_tokens long, chunks array<struct<name:binary,n:int,offset:bigint,ids:binary>>")
+    encoded = bounded(docs, batch).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, root binary, n_tokens long, chunks array<struct<name:binary,n:int,offset:bigint,ids:binary>>")
     encoded.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
     parts = encoded.select("root", F.posexplode("chunks").alias("part", "c"))
@@ -366,8 +367,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/documents").join(read_contents(spark, path, width), "root").select("doc_id", "start", "ids")
 
 
-def stored(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def stored(docs: DataFrame, tokenizer: str, end_id: int = 2, **memory: int | str) -> DataFrame:
     """Write ``docs`` to a fresh store in the shared folder and read its documents back."""
     path = shared_path(docs.sparkSession, "tokens")
-    write_store(docs, tokenizer, end_id, path)
+    write_store(docs, tokenizer, end_id, path, **memory)
     return read_documents(docs.sparkSession, path)
