@@ -284,7 +284,7 @@ BROADCAST_ROWS = 200_000
 
 def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, t1, t2, n, fp, w1, w2, w3): t1 and t2 hash the sequence of words, n counts distinct shingles, fp and
-    w1 to w3 are the wide fingerprint."""
+    w1 to w3 are the wide fingerprint of these."""
     names = ["id", "row", "t1", "t2", "n", "fp", *[f"w{i + 1}" for i in range(MORE_WORDS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +292,9 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
             out: list[list[int]] = [[] for _ in names[2:]]
             for t in batch.column(2):
                 text = t.as_py()
-                hashes = shingle_hashes(text, k)
+                hashes = np.unique(shingle_hashes(text, k))
                 tight = b" ".join(WORDS.findall((text or "").translate(TO_LOWER).encode()))
-                row = [xxhash.xxh64_intdigest(tight, 1), xxhash.xxh64_intdigest(tight, 2), len(np.unique(hashes)), fingerprint(hashes), *[fingerprint(_mixed(hashes, w + 1)) for w in range(MORE_WORDS)]]
+                row = [xxhash.xxh64_intdigest(tight, 1), xxhash.xxh64_intdigest(tight, 2), len(hashes), fingerprint(hashes), *[fingerprint(_mixed(hashes, w + 1)) for w in range(MORE_WORDS)]]
                 for column, x in zip(out, row):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in out]], names)

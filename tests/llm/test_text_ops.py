@@ -134,6 +134,14 @@ def test_near_duplicates_by_shingles(spark, docs):
     assert kept == list(range(20)) + list(range(45, 105))
 
 
+def test_duplicates_with_other_repeat_counts(spark):
+    rng = np.random.default_rng(2)
+    halves = [[" ".join(f"w{x}" for x in rng.integers(0, 50000, 300)) for _ in range(2)] for _ in range(20)]
+    rows = [(i, f"{p} {q}") for i, (p, q) in enumerate(halves)] + [(20 + i, " ".join([p] * 10 + [q])) for i, (p, q) in enumerate(halves)]
+    kept = simhash.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+
+
 def test_duplicates_of_odd_rows(odd_docs, no_docs):
     kept = simhash.drop_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns and simhash.drop_duplicates(no_docs).count() == 0
