@@ -15,6 +15,9 @@ sought between distinct fingerprints, so groups of copies cost one row:
 
 First each fingerprint is linked to the commonest one among those that share a partition value; then links are sought
 only between different components, and a dense group gives about one link for each member, not all its pairs.
+
+Near duplicates by Jaccard similarity of shingle sets (``duplicate_groups``) don't go by fingerprints: prefixes of the sets
+find every pair.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import TO_LOWER, bounded, connected_components, release, written
 
@@ -66,14 +69,6 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
-    """Hashes for one more word of a wide fingerprint: ``hashes`` through a 64-bit finaliser with its own constant."""
-    x = hashes.astype(np.uint64) + np.uint64((word * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).astype(">u8")
-
-
 def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, fp): fp as a signed long, row the xxhash64 of the text. Null text has no words."""
 
@@ -228,15 +223,6 @@ def probes(fps: DataFrame, a: Allocation) -> DataFrame:
     return fps.mapInArrow(run, "part byte, key long, t long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fps.schema))
 
 
-def first_meeting(a: Allocation, x: str, y: str, part: str, t: str) -> Column:
-    """Whether no partition before ``part`` brings fingerprints x (which probes with thresholds t) and y together."""
-    out = F.lit(True)
-    for g, bits in enumerate(a.groups[:-1]):
-        apart = F.bit_count(F.col(x).bitwiseXOR(F.col(y)).bitwiseAND(F.lit(int(_mask(bits).view(np.int64)))))
-        out = out & ((F.col(part) <= g) | (apart > F.shiftright(t, 3 * g).bitwiseAND(F.lit(7)) - 1))
-    return out
-
-
 def values(fps: DataFrame, a: Allocation) -> DataFrame:
     """(part, key) and the columns of ``fps``: each fingerprint under its own value of every partition."""
     own = F.array(*[F.struct(F.lit(g).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(int(_mask(b).view(np.int64)))).alias("key")) for g, b in enumerate(a.groups)])
@@ -277,31 +263,74 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 3, id_col: str = "do
     return each.join(found.select("fp", "component"), "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Words of the wide fingerprint that verifies candidates, besides the one that finds them.
-MORE_WORDS = 3
+#: Words of the parity bitmap of a text's shingles.
+PARITY_WORDS = 4
 BROADCAST_ROWS = 200_000
+#: Texts, about, whose shingles are counted for the order of prefixes, and how many of the commonest are told apart.
+COUNTED_TEXTS, COMMON = 8192, 100_000
+#: How far a bound on an overlap may be off by rounding.
+SLACK = 1e-6
 
 
-def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, t1, t2, n, fp, w1, w2, w3): t1 and t2 hash the sequence of words, n counts distinct shingles, fp and
-    w1 to w3 are the wide fingerprint of these."""
-    names = ["id", "row", "t1", "t2", "n", "fp", *[f"w{i + 1}" for i in range(MORE_WORDS)]]
+def common_shingles(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, counts) of the commonest shingles in some texts chosen by hash. They only order shingles: which
+    links are found doesn't depend on them, how many candidates are looked at does."""
+    every = max(1, docs.count() // COUNTED_TEXTS)
+    row = F.xxhash64(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), k)).astype(np.uint64).view(np.int64))], ["h"])
+        release()
+
+    some = bounded(docs.filter(F.pmod(row, F.lit(every)) == 0).select(F.col(text_col).alias("text"))).mapInArrow(run, "h long")
+    top = some.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()  # COMMON rows at most
+    hashes, counts = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the distinct ``hashes``, rare ones first in an order that all texts share: so many that two sets
+    of Jaccard similarity ``similarity`` or more have one of them in common."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))][: n - int(np.ceil(similarity * n - SLACK)) + 1]
+
+
+def signatures(docs: DataFrame, k: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, t1, t2, n, b1..b4, prefix): t1 and t2 hash the sequence of words, n counts distinct shingles; bit i of
+    b1 to b4 is the parity of the number of shingles that hash to i, so that two sets differ in as many shingles as
+    bits at least."""
+    names = ["id", "row", "t1", "t2", "n", *[f"b{i + 1}" for i in range(PARITY_WORDS)]]
+    common, counts = common_shingles(docs, k, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[int]] = [[] for _ in names[2:]]
+            first: list[np.ndarray] = []
             for t in batch.column(2):
                 text = t.as_py()
-                hashes = np.unique(shingle_hashes(text, k))
+                hashes = np.unique(shingle_hashes(text, k)).astype(np.uint64)
                 tight = b" ".join(WORDS.findall((text or "").translate(TO_LOWER).encode()))
-                row = [xxhash.xxh64_intdigest(tight, 1), xxhash.xxh64_intdigest(tight, 2), len(hashes), fingerprint(hashes), *[fingerprint(_mixed(hashes, w + 1)) for w in range(MORE_WORDS)]]
+                odd = np.bincount((hashes & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+                row = [xxhash.xxh64_intdigest(tight, 1), xxhash.xxh64_intdigest(tight, 2), len(hashes), *np.packbits(odd.astype(np.uint8)).view(">u8").tolist()]
                 for column, x in zip(out, row):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in out]], names)
+                first.append(prefix(hashes, common, counts, similarity).view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate([*first, np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in out], lists], [*names, "prefix"])
         release()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return bounded(narrow).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return bounded(narrow).mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", prefix array<bigint>")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -326,50 +355,53 @@ def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float, id_col
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tau: int = 12, most: int = 54, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, rep, first): each row's id and text hash, its group (the smallest id), and whether it is of the row
     that stays.
 
     Equal word sequences are one group. Others link if their k-word shingle sets are ``similarity`` alike or more by
-    Jaccard: candidates differ in at most ``tau`` bits of their fingerprint and ``most`` of the 256 bits of the
-    wide one (2.7 standard deviations beyond the mean at similarity 0.8), and are verified by their shingle sets.
+    Jaccard. The search is complete: such sets share a shingle of their prefixes, and no bound that candidates have to meet
+    before their sets are compared (sizes, places of the shared shingle, parity bitmaps) refuses such a pair.
     """
-    each = written(signatures(docs.filter(F.col(id_col).isNotNull()), k, id_col, text_col), "signatures")
-    rest = [f"w{i + 1}" for i in range(MORE_WORDS)]
-    other = [F.min_by(F.struct("row", "n", "fp", *rest), F.struct("id", "row")).alias("x")]
-    reps = written(each.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), *other).select("t1", "t2", "rep", "copies", "x.*"), "texts")
-    a = plan(reps, tau)
+    each = written(signatures(docs.filter(F.col(id_col).isNotNull()), k, similarity, id_col, text_col), "signatures")
+    bits = [f"b{i + 1}" for i in range(PARITY_WORDS)]
+    other = [F.min_by(F.struct("row", "n", *bits, "prefix"), F.struct("id", "row")).alias("x")]
+    reps = written(each.groupBy("t1", "t2").agg(F.min("id").alias("rep"), *other).select("t1", "t2", "rep", "x.*"), "texts")
+    texts = reps.select("rep", "row")
 
     def near(x: str, y: str):
-        sizes = (F.col(f"{x}_n") >= similarity * F.col(f"{y}_n")) & (F.col(f"{y}_n") >= similarity * F.col(f"{x}_n"))
-        wide = sum((_distance(f"{x}_{w}", f"{y}_{w}") for w in ("fp", *rest)), F.lit(0))
-        return sizes & (_distance(f"{x}_fp", f"{y}_fp") <= tau) & (wide <= most)
+        """What holds for similar sets x and y at the first shingle that their prefixes share."""
+        nx, ny, i, j = (F.col(c) for c in (f"{x}_n", f"{y}_n", f"{x}_pos", f"{y}_pos"))
+        sizes = (nx >= similarity * ny - SLACK) & (ny >= similarity * nx - SLACK)
+        places = 1 + F.least(nx - i - 1, ny - j - 1) >= similarity / (1 + similarity) * (nx + ny) - SLACK
+        apart = sum((_distance(f"{x}_{b}", f"{y}_{b}") for b in bits), F.lit(0))
+        return sizes & places & (apart <= (1 - similarity) / (1 + similarity) * (nx + ny) + SLACK)
 
     def pairs(found: DataFrame) -> DataFrame:
         """The distinct pairs (x_rep, y_rep), with the hashes of their texts."""
         distinct = found.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct()
-        of = lambda x: reps.select(F.col("rep").alias(x), F.col("row").alias(f"{x}_row"))
+        of = lambda x: texts.select(F.col("rep").alias(x), F.col("row").alias(f"{x}_row"))
         return written(distinct.join(of("a"), "a").join(of("b"), "b"), "pairs")
 
-    named = lambda df, x: df.select(*[F.col(c).alias(c if c in ("part", "key") else f"{x}_{c}") for c in df.columns])
-    own = values(reps.select("rep", "n", "fp", *rest, "copies"), a)
-    hub = own.groupBy("part", "key").agg(F.max_by(F.struct("rep", "n", "fp", *rest), F.struct("copies", "rep")).alias("h")).select("part", "key", "h.*")
-    star = named(own.drop("copies"), "x").join(named(hub, "y"), ["part", "key"]).filter((F.col("x_rep") != F.col("y_rep")) & near("x", "y"))
+    named = lambda df, x: df.select(*[F.col(c).alias(c if c == "h" else f"{x}_{c}") for c in df.columns])
+    entries = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
+    twice = written(entries.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min_by("rep", F.struct("n", "rep")).alias("hub")).filter("texts > 1").select("h", "hub"), "shared")
+    shared = written(entries.join(_bounded(twice), "h").join(reps.select("rep", *bits), "rep").select("h", "hub", "rep", "n", "pos", *bits), "entries")
+    # First each text meets one other under a shingle; then texts of different groups meet.
+    hubs = named(shared.filter("rep = hub").drop("hub"), "y")
+    star = named(shared.drop("hub"), "x").join(hubs, ["h"]).filter((F.col("x_rep") != F.col("y_rep")) & near("x", "y"))
     linked = similar(docs, pairs(star), k, similarity, id_col, text_col)
-    grouped = written(reps.select("rep", "n", "fp", *rest).join(connected_components(linked).withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "stars")
-    # Similar texts have numbers of shingles in the same class or neighbouring ones; the smaller of a pair probes.
-    klass = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-np.log(similarity))).cast("int")
-    sized = grouped.withColumn("class", klass)
-    left = named(probes(sized, a), "x").withColumnRenamed("x_class", "class")
-    right = named(values(sized, a).withColumn("class", F.explode(F.array("class", F.col("class") - 1))), "y").withColumnRenamed("y_class", "class")
-    cross = left.join(right.hint("merge"), ["part", "key", "class"]).filter((F.col("x_n") <= F.col("y_n")) & (F.col("x_rep") != F.col("y_rep")) & (F.col("x_c") != F.col("y_c")) & near("x", "y") & first_meeting(a, "x_fp", "y_fp", "part", "x_t"))
+    c = written(texts.select("rep").join(connected_components(linked).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c")), "stars")
+    grouped = written(shared.drop("hub").join(c, "rep"), "grouped")
+    several = grouped.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("h")
+    left = written(grouped.join(several, "h", "left_semi"), "left")
+    cross = named(left, "x").join(named(left, "y").hint("merge"), ["h"]).filter((F.struct("x_n", "x_rep") < F.struct("y_n", "y_rep")) & (F.col("x_c") != F.col("y_c")) & near("x", "y"))
     linked = similar(docs, pairs(cross), k, similarity, id_col, text_col)
-    c = grouped.select("rep", "c")
     edges = linked.join(c.select(F.col("rep").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     last = connected_components(edges).withColumnRenamed("node", "c")
     final = c.join(last, "c", "left").select("rep", F.coalesce("component", "c").alias("group"))
-    texts = written(reps.select("t1", "t2", "rep", "row").join(final, "rep"), "groups")
-    return each.join(texts.select("t1", "t2", "group", F.col("rep").alias("text_rep"), F.col("row").alias("rep_row")), ["t1", "t2"]).select("id", "row", F.col("group").alias("rep"), ((F.col("id") == F.col("group")) & (F.col("row") == F.col("rep_row"))).alias("first"))
+    known = written(reps.select("t1", "t2", "rep", "row").join(final, "rep"), "groups")
+    return each.drop("prefix").join(known.select("t1", "t2", "group", F.col("rep").alias("text_rep"), F.col("row").alias("rep_row")), ["t1", "t2"]).select("id", "row", F.col("group").alias("rep"), ((F.col("id") == F.col("group")) & (F.col("row") == F.col("rep_row"))).alias("first"))
 
 
 def drop_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

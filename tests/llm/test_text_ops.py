@@ -142,6 +142,18 @@ def test_duplicates_with_other_repeat_counts(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
 
 
+def test_every_pair_at_the_similarity_links(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 50000, 300)]
+        rows.append((i, " ".join(w)))
+        for j, n in enumerate((28, 29)):  # 264 of 328 shingles shared, and 263 of 329
+            rows.append((100 + 100 * j + i, " ".join(w[:100] + [f"c{j}{x}" for x in rng.integers(0, 50000, n)] + w[100 + n :])))
+    kept = simhash.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(60)) + list(range(200, 260))
+
+
 def test_duplicates_of_odd_rows(odd_docs, no_docs):
     kept = simhash.drop_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns and simhash.drop_duplicates(no_docs).count() == 0
