@@ -6,8 +6,8 @@ go. A page's tokens meet the rules in an inverted index under each rule's rarest
 up in the page's own tokens. The most confident rule decides, then the better supported, then block, then the lesser by
 text; without any, the page is allowed.
 
-Bounds: mining looks at MOST_TOKENS tokens of a url (matching looks at all), and support is a share of the labels, so that the number
-of rules doesn't grow with the pages; it is counted before it is broadcast.
+Mining and matching look at all tokens of a url. Support is a share of the labels, so that the number of rules doesn't grow with
+the pages; it is counted before it is broadcast.
 
 Cases: a null url, or one without ``://``, has empty host and path, no tokens and is allowed; without labels there are no
 mined rules; repeated rows are judged alike; extra columns pass through.
@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import free_name, lower_ascii, written
 
-MOST_TOKENS = 12
 #: Broadcast of mined rules up to that many, by shuffle beyond.
 BROADCAST_ROWS = 100_000
 
@@ -56,7 +55,14 @@ def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
     if labelled.isEmpty():
         return none
     label = F.concat(F.lit("="), F.col("verdict"))
-    baskets = labelled.select(F.array_append(F.slice("tokens", 1, MOST_TOKENS), label).alias("items"))
+    # Tokens rarer than the support are in no rule; without them, no place in a url is cut off.
+    least = support * labelled.count()
+    numbered = labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "verdict")
+    numbered = written(numbered, "labelled")
+    single = numbered.select("row", F.explode("tokens").alias("token"))
+    frequent = single.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("token")
+    kept = single.join(frequent, "token").groupBy("row").agg(F.collect_list("token").alias("kept"))
+    baskets = numbered.join(kept, "row", "left").select(F.array_append(F.coalesce("kept", F.array().cast("array<string>")), label).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     found = model.associationRules.filter(F.get("consequent", F.lit(0)).startswith("=")).filter(~F.exists("antecedent", lambda x: x.startswith("=")))
     rules = written(found.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.get("consequent", F.lit(0)), 2, 100).alias("verdict"), "confidence", "support"), "rules")

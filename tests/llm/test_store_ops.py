@@ -49,6 +49,13 @@ def test_rules_equal_brute_force(spark):
     assert urlfilter.filter_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_late_tokens_are_mined(spark):
+    long = lambda i: "/".join(f"s{i}x{j}" for j in range(14))
+    rows = [(i, f"http://bad.org/{long(i)}/casino") for i in range(20)] + [(20 + i, f"http://good.org/{long(20 + i)}/news") for i in range(20)] + [(40, f"http://else.net/{long(40)}/casino")]
+    got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), [("block", "bad.org/"), ("allow", "good.org/")], support=0.1)
+    assert {r.page_id: r.verdict for r in got.collect()}[40] == "block"
+
+
 def test_mined_rules_equal_brute_force(spark, sf_dir):
     rows = queries.op4_url_filter(spark, sf_dir.replace("sf0.001", "sf0.01")).collect()
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet").select("page_id", "url").collect()}
