@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: The white space of every contract here: space and \t \n \v \f \r.
 WS = " \t\n\x0b\x0c\r"
@@ -21,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared checkpoint folder; a temporary one where none is set and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if path is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: this cluster names no folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='genolith-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -36,11 +42,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which goes when the driver's JVM ends."""
+    where, system = _file_system(spark, path)
+    system.deleteOnExit(where)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete what lies at ``path``, in whatever store it is."""
+    where, system = _file_system(spark, path)
+    system.delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors. Batches for Python
+    are small meanwhile. The table goes when the driver ends."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    with small_batches(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(until_exit(spark, path))
 
 
 def lower_ascii(c: Column) -> Column:
@@ -53,6 +80,31 @@ def second_hash(*cols: Column) -> Column:
     return F.xxhash64(F.lit("second"), *cols)
 
 
+def byte_count(kind: DataType, c: Column) -> Column:
+    """About how many bytes the value ``c`` of type ``kind`` takes in memory."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda n, x: n + byte_count(kind.elementType, x)), F.lit(16))
+        return F.coalesce(F.size(c), F.lit(0)).cast("long") * 8 + 16
+    if isinstance(kind, StructType):
+        return reduce(lambda x, y: x + y, [byte_count(f.dataType, c[f.name]) for f in kind], F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+#: The most bytes that are broadcast.
+BROADCAST_BYTES = 16_000_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` to be broadcast if its rows take at most ``most`` bytes, which is summed up first; else as it is, to be joined by
+    shuffle. ``df`` should be a written table, as it is read twice."""
+    row = reduce(lambda x, y: x + y, [byte_count(f.dataType, F.col(f"`{f.name}`")) for f in df.schema], F.lit(16).cast("long"))
+    size = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column of ``df`` has it (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}
@@ -94,13 +146,25 @@ def conjunction(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x & y, conditions)
 
 
-#: Bytes of an Arrow batch of texts, about.
+#: Bytes of an Arrow batch of texts, about (one row at least), as texts may be very long.
 BATCH = "4m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches hold about BATCH in here; then the session's own setting holds again."""
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
 
 
-def bounded(df: DataFrame, batch: str = BATCH) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold about ``batch`` (one row at least), as texts may be very long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold about BATCH from now on: for plans that are run by the caller."""
+    df.sparkSession.conf.set(_BATCH_SETTING, BATCH)
     return df
 
 

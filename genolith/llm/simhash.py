@@ -16,8 +16,8 @@ sought between distinct fingerprints, so groups of copies cost one row:
 First each fingerprint is linked to the commonest one among those that share a partition value; then links are sought
 only between different components, and a dense group gives about one link for each member, not all its pairs.
 
-Near duplicates by Jaccard similarity of shingle sets (``duplicate_groups``) don't go by fingerprints: prefixes of the sets
-find every pair.
+Near duplicates by Jaccard similarity of shingle sets (``duplicate_groups``) begin with such groups; prefixes of the sets find every
+pair that is left.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import TO_LOWER, bounded, connected_components, release, written
+from .common import TO_LOWER, broadcast_if_small, connected_components, free_name, release, written
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED, BITS = 42, 64
@@ -78,7 +79,7 @@ def fingerprints(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["id", "row", "fp"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return bounded(narrow).mapInArrow(run, "id long, row long, fp long")
+    return narrow.mapInArrow(run, "id long, row long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -263,154 +264,229 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 3, id_col: str = "do
     return each.join(found.select("fp", "component"), "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Words of the parity bitmap of a text's shingles.
-PARITY_WORDS = 4
-BROADCAST_ROWS = 200_000
-#: Texts, about, whose shingles are counted for the order of prefixes, and how many of the commonest are told apart.
-COUNTED_TEXTS, COMMON = 8192, 100_000
+#: Words of the parity bitmap of a text's shingles, and buckets in which the corpus' shingles are counted.
+PARITY_WORDS, BUCKETS = 8, 1 << 17
 #: How far a bound on an overlap may be off by rounding.
 SLACK = 1e-6
+#: Texts meet new hubs for as long as a round joins more than this share of the texts that share a shingle.
+WORTHWHILE = 1 / 64
+_ODD = np.array([int(x) | 1 for x in np.random.default_rng(20240102).integers(1, 1 << 63, 64)], np.uint64)
 
 
-def common_shingles(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(hashes ascending, counts) of the commonest shingles in some texts chosen by hash. They only order shingles: which
-    links are found doesn't depend on them, how many candidates are looked at does."""
-    every = max(1, docs.count() // COUNTED_TEXTS)
-    row = F.xxhash64(text_col)
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): a 64-bit hash of each word of all texts, A-Z lower-cased, and where each text's words end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded = lists.flatten().dictionary_encode()
+    own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    real = np.fromiter(map(bool, coded.dictionary.to_pylist()), bool, len(coded.dictionary))
+    at = coded.indices.to_numpy()
+    keep = real[at] if len(at) else np.zeros(0, bool)
+    cuts = lists.offsets.to_numpy()
+    return own[at[keep]], np.concatenate([[0], np.cumsum(keep)])[cuts[1:] - cuts[0]]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_sequence(words: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each run of k of a text's word hashes, of the whole sequence if there are fewer."""
+    n = min(k, len(words))
+    runs = np.zeros(len(words) - n + 1 if n else 0, np.uint64)
+    for i in range(n):
+        runs += words[i : len(words) - n + 1 + i] * _ODD[i]
+    return _mixed(runs + np.uint64(n))
+
+
+def _inside(starts: np.ndarray, ends: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Whether the run of k words that begins at each of n words (but the last k - 1) ends in the same text."""
+    steps = np.zeros(n + 1, np.int64)
+    fits = ends - starts >= k
+    np.add.at(steps, starts[fits], 1)
+    np.add.at(steps, ends[fits] - k + 1, -1)
+    return np.cumsum(steps)[: n - k + 1] > 0
+
+
+def _sequences(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, shingles) of each text."""
+    words, ends = word_hashes(texts)
+    for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
+        yield words[a:b], shingle_sequence(words[a:b], k)
+
+
+def shingle_counts(docs: DataFrame, k: int, text_col: str = "text") -> np.ndarray:
+    """How many shingles of the whole corpus fall into each of BUCKETS buckets by hash: common shingles stand out. The counts only
+    order shingles: which links are found doesn't depend on them, how many candidates are looked at does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), k)).astype(np.uint64).view(np.int64))], ["h"])
+            words, ends = word_hashes(batch.column(0))
+            starts = np.concatenate([[0], ends[:-1]])
+            long = shingle_sequence(words, k)[np.flatnonzero(_inside(starts, ends, k, len(words)))] if len(words) >= k else np.empty(0, np.uint64)
+            short = [shingle_sequence(words[a:b], k) for a, b in zip(starts, ends) if 0 < b - a < k]
+            counts += np.bincount((np.concatenate([long, *short]) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
         release()
 
-    some = bounded(docs.filter(F.pmod(row, F.lit(every)) == 0).select(F.col(text_col).alias("text"))).mapInArrow(run, "h long")
-    top = some.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()  # COMMON rows at most
-    hashes, counts = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
+    found = written(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "counts").toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return counts
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first of the distinct ``hashes``, rare ones first in an order that all texts share: so many that two sets
     of Jaccard similarity ``similarity`` or more have one of them in common."""
     n = len(hashes)
     if not n:
         return hashes
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        rank = np.where(common[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, rank))][: n - int(np.ceil(similarity * n - SLACK)) + 1]
+    return hashes[np.lexsort((hashes, counts[hashes % np.uint64(len(counts))]))][: n - int(np.ceil(similarity * n - SLACK)) + 1]
+
+
+_BITMAP = [f"b{i + 1}" for i in range(PARITY_WORDS)]
 
 
 def signatures(docs: DataFrame, k: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, t1, t2, n, b1..b4, prefix): t1 and t2 hash the sequence of words, n counts distinct shingles; bit i of
-    b1 to b4 is the parity of the number of shingles that hash to i, so that two sets differ in as many shingles as
-    bits at least."""
-    names = ["id", "row", "t1", "t2", "n", *[f"b{i + 1}" for i in range(PARITY_WORDS)]]
-    common, counts = common_shingles(docs, k, id_col, text_col)
+    """(id, row, t1, t2, n, fp, b1..b8, prefix): t1 and t2 hash the sequence of words, n counts distinct shingles, fp is the SimHash
+    fingerprint that they vote for; bit i of b1 to b8 is the parity of the number of shingles that hash to i, so that two sets differ
+    in as many shingles as bits at least."""
+    names = ["id", "row", "t1", "t2", "n", "fp", *_BITMAP]
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[int]] = [[] for _ in names[2:]]
             first: list[np.ndarray] = []
-            for t in batch.column(2):
-                text = t.as_py()
-                hashes = np.unique(shingle_hashes(text, k)).astype(np.uint64)
-                tight = b" ".join(WORDS.findall((text or "").translate(TO_LOWER).encode()))
+            for words, shingles in _sequences(batch.column(2), k):
+                hashes = np.unique(shingles)
                 odd = np.bincount((hashes & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-                row = [xxhash.xxh64_intdigest(tight, 1), xxhash.xxh64_intdigest(tight, 2), len(hashes), *np.packbits(odd.astype(np.uint8)).view(">u8").tolist()]
+                data = words.tobytes()
+                row = [xxhash.xxh64_intdigest(data, 1), xxhash.xxh64_intdigest(data, 2), len(hashes), fingerprint(hashes.astype(">u8")), *np.packbits(odd.astype(np.uint8)).view(">u8").tolist()]
                 for column, x in zip(out, row):
                     column.append(x)
-                first.append(prefix(hashes, common, counts, similarity).view(np.int64))
+                first.append(prefix(hashes, counts.value, similarity).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([*first, np.empty(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in out], lists], [*names, "prefix"])
         release()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return bounded(narrow).mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", prefix array<bigint>")
-
+    return narrow.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", prefix array<bigint>")
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it is small, which is counted, else as it is, to be joined by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-
-def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (a, a_row, b, b_row) whose shingle sets have Jaccard similarity ``similarity`` or more."""
-    wanted = pairs.select(F.col("a").alias("id"), F.col("a_row").alias("row")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b_row").alias("row"))).distinct()
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).join(_bounded(written(wanted, "wanted")), ["id", "row"], "left_semi")
+def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rep, set): the distinct shingles of the ``wanted`` texts (rep, a struct of id and row), written."""
+    some = broadcast_if_small(written(wanted.select("rep.id", "rep.row").distinct(), "wanted"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).join(some, ["id", "row"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), k)).astype(np.uint64).view(np.int64) for t in batch.column(2)]
+            sets = [np.unique(shingles).view(np.int64) for _, shingles in _sequences(batch.column(2), k)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, np.concatenate([*sets, np.empty(0, np.int64)]))], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, np.concatenate([*sets, np.empty(0, np.int64)]))], ["id", "row", "set"])
+        release()
+
+    found = narrow.mapInArrow(run, "id long, row long, set array<bigint>").dropDuplicates(["id", "row"])
+    return written(found.select(F.struct("id", "row").alias("rep"), "set"), "sets")
+
 
-    sets = written(bounded(narrow).mapInArrow(run, "id long, set array<bigint>").dropDuplicates(["id"]), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have Jaccard similarity ``similarity`` or more. b may be the same in many pairs: it is
+    looked up first, while rows are narrow."""
+    of = lambda x, name: sets.select(F.col("rep").alias(x), F.col("set").alias(name))
+    both = pairs.join(of("b", "y"), "b").join(of("a", "x"), "a")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _grouped(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, c) for all ``reps``: c is the least rep that ``links`` (a, b) lead to, itself included."""
+    return written(reps.select("rep").join(connected_components(links).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c")), "grouped")
+
+
 def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, rep, first): each row's id and text hash, its group (the smallest id), and whether it is of the row
-    that stays.
+    """(id, row, rep): each row's id and text hash, and its group, named by the least (id, row) in it.
+
+    Equal word sequences are one text. Texts link if their k-word shingle sets are ``similarity`` alike or more by Jaccard:
 
-    Equal word sequences are one group. Others link if their k-word shingle sets are ``similarity`` alike or more by
-    Jaccard. The search is complete: such sets share a shingle of their prefixes, and no bound that candidates have to meet
-    before their sets are compared (sizes, places of the shared shingle, parity bitmaps) refuses such a pair.
+    1. SimHash groups (fingerprints of the distinct shingles, three bits apart at most, by the generalised pigeonhole) propose to link each text
+       with its group's first.
+    2. Each text meets one hub under each shingle of its prefix: the text whose prefix others share most, which in a group of
+       copies is one with few changes. Then, while it joins many, a hub drawn by hash.
+    3. What is left in different groups meets under the shingles of the prefixes, all with all but for those of the
+       commonest group among themselves. That search is complete: sets that are ``similarity`` alike share a shingle of their prefixes, and no
+       bound that candidates have to meet before their sets are compared (sizes, places of the shared shingle, parity
+       bitmaps) refuses such a pair.
+
+    So the pairs whose sets are compared grow with the members of a group; pairs inside a group that is known are never formed.
     """
     each = written(signatures(docs.filter(F.col(id_col).isNotNull()), k, similarity, id_col, text_col), "signatures")
-    bits = [f"b{i + 1}" for i in range(PARITY_WORDS)]
-    other = [F.min_by(F.struct("row", "n", *bits, "prefix"), F.struct("id", "row")).alias("x")]
-    reps = written(each.groupBy("t1", "t2").agg(F.min("id").alias("rep"), *other).select("t1", "t2", "rep", "x.*"), "texts")
-    texts = reps.select("rep", "row")
+    rest = F.min_by(F.struct("n", "fp", *_BITMAP, "prefix"), F.struct("id", "row")).alias("x")
+    reps = written(each.groupBy("t1", "t2").agg(F.min(F.struct("id", "row")).alias("rep"), rest).select("t1", "t2", "rep", "x.*"), "texts")
+
+    fps = written(reps.groupBy("fp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    alike = fingerprint_components(fps, 3).select("fp", F.col("component").alias("b"))
+    proposed = written(reps.select("fp", F.col("rep").alias("a")).join(alike, "fp").filter("a != b").select("a", "b"), "proposed")
+
+    entries = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
+    twice = written(entries.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "shared")
+    held = written(entries.join(broadcast_if_small(twice), "h"), "held")
+    weights = held.groupBy("rep").agg(F.sum("texts").alias("weight"))
+    shared = written(held.drop("texts").join(reps.select("rep", *_BITMAP).join(weights, "rep"), "rep"), "entries")
+    sets = shingle_sets(docs, shared.select("rep").unionByName(proposed.select(F.col("a").alias("rep"))).unionByName(proposed.select(F.col("b").alias("rep"))), k, id_col, text_col)
 
-    def near(x: str, y: str):
+    def near(x: str, y: str) -> Column:
         """What holds for similar sets x and y at the first shingle that their prefixes share."""
         nx, ny, i, j = (F.col(c) for c in (f"{x}_n", f"{y}_n", f"{x}_pos", f"{y}_pos"))
         sizes = (nx >= similarity * ny - SLACK) & (ny >= similarity * nx - SLACK)
         places = 1 + F.least(nx - i - 1, ny - j - 1) >= similarity / (1 + similarity) * (nx + ny) - SLACK
-        apart = sum((_distance(f"{x}_{b}", f"{y}_{b}") for b in bits), F.lit(0))
+        apart = sum((_distance(f"{x}_{b}", f"{y}_{b}") for b in _BITMAP), F.lit(0))
         return sizes & places & (apart <= (1 - similarity) / (1 + similarity) * (nx + ny) + SLACK)
 
-    def pairs(found: DataFrame) -> DataFrame:
-        """The distinct pairs (x_rep, y_rep), with the hashes of their texts."""
-        distinct = found.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("b")).distinct()
-        of = lambda x: texts.select(F.col("rep").alias(x), F.col("row").alias(f"{x}_row"))
-        return written(distinct.join(of("a"), "a").join(of("b"), "b"), "pairs")
-
     named = lambda df, x: df.select(*[F.col(c).alias(c if c == "h" else f"{x}_{c}") for c in df.columns])
-    entries = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
-    twice = written(entries.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min_by("rep", F.struct("n", "rep")).alias("hub")).filter("texts > 1").select("h", "hub"), "shared")
-    shared = written(entries.join(_bounded(twice), "h").join(reps.select("rep", *bits), "rep").select("h", "hub", "rep", "n", "pos", *bits), "entries")
-    # First each text meets one other under a shingle; then texts of different groups meet.
-    hubs = named(shared.filter("rep = hub").drop("hub"), "y")
-    star = named(shared.drop("hub"), "x").join(hubs, ["h"]).filter((F.col("x_rep") != F.col("y_rep")) & near("x", "y"))
-    linked = similar(docs, pairs(star), k, similarity, id_col, text_col)
-    c = written(texts.select("rep").join(connected_components(linked).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c")), "stars")
-    grouped = written(shared.drop("hub").join(c, "rep"), "grouped")
-    several = grouped.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("h")
-    left = written(grouped.join(several, "h", "left_semi"), "left")
-    cross = named(left, "x").join(named(left, "y").hint("merge"), ["h"]).filter((F.struct("x_n", "x_rep") < F.struct("y_n", "y_rep")) & (F.col("x_c") != F.col("y_c")) & near("x", "y"))
-    linked = similar(docs, pairs(cross), k, similarity, id_col, text_col)
-    edges = linked.join(c.select(F.col("rep").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("rep").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    last = connected_components(edges).withColumnRenamed("node", "c")
-    final = c.join(last, "c", "left").select("rep", F.coalesce("component", "c").alias("group"))
-    known = written(reps.select("t1", "t2", "rep", "row").join(final, "rep"), "groups")
-    return each.drop("prefix").join(known.select("t1", "t2", "group", F.col("rep").alias("text_rep"), F.col("row").alias("rep_row")), ["t1", "t2"]).select("id", "row", F.col("group").alias("rep"), ((F.col("id") == F.col("group")) & (F.col("row") == F.col("rep_row"))).alias("first"))
+    pair = [F.col("x_rep").alias("a"), F.col("y_rep").alias("b")]
+
+    def met(entries: DataFrame, order: Column) -> DataFrame:
+        """(a, b): each text of ``entries`` (with c, its group) and the hubs, the last by ``order``, of other groups."""
+        hubs = named(entries.groupBy("h").agg(F.max_by(F.struct("rep", "n", "pos", "c", *_BITMAP), order).alias("x")).select("h", "x.*"), "y")
+        return named(entries, "x").join(hubs, "h").filter((F.col("x_c") != F.col("y_c")) & near("x", "y")).select(*pair)
+
+    total, turn, links = shared.select("rep").distinct().count(), 0, proposed.limit(0)
+    now = shared.withColumn("c", F.col("rep"))
+    while True:
+        pairs = met(now, F.struct("weight", "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), "rep"))
+        found = written(similar(written((pairs.unionByName(proposed) if turn == 0 else pairs).distinct(), "pairs"), sets, similarity), "links")
+        links = links.unionByName(found)
+        groups = _grouped(reps, links)
+        grouped = shared.join(groups, "rep")
+        # Shingles all of whose texts are of one group are done with; main is the group that holds most of a shingle's texts.
+        main = grouped.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("h", "main")
+        now = written(grouped.join(main, "h").withColumn("other", F.col("c") != F.col("main")).drop("main"), "left")
+        turn += 1
+        if found.count() <= WORTHWHILE * total:
+            break
+
+    once = ~F.col("y_other") | (F.col("x_rep") < F.col("y_rep"))
+    cross = named(now.filter("other"), "x").join(named(now, "y").hint("merge"), "h").filter((F.col("x_c") != F.col("y_c")) & once & near("x", "y")).select(*pair)
+    last = written(similar(written(cross.distinct(), "pairs"), sets, similarity), "links")
+    groups = _grouped(reps, links.unionByName(last))
+    known = written(reps.select("t1", "t2", "rep").join(groups, "rep").select("t1", "t2", F.col("c").alias("rep")), "groups")
+    return each.select("id", "row", "t1", "t2").join(known, ["t1", "t2"]).select("id", "row", "rep")
 
 
 def drop_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, that of the smallest id; rows without id stay."""
+    """``docs`` with one row of each group of near duplicates, that of the smallest id; rows without id stay. Null and empty texts
+    are copies of each other; of rows that repeat the id and text that stays, one stays; an empty table stays empty; extra columns pass through."""
     found = written(duplicate_groups(docs, k, similarity, id_col=id_col, text_col=text_col), "found")
-    gone = _bounded(written(found.filter(~F.col("first")).select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct(), "gone"))
-    stay = docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__row")), "left_anti")
-    twice = found.filter("first").groupBy("id", "row").count().filter("count > 1")
-    if twice.isEmpty():
-        return stay
-    nth = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0)))
-    return stay.withColumn("__n", nth).filter((F.col("__n") == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    first = F.struct("id", "row") == F.col("rep")
+    gone = broadcast_if_small(written(found.filter(~first).select(F.struct("id", "row").alias("key")).distinct(), "gone"))
+    own, nth = free_name(docs, "own"), free_name(docs, "nth")
+    gone = gone.withColumnRenamed("key", own + "_gone")
+    rows = docs.withColumn(own, F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row")))
+    stay = rows.join(gone, F.col(own) == F.col(own + "_gone"), "left_anti")
+    if not found.filter(first).groupBy("id", "row").count().filter("count > 1").isEmpty():
+        stay = stay.withColumn(nth, F.row_number().over(Window.partitionBy(own).orderBy(F.lit(0)))).filter((F.col(nth) == 1) | F.col(id_col).isNull())
+    return stay.select(*docs.columns)
