@@ -9,7 +9,7 @@
   recipe. The documents table holds, in ascending doc_id order, each document's root, length and start.
 
 Tables of a store: ``format`` (width, end_id), ``chunks`` (name, ids), ``recipes`` (root, part, name, n, offset) and
-``documents`` (doc_id, root, n_tokens, start); ``encoded`` is what they are made from. They are Parquet files with binary ids, written by Spark, so that any store that Spark reaches will do.
+``documents`` (doc_id, root, n_tokens, start). They are Parquet files with binary ids, written by Spark, so that any store that Spark reaches will do.
 Reading verifies each chunk's name, each recipe's root and each length, and fails on any mismatch.
 
 Cases: null or empty text has the end id alone. Rows that repeat a doc_id are documents of their own, ordered by root.
@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import bounded, release, shared_path
+from .common import bounded, broadcast_if_small, release, removed, shared_path, small_batches, until_exit, written
 
 WINDOW, LEAST, MOST, MASK_BITS = 16, 64, 4096, 9
 #: Words that an encoder remembers; then it forgets them all.
@@ -220,45 +220,69 @@ def _width(path: str, end_id: int) -> str:
     return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text", together: int = 8_000_000, batch: str = "64m") -> None:
-    """Encode all rows of ``docs`` and write a store to ``path``. Texts of about ``together`` bytes are encoded at a time, from Arrow
-    batches of about ``batch``: more of either saves time (distinct words) and takes memory."""
+def _gathered(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``together`` bytes of texts (second column), or of one row."""
+    held, size = [], 0
+    for whole in batches:
+        for batch in _slices(whole, most=together):
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= together:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text", together: int = 8_000_000) -> None:
+    """Encode all rows of ``docs`` and write a store to ``path``. Texts of about ``together`` bytes are encoded at a time: more saves time
+    (distinct words) and takes memory.
+
+    Chunks are staged as they come. Which of equal chunks stays is found by names alone; the others are left out when the staged ids are
+    copied to ``chunks``, and the staged ones go.
+    """
     kind = _width(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder, gear = encoder(tokenizer), _gear()
-        for whole in batches:
-            for batch in _slices(whole, most=together):
-                roots, counts, chunks = [], [], []
-                for ids in own_encoder.encode(batch.column(1).fill_null("")):
-                    ids = np.append(ids, np.uint32(end_id))
-                    data, start, own = ids.astype(kind), 0, []
-                    for end in cut(ids, gear):
-                        piece = data[start:end].tobytes()
-                        own.append({"name": hashlib.sha256(piece).digest(), "n": end - start, "offset": start, "ids": piece})
-                        start = end
-                    roots.append(merkle_root([c["name"] for c in own]))
-                    counts.append(len(ids))
-                    chunks.append(own)
-                kinds = pa.list_(pa.struct([("name", pa.binary()), ("n", pa.int32()), ("offset", pa.int64()), ("ids", pa.binary())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary()), pa.array(counts, pa.int64()), pa.array(chunks, kinds)], ["doc_id", "root", "n_tokens", "chunks"])
+        for batch in _gathered(batches, together):
+            roots, counts, chunks = [], [], []
+            for ids in own_encoder.encode(batch.column(1).fill_null("")):
+                ids = np.append(ids, np.uint32(end_id))
+                data, start, own = ids.astype(kind), 0, []
+                for end in cut(ids, gear):
+                    piece = data[start:end].tobytes()
+                    own.append({"name": hashlib.sha256(piece).digest(), "n": end - start, "offset": start, "ids": piece})
+                    start = end
+                roots.append(merkle_root([c["name"] for c in own]))
+                counts.append(len(ids))
+                chunks.append(own)
+            kinds = pa.list_(pa.struct([("name", pa.binary()), ("n", pa.int32()), ("offset", pa.int64()), ("ids", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary()), pa.array(counts, pa.int64()), pa.array(chunks, kinds)], ["doc_id", "root", "n_tokens", "chunks"])
         release()
 
     spark = docs.sparkSession
     spark.createDataFrame([(int(kind[2]), end_id)], "width int, end_id int").coalesce(1).write.parquet(f"{path}/format")
-    encoded = bounded(docs, batch).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, root binary, n_tokens long, chunks array<struct<name:binary,n:int,offset:bigint,ids:binary>>")
-    encoded.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(f"{path}/encoded")
-    encoded = spark.read.parquet(f"{path}/encoded")
-    parts = encoded.select("root", F.posexplode("chunks").alias("part", "c"))
-    parts.select("c.name", "c.ids").distinct().write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(f"{path}/chunks")
-    parts.select("root", "part", "c.name", "c.n", "c.offset").distinct().write.parquet(f"{path}/recipes")
-    _started(encoded.select("doc_id", "root", "n_tokens")).write.parquet(f"{path}/documents")
+    encoded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, root binary, n_tokens long, chunks array<struct<name:binary,n:int,offset:bigint,ids:binary>>")
+    with small_batches(spark):
+        encoded.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(f"{path}/staged")
+    staged = spark.read.parquet(f"{path}/staged").withColumn("place", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")))
+    parts = staged.select("place", "root", F.posexplode("chunks").alias("part", "c"))
+    names = written(parts.select("place", "root", "part", "c.name", "c.n", "c.offset"), "names")
+    several = names.groupBy("name").agg(F.min(F.struct("place", "part")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("name", "first")
+    later = written(names.join(several, "name").filter(F.struct("place", "part") != F.col("first")).select("place", "part"), "later")
+    once = parts.select("place", "part", "c.name", "c.ids").join(broadcast_if_small(later), ["place", "part"], "left_anti").select("name", "ids")
+    once.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(f"{path}/chunks")
+    names.select("root", "part", "name", "n", "offset").distinct().write.parquet(f"{path}/recipes")
+    _started(staged.select("doc_id", "root", "n_tokens")).write.parquet(f"{path}/documents")
+    removed(spark, f"{path}/staged")
 
 
 def _started(rows: DataFrame) -> DataFrame:
-    """``rows`` with start, in ascending (doc_id, root) order: sums inside ranges, then over the ranges."""
+    """``rows`` with start, in ascending (doc_id, root) order: sums inside ranges, then over the ranges. The ranges are written once, so
+    that both sums see the same."""
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(ranges, "doc_id", "root").withColumn("range", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(ranges, "doc_id", "root").withColumn("range", F.spark_partition_id()), "ranged")
     inside = Window.partitionBy("range").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, 0)
     summed = ranged.withColumn("in", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     base = ranged.groupBy("range").agg(F.sum("n_tokens").alias("all")).withColumn("base", F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("all"))  # a row for each range
@@ -348,7 +372,7 @@ def read_digests(spark: SparkSession, path: str, width: int) -> DataFrame:
             shifted = crc32_shifted(crc.to_numpy().astype(np.uint64), 4 * (past[ends - 1][content] - past))
             yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(total, pa.int64()), pa.array(np.bitwise_xor.reduceat(shifted, starts).astype(np.int64))], ["root", "n", "ids_crc32"])
 
-    chunks = bounded(spark.read.parquet(f"{path}/chunks")).select("name", "ids").mapInArrow(digest, "name binary, found int, crc long")
+    chunks = written(spark.read.parquet(f"{path}/chunks").select("name", "ids").mapInArrow(digest, "name binary, found int, crc long"), "digests")
     lists = spark.read.parquet(f"{path}/recipes").join(chunks, "name").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("part", "name", "n", "found", "crc"))).alias("chunks"))
     return lists.mapInArrow(join, "root binary, n long, ids_crc32 long")
 
@@ -367,8 +391,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/documents").join(read_contents(spark, path, width), "root").select("doc_id", "start", "ids")
 
 
-def stored(docs: DataFrame, tokenizer: str, end_id: int = 2, **memory: int | str) -> DataFrame:
-    """Write ``docs`` to a fresh store in the shared folder and read its documents back."""
+def stored(docs: DataFrame, tokenizer: str, end_id: int = 2, **memory: int) -> DataFrame:
+    """Write ``docs`` to a fresh store in the shared folder, which goes when the driver ends, and read its documents back."""
     path = shared_path(docs.sparkSession, "tokens")
     write_store(docs, tokenizer, end_id, path, **memory)
+    until_exit(docs.sparkSession, path)
     return read_documents(docs.sparkSession, path)
