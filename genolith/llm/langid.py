@@ -1,13 +1,17 @@
 """Language identification by cross-parsing entropy.
 
-A bounded sample of labelled text per language becomes a suffix automaton. A text is parsed greedily into the longest
-phrases that occur in a language's sample; the fewer phrases it needs, normalised by the sample's length, the closer
-the language. The automata of all languages are tables over one small alphabet, and the texts of an Arrow batch are
-parsed together: step t takes the t-th character of every block in every language.
+A bounded sample of labelled texts per language becomes a suffix automaton over all its characters. A text is parsed greedily into the
+longest phrases that occur in a language's sample (a character that doesn't occur is a phrase by itself); the fewer phrases it needs,
+normalised by the sample's length, the closer the language.
 
-Bounds, all parameters of ``train``: ROWS labelled rows per language are read, chosen by hash of their id, EXCERPT
-characters of each, from a place that a hash chooses; the model holds LETTERS characters, the most frequent of the
-sample; all others match nowhere. Prediction reads whole texts, in blocks of BLOCK characters, at whose ends a phrase ends.
+The transitions of an automaton are one hash table, and the texts of an Arrow batch are parsed together: step t takes the t-th character of every
+block of BLOCK characters. Each block's parse begins anew at its first character; then the parse that comes from the block before is followed until a
+phrase of it begins where one of the block's own does, from where on both are the same. So the counts are those of one parse from
+end to end, whatever BLOCK is.
+
+Bound, a parameter of ``train``: of each language at most ROWS labelled rows are taken, in the order of a hash of their id, whole, while they
+hold at most CHARACTERS characters together. Rows of more than an eighth of that come after all others, shortest first, so that a language is
+learned from such a row (from its first MOST characters) only if it has no others. Prediction reads whole texts.
 
 Cases: null text, or text without a letter, is ``und`` with score 0; equally near languages go to the first by
 name; no labelled rows at all: every text is ``und``; texts may repeat; extra columns pass through.
@@ -15,108 +19,201 @@ name; no labelled rows at all: every text is ``und``; texts may repeat; extra co
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bounded, free_name
+from .common import bounded, free_name, release
 
-ROWS, EXCERPT, LETTERS, BLOCK = 96, 512, 63, 2048
+ROWS, CHARACTERS, MOST, BLOCK = 96, 1 << 16, 1 << 19, 2048
 #: Characters of texts that are parsed together, about.
 TOGETHER = 4_000_000
+#: Bits of a character and of a state in a transition: state, character and next state are one 64-bit number.
+POINT, STATE = 21, 21
+_NONE, _ODD = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 
 
-def automaton(text: np.ndarray, letters: int) -> np.ndarray:
-    """The suffix automaton of ``text`` (numbers from 1 to letters) as a table [state, letter] of next states; state 0
-    is the start, -1 means none."""
-    n = len(text)
-    nxt, link, length = np.full((2 * n + 2, letters + 1), -1, np.int32), [-1], [0]
-    last, size = 0, 1
-    for c in text.tolist():
-        cur, size = size, size + 1
+def automaton(text: str) -> list[dict[int, int]]:
+    """The suffix automaton of ``text``: the next states of each state by code point; state 0 is the start."""
+    nexts: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for c in map(ord, text):
+        cur = len(nexts)
+        nexts.append({})
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p != -1 and nxt[p, c] == -1:
-            nxt[p, c] = cur
+        while p != -1 and c not in nexts[p]:
+            nexts[p][c] = cur
             p = link[p]
         if p != -1:
-            q = int(nxt[p, c])
+            q = nexts[p][c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                clone, size = size, size + 1
-                nxt[clone] = nxt[q]
+                clone = len(nexts)
+                nexts.append(dict(nexts[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p != -1 and nxt[p, c] == q:
-                    nxt[p, c] = clone
+                while p != -1 and nexts[p].get(c) == q:
+                    nexts[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return nxt[:size].copy()
+    return nexts
 
 
-class Model:
-    """Languages, alphabet and one parse table of all automata.
+class Parser:
+    """Phrases of texts in one sample."""
+
+    def __init__(self, sample: str):
+        nexts = automaton(sample)
+        #: The state after a character that the sample lacks: nothing goes on from it.
+        self.dead = len(nexts)
+        if self.dead >= 1 << STATE:
+            raise ValueError(f"a sample of {len(sample)} characters has too many states")
+        pairs = [(s << POINT | c, n) for s, own in enumerate(nexts) for c, n in own.items()]
+        keys, to = (np.array(x, np.uint64) for x in (zip(*pairs) if pairs else ((), ())))
+        bits = max(4, int(3 * len(keys)).bit_length())
+        self.shift, self.last, self.table = np.uint64(64 - bits), (1 << bits) - 1, np.full(1 << bits, _NONE)
+        at, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.table[at[left]] == _NONE]
+            _, first = np.unique(at[free], return_index=True)
+            own = free[first]
+            self.table[at[own]] = keys[own] << np.uint64(STATE) | to[own]
+            left = np.setdiff1d(left, own, assume_unique=True)
+            at[left] = (at[left] + 1) & self.last
+        self.plain: dict[int, int] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"plain": None}
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _ODD) >> self.shift).astype(np.int64)
+
+    def _next(self, state: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, places without any): what follows each state by each code point."""
+        keys = state << np.uint64(POINT) | points
+        at = self._place(keys)
+        found = self.table[at]
+        lost = np.flatnonzero(found >> np.uint64(STATE) != keys)
+        looking = lost[found[lost] != _NONE]
+        none = [lost[found[lost] == _NONE]]
+        while len(looking):  # another transition lies in this place: look on
+            at[looking] = (at[looking] + 1) & self.last
+            found[looking] = self.table[at[looking]]
+            none.append(looking[found[looking] == _NONE])
+            looking = looking[(found[looking] >> np.uint64(STATE) != keys[looking]) & (found[looking] != _NONE)]
+        return found & np.uint64((1 << STATE) - 1), np.concatenate(none)
 
-    table[s * width + c] is 2 * (next state) + (1 if a phrase ends before c). Letter 0 stands for all unknown
-    characters: the phrase ends, and the next one starts after it.
-    """
+    def step(self, state: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after ``points``, places where a phrase begins with them)."""
+        after, begins = self._next(state, points)
+        if len(begins):
+            first, unknown = self._next(np.zeros(len(begins), np.uint64), points[begins])
+            first[unknown] = self.dead
+            after[begins] = first
+        return after, begins
+
+    def _walk(self, state: int, points: np.ndarray, own: np.ndarray) -> tuple[int, int, int]:
+        """Follow a parse in ``state`` through ``points`` to the first phrase that begins where ``own`` is true: phrases begun
+        before, that place (the end if there is none) and the state at the end."""
+        if self.plain is None:
+            full = self.table[self.table != _NONE]
+            self.plain = dict(zip((full >> np.uint64(STATE)).tolist(), (full & np.uint64((1 << STATE) - 1)).tolist()))
+        known, begun = self.plain.get, 0
+        for t, c in enumerate(points.tolist()):
+            after = known(state << POINT | c)
+            if after is None:
+                if own[t]:
+                    return begun, t, state
+                begun += 1
+                after = known(c, self.dead)
+            state = after
+        return begun, len(points), state
+
+    def count(self, grid: np.ndarray, sizes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each column of ``grid`` (a block of code points; columns by falling ``sizes``) in the parse of its whole
+        text; follows[j] is the column of the next block of the same text, or -1."""
+        lanes, height = len(sizes), len(grid)
+        alive = lanes - np.searchsorted(sizes[::-1], np.arange(height), side="right")  # columns longer than t
+        marks, state = np.zeros((height, lanes), bool), np.full(lanes, self.dead, np.uint64)
+        for t, m in enumerate(alive.tolist()):
+            state[:m], begins = self.step(state[:m], grid[t, :m])
+            marks[t, begins] = True
+        total = marks.sum(axis=0)
+        counts = total.copy()
+        # From each block into the next, until both parses begin a phrase at the same place.
+        active = np.flatnonzero(follows >= 0)
+        seen, extra, now = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), state.copy()
+        met = np.full(lanes, -1)
+        t = 0
+        while len(active) and t < height:
+            into = follows[active]
+            fits = sizes[into] > t
+            if not fits.all():
+                active, into = active[fits], into[fits]
+            now[active], begins = self.step(now[active], grid[t, into])
+            begun = np.zeros(len(active), bool)
+            begun[begins] = True
+            same = begun & marks[t, into]
+            met[active[same]] = t
+            extra[active[begun & ~same]] += 1
+            seen[active[~same]] += marks[t, into[~same]]
+            active = active[~same]
+            t += 1
+        fine = (follows >= 0) & (met >= 0)
+        counts[follows[fine]] = extra[fine] + total[follows[fine]] - seen[fine]
+        # Where they never meet inside a block (a text that repeats itself, mostly), go on character by character.
+        for head in np.flatnonzero(~np.isin(np.arange(lanes), follows[follows >= 0])).tolist():
+            j, own_state = head, None
+            while follows[j] >= 0:
+                nxt = int(follows[j])
+                if own_state is None and met[j] < 0:
+                    own_state = int(state[j])
+                if own_state is not None:
+                    begun, place, end = self._walk(own_state, grid[: sizes[nxt], nxt], marks[: sizes[nxt], nxt])
+                    counts[nxt] = begun + int(marks[place : sizes[nxt], nxt].sum())
+                    own_state = end if place == sizes[nxt] else None
+                j = nxt
+        return counts
+
+
+class Model:
+    """Languages and their parsers."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        seen = Counter(c for x in samples.values() for c in x.lower())
-        self.alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.width, self.roots, tables, base = len(self.alphabet) + 1, [], [], 0
-        self.codes = np.zeros(1 << 16, np.uint8)
-        for i, c in enumerate(self.alphabet, 1):
-            if ord(c) < len(self.codes):
-                self.codes[ord(c)] = i
-        for lang in self.langs:
-            nxt = automaton(self.encode(samples[lang].lower()), self.width - 1)
-            first = np.maximum(nxt[0], 0)  # a phrase of this letter, or none at the start
-            out = np.where(nxt >= 0, 2 * (nxt + base), 2 * (first[None, :] + base) + 1)
-            out[:, 0] = 2 * base + 1
-            tables.append(out.astype(np.int32))
-            self.roots.append(base)
-            base += len(nxt)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.parsers = [Parser(samples[x].lower()) for x in self.langs]
         #: Bits to name a place in the sample: what a phrase costs.
         self.cost = np.array([log2(max(2, len(samples[x]))) for x in self.langs])
 
-    def encode(self, lowered: str) -> np.ndarray:
-        points = np.frombuffer(lowered.encode("utf-32-le"), np.uint32)
-        return self.codes[np.minimum(points, 0xFFFF)] if len(points) else np.zeros(0, np.uint8)
-
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Normalised phrases [text, language]: bits a character."""
-        codes = [self.encode(x.lower()) for x in texts]
-        of = np.concatenate([np.full(-(-len(c) // BLOCK), i) for i, c in enumerate(codes)] + [np.zeros(0, int)]).astype(int)
-        blocks = [c[j : j + BLOCK] for c in codes for j in range(0, len(c), BLOCK)]
+        codes = [np.frombuffer(x.lower().encode("utf-32-le", "replace"), np.uint32) for x in texts]
+        parts = [max(0, -(-len(c) // BLOCK)) for c in codes]
+        of = np.repeat(np.arange(len(texts)), parts)
         counts = np.zeros((len(texts), len(self.langs)))
-        if blocks:
-            sizes = np.array([len(b) for b in blocks])
+        if len(of):
+            sizes = np.concatenate([np.minimum(BLOCK, len(c) - BLOCK * np.arange(n)) for c, n in zip(codes, parts)])
             order = np.argsort(-sizes, kind="stable")
-            sizes, of = sizes[order], of[order]
-            grid = np.zeros((int(sizes[0]), len(blocks)), np.int32)
-            for j, b in enumerate(order):
-                grid[: sizes[j], j] = blocks[b]
-            alive = len(sizes) - np.searchsorted(sizes[::-1], np.arange(len(grid)), side="right")  # blocks longer than t
-            for k, root in enumerate(self.roots):
-                state, n = np.full(len(sizes), 2 * root, np.int32), np.ones(len(sizes), np.int32)
-                for t, m in enumerate(alive):
-                    s = state[:m]
-                    np.right_shift(s, 1, out=s)
-                    np.multiply(s, self.width, out=s)
-                    np.add(s, grid[t, :m], out=s)
-                    np.take(self.table, s, out=s, mode="clip")
-                    n[:m] += s & 1
-                np.add.at(counts[:, k], of, n)
+            column = np.empty(len(order), np.int64)
+            column[order] = np.arange(len(order))
+            later = np.append(of[1:] == of[:-1], False)
+            follows = np.where(later, np.append(column[1:], -1), -1)[order]
+            grid, at = np.zeros((int(sizes.max()), len(order)), np.uint64), 0
+            for c, n in zip(codes, parts):
+                for j in range(n):
+                    block = c[j * BLOCK : (j + 1) * BLOCK]
+                    grid[: len(block), column[at + j]] = block
+                at += n
+            for k, parser in enumerate(self.parsers):
+                np.add.at(counts[:, k], of[order], parser.count(grid, sizes[order], follows))
         return counts * self.cost / np.maximum(1, [len(c) for c in codes])[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -137,18 +234,21 @@ class Model:
         return labels, scores
 
 
-def train(labelled: DataFrame, rows: int = ROWS, excerpt: int = EXCERPT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
-    """A model from rows with text and label: of each label the ``rows`` rows with the least hash of their id."""
-    known = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.char_length(text_col) > 0))
-    counts = {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}  # a row for each language
-    samples = {}
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 40))
-    for lang in sorted(counts):
-        below = min(1.0, 4 * rows / counts[lang]) * (1 << 40)
-        shift = F.pmod(F.xxhash64(F.col(id_col), F.lit("place")), F.greatest(F.lit(1), F.char_length(text_col) - excerpt + 1)).cast("int")
-        some = known.filter((F.col(label_col) == lang) & (draw <= int(below))).select(draw.alias("d"), F.substring(F.col(text_col), shift + 1, F.lit(excerpt)).alias("x"))
-        samples[str(lang)] = " ".join(r.x for r in some.orderBy("d", "x").limit(rows).collect())
-    return Model(samples)
+def train(labelled: DataFrame, rows: int = ROWS, characters: int = CHARACTERS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
+    """A model from rows with text and label, in two passes: one counts labels, one takes of each the ``rows`` rows with the least
+    hash of their id, from among about four times as many."""
+    known = labelled.filter(F.col(label_col).isNotNull() & (F.char_length(text_col) > 0)).select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 40)).alias("d"))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    if not counts:
+        return Model({})
+    below = reduce(lambda c, x: c.when(F.col("lang") == x[0], int(min(1.0, 4 * rows / x[1]) * (1 << 40))), list(counts.items())[1:], F.when(F.col("lang") == next(iter(counts)), int(min(1.0, 4 * rows / counts[next(iter(counts))]) * (1 << 40))))
+    size = F.char_length("text").cast("long")
+    long = size > characters // 8
+    order = Window.partitionBy("lang").orderBy(long, F.when(long, size), "d", "text")
+    some = known.filter(F.col("d") <= below).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows)
+    some = some.withColumn("past", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("past") <= characters) | (F.col("nth") == 1))
+    found = some.select("lang", "nth", F.substring("text", 1, MOST).alias("text")).collect()  # ``rows`` texts a language at most
+    return Model({x: "\n".join(r.text for r in sorted(found, key=lambda r: r.nth) if r.lang == x) for x in counts})
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -161,6 +261,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             labels, scores = shared.value.predict(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores)], [*batch.schema.names, label, score])
+        release()
 
     return bounded(docs).mapInArrow(run, _with(docs, f"`{label}` string, `{score}` double"))
 

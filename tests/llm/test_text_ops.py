@@ -174,17 +174,48 @@ def naive_phrases(text, sample):
     return n
 
 
-def test_parse_equals_naive(monkeypatch):
+@pytest.mark.parametrize("block", [7, 64, langid.BLOCK])
+def test_parse_equals_naive(monkeypatch, block):
     rng = np.random.default_rng(0)
-    monkeypatch.setattr(langid, "BLOCK", 10**6)
-    samples = {"a": "".join(rng.choice(list("abc "), 300)), "b": "".join(rng.choice(list("bcd "), 200))}
+    monkeypatch.setattr(langid, "BLOCK", block)
+    samples = {"a": "".join(rng.choice(list("abc "), 3000)), "b": "".join(rng.choice(list("bcd é漢😀"), 2000)), "c": "aaa"}
     m = langid.Model(samples)
-    texts = ["".join(rng.choice(list("abcd é"), n)) for n in (1, 2, 17, 120)]
-    bits = m.phrases(texts)
-    for t, row in zip(texts, bits):
-        for lang, cost, x in zip(m.langs, m.cost, row):
-            # a phrase that ends in an unknown character is ended by it; that costs one in the naive parse too
-            assert abs(x * len(t) / cost - naive_phrases(t, samples[lang])) <= t.count("é") + sum(c not in samples[lang] for c in t) + 1
+    texts = ["".join(rng.choice(list("abcd é漢字😀"), n)) for n in (1, 2, 17, 120, 3000, 9000)] + ["a" * 5000, "ab" * 4000, ""]
+    for t, row in zip(texts, m.phrases(texts)):
+        assert [round(x * len(t) / cost) for x, cost in zip(row, m.cost)] == [naive_phrases(t, samples[x]) for x in m.langs]
+
+
+def test_scripts_of_their_own(spark):
+    """Words drawn from alphabets of any size and plane are told apart."""
+    rng = np.random.default_rng(5)
+    scripts = {"en": (0x61, 26), "ru": (0x430, 32), "ko": (0xAC00, 2000), "zh": (0x4E00, 3000), "ja": (0x5E00, 2500), "xx": (0x20000, 1500)}
+    rows = []
+    for lang, (first, n) in scripts.items():
+        words = ["".join(chr(first + x) for x in rng.integers(0, n, 2)) for _ in range(1500)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 120)), lang) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs.filter("doc_id % 2 = 1"), langid.train(docs.filter("doc_id % 2 = 0")))
+    assert got.filter("lang = lang_pred").count() >= 0.97 * got.count()
+
+
+def test_predictions_equal_brute_force(spark, docs):
+    some = docs.filter("doc_id < 120")
+    model = langid.train(docs, rows=80, characters=4000)
+    samples = {}
+    for r in sorted(docs.filter("lang is not null and length(text) > 0").select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)).alias("d")).collect(), key=lambda r: (len(r.text) > 500, len(r.text) if len(r.text) > 500 else 0, r.d)):
+        own = samples.setdefault(r.lang, [])
+        own.append(r.text)
+    for lang, own in samples.items():
+        kept = [t for i, t in enumerate(own[:80]) if i == 0 or sum(map(len, own[: i + 1])) <= 4000]
+        samples[lang] = "\n".join(kept)
+    for r in langid.identify(some.select("doc_id", "text"), model).collect():
+        t = (r.text or "").lower()
+        if any(map(str.isalpha, t)):
+            bits = {x: naive_phrases(t, s.lower()) * np.log2(max(2, len(s))) for x, s in samples.items()}
+            best, second = sorted(bits.values())[:2]
+            assert bits[r.lang_pred] == best and r.score == pytest.approx(1 - best / second)
+        else:
+            assert r.lang_pred == "und"
 
 
 def test_languages_held_out(spark, sf_dir, docs):
