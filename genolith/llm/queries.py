@@ -55,7 +55,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_sizes(docs, weights=(5, 2, 1), cap=3.0, block=64).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sizes(docs, weights=(5, 2, 1), cap=3.0, block=64).select("doc_id", "size", "source_size", "target", "taken", "n_shards")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
