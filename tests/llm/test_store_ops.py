@@ -215,14 +215,31 @@ def test_archives_of_odd_payloads(spark):
 
 
 @pytest.mark.parametrize("version", [1, 2])
-def test_arc_records(version):
-    data = warc.arc_record(version, "http://a/", "20010203040506", b"one\n\n") + warc.arc_record(version, "http://b/", "20010203040507", b"")
-    a, b = warc.parse_arc(data, version)
-    assert (a.url, a.date, a.payload, b.url, b.payload) == ("http://a/", "20010203040506", b"one\n\n", "http://b/", b"")
-    assert "WARC-Date: 2001-02-03T04:05:06Z" in warc.warc_record(a)
-    for bad, v in ((data[:-4], version), (data, 3 - version), (b"x" + data[:20], version)):
+def test_arc_files(version):
+    data = warc.version_block(version, "20010101000000") + warc.arc_record(version, "http://a/", "20010203040506", b"one\n\n", 7) + warc.arc_line(version, "dns:b", "20010203040507", 4, mime="text/dns") + b"\n\r\nx\n" + warc.arc_record(version, "http://b/", "20010203040507", b"")
+    a, dns, b = warc.parse_arc(data)
+    assert (a.url, a.date, a.payload, a.page, b.url, b.payload, b.page, dns.payload, dns.http) == ("http://a/", "20010203040506", b"one\n\n", 7, "http://b/", b"", None, b"\n\r\nx", False)
+    assert data[a.offset :].startswith(b"http://a/") and data[b.offset :].startswith(b"http://b/")
+    made = warc.warc_record(a, "f").decode()
+    assert "WARC-Date: 2001-02-03T04:05:06Z" in made and "WARC-Type: response" in made and "WARC-Type: resource" in warc.warc_record(dns, "f").decode()
+    again = warc.warc_record(b, "f", ("f", a.offset, a.url, a.date)).decode()
+    assert f"WARC-Refers-To: {warc.record_id('f', a.offset)}" in again and "WARC-Refers-To-Date: 2001-02-03T04:05:06Z" in again and "WARC-Refers-To-Target-URI: http://a/" in again
+    other = data.replace(" ".join(warc.ARC_FIELDS[version]).encode(), " ".join(warc.ARC_FIELDS[3 - version]).encode())
+    for bad in (data[:-4], data[len(warc.version_block(version, "20010101000000")) :], other, data[:-1] + b"x\n", b"x" + data[:20]):
         with pytest.raises(ValueError):
-            list(warc.parse_arc(bad, v))
+            list(warc.parse_arc(bad))
+    reader = warc.ArcReader()  # piece by piece
+    assert [r.url for i in range(len(data)) for r in reader.take(data[i : i + 1])] == ["http://a/", "dns:b", "http://b/"]
+
+
+def test_blank_lines_are_read_in_proportion(spark):
+    import time
+
+    began = time.time()
+    page = "\r\n\r\n" * 2_500_000
+    got = warc.archived(spark.createDataFrame([(1, "u", page), (2, "v", page)], "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [(1, 10_000_000, "revisit", 2), (2, 10_000_000, "response", None)]
+    assert time.time() - began < 60
 
 
 # embeddings
