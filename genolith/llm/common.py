@@ -70,6 +70,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(until_exit(spark, path))
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            removed(df.sparkSession, path)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z alone. ``lower`` is the fast path and equals it on pure ASCII text."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

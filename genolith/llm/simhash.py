@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import TO_LOWER, broadcast_if_small, connected_components, free_name, release, written
+from .common import TO_LOWER, broadcast_if_small, connected_components, discard, free_name, release, written
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED, BITS = 42, 64
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 3, id_col: str = "do
 
 
 #: Words of the parity bitmap of a text's shingles, and buckets in which the corpus' shingles are counted.
-PARITY_WORDS, BUCKETS = 8, 1 << 17
+PARITY_WORDS, BUCKETS = 4, 1 << 17
 #: How far a bound on an overlap may be off by rounding.
 SLACK = 1e-6
 #: Texts meet new hubs for as long as a round joins more than this share of the texts that share a shingle.
@@ -350,8 +350,8 @@ _BITMAP = [f"b{i + 1}" for i in range(PARITY_WORDS)]
 
 
 def signatures(docs: DataFrame, k: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, t1, t2, n, fp, b1..b8, prefix): t1 and t2 hash the sequence of words, n counts distinct shingles, fp is the SimHash
-    fingerprint that they vote for; bit i of b1 to b8 is the parity of the number of shingles that hash to i, so that two sets differ
+    """(id, row, t1, t2, n, fp, b1..b4, prefix): t1 and t2 hash the sequence of words, n counts distinct shingles, fp is the SimHash
+    fingerprint that they vote for; bit i of b1 to b4 is the parity of the number of shingles that hash to i, so that two sets differ
     in as many shingles as bits at least."""
     names = ["id", "row", "t1", "t2", "n", "fp", *_BITMAP]
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, k, text_col))
@@ -377,10 +377,12 @@ def signatures(docs: DataFrame, k: int, similarity: float, id_col: str = "doc_id
     return narrow.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", prefix array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rep, set): the distinct shingles of the ``wanted`` texts (rep, a struct of id and row), written."""
-    some = broadcast_if_small(written(wanted.select("rep.id", "rep.row").distinct(), "wanted"))
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).join(some, ["id", "row"], "left_semi")
+def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those of ``pairs`` (a, b: structs of id and row) whose texts' shingle sets have Jaccard similarity ``similarity`` or more, written. Only
+    the texts of the pairs are read. b may be the same in many pairs: it is looked up first, while rows are narrow."""
+    pairs = written(pairs.distinct(), "pairs")
+    wanted = pairs.select("a.id", "a.row").unionByName(pairs.select("b.id", "b.row")).distinct()
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).join(broadcast_if_small(written(wanted, "wanted")), ["id", "row"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,16 +392,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str = "doc_
         release()
 
     found = narrow.mapInArrow(run, "id long, row long, set array<bigint>").dropDuplicates(["id", "row"])
-    return written(found.select(F.struct("id", "row").alias("rep"), "set"), "sets")
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have Jaccard similarity ``similarity`` or more. b may be the same in many pairs: it is
-    looked up first, while rows are narrow."""
+    sets = written(found.select(F.struct("id", "row").alias("rep"), "set"), "sets")
     of = lambda x, name: sets.select(F.col("rep").alias(x), F.col("set").alias(name))
     both = pairs.join(of("b", "y"), "b").join(of("a", "x"), "a")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    links = written(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+    discard(sets, pairs)
+    return links
 
 
 def _grouped(reps: DataFrame, links: DataFrame) -> DataFrame:
@@ -415,7 +414,7 @@ def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_co
     1. SimHash groups (fingerprints of the distinct shingles, three bits apart at most, by the generalised pigeonhole) propose to link each text
        with its group's first.
     2. Each text meets one hub under each shingle of its prefix: the text whose prefix others share most, which in a group of
-       copies is one with few changes. Then, while it joins many, a hub drawn by hash.
+       copies is one with few changes. Then, while that joins many, a hub drawn by hash. A hub that met all texts of a shingle leaves it.
     3. What is left in different groups meets under the shingles of the prefixes, all with all but for those of the
        commonest group among themselves. That search is complete: sets that are ``similarity`` alike share a shingle of their prefixes, and no
        bound that candidates have to meet before their sets are compared (sizes, places of the shared shingle, parity
@@ -425,56 +424,59 @@ def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_co
     """
     each = written(signatures(docs.filter(F.col(id_col).isNotNull()), k, similarity, id_col, text_col), "signatures")
     rest = F.min_by(F.struct("n", "fp", *_BITMAP, "prefix"), F.struct("id", "row")).alias("x")
-    reps = written(each.groupBy("t1", "t2").agg(F.min(F.struct("id", "row")).alias("rep"), rest).select("t1", "t2", "rep", "x.*"), "texts")
+    whole = written(each.groupBy("t1", "t2").agg(F.min(F.struct("id", "row")).alias("rep"), rest).select("t1", "t2", "rep", "x.*"), "texts")
+    members = written(each.select("id", "row", "t1", "t2"), "members")
+    discard(each)
 
-    fps = written(reps.groupBy("fp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    fps = written(whole.groupBy("fp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints")
     alike = fingerprint_components(fps, 3).select("fp", F.col("component").alias("b"))
-    proposed = written(reps.select("fp", F.col("rep").alias("a")).join(alike, "fp").filter("a != b").select("a", "b"), "proposed")
+    proposed = written(whole.select("fp", F.col("rep").alias("a")).join(alike, "fp").filter("a != b").select("a", "b"), "proposed")
 
-    entries = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
-    twice = written(entries.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "shared")
+    entries = whole.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
+    twice = written(entries.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "twice")
     held = written(entries.join(broadcast_if_small(twice), "h"), "held")
-    weights = held.groupBy("rep").agg(F.sum("texts").alias("weight"))
-    shared = written(held.drop("texts").join(reps.select("rep", *_BITMAP).join(weights, "rep"), "rep"), "entries")
-    sets = shingle_sets(docs, shared.select("rep").unionByName(proposed.select(F.col("a").alias("rep"))).unionByName(proposed.select(F.col("b").alias("rep"))), k, id_col, text_col)
+    info = written(whole.select("rep", *_BITMAP).join(held.groupBy("rep").agg(F.sum("texts").alias("weight")), "rep"), "info")
+    now = written(held.drop("texts").join(broadcast_if_small(info), "rep").withColumn("c", F.col("rep")), "entries")
+    reps = written(whole.select("t1", "t2", "rep"), "reps")
+    total = info.count()
+    discard(whole, held, twice)
 
     def near(x: str, y: str) -> Column:
         """What holds for similar sets x and y at the first shingle that their prefixes share."""
-        nx, ny, i, j = (F.col(c) for c in (f"{x}_n", f"{y}_n", f"{x}_pos", f"{y}_pos"))
+        nx, ny, i, j = (F.col(c) for c in (f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"))
         sizes = (nx >= similarity * ny - SLACK) & (ny >= similarity * nx - SLACK)
         places = 1 + F.least(nx - i - 1, ny - j - 1) >= similarity / (1 + similarity) * (nx + ny) - SLACK
-        apart = sum((_distance(f"{x}_{b}", f"{y}_{b}") for b in _BITMAP), F.lit(0))
-        return sizes & places & (apart <= (1 - similarity) / (1 + similarity) * (nx + ny) + SLACK)
-
-    named = lambda df, x: df.select(*[F.col(c).alias(c if c == "h" else f"{x}_{c}") for c in df.columns])
-    pair = [F.col("x_rep").alias("a"), F.col("y_rep").alias("b")]
-
-    def met(entries: DataFrame, order: Column) -> DataFrame:
-        """(a, b): each text of ``entries`` (with c, its group) and the hubs, the last by ``order``, of other groups."""
-        hubs = named(entries.groupBy("h").agg(F.max_by(F.struct("rep", "n", "pos", "c", *_BITMAP), order).alias("x")).select("h", "x.*"), "y")
-        return named(entries, "x").join(hubs, "h").filter((F.col("x_c") != F.col("y_c")) & near("x", "y")).select(*pair)
+        apart = sum((_distance(f"{x}{b}", f"{y}{b}") for b in _BITMAP), F.lit(0))
+        return (F.col(f"{x}c") != F.col(f"{y}c")) & sizes & places & (apart <= (1 - similarity) / (1 + similarity) * (nx + ny) + SLACK)
 
-    total, turn, links = shared.select("rep").distinct().count(), 0, proposed.limit(0)
-    now = shared.withColumn("c", F.col("rep"))
+    named = lambda df, x: df.select(*[F.col(c).alias(c if c == "h" else f"{x}{c}") for c in df.columns])
+    links, turn = proposed.limit(0), 0
     while True:
-        pairs = met(now, F.struct("weight", "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), "rep"))
-        found = written(similar(written((pairs.unionByName(proposed) if turn == 0 else pairs).distinct(), "pairs"), sets, similarity), "links")
+        order = F.struct("weight", "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), "rep")
+        hubs = now.groupBy("h").agg(F.max_by(F.struct("rep", "n", "pos", "c", *_BITMAP), order).alias("x")).select("h", "x.*")
+        met = written(now.join(named(hubs, "hub_"), "h").filter("rep != hub_rep").select(*now.columns, "hub_rep", near("", "hub_").alias("near")), "met")
+        pairs = met.filter("near").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b"))
+        found = similar(docs, pairs.unionByName(proposed) if turn == 0 else pairs, k, similarity, id_col, text_col)
         links = links.unionByName(found)
         groups = _grouped(reps, links)
-        grouped = shared.join(groups, "rep")
-        # Shingles all of whose texts are of one group are done with; main is the group that holds most of a shingle's texts.
+        # The hubs are done with under their shingles, and so are shingles whose other texts are of one group. main is the group that holds
+        # most of a shingle's texts.
+        grouped = met.drop("hub_rep", "near", "c").join(broadcast_if_small(groups), "rep")
         main = grouped.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("h", "main")
-        now = written(grouped.join(main, "h").withColumn("other", F.col("c") != F.col("main")).drop("main"), "left")
-        turn += 1
+        left = written(grouped.join(broadcast_if_small(written(main, "main")), "h").withColumn("other", F.col("c") != F.col("main")).select(*now.columns, "other"), "left")
+        discard(now, met)
+        now, turn = left, turn + 1
         if found.count() <= WORTHWHILE * total:
             break
+        now = now.drop("other")
 
     once = ~F.col("y_other") | (F.col("x_rep") < F.col("y_rep"))
-    cross = named(now.filter("other"), "x").join(named(now, "y").hint("merge"), "h").filter((F.col("x_c") != F.col("y_c")) & once & near("x", "y")).select(*pair)
-    last = written(similar(written(cross.distinct(), "pairs"), sets, similarity), "links")
+    cross = named(now.filter("other"), "x_").join(named(now, "y_").hint("merge"), "h").filter(near("x_", "y_") & once).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+    last = similar(docs, cross, k, similarity, id_col, text_col)
     groups = _grouped(reps, links.unionByName(last))
-    known = written(reps.select("t1", "t2", "rep").join(groups, "rep").select("t1", "t2", F.col("c").alias("rep")), "groups")
-    return each.select("id", "row", "t1", "t2").join(known, ["t1", "t2"]).select("id", "row", "rep")
+    known = written(reps.join(groups, "rep").select("t1", "t2", F.col("c").alias("rep")), "groups")
+    discard(now)
+    return members.join(known, ["t1", "t2"]).select("id", "row", "rep")
 
 
 def drop_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
