@@ -122,7 +122,7 @@ class Encoder:
         """(ids, ends): the ids of all words in order, and where each word's end."""
         first, lens = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
         ends = np.cumsum(lens)
-        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - lens), lens)], ends
+        return self.flat[_runs(first, lens, ends)], ends
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of pieces without white space; what one call asks for is kept whole, MEMORY bounds the rest."""
@@ -157,11 +157,19 @@ class Encoder:
         lens = np.diff(ends, prepend=0)
         first, n = (ends - lens)[at], lens[at]
         last = np.cumsum(n)
-        every = ids[np.arange(int(last[-1]) if len(last) else 0) + np.repeat(first - (last - n), n)]
+        every = ids[_runs(first, n, last)]
         bounds = np.concatenate([[0], last])[cuts - cuts[0]]
         return [every[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _runs(first: np.ndarray, lens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers first[0] .. first[0] + lens[0] - 1, then those from first[1], and so on; ``ends`` are the sums of ``lens``."""
+    kind = np.int32 if not len(ends) or max(int(ends[-1]), int((first + lens).max())) < 1 << 31 else np.int64
+    out = np.repeat((first - (ends - lens)).astype(kind), lens)
+    out += np.arange(len(out), dtype=kind)
+    return out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -242,31 +250,36 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
     copied to ``chunks``, and the staged ones go.
     """
     kind = _width(tokenizer, end_id)
+    width = int(kind[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder, gear = encoder(tokenizer), _gear()
         for batch in _gathered(batches, together):
-            roots, counts, chunks = [], [], []
+            roots, counts, parts, names, offsets, pieces = [], [], [0], [], [], []
             for ids in own_encoder.encode(batch.column(1).fill_null("")):
                 ids = np.append(ids, np.uint32(end_id))
-                data, start, own = ids.astype(kind), 0, []
+                data, start = ids.astype(kind).tobytes(), 0
                 for end in cut(ids, gear):
-                    piece = data[start:end].tobytes()
-                    own.append({"name": hashlib.sha256(piece).digest(), "n": end - start, "offset": start, "ids": piece})
+                    piece = data[width * start : width * end]
+                    names.append(hashlib.sha256(piece).digest())
+                    offsets.append(start)
+                    pieces.append(piece)
                     start = end
-                roots.append(merkle_root([c["name"] for c in own]))
+                roots.append(merkle_root(names[parts[-1] :]))
                 counts.append(len(ids))
-                chunks.append(own)
-            kinds = pa.list_(pa.struct([("name", pa.binary()), ("n", pa.int32()), ("offset", pa.int64()), ("ids", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary()), pa.array(counts, pa.int64()), pa.array(chunks, kinds)], ["doc_id", "root", "n_tokens", "chunks"])
+                parts.append(len(names))
+            lengths = [len(x) // width for x in pieces]
+            fields = [pa.array(names, pa.binary()), pa.array(lengths, pa.int32()), pa.array(offsets, pa.int64()), pa.array(pieces, pa.binary())]
+            chunks = pa.ListArray.from_arrays(pa.array(parts, pa.int32()), pa.StructArray.from_arrays(fields, ["name", "n", "offset", "ids"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.binary()), pa.array(counts, pa.int64()), chunks], ["doc_id", "root", "n_tokens", "chunks"])
         release()
 
     spark = docs.sparkSession
-    spark.createDataFrame([(int(kind[2]), end_id)], "width int, end_id int").coalesce(1).write.parquet(f"{path}/format")
+    spark.createDataFrame([(width, end_id)], "width int, end_id int").coalesce(1).write.parquet(f"{path}/format")
     encoded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, root binary, n_tokens long, chunks array<struct<name:binary,n:int,offset:bigint,ids:binary>>")
     with small_batches(spark):
         encoded.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(f"{path}/staged")
-    staged = spark.read.parquet(f"{path}/staged").withColumn("place", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")))
+    staged = spark.read.parquet(f"{path}/staged").withColumn("place", F.struct(F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")))
     parts = staged.select("place", "root", F.posexplode("chunks").alias("part", "c"))
     names = written(parts.select("place", "root", "part", "c.name", "c.n", "c.offset"), "names")
     several = names.groupBy("name").agg(F.min(F.struct("place", "part")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("name", "first")
