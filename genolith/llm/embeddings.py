@@ -5,19 +5,22 @@
    axes, then alternating between codes and the rotation that fits them best (orthogonal Procrustes).
 3. Each representative's code is cut into substrings in two ways (neighbouring bits, bits taken in turn), each of which
    is a table. Two codes are candidates if some substring differs in at most ``radius`` bits and the whole code
-   in at most ``most`` bits; that is checked inside the join.
+   in at most ``most`` bits; that is checked inside the join. Both bounds follow from the threshold (``bounds``).
 4. Candidates are reranked: cosine of the original vectors in double precision decides, none below the threshold links.
 
 All rows are indexed. What is approximate is the candidate search; tests measure its recall against brute force.
 
 Cases: vectors that are null, empty, zero, or hold nulls, NaN or infinities link with nothing; so do rows with null label or
 vec_id; vectors of different lengths don't link; vectors of a length the sample lacks share one code; rows that repeat a
-vec_id are equal or different vectors like any others; extra columns are left out.
+vec_id are equal or different vectors like any others (representatives are told apart by their values, ids name components alone); extra
+columns are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -84,20 +87,32 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def bounds(threshold: float) -> tuple[int, int]:
+    """(radius, most) for pairs at the threshold: a random hyperplane parts their signs with probability p = angle / pi. ``most`` is four standard
+    deviations above the bits that differ then; ``radius`` is the least by which the tables find 98 % of such pairs."""
+    p = acos(threshold) / pi
+    size = BITS // PARTS
+    for radius in range(3):
+        within = sum(comb(size, i) * p**i * (1 - p) ** (size - i) for i in range(radius + 1))
+        if 1 - (1 - within) ** (2 * PARTS) >= 0.98:
+            return radius, int(BITS * p + 4 * sqrt(BITS * p * (1 - p)))
+    raise ValueError(f"tables of {size} bits find too few of the pairs of cosine {threshold}")
+
+
 def _keys(radius: int) -> Column:
-    """An array of (part, key) for code: all values of each substring within ``radius`` (0 or 1) bits."""
+    """An array of (part, key) for code: all values of each substring within ``radius`` bits."""
     out = []
     for part, bits in enumerate(_tables()):
         own = F.col("code").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        for flip in [0] + [1 << b for b in bits] * (radius > 0):
+        for flip in (sum(1 << b for b in c) for n in range(radius + 1) for c in combinations(bits, n)):
             out.append(F.struct(F.lit(part).cast("byte").alias("part"), own.bitwiseXOR(F.lit(_signed(flip))).alias("key")))
     return F.array(*out)
 
 
-def candidates(coded: DataFrame, radius: int = 1, most: int = 18) -> DataFrame:
-    """(a, b), a > b: pairs of ids of ``coded`` (id, label, dims, code) that the tables bring together."""
-    probe = coded.select("label", "dims", F.col("id").alias("a"), "code", F.explode(_keys(radius)).alias("k")).select("label", "dims", "a", F.col("code").alias("code_a"), "k.part", "k.key")
-    own = coded.select("label", "dims", F.col("id").alias("b"), "code", F.explode(_keys(0)).alias("k")).select("label", "dims", "b", F.col("code").alias("code_b"), "k.part", "k.key")
+def candidates(coded: DataFrame, radius: int, most: int) -> DataFrame:
+    """(a, b), a > b: pairs of nodes of ``coded`` (node, label, dims, code) that the tables bring together."""
+    probe = coded.select("label", "dims", F.col("node").alias("a"), "code", F.explode(_keys(radius)).alias("k")).select("label", "dims", "a", F.col("code").alias("code_a"), "k.part", "k.key")
+    own = coded.select("label", "dims", F.col("node").alias("b"), "code", F.explode(_keys(0)).alias("k")).select("label", "dims", "b", F.col("code").alias("code_b"), "k.part", "k.key")
     near = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= most
     return probe.hint("merge").join(own, ["label", "dims", "part", "key"]).filter((F.col("a") > F.col("b")) & near).select("a", "b").distinct()
 
@@ -117,25 +132,27 @@ def cosines(pairs: DataFrame) -> DataFrame:
             dot = lambda p, q: np.add.reduceat(p * q, starts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dot(x, y) / np.sqrt(dot(x, x) * dot(y, y)))], ["a", "b", "cosine"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, cosine double")
+    kinds = dict(pairs.dtypes)
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, cosine double")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, radius: int = 1, most: int = 18) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label)."""
     e = F.col("embedding")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     sound = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda v: v != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), "label", "embedding", sound.alias("sound"), F.xxhash64("label", "embedding").alias("h1"), second_hash(F.col("label"), e).alias("h2"))
     each = written(rows.select("id", "sound", "h1", "h2"), "vectors")
-    reps = written(rows.filter("sound").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding")).withColumn("dims", F.size("embedding")), "representatives")
-    coded = written(codes(reps).select("id", "label", "dims", "code"), "codes")
-    by = lambda name, other: reps.select(F.col("id").alias(name), F.col("embedding").alias(other))
-    pairs = written(candidates(coded, radius, most), "candidates")
+    first = rows.filter("sound").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    reps = written(first.select("h1", "h2", F.struct("id", "h1", "h2").alias("node"), "n", "label", "embedding", F.size("embedding").alias("dims")), "representatives")
+    coded = written(codes(reps).select("node", "label", "dims", "code"), "codes")
+    by = lambda name, other: reps.select(F.col("node").alias(name), F.col("embedding").alias(other))
+    pairs = written(candidates(coded, *bounds(threshold)), "candidates")
     links = written(cosines(pairs.join(by("a", "x"), "a").join(by("b", "y"), "b")).filter(F.col("cosine") >= threshold).select("a", "b"), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = both.join(reps.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
-    parts = connected_components(links).select(F.col("node").alias("id"), "component")
-    found = reps.select("id", "h1", "h2", "n").join(other, "id", "left").join(parts, "id", "left")
-    found = written(found.select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.lit(True).alias("sound")), "found")
+    other = both.join(reps.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    parts = connected_components(links)
+    found = reps.select("node", "h1", "h2", "n").join(other, "node", "left").join(parts, "node", "left")
+    found = written(found.select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node")["id"].alias("component_id"), F.lit(True).alias("sound")), "found")
     out = each.join(found, ["h1", "h2", "sound"], "left").select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -267,6 +267,19 @@ def test_embeddings_equal_brute_force(spark, sf_dir):
     check_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect(), queries.op9_embedding_dedup(spark, sf_dir).collect())
 
 
+def test_repeated_ids_of_different_vectors(spark):
+    near = [1.0, 0.05, 0.0]
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, near, 1), (3, [0.0, 0.0, 1.0], 1), (3, [0.0, 0.0, 1.0], 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (3, 1, 3)]
+
+
+def test_bounds_follow_the_threshold():
+    assert embeddings.bounds(0.93) == (1, 18) and embeddings.bounds(0.99)[1] < 18 < embeddings.bounds(0.85)[1]
+    with pytest.raises(ValueError):
+        embeddings.bounds(0.3)
+
+
 def test_recall_near_the_threshold(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(300, 64))
