@@ -3,7 +3,8 @@
 The lexicon is learned: words whose share of toxic rows exceeds their share of others by far, and stems (the first 4 to
 6 letters), for which less is asked, as inflected words are rare one by one. Spark counts them over the training rows.
 Features are densities and rates, so the length of a text matters through its logarithm alone. Trees are
-grown from histograms on the driver; a quarter of the training rows, chosen by hash, is kept for calibration.
+grown from histograms on the driver; a quarter of the training rows, chosen by hash, is kept for calibration alone: neither lexicon nor trees
+see it.
 
 Bounds, parameters of ``train``: ROWS labelled rows (by hash of the id; labels are cut to them before they meet the
 texts), LEXICON words. Scoring reads whole texts.
@@ -232,13 +233,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "d
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     some = written(known.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(rows), "labels")
     sample = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id"), "sample")  # at most ``rows`` rows
-    lexicon = Lexicon(learn_lexicon(sample))
+    aside = F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)) == 0
+    learned = learn_lexicon(sample.filter(~aside)) or learn_lexicon(sample)  # a sample so small that all toxic rows are aside
+    lexicon = Lexicon(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t.as_py(), lexicon) for t in batch.column(2)], pa.list_(pa.float64()))], ["id", "toxic", "x"])
 
-    found = bounded(sample).select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, x array<double>").withColumn("aside", F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)) == 0).toArrow()
+    found = written(sample.select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, x array<double>").withColumn("aside", aside), "features").toArrow()
     order = np.argsort(found["id"].to_numpy(), kind="stable")
     x = np.array(found["x"].to_pylist(), float).reshape(-1, len(NAMES))[order]
     return Model(lexicon, x, found["toxic"].to_numpy().astype(float)[order], found["aside"].to_numpy()[order].astype(bool))

@@ -252,6 +252,30 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, toxicity.train(no_docs, labels)).count() == 0
 
 
+def test_calibration_rows_teach_no_words(spark):
+    aside = {r.id for r in spark.range(400).filter(F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)) == 0).collect()}
+    docs = spark.createDataFrame([(i, ("beware " if i in aside else "dreadful ") * (i % 2) + "plain words here") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    weights = toxicity.train(docs, labels).lexicon.weights
+    assert "dreadful" in weights and "beware" not in weights
+
+
+def test_first_tree_splits_best():
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 9, (200, 3)).astype(float), rng.integers(0, 2, 200).astype(float)
+    y[x[:, 1] > 5] = 1
+    t = toxicity.Trees(x, y, rounds=1, depth=1, rate=1.0, least=1, ridge=1.0)
+    p = y.mean()
+    gain = {}
+    for f in range(3):
+        for c in range(1, 9):
+            g = [((p - y)[m].sum(), (p * (1 - p)) * m.sum()) for m in (x[:, f] < c, x[:, f] >= c)]
+            gain[f, c] = sum(a * a / (h + 1) for a, h in g)
+    f, c = max(gain, key=gain.get)
+    want = np.log(p / (1 - p)) + np.where(x[:, f] < c, *[-(p - y)[m].sum() / (p * (1 - p) * m.sum() + 1) for m in (x[:, f] < c, x[:, f] >= c)])
+    assert np.allclose(t.margin(x), want)
+
+
 def test_isotonic_equals_brute_force():
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, 12, 60).astype(float), rng.integers(0, 2, 60).astype(float)
