@@ -106,7 +106,7 @@ BROADCAST_BYTES = 16_000_000
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` to be broadcast if its rows take at most ``most`` bytes, which is summed up first; else as it is, to be joined by
-    shuffle. ``df`` should be a written table, as it is read twice."""
+    shuffle. ``df`` is computed twice: it should be a written table or come from small ones."""
     row = reduce(lambda x, y: x + y, [byte_count(f.dataType, F.col(f"`{f.name}`")) for f in df.schema], F.lit(16).cast("long"))
     size = df.agg(F.sum(row)).first()[0] or 0
     return F.broadcast(df) if size <= most else df

@@ -381,8 +381,9 @@ def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float, id_col
     """Those of ``pairs`` (a, b: structs of id and row) whose texts' shingle sets have Jaccard similarity ``similarity`` or more, written. Only
     the texts of the pairs are read. b may be the same in many pairs: it is looked up first, while rows are narrow."""
     pairs = written(pairs.distinct(), "pairs")
+    # Computed twice rather than written: the pairs are few next to the texts.
     wanted = pairs.select("a.id", "a.row").unionByName(pairs.select("b.id", "b.row")).distinct()
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).join(broadcast_if_small(written(wanted, "wanted")), ["id", "row"], "left_semi")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).join(broadcast_if_small(wanted), ["id", "row"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -425,8 +426,6 @@ def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_co
     each = written(signatures(docs.filter(F.col(id_col).isNotNull()), k, similarity, id_col, text_col), "signatures")
     rest = F.min_by(F.struct("n", "fp", *_BITMAP, "prefix"), F.struct("id", "row")).alias("x")
     whole = written(each.groupBy("t1", "t2").agg(F.min(F.struct("id", "row")).alias("rep"), rest).select("t1", "t2", "rep", "x.*"), "texts")
-    members = written(each.select("id", "row", "t1", "t2"), "members")
-    discard(each)
 
     fps = written(whole.groupBy("fp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints")
     alike = fingerprint_components(fps, 3).select("fp", F.col("component").alias("b"))
@@ -437,9 +436,8 @@ def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_co
     held = written(entries.join(broadcast_if_small(twice), "h"), "held")
     info = written(whole.select("rep", *_BITMAP).join(held.groupBy("rep").agg(F.sum("texts").alias("weight")), "rep"), "info")
     now = written(held.drop("texts").join(broadcast_if_small(info), "rep").withColumn("c", F.col("rep")), "entries")
-    reps = written(whole.select("t1", "t2", "rep"), "reps")
-    total = info.count()
-    discard(whole, held, twice)
+    reps, total = whole.select("t1", "t2", "rep"), info.count()
+    discard(held, twice)
 
     def near(x: str, y: str) -> Column:
         """What holds for similar sets x and y at the first shingle that their prefixes share."""
@@ -474,9 +472,8 @@ def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_co
     cross = named(now.filter("other"), "x_").join(named(now, "y_").hint("merge"), "h").filter(near("x_", "y_") & once).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
     last = similar(docs, cross, k, similarity, id_col, text_col)
     groups = _grouped(reps, links.unionByName(last))
-    known = written(reps.join(groups, "rep").select("t1", "t2", F.col("c").alias("rep")), "groups")
     discard(now)
-    return members.join(known, ["t1", "t2"]).select("id", "row", "rep")
+    return each.select("id", "row", "t1", "t2").join(reps.join(groups, "rep").select("t1", "t2", F.col("c").alias("rep")), ["t1", "t2"]).select("id", "row", "rep")
 
 
 def drop_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -484,7 +481,7 @@ def drop_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
     are copies of each other; of rows that repeat the id and text that stays, one stays; an empty table stays empty; extra columns pass through."""
     found = written(duplicate_groups(docs, k, similarity, id_col=id_col, text_col=text_col), "found")
     first = F.struct("id", "row") == F.col("rep")
-    gone = broadcast_if_small(written(found.filter(~first).select(F.struct("id", "row").alias("key")).distinct(), "gone"))
+    gone = broadcast_if_small(found.filter(~first).select(F.struct("id", "row").alias("key")).distinct())
     own, nth = free_name(docs, "own"), free_name(docs, "nth")
     gone = gone.withColumnRenamed("key", own + "_gone")
     rows = docs.withColumn(own, F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row")))
