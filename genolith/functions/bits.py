@@ -17,16 +17,21 @@ def signed(word: str) -> Column:
     return F.when(F.col(word) >= 1 << 31, F.col(word) - (1 << 32)).otherwise(F.col(word)).cast("int")
 
 
-def unpack(packed: DataFrame, n_sites: int, hap: str = "hap") -> DataFrame:
-    """(hap, snp, allele) of packed words."""
+def unpack(packed: DataFrame, n_sites: int | None, hap: str = "hap") -> DataFrame:
+    """(hap, snp, allele) of packed words, of the first ``n_sites`` sites if given."""
     each = packed.select(hap, "block", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.bit_get(F.col("bits"), i).cast("int"))).alias("i", "allele"))
-    return each.select(hap, (F.col("block") * WORD + F.col("i")).alias("snp"), "allele").filter(F.col("snp") < n_sites)
+    sites = each.select(hap, (F.col("block") * WORD + F.col("i")).alias("snp"), "allele")
+    return sites if n_sites is None else sites.filter(F.col("snp") < n_sites)
 
 
 def distances(packed: DataFrame, other: DataFrame, hap: str = "hap") -> DataFrame:
-    """(hap, distance): sites at which each packed haplotype differs from ``other`` (block, bits), a single haplotype."""
-    both = packed.join(other.select("block", F.col("bits").alias("__o")), "block")
-    return both.groupBy(hap).agg(F.sum(F.bit_count(F.col("bits").bitwiseXOR(F.col("__o")).bitwiseAND(F.lit(0xFFFFFFFF)))).cast("long").alias("distance"))
+    """(hap, distance): sites at which each packed haplotype differs from ``other`` (block, bits), a single haplotype; a word that either
+    lacks is 0."""
+    ones = lambda c: F.bit_count(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    theirs = other.select("block", F.col("bits").alias("__o"))
+    total = theirs.agg(F.coalesce(F.sum(ones("__o")), F.lit(0)).alias("__t"))
+    both = packed.join(theirs, "block", "left").select(hap, ones("bits").alias("__a"), F.coalesce(F.bit_count(F.col("bits").bitwiseAND(F.col("__o")).bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(0)).alias("__b"))
+    return both.groupBy(hap).agg((F.sum("__a") - 2 * F.sum("__b")).alias("__d")).crossJoin(F.broadcast(total)).select(hap, (F.col("__d") + F.col("__t")).cast("long").alias("distance"))  # one row
 
 
 def dictionary(packed: DataFrame, most: int) -> DataFrame:

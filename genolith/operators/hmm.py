@@ -2,16 +2,17 @@
 
 Arrays are [sample, grid, state...]; founders' allele probabilities are p[k, site]. A step between grids keeps a
 haplotype's founder with probability s, else draws it from a[k]. All passes are scaled, and emissions are floored as the
-model asks, so nothing underflows.
+model asks, so nothing underflows. States are in memory for a block of grids at a time.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
-#: The greatest ratio between a read's likelihoods, and between a grid's emissions.
+#: The greatest ratio between a read's likelihoods, if a model doesn't say otherwise, and between a grid's emissions.
 READ_RATIO, GRID_RATIO = 1000.0, 1e10
 
 
@@ -38,6 +39,7 @@ class Model:
     switch: np.ndarray  # [k, step]
     stay: np.ndarray  # [step]
     prior: np.ndarray  # [k]
+    read_ratio: float = READ_RATIO  # the greatest between a read's likelihoods
 
     @property
     def k(self) -> int:
@@ -66,64 +68,136 @@ def read_likelihoods(r: Reads, m: Model) -> np.ndarray:
     out = np.zeros((len(r.sample), m.k))
     for k in range(m.k):
         out[:, k] = np.bincount(r.read, logs[k], minlength=len(r.sample))
-    return np.maximum(np.exp(out - out.max(axis=1, keepdims=True)), 1 / READ_RATIO)
+    return np.maximum(np.exp(out - out.max(axis=1, keepdims=True)), 1 / m.read_ratio)
+
+
+class Grids:
+    """The reads of a batch by grid, so that a pass may look at a few grids at a time."""
+
+    def __init__(self, r: Reads):
+        self.r, self.order = r, np.lexsort((r.sample, r.grid))
+        self.sorted = r.grid[self.order]
+
+    def rows(self, lo: int, hi: int) -> np.ndarray:
+        """The reads of the grids lo..hi-1, by grid and sample."""
+        a, b = np.searchsorted(self.sorted, [lo, hi])
+        return self.order[a:b]
+
+    def emissions(self, logs: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """[sample, grid, ...] of the grids lo..hi-1 from logs [read, ...], scaled and floored."""
+        rows = self.rows(lo, hi)
+        out = np.zeros((self.r.n, hi - lo, *logs.shape[1:]))
+        if len(rows):
+            key = (self.r.grid[rows] - lo) * self.r.n + self.r.sample[rows]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            out[key[first] % self.r.n, key[first] // self.r.n] = np.add.reduceat(logs[rows], first, axis=0)
+        flat = out.reshape(self.r.n, hi - lo, -1)
+        flat -= flat.max(axis=2, keepdims=True)
+        np.exp(flat, out=flat)
+        return np.maximum(out, 1 / GRID_RATIO, out=out)
 
 
-def _grid_emissions(r: Reads, logs: np.ndarray, grids: int) -> np.ndarray:
-    """[sample, grid, ...] from logs [read, ...], scaled and floored."""
-    flat = logs.reshape(len(logs), -1)
-    out = np.zeros((r.n * grids, flat.shape[1]))
-    np.add.at(out, r.sample * grids + r.grid, flat)
-    out = np.maximum(np.exp(out - out.max(axis=1, keepdims=True)), 1 / GRID_RATIO)
-    return out.reshape(r.n, grids, *logs.shape[1:])
+def _ahead(x: np.ndarray, m: Model, g: int) -> np.ndarray:
+    """Where scaled states [sample, k] or [sample, k, k] at grid g are at grid g + 1, before its emissions."""
+    s, w = m.stay[g], m.switch[:, g]
+    if x.ndim == 2:
+        return s * x + (1 - s) * w
+    one = s * (1 - s) * (w[:, None] * x.sum(axis=1)[:, None, :] + w[None, :] * x.sum(axis=2)[:, :, None])
+    return s * s * x + one + (1 - s) ** 2 * np.outer(w, w)
+
+
+def _behind(eb: np.ndarray, x: np.ndarray, m: Model, g: int) -> tuple[np.ndarray, np.ndarray]:
+    """(backward states at grid g, expected switches by founder into g + 1): ``eb`` is emission times backward state at g + 1,
+    ``x`` the forward states at g."""
+    s, w = m.stay[g], m.switch[:, g]
+    if eb.ndim == 2:
+        into = (1 - s) * w * eb
+        return s * eb + into.sum(axis=1, keepdims=True), into.sum(axis=0)
+    left = (w[:, None] * eb).sum(axis=1)  # the first haplotype switches
+    into = eb * (s * (1 - s) * w[:, None] * x.sum(axis=1)[:, None, :] + (1 - s) ** 2 * np.outer(w, w))
+    moved = s * (1 - s) * (left[:, None, :] + (w[None, :] * eb).sum(axis=2)[:, :, None])
+    return s * s * eb + moved + ((1 - s) ** 2 * (left @ w))[:, None, None], 2 * into.sum(axis=(0, 2))
+
+
+def _over(x: np.ndarray) -> tuple[int, ...]:
+    return tuple(range(1, x.ndim))
+
+
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    c = x.sum(axis=_over(x), keepdims=True)
+    return x / c, c
+
+
+#: Grids whose states are in memory together.
+BLOCK = 256
+
+Emit = Callable[[int, int], np.ndarray]
+
+
+def _start(m: Model, pairs: bool) -> np.ndarray:
+    return np.outer(m.prior, m.prior) if pairs else m.prior
+
+
+def _forward(emit: Emit, m: Model, pairs: bool, grids: int, block: int) -> list[np.ndarray | None]:
+    """The forward states before each block of grids (none before the first)."""
+    saved: list[np.ndarray | None] = [None]
+    a: np.ndarray | None = None
+    for lo in range(0, grids - block, block):
+        e = emit(lo, lo + block)
+        for g in range(lo, lo + block):
+            a, _ = _scaled(e[:, g - lo] * (_start(m, pairs) if a is None else _ahead(a, m, g - 1)))
+        saved.append(a)
+    return saved
+
+
+def _again(e: np.ndarray, before: np.ndarray | None, m: Model, pairs: bool, lo: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Forward states of a block with emissions ``e`` that begins at grid lo, and their scales."""
+    a, scales = np.empty_like(e), []
+    for g in range(e.shape[1]):
+        before, c = _scaled(e[:, g] * (_start(m, pairs) if before is None else _ahead(before, m, lo + g - 1)))
+        a[:, g] = before
+        scales.append(c)
+    return a, scales
+
+
+def passes(emit: Emit, m: Model, pairs: bool, visit: Callable[[int, np.ndarray], None], block: int = BLOCK) -> np.ndarray:
+    """Forward and backward over all grids, ``block`` at a time: the forward states before each block are kept, those inside are made
+    again on the way back, when ``visit(lo, gamma)`` sees each block's posteriors [sample, grid, state...]. Returns the expected
+    switches [k, step]."""
+    grids = len(m.stay) + 1
+    saved, switches, eb = _forward(emit, m, pairs, grids, block), np.zeros_like(m.switch), None
+    for number in reversed(range(len(saved))):
+        lo = number * block
+        e = emit(lo, min(grids, lo + block))
+        a, scales = _again(e, saved[number], m, pairs, lo)
+        for g in reversed(range(e.shape[1])):
+            if eb is None:
+                b: np.ndarray | float = 1.0
+            else:
+                b, switches[:, lo + g] = _behind(eb, a[:, g], m, lo + g)
+            eb = e[:, g] * b / scales[g]
+            a[:, g], _ = _scaled(a[:, g] * b)
+        visit(lo, a)
+    return switches
+
+
+def _whole(e: np.ndarray, m: Model, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+    gamma = np.empty_like(e)
+
+    def keep(lo: int, own: np.ndarray) -> None:
+        gamma[:, lo : lo + own.shape[1]] = own
+
+    return gamma, passes(lambda lo, hi: e[:, lo:hi], m, pairs, keep)
 
 
 def haploid(e: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """(gamma [sample, grid, k], expected switches [k, step]) for emissions [sample, grid, k]."""
-    n, t, _ = e.shape
-    a, c = np.empty_like(e), np.empty((n, t))
-    for g in range(t):
-        x = e[:, g] * (m.prior if g == 0 else m.stay[g - 1] * a[:, g - 1] + (1 - m.stay[g - 1]) * m.switch[:, g - 1])
-        c[:, g] = x.sum(axis=1)
-        a[:, g] = x / c[:, g, None]
-    b, switches, gamma = np.ones((n, e.shape[2])), np.zeros_like(m.switch), np.empty_like(e)
-    gamma[:, -1] = a[:, -1]
-    for g in range(t - 2, -1, -1):
-        eb = e[:, g + 1] * b / c[:, g + 1, None]
-        into = (1 - m.stay[g]) * m.switch[:, g] * eb
-        switches[:, g] = into.sum(axis=0)
-        b = m.stay[g] * eb + into.sum(axis=1, keepdims=True)
-        x = a[:, g] * b
-        gamma[:, g] = x / x.sum(axis=1, keepdims=True)
-    return gamma, switches
+    return _whole(e, m, False)
 
 
 def diploid(e: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     """(gamma [sample, grid, k, k], expected switches [k, step], both haplotypes) for emissions [sample, grid, k, k]."""
-    n, t = e.shape[:2]
-    a, c = np.empty_like(e), np.empty((n, t))
-    for g in range(t):
-        if g == 0:
-            x = e[:, 0] * np.outer(m.prior, m.prior)
-        else:
-            s, w, p = m.stay[g - 1], m.switch[:, g - 1], a[:, g - 1]
-            one = s * (1 - s) * (w[:, None] * p.sum(axis=1)[:, None, :] + w[None, :] * p.sum(axis=2)[:, :, None])
-            x = e[:, g] * (s * s * p + one + (1 - s) ** 2 * np.outer(w, w))
-        c[:, g] = x.sum(axis=(1, 2))
-        a[:, g] = x / c[:, g, None, None]
-    b, switches, gamma = np.ones(e.shape[:1] + e.shape[2:]), np.zeros_like(m.switch), np.empty_like(e)
-    gamma[:, -1] = a[:, -1]
-    for g in range(t - 2, -1, -1):
-        s, w = m.stay[g], m.switch[:, g]
-        eb = e[:, g + 1] * b / c[:, g + 1, None, None]
-        left = (w[:, None] * eb).sum(axis=1)  # the first haplotype switches
-        both = left @ w
-        into = eb * (s * (1 - s) * w[:, None] * a[:, g].sum(axis=1)[:, None, :] + (1 - s) ** 2 * np.outer(w, w))
-        switches[:, g] = 2 * into.sum(axis=(0, 2))
-        b = s * s * eb + s * (1 - s) * (left[:, None, :] + (w[None, :] * eb).sum(axis=2)[:, :, None]) + ((1 - s) ** 2 * both)[:, None, None]
-        x = a[:, g] * b
-        gamma[:, g] = x / x.sum(axis=(1, 2), keepdims=True)
-    return gamma, switches
+    return _whole(e, m, True)
 
 
 def _count(sums: Sums, r: Reads, m: Model, weight: np.ndarray) -> None:
@@ -135,78 +209,121 @@ def _count(sums: Sums, r: Reads, m: Model, weight: np.ndarray) -> None:
         sums.total[k] += np.bincount(r.site, w, minlength=m.p.shape[1])
 
 
-def run_diploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None) -> np.ndarray:
-    """Genotype posteriors [sample, site, 3]; adds to ``sums``."""
+class _Pass:
+    """What a pass over a batch gathers, block by block: a weight for each read, counts, and dosages or genotypes of the sites."""
+
+    def __init__(self, r: Reads, m: Model, grid_of: np.ndarray):
+        self.r, self.m, self.grid_of, self.grids = r, m, grid_of, Grids(r)
+
+    def at(self, lo: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(reads of the block, their samples' posteriors at their grids)."""
+        rows = self.grids.rows(lo, lo + own.shape[1])
+        return rows, own[self.r.sample[rows], self.r.grid[rows] - lo]
+
+    def sites(self, lo: int, own: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(grid in the block, first site, end of sites) of the block's grids that have sites."""
+        ends = np.searchsorted(self.grid_of, np.arange(lo, lo + own.shape[1] + 1))
+        return ((g, int(a), int(b)) for g, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b)
+
+    def run(self, logs: np.ndarray, pairs: bool, visit: Callable[[int, np.ndarray], None]) -> np.ndarray:
+        return passes(lambda lo, hi: self.grids.emissions(logs, lo, hi), self.m, pairs, visit)
+
+
+def run_diploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None) -> np.ndarray | None:
+    """Genotype posteriors [sample, site, 3]; with ``sums``, adds to these instead."""
     e = read_likelihoods(r, m)
     pair = e[:, :, None] + e[:, None, :]
-    gamma, switches = diploid(_grid_emissions(r, np.log(pair / 2), m.stay.shape[0] + 1), m)
+    own = _Pass(r, m, grid_of)
+    weight = np.zeros_like(e)
+    out = None if sums is not None else np.empty((r.n, len(grid_of), 3))
+
+    def visit(lo: int, gamma: np.ndarray) -> None:
+        if sums is not None:
+            rows, held = own.at(lo, gamma)
+            weight[rows] = 2 * (held * e[rows][:, :, None] / pair[rows]).sum(axis=2)
+            if lo == 0:
+                sums.prior += gamma[:, 0].sum(axis=(0, 2))
+            return
+        for g, a, b in own.sites(lo, gamma):
+            p = m.p[:, a:b]
+            both, none = (((gamma[:, g] @ x) * x).sum(axis=1) for x in (p, 1 - p))
+            out[:, a:b, 0], out[:, a:b, 1], out[:, a:b, 2] = none, 1 - both - none, both
+
+    switches = own.run(np.log(pair / 2), True, visit)
     if sums is not None:
-        own = gamma[r.sample, r.grid]
-        _count(sums, r, m, 2 * (own * e[:, :, None] / pair).sum(axis=2))
+        _count(sums, r, m, weight)
         sums.switch += switches
-        sums.prior += gamma[:, 0].sum(axis=(0, 2))
-    out = np.empty((r.n, len(grid_of), 3))
-    for g in range(gamma.shape[1]):
-        at = np.flatnonzero(grid_of == g)
-        p = m.p[:, at]
-        both, none = (np.einsum("nab,as,bs->ns", gamma[:, g], x, x, optimize=True) for x in (p, 1 - p))
-        out[:, at, 0], out[:, at, 1], out[:, at, 2] = none, 1 - both - none, both
-    return np.clip(out, 0, 1)
+        return None
+    return np.clip(out, 0, 1, out=out)
+
 
+def _haploid_pass(own: _Pass, logs: np.ndarray, dosage: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(posterior of each read's founder [read, k], expected switches, first grid's founders, dosages [sample, site] if asked for)."""
+    held = np.zeros_like(logs)
+    first = np.zeros(own.m.k)
+    doses = np.empty((own.r.n, len(own.grid_of))) if dosage else None
 
-def _dosage(gamma: np.ndarray, m: Model, grid_of: np.ndarray) -> np.ndarray:
-    return np.einsum("nsk,ks->ns", gamma[:, grid_of], m.p, optimize=True)
+    def visit(lo: int, gamma: np.ndarray) -> None:
+        rows, x = own.at(lo, gamma)
+        held[rows] = x
+        if lo == 0:
+            first[:] = gamma[:, 0].sum(axis=0)
+        if doses is not None:
+            for g, a, b in own.sites(lo, gamma):
+                doses[:, a:b] = gamma[:, g] @ own.m.p[:, a:b]
 
+    return held, own.run(logs, False, visit), first, doses
 
-def run_inbred(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None) -> np.ndarray:
+
+def run_inbred(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None) -> np.ndarray | None:
     """As ``run_diploid``, of samples with two equal haplotypes: one haploid pass, no heterozygotes."""
-    e = read_likelihoods(r, m)
-    gamma, switches = haploid(_grid_emissions(r, np.log(e), m.stay.shape[0] + 1), m)
+    held, switches, first, d = _haploid_pass(_Pass(r, m, grid_of), np.log(read_likelihoods(r, m)), sums is None)
     if sums is not None:
-        _count(sums, r, m, gamma[r.sample, r.grid])
+        _count(sums, r, m, held)
         sums.switch += switches
-        sums.prior += gamma[:, 0].sum(axis=0)
-    d = _dosage(gamma, m, grid_of)
+        sums.prior += first
+        return None
     return np.stack([1 - d, np.zeros_like(d), d], axis=2)
 
 
-def run_pseudo_haploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None, rounds: int = 3, seed: int = 0) -> np.ndarray:
+def run_pseudo_haploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None, rounds: int = 3, seed: int = 0) -> np.ndarray | None:
     """As ``run_diploid``, by two haploid passes that each see a read as half the other haplotype's.
 
     What a read is worth under the other haplotype starts from a draw (0.2 to 0.8) and is refined ``rounds`` times; cost
     is linear in the founders.
     """
     e = read_likelihoods(r, m)
+    own = _Pass(r, m, grid_of)
     other = [x for x in np.random.default_rng(seed).uniform(0.2, 0.8, (2, len(e)))]
-    gammas, switches = [None, None], np.zeros_like(m.switch)
+    doses: list[np.ndarray | None] = [None, None]
     for last in [False] * (rounds - 1) + [True]:
         for h in (0, 1):
             mixed = (e + other[1 - h][:, None]) / 2
-            gammas[h], moved = haploid(_grid_emissions(r, np.log(mixed / mixed.max(axis=1, keepdims=True)), m.stay.shape[0] + 1), m)
-            own = gammas[h][r.sample, r.grid]
-            other[h] = np.clip((own * e).sum(axis=1), 1e-3, 1 - 1e-3)
+            held, switches, first, doses[h] = _haploid_pass(own, np.log(mixed / mixed.max(axis=1, keepdims=True)), last and sums is None)
+            other[h] = np.clip((held * e).sum(axis=1), 1e-3, 1 - 1e-3)
             if last and sums is not None:
-                _count(sums, r, m, own * e / (e + other[1 - h][:, None]))
-                switches += moved
-                sums.prior += gammas[h][:, 0].sum(axis=0) / 2
+                _count(sums, r, m, held * e / (e + other[1 - h][:, None]))
+                sums.switch += switches
+                sums.prior += first / 2
     if sums is not None:
-        sums.switch += switches
-    a, b = (_dosage(g, m, grid_of) for g in gammas)
+        return None
+    a, b = doses
     return np.stack([(1 - a) * (1 - b), a * (1 - b) + b * (1 - a), a * b], axis=2)
 
 
 KERNELS = {"diploid": run_diploid, "diploid-inbred": run_inbred, "pseudoHaploid": run_pseudo_haploid}
 
 
-def maximise(sums: Sums, m: Model, n: int, af: np.ndarray, distance: np.ndarray, n_gen: float, min_rate: float, max_rate: float, threshold: float = 1e-4) -> Model:
-    """The M-step. ``distance`` is in bases by step, rates in cM per Mb; ``af`` fills sites no read spoke of."""
+def maximise(sums: Sums, m: Model, n: int, af: np.ndarray, distance: np.ndarray, n_gen: float, min_rate: float, max_rate: float, threshold: float = 1e-4, share_threshold: float = 1e-4) -> Model:
+    """The M-step. ``distance`` is in bases by step, rates in cM per Mb; ``af`` fills sites no read spoke of. ``threshold`` bounds alleles,
+    ``share_threshold`` the founders' shares of switches."""
     p = np.where(sums.total > 0, sums.alt / np.where(sums.total > 0, sums.total, 1), af[None, :])
     prior = np.maximum(sums.prior / max(sums.prior.sum(), 1e-300), 1 / (100 * m.k))
     low, high = (np.exp(-n_gen * rate * distance / 1e8) for rate in (max_rate, min_rate))
     stay = np.clip(np.exp(-sums.switch.sum(axis=0) / (2 * n)), low, high)
     total = sums.switch.sum(axis=0)
-    share = np.maximum(np.where(total > 0, sums.switch / np.where(total > 0, total, 1), 1 / m.k), threshold)
-    return Model(np.clip(p, threshold, 1 - threshold), share / share.sum(axis=0), stay, prior / prior.sum())
+    share = np.maximum(np.where(total > 0, sums.switch / np.where(total > 0, total, 1), 1 / m.k), share_threshold)
+    return replace(m, p=np.clip(p, threshold, 1 - threshold), switch=share / share.sum(axis=0), stay=stay, prior=prior / prior.sum())
 
 
 def refill(m: Model, usage: np.ndarray, grid_of: np.ndarray, n: int, seed: int) -> Model:
@@ -216,37 +333,65 @@ def refill(m: Model, usage: np.ndarray, grid_of: np.ndarray, n: int, seed: int)
     p, rng = m.p.copy(), np.random.default_rng(seed)
     for k in weak:
         p[k] = np.clip(m.p[rng.choice(m.k, p=mean / mean.sum())] + rng.normal(0, 0.05, p.shape[1]), 1e-4, 1 - 1e-4)
-    return Model(p, m.switch, m.stay, m.prior)
+    return replace(m, p=p)
+
 
+def _drawn(weights: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """An index of each row of ``weights``, drawn in proportion."""
+    past = weights.cumsum(axis=1)
+    return (past < rng.random(len(past))[:, None] * past[:, -1:]).sum(axis=1).clip(0, weights.shape[1] - 1)
 
-def sampled_phase(gamma: np.ndarray, m: Model, grid_of: np.ndarray, paths: int = 20, seed: int = 0) -> np.ndarray:
-    """[sample, site, 2] haplotype dosages by majority over founder pairs drawn from ``gamma`` grid by grid, each turned
-    so that it agrees best with the one before."""
+
+def sampled_paths(emit: Emit, m: Model, n: int, paths: int = 20, seed: int = 0, block: int = BLOCK) -> np.ndarray:
+    """[path, sample, grid, 2]: founder pairs of whole paths, drawn from their joint posterior: the last grid's from its forward states, each other's
+    from its own and the transition to what was drawn behind it."""
+    grids, k = len(m.stay) + 1, m.k
     rng = np.random.default_rng(seed)
-    n, t, k, _ = gamma.shape
-    votes = np.zeros((n, len(grid_of), 2))
-    for _ in range(paths):
-        before = None
-        pair = np.empty((n, t, 2), int)
-        for g in range(t):
-            u = rng.random(n)
-            flat = (gamma[:, g].reshape(n, -1).cumsum(axis=1) < u[:, None]).sum(axis=1).clip(0, k * k - 1)
-            now = np.stack([flat // k, flat % k], axis=1)
-            if before is not None:
-                turn = (now[:, ::-1] == before).sum(axis=1) > (now == before).sum(axis=1)
-                now[turn] = now[turn][:, ::-1]
-            pair[:, g] = before = now
-        votes += np.stack([m.p[pair[:, grid_of, h], np.arange(len(grid_of))] for h in (0, 1)], axis=2)
+    out = np.empty((paths, n, grids, 2), np.int32)
+    saved = _forward(emit, m, True, grids, block)
+    for number in reversed(range(len(saved))):
+        lo = number * block
+        a, _ = _again(emit(lo, min(grids, lo + block)), saved[number], m, True, lo)
+        for g in reversed(range(lo, lo + a.shape[1])):
+            x = a[:, g - lo]
+            for p in range(paths):
+                w = x
+                if g + 1 < grids:
+                    own = [(1 - m.stay[g]) * m.switch[out[p, :, g + 1, h], g][:, None] + m.stay[g] * (np.arange(k) == out[p, :, g + 1, h][:, None]) for h in (0, 1)]
+                    w = x * own[0][:, :, None] * own[1][:, None, :]
+                drawn = _drawn(w.reshape(n, -1), rng)
+                out[p, :, g, 0], out[p, :, g, 1] = drawn // k, drawn % k
+    return out
+
+
+def sampled_phase(r: Reads, m: Model, grid_of: np.ndarray, paths: int = 20, seed: int = 0) -> np.ndarray:
+    """[sample, site, 2] haplotype dosages: means over sampled founder paths, each turned so that it agrees best with the first."""
+    e = read_likelihoods(r, m)
+    own, logs = Grids(r), np.log((e[:, :, None] + e[:, None, :]) / 2)
+    drawn = sampled_paths(lambda lo, hi: own.emissions(logs, lo, hi), m, r.n, paths, seed)
+    votes = np.zeros((r.n, len(grid_of), 2))
+    for pair in drawn:
+        turn = (pair[:, :, ::-1] == drawn[0]).sum(axis=(1, 2)) > (pair == drawn[0]).sum(axis=(1, 2))
+        pair[turn] = pair[turn][:, :, ::-1]
+        for h in (0, 1):
+            votes[:, :, h] += m.p[pair[:, grid_of, h], np.arange(len(grid_of))]
     return votes / paths
 
 
-def marginals(r: Reads, m: Model, method: str) -> np.ndarray:
-    """[sample, grid, k]: how much of a sample is of each founder along the chromosome."""
-    e = read_likelihoods(r, m)
-    grids = m.stay.shape[0] + 1
-    if method == "diploid":
-        return diploid(_grid_emissions(r, np.log((e[:, :, None] + e[:, None, :]) / 2), grids), m)[0].sum(axis=3)
-    return haploid(_grid_emissions(r, np.log(e), grids), m)[0]
+def marginals(r: Reads, m: Model, method: str, at: list[int]) -> np.ndarray:
+    """[sample, place, k]: how much of a sample is of each founder at the grids ``at``."""
+    e, own, places = read_likelihoods(r, m), Grids(r), np.array(at)
+    pairs = method == "diploid"
+    logs = np.log((e[:, :, None] + e[:, None, :]) / 2) if pairs else np.log(e)
+    out = np.zeros((r.n, len(at), m.k))
+
+    def visit(lo: int, gamma: np.ndarray) -> None:
+        here = np.flatnonzero((places >= lo) & (places < lo + gamma.shape[1]))
+        x = gamma[:, places[here] - lo]
+        out[:, here] = x.sum(axis=3) if pairs else x
+
+    passes(lambda lo, hi: own.emissions(logs, lo, hi), m, pairs, visit)
+    return out
 
 
 def breaks(m: Model, middle: np.ndarray, radius: float, least: int = 1) -> list[tuple[int, int]]:
@@ -254,7 +399,8 @@ def breaks(m: Model, middle: np.ndarray, radius: float, least: int = 1) -> list[
     maximum above the median, highest first and apart by more than twice the radius."""
     rate = -np.log(np.clip(m.stay, 1e-300, 1 - 1e-15)) / np.maximum(np.diff(middle), 1)
     at = (middle[1:] + middle[:-1]) / 2
-    smooth = np.array([rate[np.abs(at - x) <= radius].mean() for x in at])
+    past, ends = np.concatenate([[0], np.cumsum(rate)]), np.stack([np.searchsorted(at, at - radius, "left"), np.searchsorted(at, at + radius, "right")])
+    smooth = (past[ends[1]] - past[ends[0]]) / (ends[1] - ends[0])
     peak = [i for i in np.argsort(-smooth, kind="stable") if smooth[i] > np.median(smooth) and smooth[i] >= smooth[max(0, i - 1) : i + 2].max()]
     kept: list[int] = []
     for i in peak:
@@ -283,4 +429,4 @@ def reorder(m: Model, at: list[tuple[int, int]], counts: np.ndarray, grid_of: np
         cut = (left + right) // 2
         sites, steps = grid_of > cut, np.arange(switch.shape[1]) > cut
         p[:, sites], switch[:, steps] = m.p[total][:, sites], m.switch[total][:, steps]
-    return Model(p, switch, m.stay, m.prior)
+    return replace(m, p=p, switch=switch)

@@ -2,51 +2,30 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window, functions as F
 
-#: A panel's haplotypes and sites that clustering looks at, at most; both are drawn by hash.
-HAPS, SITES = 2000, 1000
+#: Directions that a haplotype's alleles are projected on.
+DIRECTIONS = 64
 
 
-def kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 100, seed: int = 0) -> np.ndarray:
-    """Cluster of each row, the best of ``starts``; no cluster is empty where rows are as many and distinct."""
-    rng, best = np.random.default_rng(seed), (np.inf, np.zeros(len(x), int))
-    for _ in range(starts):
-        centres = x[[rng.integers(len(x))]]
-        while len(centres) < k:  # far points are likelier
-            d = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-            centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
-        for _ in range(rounds):
-            own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-            new = np.array([x[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(k)])
-            if np.allclose(new, centres):
-                break
-            centres = new
-        loss = ((x - centres[own]) ** 2).sum()
-        if loss < best[0]:
-            best = (loss, own)
-    return best[1]
+def sketches(panel: DataFrame, seed: int = 0) -> DataFrame:
+    """(hap, x): all alleles of a haplotype, less their sites' frequencies, projected on DIRECTIONS random directions, whose distances
+    stand for those of the haplotypes. Each cell adds its signs to sums that are made before they are shuffled."""
+    centred = panel.join(panel.groupBy("snp").agg(F.avg("allele").alias("f")), "snp").select("hap", (F.col("allele") - F.col("f")).alias("v"), F.xxhash64("snp", F.lit(seed)).alias("h"))
+    sums = [F.sum(F.when(F.bit_get("h", F.lit(i)) == 1, F.col("v")).otherwise(-F.col("v"))) for i in range(DIRECTIONS)]
+    return centred.groupBy("hap").agg(F.array(*sums).alias("x"))
 
 
 def choose_founders(panel: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """(k, hap): ``k`` haplotypes of a panel (hap, snp, allele), one from each cluster of their principal components; if clusters
-    are fewer, the rest are other haplotypes by hash."""
-    spark = panel.sparkSession
-    haps = panel.select("hap").distinct().orderBy(F.xxhash64("hap", F.lit(seed)), "hap").limit(HAPS)
-    common = panel.groupBy("snp").agg(F.avg("allele").alias("f")).orderBy(F.abs(F.col("f") - 0.5), F.xxhash64("snp", F.lit(seed)), "snp").limit(SITES).select("snp")
-    some = panel.join(F.broadcast(haps), "hap").join(F.broadcast(common), "snp").toPandas()  # at most HAPS x SITES alleles
-    x = some.pivot_table(index="hap", columns="snp", values="allele", fill_value=0)
-    centred = x.to_numpy(float) - x.to_numpy(float).mean(axis=0)
-    left, size, _ = np.linalg.svd(centred, full_matrices=False)
-    share = np.cumsum(size**2) / max((size**2).sum(), 1e-300)
-    n = min(len(size), max(k, int(np.searchsorted(share, 0.5)) + 1))
-    own = kmeans(left[:, :n] * size[:n], min(k, len(x)), seed=seed)
-    rng, chosen = np.random.default_rng(seed), []
-    for c in range(min(k, len(x))):
-        if (own == c).any():
-            chosen.append(int(rng.choice(np.flatnonzero(own == c))))
-    rest = [i for i in rng.permutation(len(x)) if i not in chosen]
-    chosen += rest[: k - len(chosen)]
-    return spark.createDataFrame(pd.DataFrame({"k": range(len(chosen)), "hap": [int(x.index[i]) for i in chosen]}), "k int, hap int")
+    """(k, hap): ``k`` haplotypes of a panel (hap, snp, allele), one from each cluster of their sketches, drawn by hash; if clusters
+    are fewer, the rest are other haplotypes by hash. All haplotypes and sites take part."""
+    points = sketches(panel, seed).select("hap", "x", array_to_vector("x").alias("features")).persist()
+    clusters = min(k, points.select("x").distinct().count())
+    own = KMeans(k=clusters, seed=seed, maxIter=50).fit(points).transform(points) if clusters > 1 else points.withColumn("prediction", F.lit(0))
+    draw = F.xxhash64("hap", F.lit(seed))
+    nth = own.withColumn("nth", F.row_number().over(Window.partitionBy("prediction").orderBy(draw, "hap")))
+    chosen = nth.orderBy(F.col("nth") > 1, F.when(F.col("nth") > 1, draw), "prediction").limit(k).select("hap").collect()  # k rows
+    points.unpersist()
+    return points.sparkSession.createDataFrame([(i, int(r.hap)) for i, r in enumerate(chosen)], "k int, hap int")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cigar import blocks
@@ -88,32 +93,32 @@ def cap_depth(reads: DataFrame, most: int, *by: str) -> DataFrame:
     return reads.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
 
 
-def cap_depth_greedy(reads: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """Reads (sample, read, snp[]) thinned until no site of a sample is deeper than ``most``: sites from left to
-    right, reads over several sites first, then others, in an order drawn from (seed, sample); a removed read lowers the
-    depth of all its sites. Order decides, so a sample is one group."""
-    import numpy as np
-    import pandas as pd
+def cap_depth_greedy(reads: DataFrame, most: float, seed: int = 0) -> DataFrame:
+    """Whole reads (sample, read, snp[]) thinned until no site of a sample is deeper than ``most``; every observation counts. Sites are taken from
+    left to right; where one is too deep, the reads left that cover it more than once go first, all of them, then as many others as
+    are still too many, drawn by (seed, sample). A read that goes lowers the depth of all its sites. Each site depends on those
+    before, so a sample is one group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("read").reset_index(drop=True)
-        depth: dict[int, int] = {}
-        at: dict[int, list[int]] = {}
-        for i, snps in enumerate(pdf["snp"]):
-            for s in set(snps):
-                depth[s] = depth.get(s, 0) + 1
-                at.setdefault(s, []).append(i)
-        rank = np.random.default_rng([seed, int(pdf["sample"].iloc[0])]).permutation(len(pdf))
-        gone: set[int] = set()
-        for s in sorted(depth):
-            for i in sorted(at[s], key=lambda i: (len(set(pdf["snp"][i])) == 1, rank[i])):
-                if depth[s] <= most:
-                    break
-                if i not in gone:
-                    gone.add(i)
-                    for x in set(pdf["snp"][i]):
-                        depth[x] -= 1
-        return pdf[[i not in gone for i in range(len(pdf))]]
+        pdf = pdf.sort_values("read", ignore_index=True)
+        owner = np.repeat(np.arange(len(pdf)), pdf["snp"].map(len).to_numpy())
+        sites, site = np.unique(np.concatenate([*pdf["snp"], np.empty(0, np.int64)]), return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(pdf)))])
+        depth, by_site = np.bincount(site, minlength=len(sites)), owner[np.argsort(site, kind="stable")]
+        past = np.concatenate([[0], np.cumsum(depth)])
+        stays, rng = np.ones(len(pdf), bool), np.random.default_rng([seed, zlib.crc32(str(pdf["sample"].iloc[0]).encode())])
+        for s in np.flatnonzero(depth > most):
+            if depth[s] > most:
+                own = by_site[past[s] : past[s + 1]]
+                here, times = np.unique(own[stays[own]], return_counts=True)
+                gone = here[times > 1]
+                extra = int(np.ceil(depth[s] - most - times[times > 1].sum()))
+                if extra > 0:
+                    gone = np.concatenate([gone, rng.choice(here[times == 1], extra, replace=False)])
+                stays[gone] = False
+                for r in gone:
+                    np.subtract.at(depth, site[ends[r] : ends[r + 1]], 1)
+        return pdf[stays]
 
     return reads.groupBy("sample").applyInPandas(run, reads.schema)
 

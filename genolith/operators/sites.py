@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-
 def _by(order: Column | str):
     """Sites of one chromosome are ordered together; chromosomes are apart."""
     return Window.partitionBy("chr").orderBy(order)
@@ -51,9 +49,12 @@ def cumulate(gmap: DataFrame) -> DataFrame:
 def interpolate(gmap: DataFrame, sites: DataFrame, rate: float = 0.5) -> DataFrame:
     """(chr, snp, pos, cm): the map (chr, position, cm) at the sites, linear between its points, ``rate`` beyond its ends."""
     every = sites.select("chr", "snp", "pos", F.lit(None).cast("double").alias("cm")).unionByName(gmap.select("chr", F.lit(None).cast("long").alias("snp"), F.col("position").alias("pos"), "cm"))
-    w = Window.partitionBy("chr").orderBy("pos", F.col("snp").asc_nulls_first())
+    up = Window.partitionBy("chr").orderBy("pos", F.col("snp").asc_nulls_first())
+    down = Window.partitionBy("chr").orderBy(F.desc("pos"), F.col("snp").desc_nulls_last())
     known = F.when(F.col("cm").isNotNull(), F.struct("pos", "cm"))
-    filled = every.withColumn("a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # Both look back, one in each order: a running value, where a look ahead would begin anew at each row.
+    last = lambda w: F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    filled = every.withColumn("a", last(up)).withColumn("b", last(down))
     between = F.col("a.cm") + (F.col("b.cm") - F.col("a.cm")) * (F.col("pos") - F.col("a.pos")) / (F.col("b.pos") - F.col("a.pos"))
     cm = F.when(F.col("a").isNull(), F.col("b.cm") - rate * (F.col("b.pos") - F.col("pos")) / 1e6).when(F.col("b").isNull(), F.col("a.cm") + rate * (F.col("pos") - F.col("a.pos")) / 1e6).when(F.col("a.pos") == F.col("pos"), F.col("a.cm")).otherwise(between)
     return filled.filter("snp is not null").select("chr", "snp", "pos", cm.alias("cm"))
@@ -134,31 +135,33 @@ def peaks(smoothed: DataFrame, radius: int, most: int) -> DataFrame:
 
 def output_blocks(gridded: DataFrame, size: int) -> DataFrame:
     """(chr, block, snp_start, snp_end, grid_start, grid_end): blocks of more than ``size`` sites that begin at a new
-    grid and hold two grids at least; a last block of one grid joins the one before. Each block's end depends on its start, so
-    a chromosome is one group, read in order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches))
-        out = []
-        for chrom, own in pdf.groupby("chr"):
-            own = own.sort_values("snp")
-            snps, grids, starts, n = own["snp"].tolist(), own["grid"].tolist(), [0], 1
-            for i in range(1, len(snps) - 1):
-                n += 1
-                if n > size and grids[i - 1] < grids[i] and grids[starts[-1]] + 1 < grids[i]:
-                    starts.append(i)
-                    n = 0
-            ends = [s - 1 for s in starts[1:]] + [len(snps) - 1]
-            if len(starts) > 1 and grids[starts[-1]] == grids[ends[-1]]:
-                starts.pop()
-                ends.pop(-2)
-            out += [(chrom, b, snps[s], snps[e], grids[s], grids[e]) for b, (s, e) in enumerate(zip(starts, ends))]
-        yield pd.DataFrame(out, columns=["chr", "block", "snp_start", "snp_end", "grid_start", "grid_end"])
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(run(iter([pdf])))
-
-    return gridded.select("chr", "snp", "grid").groupBy("chr").applyInPandas(whole, "chr string, block long, snp_start long, snp_end long, grid_start long, grid_end long")
+    grid and hold two grids at least; a last block of one grid joins the one before.
+
+    A block may begin at the first site of any grid but at a chromosome's last site. Where it does begin follows from the block before, so
+    a chromosome's grids (not its sites) are one group, in which each block's begin is looked up by bisection.
+    """
+    numbered = gridded.select("chr", "snp", "grid", (F.row_number().over(_by("snp")) - 1).alias("i"))
+    grids = numbered.groupBy("chr", "grid").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.min("snp").alias("snp_first"), F.max("snp").alias("snp_last"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("grid").reset_index(drop=True)
+        first, grid = own["first"].to_numpy(), own["grid"].to_numpy()
+        may = len(own) - (first[-1] == own["last"].iloc[-1])  # grids that a block may begin with
+        begins = [0]
+        while True:
+            at = begins[-1]
+            # The first block counts its first site, later ones don't.
+            enough = np.searchsorted(first[:may], first[at] + size + (at > 0))
+            begin = int(max(enough, np.searchsorted(grid[:may], grid[at] + 2), at + 1))
+            if begin >= may:
+                break
+            begins.append(begin)
+        if len(begins) > 1 and begins[-1] == len(own) - 1:
+            begins.pop()
+        ends = [*(x - 1 for x in begins[1:]), len(own) - 1]
+        return pd.DataFrame({"chr": own["chr"].iloc[0], "block": range(len(begins)), "snp_start": own["snp_first"].iloc[begins].to_numpy(), "snp_end": own["snp_last"].iloc[ends].to_numpy(), "grid_start": grid[begins], "grid_end": grid[ends]})
+
+    return grids.groupBy("chr").applyInPandas(run, "chr string, block long, snp_start long, snp_end long, grid_start long, grid_end long")
 
 
 def subset(observations: DataFrame, kept: DataFrame) -> DataFrame:

@@ -51,10 +51,9 @@ def genetic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Haplotypes of the first 100 suppliers at the first 256 sites, in long form."""
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 100").select(F.col("s_suppkey").cast("int").alias("hap"))
-    p = table(spark, sf_dir, "part").filter("p_partkey < 256").select(F.col("p_partkey").cast("int").alias("snp"))
-    return s.crossJoin(F.broadcast(p)).select("hap", "snp", ((F.col("hap") * 31 + F.col("snp") * 17 + (F.col("hap") % 7) * (F.col("snp") % 5)) % 2).cast("int").alias("allele"))  # 256 rows
+    """Haplotypes in long form: suppliers, at the sites whose parts they delivered; alleles by rule."""
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("int").alias("hap"), F.col("l_partkey").cast("int").alias("snp")).distinct()
+    return cells.select("hap", "snp", ((F.col("hap") * 31 + F.col("snp") * 17 + (F.col("hap") % 7) * (F.col("snp") % 5)) % 2).cast("int").alias("allele"))
 
 
 _BASE = "substr('ACGT', CAST(({}) % 4 AS INT) + 1, 1)"
@@ -67,7 +66,7 @@ SQL = {
     "samples": "SELECT c_custkey AS sample FROM customer",
     "frags": "SELECT o_custkey AS sample, l_orderkey AS qname, CASE WHEN l_suppkey % 7 = 0 THEN 'A00B' ELSE concat('T', l_suppkey % 5) END AS bx, CAST(l_partkey * 100 + l_linenumber AS BIGINT) AS start, CAST(l_partkey * 100 + l_linenumber + 50 + floor(l_quantity) AS BIGINT) AS \"end\" FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "gmap": "SELECT CAST(1 + 100 * p_partkey + p_size AS BIGINT) AS position, p_retailprice / 1000 AS rate FROM part WHERE p_partkey % 10 = 5",
-    "panel": "SELECT hap, snp, (hap * 31 + snp * 17 + (hap % 7) * (snp % 5)) % 2 AS allele FROM (SELECT s_suppkey AS hap FROM supplier WHERE s_suppkey < 100), (SELECT p_partkey AS snp FROM part WHERE p_partkey < 256)",
+    "panel": "SELECT DISTINCT CAST(l_suppkey AS INT) AS hap, CAST(l_partkey AS INT) AS snp, CAST((l_suppkey * 31 + l_partkey * 17 + (l_suppkey % 7) * (l_partkey % 5)) % 2 AS INT) AS allele FROM lineitem",
     "lik": "SELECT sample, snp, sum(ln(pr)) AS l0, sum(ln((pr + pa) / 2)) AS l1, sum(ln(pa)) AS l2, count(*) FILTER (bq < 0) AS ad0, count(*) FILTER (bq > 0) AS ad1 FROM prob GROUP BY sample, snp",
     "post": "SELECT sample, snp, ad0, ad1, e0 / (e0 + e1 + e2) AS g0, e1 / (e0 + e1 + e2) AS g1, e2 / (e0 + e1 + e2) AS g2 FROM (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1, exp(l2 - greatest(l0, l1, l2)) AS e2 FROM lik)",
 }

@@ -9,7 +9,8 @@ METHODS = ("diploid", "pseudoHaploid", "diploid-inbred")
 
 @dataclass(frozen=True)
 class Config:
-    """Names and defaults follow the usual ones of the field; ``check`` raises ValueError on the first broken rule."""
+    """Names and defaults follow the usual ones of the field; ``check`` raises ValueError on the first broken rule. There is no setting
+    without effect."""
 
     K: int
     nGen: float
@@ -35,11 +36,9 @@ class Config:
     regionStart: int | None = None
     regionEnd: int | None = None
     buffer: int | None = None
-    outputSNPBlockSize: int = 10000
     output_format: str = "bgvcf"
     readAware: bool = True
     do_phasing: bool = False
-    output_haplotype_dosages: bool = False
     seed: int = 1
 
     def check(self) -> Config:
@@ -62,6 +61,7 @@ class Config:
         need(all(given) or not any(given), "regionStart, regionEnd and buffer go together")
         need(not all(given) or 0 < self.regionStart <= self.regionEnd and self.buffer >= 0, "regionStart must be positive and at most regionEnd")
         need(self.output_format in ("bgvcf", "bgen"), "output_format must be bgvcf or bgen")
-        need(not self.output_haplotype_dosages or self.output_format == "bgvcf" and self.S == 1, "haplotype dosages need bgvcf and S = 1")
+        need(self.maxDifferenceBetweenReads >= 1, "maxDifferenceBetweenReads must be at least 1")
+        need(0 < self.alphaMatThreshold < 1 and 0 < self.emissionThreshold < 0.5, "thresholds must be small shares")
         need(not self.do_phasing or self.S == 1, "phasing needs S = 1")
         return self

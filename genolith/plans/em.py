@@ -1,23 +1,24 @@
 """Imputation: expectation-maximisation over samples.
 
-Reads are grouped by sample once and written. Each E-step is one narrow pass (Arrow batches of samples, parameters broadcast)
-whose expected counts are summed by Spark, so the driver holds no more than the model. Parameters live on the
+Reads are grouped by sample once. Each E-step is one narrow pass (Arrow batches of samples, parameters broadcast)
+whose expected counts are summed by Spark, part by part, so the driver holds no more than the model. Parameters live on the
 driver between iterations; plans don't grow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import hmm
 from ..operators.pileup import allele_counts
 from ..operators.reads import central
-from ..operators.sites import grid
+from ..operators.sites import grid, interpolate
 from .config import Config
 
 #: Samples whose arrays are in memory together.
@@ -34,44 +35,76 @@ def grouped_reads(observations: DataFrame, sites: DataFrame, width: int | None)
     index = F.broadcast(spark.createDataFrame(layout[["snp", "i", "grid"]]))
     mid = central(observations, sites).select("sample", "read", F.col("central").alias("snp")).join(index.select("snp", "grid"), "snp").select("sample", "read", "grid")
     reads = observations.join(index.select("snp", "i"), "snp").groupBy("sample", "read").agg(F.collect_list("i").alias("site"), F.collect_list("bq").alias("bq")).join(mid, ["sample", "read"])
-    return reads.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("grid", "read", "site", "bq"))).alias("reads")), layout
+    own = reads.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("grid", "read", "site", "bq"))).alias("r"))
+    # Flat lists, that a batch of samples may be taken as arrays.
+    flat = [F.col("r.grid").cast("array<int>").alias("grid"), F.transform("r.site", F.size).alias("sites"), F.flatten("r.site").cast("array<int>").alias("site"), F.flatten("r.bq").cast("array<int>").alias("bq")]
+    return own.select("sample", *flat), layout
 
 
-def _batch(pdf: pd.DataFrame) -> hmm.Reads:
-    sample, grids, sites, bqs, sizes = [], [], [], [], []
-    for n, reads in enumerate(pdf["reads"]):
-        for r in reads:
-            sample.append(n)
-            grids.append(r["grid"])
-            sizes.append(len(r["site"]))
-            sites.extend(r["site"])
-            bqs.extend(r["bq"])
-    return hmm.Reads(len(pdf), np.array(sample, int), np.array(grids, int), np.repeat(np.arange(len(sizes)), sizes), np.array(sites, int), np.array(bqs, float))
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a list column."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for i in range(0, len(pdf), TOGETHER):
-            yield pdf.iloc[i : i + TOGETHER]
+def _batch(batch: pa.RecordBatch) -> hmm.Reads:
+    grids, reads = _flat(batch.column("grid"))
+    sizes, _ = _flat(batch.column("sites"))
+    sites, _ = _flat(batch.column("site"))
+    bqs, _ = _flat(batch.column("bq"))
+    return hmm.Reads(batch.num_rows, np.repeat(np.arange(batch.num_rows), reads), grids.astype(int), np.repeat(np.arange(len(sizes)), sizes), sites.astype(int), bqs.astype(float))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(i, TOGETHER)
+
+
+#: Numbers of a part of an array that travels as one row.
+PART = 1 << 16
+
+
+def summed(rows: DataFrame, arrays: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Sums over all partitions of ``rows`` of the arrays that ``arrays`` makes of each. They are summed in parts, a row each: each part by one
+    task, which holds no more than the parts that are its own."""
+    kinds = "name string, part int, x binary"
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, x in arrays(batches).items():
+            flat = np.ascontiguousarray(x, np.float64).ravel()
+            for i in range(0, len(flat), PART):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i // PART], pa.int32()), pa.array([flat[i : i + PART].tobytes()], pa.binary())], ["name", "part", "x"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for name, part, x in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(x)
+                total[name, part] = total[name, part] + x if (name, part) in total else x
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["name", "part", "x"])
+
+    found = rows.mapInArrow(make, kinds).repartition("name", "part").mapInArrow(add, kinds).collect()  # as large as the model
+    out: dict[str, list[np.ndarray]] = {}
+    for r in sorted(found, key=lambda r: (r.name, r.part)):
+        out.setdefault(r.name, []).append(np.frombuffer(r.x))
+    return {name: np.concatenate(parts) for name, parts in out.items()}
 
 
 def expect(samples: DataFrame, model: hmm.Model, grid_of: np.ndarray, method: str) -> hmm.Sums:
     """Expected counts over all samples."""
     shared = samples.sparkSession.sparkContext.broadcast((model, grid_of))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         m, g = shared.value
         sums = hmm.Sums.zero(m)
-        for pdf in _slices(batches):
-            hmm.KERNELS[method](_batch(pdf), m, g, sums)
-        for name in ("alt", "total", "switch", "prior"):
-            x = getattr(sums, name).ravel()
-            yield pd.DataFrame({"name": name, "i": np.arange(len(x)), "v": x})
+        for batch in _slices(batches):
+            hmm.KERNELS[method](_batch(batch), m, g, sums)
+        return {name: getattr(sums, name) for name in ("alt", "total", "switch", "prior")}
 
-    total = samples.mapInPandas(run, "name string, i int, v double").groupBy("name", "i").agg(F.sum("v").alias("v")).toPandas()
     out = hmm.Sums.zero(model)
-    for name, own in total.groupby("name"):
-        getattr(out, str(name)).ravel()[own["i"].to_numpy()] = own["v"].to_numpy()
+    for name, x in summed(samples, run).items():
+        setattr(out, name, x.reshape(getattr(out, name).shape))
     shared.unpersist()
     return out
 
@@ -80,35 +113,36 @@ def continued(samples: DataFrame, model: hmm.Model, method: str, at: list[tuple[
     """[break, k, j]: over all samples, founder k left of a break and j right of it."""
     shared = samples.sparkSession.sparkContext.broadcast((model, at))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         m, places = shared.value
         out = np.zeros((len(places), m.k, m.k))
-        for pdf in _slices(batches):
-            own = hmm.marginals(_batch(pdf), m, method)
-            for b, (left, right) in enumerate(places):
-                out[b] += own[:, left].T @ own[:, right]
-        yield pd.DataFrame({"i": np.arange(out.size), "v": out.ravel()})
-
-    total = samples.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros((len(at), model.k, model.k))
-    out.ravel()[total["i"].to_numpy()] = total["v"].to_numpy()
-    return out
+        for batch in _slices(batches):
+            own = hmm.marginals(_batch(batch), m, method, [g for pair in places for g in pair])
+            out += np.einsum("nbk,nbj->bkj", own[:, ::2], own[:, 1::2])
+        return {"counts": out}
+
+    found = summed(samples, run)
+    shared.unpersist()
+    return found["counts"].reshape(len(at), model.k, model.k) if found else np.zeros((len(at), model.k, model.k))
 
 
-def fit(samples: DataFrame, layout: pd.DataFrame, af: np.ndarray, n: int, config: Config, seed: int) -> tuple[hmm.Model, str]:
-    """The model after ``niterations``, and the method of the last one."""
+def fit(samples: DataFrame, layout: pd.DataFrame, af: np.ndarray, n: int, config: Config, seed: int, start: np.ndarray | None = None) -> tuple[hmm.Model, str]:
+    """The model after ``niterations``, and the method of the last one. Alleles begin as ``start`` [k, site], else as draws; recombination as the
+    layout's map (cm) says, if it has one, else as one rate everywhere."""
     rng = np.random.default_rng([config.seed, seed])
     grid_of = layout["grid"].to_numpy()
     grids = int(grid_of.max()) + 1
     middle = layout.groupby("grid")["pos"].mean().to_numpy()
     distance = np.diff(middle)
-    model = hmm.Model(rng.uniform(0.05, 0.95, (config.K, len(layout))), np.full((config.K, grids - 1), 1 / config.K), np.exp(-config.nGen * config.expRate * distance / 1e8), np.full(config.K, 1 / config.K))
+    step = np.diff(layout.groupby("grid")["cm"].mean().to_numpy()) if "cm" in layout else config.expRate * distance / 1e6
+    p = rng.uniform(0.05, 0.95, (config.K, len(layout))) if start is None else np.clip(start, config.emissionThreshold, 1 - config.emissionThreshold)
+    model = hmm.Model(p, np.full((config.K, grids - 1), 1 / config.K), np.exp(-config.nGen * step / 100), np.full(config.K, 1 / config.K), config.maxDifferenceBetweenReads)
     method = config.method
     for i in range(1, config.niterations):
         if config.switchModelIteration == i:
             method = "diploid"
         sums = expect(samples, model, grid_of, method)
-        model = hmm.maximise(sums, model, n, af, distance, config.nGen, config.minRate, config.maxRate, config.emissionThreshold)
+        model = hmm.maximise(sums, model, n, af, distance, config.nGen, config.minRate, config.maxRate, config.emissionThreshold, config.alphaMatThreshold)
         if i in config.shuffleHaplotypeIterations and config.K > 1:
             at = hmm.breaks(model, middle, config.shuffle_bin_radius)
             if at:
@@ -119,78 +153,105 @@ def fit(samples: DataFrame, layout: pd.DataFrame, af: np.ndarray, n: int, config
     return model, method
 
 
-def impute(observations: DataFrame, sites: DataFrame, config: Config) -> DataFrame:
-    """(sample, snp, g0, g1, g2) of every sample with reads at every site: posteriors averaged over S fits."""
+class Inputs:
+    """The samples, grouped and held by Spark, and the sites of an imputation. Samples of ``every`` (sample) that have no reads take part
+    without any; ``gmap`` (chr, position, cm) is the genetic map, if there is one."""
+
+    def __init__(self, observations: DataFrame, sites: DataFrame, config: Config, every: DataFrame | None = None, gmap: DataFrame | None = None):
+        grouped, self.layout = grouped_reads(observations, sites, config.gridWindowSize)
+        if every is not None:
+            grouped = every.select("sample").distinct().join(grouped, "sample", "left")
+            grouped = grouped.select("sample", *[F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in grouped.columns if c != "sample"])
+        spark = grouped.sparkSession
+        self.samples = grouped.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sample").persist()
+        self.n = self.samples.count()
+        if gmap is not None:
+            self.layout = self.layout.merge(interpolate(gmap, sites, config.expRate).select("snp", "cm").toPandas(), on="snp").sort_values("i")
+        counted = allele_counts(observations, sites).select("snp", "af").toPandas()
+        self.af = self.layout.merge(counted, on="snp", how="left").sort_values("i")["af"].to_numpy()
+
+    def fits(self, config: Config, founders: DataFrame | None) -> list[tuple[hmm.Model, str]]:
+        """S fits. ``founders`` (k, snp, p): alleles to begin with."""
+        start = None
+        if founders is not None:
+            found = founders.filter(F.col("k") < config.K).toPandas().pivot(index="k", columns="snp", values="p").reindex(index=range(config.K), columns=self.layout["snp"])
+            start = np.where(found.isna(), self.af[None, :], found.to_numpy(float))
+        return [fit(self.samples, self.layout, self.af, self.n, config, s, start) for s in range(config.S)]
+
+    def share(self, fits: list[tuple[hmm.Model, str]]):
+        return self.samples.sparkSession.sparkContext.broadcast((fits, self.layout["grid"].to_numpy(), self.layout["snp"].to_numpy()))
+
+
+def impute(observations: DataFrame, sites: DataFrame, config: Config, every: DataFrame | None = None, gmap: DataFrame | None = None, founders: DataFrame | None = None) -> DataFrame:
+    """(sample, snp, g0, g1, g2) of every sample (of ``every``, else of those with reads) at every site: posteriors averaged over S fits."""
     config.check()
-    samples, layout = grouped_reads(observations, sites, config.gridWindowSize)
-    samples = samples.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sample").persist()
-    n = samples.count()
-    counted = allele_counts(observations, sites).select("snp", "af").toPandas()
-    af = layout.merge(counted, on="snp", how="left").sort_values("i")["af"].to_numpy()
-    fits = [fit(samples, layout, af, n, config, s) for s in range(config.S)]
-    shared = samples.sparkSession.sparkContext.broadcast((fits, layout["grid"].to_numpy(), layout["snp"].to_numpy()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = Inputs(observations, sites, config, every, gmap)
+    shared = own.share(own.fits(config, founders))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, grid_of, snps = shared.value
-        for pdf in _slices(batches):
-            r = _batch(pdf)
+        for batch in _slices(batches):
+            r = _batch(batch)
             gp = sum(hmm.KERNELS[method](r, m, grid_of) for m, method in models) / len(models)
-            yield pd.DataFrame({"sample": np.repeat(pdf["sample"].to_numpy(), len(snps)), "snp": np.tile(snps, len(pdf)), **{f"g{i}": gp[:, :, i].ravel() for i in range(3)}})
+            yield _rows(batch, snps, {f"g{i}": gp[:, :, i] for i in range(3)})
 
-    return samples.mapInPandas(run, "sample long, snp long, g0 double, g1 double, g2 double")
+    return own.samples.mapInArrow(run, "sample long, snp long, g0 double, g1 double, g2 double")
 
 
-def phase(observations: DataFrame, sites: DataFrame, config: Config) -> DataFrame:
-    """(sample, snp, h0, h1): haplotype dosages by votes over sampled founder pairs."""
+def _rows(batch: pa.RecordBatch, snps: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each sample of the batch and each site."""
+    names = batch.column("sample").to_numpy(zero_copy_only=False).astype(np.int64)
+    arrays = [pa.array(np.repeat(names, len(snps))), pa.array(np.tile(snps.astype(np.int64), len(names)))]
+    return pa.RecordBatch.from_arrays(arrays + [pa.array(np.ascontiguousarray(x).ravel()) for x in columns.values()], ["sample", "snp", *columns])
+
+
+def phase(observations: DataFrame, sites: DataFrame, config: Config, every: DataFrame | None = None, gmap: DataFrame | None = None, founders: DataFrame | None = None) -> DataFrame:
+    """(sample, snp, h0, h1): haplotype dosages by votes over sampled founder paths."""
     config = replace(config, do_phasing=True, method="diploid").check()
-    samples, layout = grouped_reads(observations, sites, config.gridWindowSize)
-    samples = samples.persist()
-    n = samples.count()
-    counted = allele_counts(observations, sites).select("snp", "af").toPandas()
-    af = layout.merge(counted, on="snp", how="left").sort_values("i")["af"].to_numpy()
-    model, _ = fit(samples, layout, af, n, config, 0)
-    shared = samples.sparkSession.sparkContext.broadcast((model, layout["grid"].to_numpy(), layout["snp"].to_numpy()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, grid_of, snps = shared.value
-        for pdf in _slices(batches):
-            r = _batch(pdf)
-            e = hmm.read_likelihoods(r, m)
-            gamma, _ = hmm.diploid(hmm._grid_emissions(r, np.log((e[:, :, None] + e[:, None, :]) / 2), len(m.stay) + 1), m)
-            h = hmm.sampled_phase(gamma, m, grid_of, seed=config.seed)
-            yield pd.DataFrame({"sample": np.repeat(pdf["sample"].to_numpy(), len(snps)), "snp": np.tile(snps, len(pdf)), "h0": h[:, :, 0].ravel(), "h1": h[:, :, 1].ravel()})
-
-    return samples.mapInPandas(run, "sample long, snp long, h0 double, h1 double")
-
-
-def panel_model(panel: DataFrame, k: int, iterations: int = 5, phred: int = 20, switch: float = 0.01, seed: int = 0) -> DataFrame:
-    """(k, snp, p): founders fitted to a panel (hap, snp, allele), each haplotype read as one-site reads of score ``phred``."""
-    snps = [r.snp for r in panel.select("snp").distinct().orderBy("snp").collect()]  # the model's own size
-    index = {s: i for i, s in enumerate(snps)}
-    haps = panel.groupBy("hap").agg(F.array_sort(F.collect_list(F.struct("snp", "allele"))).alias("x")).persist()
-    n = haps.count()
-    grid_of = np.arange(len(snps))
-    model = hmm.Model(np.random.default_rng(seed).uniform(0.2, 0.8, (k, len(snps))), np.full((k, len(snps) - 1), 1 / k), np.full(len(snps) - 1, 1 - switch), np.full(k, 1 / k))
+    own = Inputs(observations, sites, config, every, gmap)
+    shared = own.share(own.fits(config, founders))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ((m, _),), grid_of, snps = shared.value
+        for batch in _slices(batches):
+            h = hmm.sampled_phase(_batch(batch), m, grid_of, seed=config.seed)
+            yield _rows(batch, snps, {"h0": h[:, :, 0], "h1": h[:, :, 1]})
+
+    return own.samples.mapInArrow(run, "sample long, snp long, h0 double, h1 double")
 
-    def as_reads(pdf: pd.DataFrame) -> hmm.Reads:
-        rows = [(h, index[v["snp"]], phred if v["allele"] else -phred) for h, x in enumerate(pdf["x"]) for v in x]
-        h, s, b = (np.array(c) for c in zip(*rows))
-        return hmm.Reads(len(pdf), h, s, np.arange(len(h)), s, b.astype(float))
 
+def founder_posteriors(samples: DataFrame, model: hmm.Model, pairs: bool) -> DataFrame:
+    """(sample, grid, gamma): posteriors of founders, or of pairs of founders (k1 * K + k2), at each grid."""
+    shared = samples.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in _slices(batches):
+            r = _batch(batch)
+            e, grids, found = hmm.read_likelihoods(r, m), hmm.Grids(r), []
+            logs = np.log((e[:, :, None] + e[:, None, :]) / 2) if pairs else np.log(e)
+            hmm.passes(lambda lo, hi: grids.emissions(logs, lo, hi), m, pairs, lambda lo, x: found.append(x.copy()))
+            gamma = np.concatenate(found[::-1], axis=1).reshape(r.n, len(m.stay) + 1, -1)
+            names, n = batch.column("sample").to_numpy(zero_copy_only=False).astype(np.int64), gamma.shape[1]
+            ends = np.arange(0, gamma.size + 1, gamma.shape[2], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.tile(np.arange(n), len(names))), pa.ListArray.from_arrays(pa.array(ends), pa.array(gamma.ravel()))], ["sample", "grid", "gamma"])
+
+    return samples.mapInArrow(run, "sample long, grid long, gamma array<double>")
+
+
+def panel_model(panel: DataFrame, k: int, iterations: int = 40, phred: int = 20, switch: float = 0.01, seed: int = 0) -> DataFrame:
+    """(k, snp, p): founders fitted to a panel (hap, snp, allele), each haplotype read as one-site reads of score ``phred``."""
+    spark = panel.sparkSession
+    snps = np.array([r.snp for r in panel.select("snp").distinct().orderBy("snp").collect()])  # the model's own size
+    index = F.broadcast(spark.createDataFrame(pd.DataFrame({"snp": snps, "i": np.arange(len(snps), dtype=np.int32)})))
+    cells = panel.join(index, "snp").select("hap", F.struct("i", F.when(F.col("allele") == 1, phred).otherwise(-phred).alias("bq")).alias("x"))
+    lists = cells.groupBy("hap").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    haps = lists.select(F.col("hap").alias("sample"), F.col("x.i").alias("grid"), F.transform("x", lambda _: F.lit(1)).alias("sites"), F.col("x.i").alias("site"), F.col("x.bq").alias("bq")).persist()
+    n, grid_of = haps.count(), np.arange(len(snps))
+    model = hmm.Model(np.random.default_rng(seed).uniform(0.2, 0.8, (k, len(snps))), np.full((k, len(snps) - 1), 1 / k), np.full(len(snps) - 1, 1 - switch), np.full(k, 1 / k))
     for _ in range(iterations):
-        shared = panel.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            sums = hmm.Sums.zero(shared.value)
-            for pdf in _slices(batches):
-                hmm.run_inbred(as_reads(pdf), shared.value, grid_of, sums)
-            for name in ("alt", "total", "switch", "prior"):
-                x = getattr(sums, name).ravel()
-                yield pd.DataFrame({"name": name, "i": np.arange(len(x)), "v": x})
-
-        sums = hmm.Sums.zero(model)
-        for name, own in haps.mapInPandas(run, "name string, i int, v double").groupBy("name", "i").agg(F.sum("v").alias("v")).toPandas().groupby("name"):
-            getattr(sums, str(name)).ravel()[own["i"].to_numpy()] = own["v"].to_numpy()
+        sums = expect(haps, model, grid_of, "diploid-inbred")
         model = hmm.maximise(sums, model, n, np.full(len(snps), 0.5), np.ones(len(snps) - 1), 1.0, 0.0, 1e9)
+    haps.unpersist()
     rows = pd.DataFrame({"k": np.repeat(np.arange(k), len(snps)), "snp": np.tile(snps, k), "p": model.p.ravel()})
-    return panel.sparkSession.createDataFrame(rows, "k int, snp long, p double")
+    return spark.createDataFrame(rows, "k int, snp long, p double")

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import bits, cigar, hwe, phred
-from ..operators import evaluate, forward, panel as panels, pileup, reads, sites as site_ops
+from ..operators import evaluate, forward, hmm, panel as panels, pileup, reads, sites as site_ops
 from . import adapter, em
 from .adapter import with_tables
 from .config import Config
@@ -243,7 +245,16 @@ def recombination_peaks(spark, d):
     return site_ops.peaks(site_ops.smooth(_steps(spark, d), 500), 500, 1000).select("mid", r6("smoothed").alias("smoothed"))
 
 
-@query()
+_CHAIN = """,
+n AS (SELECT snp, row_number() OVER (ORDER BY snp) - 1 AS i, dense_rank() OVER (ORDER BY CAST(ceil(pos / 350) AS BIGINT)) - 1 AS grid FROM sites),
+g AS (SELECT grid, min(i) AS a, max(i) AS z, min(snp) AS snp_a, max(snp) AS snp_z FROM n GROUP BY grid),
+may AS (SELECT a, grid FROM g WHERE a < (SELECT max(i) FROM n)),
+chain AS (SELECT 0::BIGINT AS a, 0::BIGINT AS grid, 0::BIGINT AS block
+  UNION ALL SELECT min(m.a), min(m.grid), c.block + 1 FROM chain c JOIN may m ON m.a >= c.a + 100 + (c.block > 0)::INT AND m.grid >= c.grid + 2 GROUP BY c.block),
+cut AS (SELECT * FROM chain WHERE block = 0 OR grid < (SELECT max(grid) FROM g))"""
+
+
+@query(with_tables("sites", recursive=True) + _CHAIN + "\nSELECT 'chr1' AS chr, block, snp_a AS snp_start, (SELECT max(snp_z) FROM g WHERE g.grid <= e) AS snp_end, grid AS grid_start, e AS grid_end FROM (SELECT block, grid, coalesce(lead(grid) OVER (ORDER BY block) - 1, (SELECT max(grid) FROM g)) AS e FROM cut) JOIN g USING (grid)")
 def output_blocks(spark, d):
     return site_ops.output_blocks(site_ops.grid(adapter.sites(spark, d), 350), 100)
 
@@ -256,16 +267,17 @@ def bitpack(spark, d):
     return bits.pack(adapter.panel(spark, d))
 
 
-@query(with_tables("panel") + "\nSELECT CAST(hap AS INT) AS hap, CAST(snp AS INT) AS snp, CAST(allele AS INT) AS allele FROM panel")
+@query(_PACKED.replace("sum(allele <<", "sum(CAST(allele AS BIGINT) <<") + "\nSELECT CAST(hap AS INT) AS hap, CAST(snp AS INT) AS snp, CAST(allele AS INT) AS allele FROM (SELECT hap, block * 32 + i AS snp, (word >> i) & 1 AS allele FROM w, range(32) AS r(i)) WHERE snp IN (SELECT p_partkey FROM part)")
 def bitunpack(spark, d):
     sites = adapter.sites(spark, d).select(F.col("snp").cast("int").alias("snp"))
-    return bits.unpack(bits.pack(adapter.panel(spark, d)), 256).join(sites, "snp", "left_semi")
+    return bits.unpack(bits.pack(adapter.panel(spark, d)), None).join(sites, "snp", "left_semi")
 
 
-@query(with_tables("panel") + "\nSELECT CAST(a.hap AS INT) AS hap, CAST(sum(abs(a.allele - b.allele)) AS BIGINT) AS distance FROM panel a JOIN panel b ON a.snp = b.snp AND b.hap = 0 GROUP BY a.hap")
+@query(with_tables("panel") + ",\no AS (SELECT snp, allele FROM panel WHERE hap = (SELECT min(hap) FROM panel))\nSELECT hap, CAST(sum(a.allele) - 2 * sum(a.allele * coalesce(o.allele, 0)) + (SELECT sum(allele) FROM o) AS BIGINT) AS distance FROM panel a LEFT JOIN o USING (snp) GROUP BY hap")
 def hap_distance(spark, d):
     packed = bits.pack(adapter.panel(spark, d))
-    return bits.distances(packed, packed.filter("hap = 0"))
+    least = packed.agg(F.min("hap").alias("hap"))
+    return bits.distances(packed, packed.join(F.broadcast(least), "hap"))  # one row
 
 
 @query(_PACKED.replace("sum(allele <<", "sum(CAST(allele AS BIGINT) <<") + ",\nn AS (SELECT block, bits, row_number() OVER (PARTITION BY block ORDER BY count(*) DESC, bits) AS code FROM packed GROUP BY block, bits)\nSELECT CAST(hap AS INT) AS hap, CAST(block AS INT) AS block, CASE WHEN code <= 10 THEN code ELSE 0 END AS code FROM packed JOIN n USING (block, bits)")
@@ -436,11 +448,9 @@ def refill_bins(spark, d):
     return u.select("bin", "k", "n", (F.col("n") < 0.2 * F.sum("n").over(Window.partitionBy("bin"))).alias("weak"))
 
 
-@query("SELECT g.snp, count(*) AS n FROM (SELECT p_partkey AS snp, c_custkey AS sample, CASE WHEN (p_partkey * 7 + c_custkey * 3) % 40 < p_partkey % 5 THEN NULL ELSE 1 END AS g FROM part, customer WHERE p_partkey < 200 AND c_custkey < 200) g GROUP BY g.snp HAVING count(*) FILTER (g IS NULL) <= 0.05 * count(*)")
+@query(with_tables("obs") + "\nSELECT snp, count(*) AS n FROM (SELECT DISTINCT snp, sample, CASE WHEN (snp * 7 + sample * 3) % 40 < snp % 5 THEN NULL ELSE 1 END AS g FROM obs) GROUP BY snp HAVING count(*) FILTER (g IS NULL) <= 0.05 * count(*)")
 def missing_call_filter(spark, d):
-    p = adapter.table(spark, d, "part").filter("p_partkey < 200").select(F.col("p_partkey").alias("snp"))
-    c = adapter.table(spark, d, "customer").filter("c_custkey < 200").select(F.col("c_custkey").alias("sample"))
-    calls = p.crossJoin(F.broadcast(c)).select("snp", F.when((F.col("snp") * 7 + F.col("sample") * 3) % 40 >= F.col("snp") % 5, 1).alias("g"))  # 200 rows
+    calls = _obs(spark, d).select("snp", "sample").distinct().select("snp", F.when((F.col("snp") * 7 + F.col("sample") * 3) % 40 >= F.col("snp") % 5, 1).alias("g"))
     return evaluate.usable_calls(calls)
 
 
@@ -485,9 +495,68 @@ def phase_discordance(spark, d):
     return evaluate.phase_switches_without_doubles(p)
 
 
+_F3 = _FOUNDERS.replace("[0, 1]", "[0, 1, 2]")
+_GRID_E = """,
+gr AS (SELECT snp, dense_rank() OVER (ORDER BY CAST(ceil(pos / 5000) AS BIGINT)) - 1 AS grid FROM sites),
+rg AS (SELECT sample, read, grid FROM ce JOIN gr USING (snp)),
+sg AS (SELECT sample, grid FROM (SELECT DISTINCT sample FROM obs), (SELECT DISTINCT grid FROM gr))"""
+_HAP = """,
+le AS (SELECT sample, grid, k, sum(ln(e)) AS l FROM re JOIN rg USING (sample, read) GROUP BY ALL),
+ge AS (SELECT sample, grid, k, greatest(exp(l - max(l) OVER (PARTITION BY sample, grid)), 1e-10) AS e FROM le),
+o AS (SELECT sample, grid, coalesce(max(e) FILTER (k = 0), 1) AS e0, coalesce(max(e) FILTER (k = 1), 1) AS e1, coalesce(max(e) FILTER (k = 2), 1) AS e2 FROM sg LEFT JOIN ge USING (sample, grid) GROUP BY ALL),
+fw AS (SELECT sample, grid, e0, e1, e2, e0 / (e0 + e1 + e2) AS a0, e1 / (e0 + e1 + e2) AS a1, e2 / (e0 + e1 + e2) AS a2 FROM o WHERE grid = 0
+  UNION ALL SELECT sample, grid, e0, e1, e2, x0 / (x0 + x1 + x2), x1 / (x0 + x1 + x2), x2 / (x0 + x1 + x2) FROM (SELECT o.*, o.e0 * (0.9 * a0 + 0.1 / 3) AS x0, o.e1 * (0.9 * a1 + 0.1 / 3) AS x1, o.e2 * (0.9 * a2 + 0.1 / 3) AS x2 FROM fw JOIN o ON o.sample = fw.sample AND o.grid = fw.grid + 1)),
+bw AS (SELECT sample, grid, e0, e1, e2, 1 / 3::DOUBLE AS b0, 1 / 3::DOUBLE AS b1, 1 / 3::DOUBLE AS b2 FROM o WHERE grid = (SELECT max(grid) FROM gr)
+  UNION ALL SELECT sample, grid, e0, e1, e2, y0 / (y0 + y1 + y2), y1 / (y0 + y1 + y2), y2 / (y0 + y1 + y2) FROM (SELECT o.*, 0.9 * bw.e0 * b0 + t AS y0, 0.9 * bw.e1 * b1 + t AS y1, 0.9 * bw.e2 * b2 + t AS y2 FROM (SELECT *, 0.1 / 3 * (e0 * b0 + e1 * b1 + e2 * b2) AS t FROM bw) bw JOIN o ON o.sample = bw.sample AND o.grid = bw.grid - 1)),
+gm AS (SELECT sample, grid, unnest([0, 1, 2]) AS k, unnest([a0 * b0, a1 * b1, a2 * b2]) / (a0 * b0 + a1 * b1 + a2 * b2) AS gamma FROM fw JOIN bw USING (sample, grid))"""
+
+
+def _fixed_model(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, hmm.Model, pd.DataFrame]:
+    """Grouped reads, and a model of ``k`` founders with alleles by rule."""
+    samples, layout = em.grouped_reads(_obs(spark, d), adapter.sites(spark, d), 5000)
+    snp, grids = layout["snp"].to_numpy(), int(layout["grid"].max()) + 1
+    p = 0.1 + 0.8 * ((snp[None, :] * 7 + np.arange(k)[:, None] * 3) % 11) / 10
+    return samples, hmm.Model(p, np.full((k, grids - 1), 1 / k), np.full(grids - 1, 0.9), np.full(k, 1 / k)), layout
+
+
+@query(with_tables("prob", "sites", recursive=True) + f",\n{_F3},\n{_READ_E},\n{_CENTRAL}{_GRID_E}{_HAP}\nSELECT sample, grid, CAST(k AS INT) AS k, round_even(gamma, 6) AS gamma FROM gm")
+def haploid_posterior_k3(spark, d):
+    samples, model, _ = _fixed_model(spark, d, 3)
+    return em.founder_posteriors(samples, model, False).select("sample", "grid", F.posexplode("gamma").alias("k", "gamma")).select("sample", "grid", "k", r6("gamma").alias("gamma"))
+
+
+@query(with_tables("prob", "sites", recursive=True) + f",\n{_F3},\n{_READ_E},\n{_CENTRAL}{_GRID_E}{_HAP}\nSELECT snp, CAST(k AS INT) AS k, round_even(sum(gamma * p * pa / (p * pa + (1 - p) * pr)), 6) AS alt, round_even(sum(gamma), 6) AS total FROM prob JOIN rg USING (sample, read) JOIN gm USING (sample, grid) JOIN f USING (snp, k) GROUP BY snp, k")
+def estep_inbred(spark, d):
+    samples, model, layout = _fixed_model(spark, d, 3)
+    sums = em.expect(samples, model, layout["grid"].to_numpy(), "diploid-inbred")
+    k, i = np.nonzero(sums.total > 0)
+    rows = pd.DataFrame({"snp": layout["snp"].to_numpy()[i], "k": k, "alt": sums.alt[k, i], "total": sums.total[k, i]})
+    return spark.createDataFrame(rows, "snp long, k int, alt double, total double").select("snp", "k", r6("alt").alias("alt"), r6("total").alias("total"))
+
+
+_DIP = """,
+le AS (SELECT sample, grid, a.k * 2 + b.k AS s, sum(ln((a.e + b.e) / 2)) AS l FROM re a JOIN re b USING (sample, read) JOIN rg USING (sample, read) GROUP BY ALL),
+ge AS (SELECT sample, grid, s, greatest(exp(l - max(l) OVER (PARTITION BY sample, grid)), 1e-10) AS e FROM le),
+o AS (SELECT sample, grid, coalesce(max(e) FILTER (s = 0), 1) AS e0, coalesce(max(e) FILTER (s = 1), 1) AS e1, coalesce(max(e) FILTER (s = 2), 1) AS e2, coalesce(max(e) FILTER (s = 3), 1) AS e3 FROM sg LEFT JOIN ge USING (sample, grid) GROUP BY ALL),
+fw AS (SELECT sample, grid, e0, e1, e2, e3, e0 / (e0 + e1 + e2 + e3) AS a0, e1 / (e0 + e1 + e2 + e3) AS a1, e2 / (e0 + e1 + e2 + e3) AS a2, e3 / (e0 + e1 + e2 + e3) AS a3 FROM o WHERE grid = 0
+  UNION ALL SELECT sample, grid, e0, e1, e2, e3, x0 / t, x1 / t, x2 / t, x3 / t FROM (SELECT *, x0 + x1 + x2 + x3 AS t FROM (SELECT o.*,
+    o.e0 * (0.81 * a0 + 0.045 * (a0 + a2 + a0 + a1) + 0.0025) AS x0, o.e1 * (0.81 * a1 + 0.045 * (a1 + a3 + a0 + a1) + 0.0025) AS x1,
+    o.e2 * (0.81 * a2 + 0.045 * (a0 + a2 + a2 + a3) + 0.0025) AS x2, o.e3 * (0.81 * a3 + 0.045 * (a1 + a3 + a2 + a3) + 0.0025) AS x3 FROM fw JOIN o ON o.sample = fw.sample AND o.grid = fw.grid + 1))),
+bw AS (SELECT sample, grid, e0, e1, e2, e3, 0.25::DOUBLE AS b0, 0.25::DOUBLE AS b1, 0.25::DOUBLE AS b2, 0.25::DOUBLE AS b3 FROM o WHERE grid = (SELECT max(grid) FROM gr)
+  UNION ALL SELECT sample, grid, e0, e1, e2, e3, y0 / t, y1 / t, y2 / t, y3 / t FROM (SELECT *, y0 + y1 + y2 + y3 AS t FROM (SELECT o.*,
+    0.81 * z0 + 0.045 * (z0 + z2 + z0 + z1) + c AS y0, 0.81 * z1 + 0.045 * (z1 + z3 + z0 + z1) + c AS y1, 0.81 * z2 + 0.045 * (z0 + z2 + z2 + z3) + c AS y2, 0.81 * z3 + 0.045 * (z1 + z3 + z2 + z3) + c AS y3
+    FROM (SELECT sample, grid, z0, z1, z2, z3, 0.0025 * (z0 + z1 + z2 + z3) AS c FROM (SELECT sample, grid, e0 * b0 AS z0, e1 * b1 AS z1, e2 * b2 AS z2, e3 * b3 AS z3 FROM bw)) q JOIN o ON o.sample = q.sample AND o.grid = q.grid - 1)))"""
+
+
+@query(with_tables("prob", "sites", recursive=True) + f",\n{_FOUNDERS},\n{_READ_E},\n{_CENTRAL}{_GRID_E}{_DIP}\nSELECT sample, grid, CAST(unnest([0, 1, 2, 3]) AS INT) AS pair, round_even(unnest([a0 * b0, a1 * b1, a2 * b2, a3 * b3]) / (a0 * b0 + a1 * b1 + a2 * b2 + a3 * b3), 6) AS gamma FROM fw JOIN bw USING (sample, grid)")
+def diploid_posterior_k2(spark, d):
+    samples, model, _ = _fixed_model(spark, d, 2)
+    return em.founder_posteriors(samples, model, True).select("sample", "grid", F.posexplode("gamma").alias("pair", "gamma")).select("sample", "grid", "pair", r6("gamma").alias("gamma"))
+
+
 def _imputed(method: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        config = Config(K=4, nGen=100, method=method, niterations=4, refillIterations=(), gridWindowSize=5000)
+        config = Config(K=4, nGen=100, method=method, gridWindowSize=5000)
         post = em.impute(_obs(spark, d), adapter.sites(spark, d), config)
         return pileup.site_summary(post).select("snp", "n", r6("eaf").alias("eaf"), r6("info").alias("info"), "hom_ref", "het", "hom_alt")
 
@@ -500,7 +569,7 @@ for _name, _method in (("impute_diploid", "diploid"), ("impute_inbred", "diploid
 
 @query()
 def phase_votes(spark, d):
-    config = Config(K=4, nGen=100, niterations=3, refillIterations=(), gridWindowSize=5000)
+    config = Config(K=4, nGen=100, gridWindowSize=5000)
     return em.phase(_obs(spark, d), adapter.sites(spark, d), config).groupBy("snp").agg(r6(F.avg("h0")).alias("h0"), r6(F.avg("h1")).alias("h1"))
 
 

@@ -6,18 +6,21 @@
 from __future__ import annotations
 
 import argparse
+import os
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hwe import hwe_p
 from ..functions.phred import genotype_cell, phred_likelihoods, pileup_cell
-from ..operators import pileup, reads
+from ..operators import evaluate, pileup, reads
 from ..operators.sites import region
-from ..sources import alignments, tables, vcf
+from ..sources import alignments, bgen, tables, vcf
 from . import em
 from .config import Config
 
+#: Files that a run may take besides sites and alignments.
+OPTIONAL = ("genetic_map_file", "reference_vcf", "genfile", "sampleNames_file")
 INFO = {"EAF": "Estimated allele frequency", "INFO_SCORE": "Info score", "HWE": "Hardy-Weinberg p-value", "ERC": "Weight of the alternative allele", "EAC": "Weight of the reference allele", "PAF": "Allele frequency of the pileup"}
 CELL = {"GT": "Best genotype, if its posterior is 0.9 or more", "GP": "Posteriors", "DS": "Dosage"}
 
@@ -41,19 +44,28 @@ def observations(aligned: DataFrame, sites: DataFrame, config: Config, use_bx: b
         first = run.groupBy("sample", "qname").agg(F.min(F.struct("start", "tag", "session")).alias("s")).select("sample", "qname", F.concat_ws("/", "s.tag", F.col("s.session").cast("string")).alias("molecule"))
         named = named.join(first, ["sample", "qname"], "left")
         read = F.coalesce("molecule", "qname")
-    obs = named.select("sample", F.xxhash64(read).alias("read"), "snp", "bq").distinct()
+    # Mates that overlap see a site twice; a read speaks of it once, with the surer score.
+    once = named.groupBy("sample", F.xxhash64(read).alias("read"), "snp").agg(F.max_by("bq", F.struct(F.abs("bq"), "bq")).alias("bq"))
+    obs = once.select("sample", "read", "snp", "bq")
     if config.downsampleFraction < 1:
         obs = obs.filter(F.pmod(F.xxhash64("sample", "read", F.lit(config.seed)), F.lit(1_000_000)) < int(config.downsampleFraction * 1_000_000))
-    return reads.cap_depth(obs, int(config.downsampleToCov), "sample", "snp")
+    whole = obs.groupBy("sample", "read").agg(F.array_sort(F.collect_list(F.struct("snp", "bq"))).alias("x")).select("sample", "read", F.col("x.snp").alias("snp"), F.col("x.bq").alias("bq"))
+    kept = reads.cap_depth_greedy(whole, config.downsampleToCov, config.seed).select("sample", "read", F.explode(F.arrays_zip("snp", "bq")).alias("x")).select("sample", "read", "x.snp", "x.bq")
+    return kept if config.readAware else kept.withColumn("read", F.xxhash64("read", "snp"))
 
 
-def output(post: DataFrame, obs: DataFrame, sites: DataFrame, path: str) -> None:
-    """The VCF of posteriors, and the table of site statistics, in ``path``."""
+def output(post: DataFrame, obs: DataFrame, sites: DataFrame, path: str, form: str = "bgvcf") -> None:
+    """The VCF of posteriors (or, of form bgen, the file posteriors.bgen), and the table of site statistics, in ``path``."""
     stats = pileup.site_summary(post).join(pileup.allele_counts(obs, sites), "snp").withColumn("hwe", hwe_p("hom_ref", "het", "hom_alt"))
     five = lambda name, c: F.concat(F.lit(f"{name}="), F.format_string("%.5f", c))
     info = F.concat_ws(";", five("EAF", F.col("eaf")), five("INFO_SCORE", F.col("info")), F.concat(F.lit("HWE="), F.format_string("%.2e", F.col("hwe"))), five("ERC", F.col("alt")), five("EAC", F.col("total") - F.col("alt")), five("PAF", F.col("af")))
     cells = post.select("sample", "snp", genotype_cell([F.col("g0"), F.col("g1"), F.col("g2")]).alias("cell"))
-    vcf.write_vcf(cells, sites, stats.select("snp", info.alias("info")), "GT:GP:DS", f"{path}/vcf", (INFO, CELL))
+    if form == "bgen":
+        names = [r.sample for r in post.select("sample").distinct().orderBy("sample").collect()]  # the header itself
+        os.makedirs(path, exist_ok=True)
+        bgen.assemble(bgen.blocks(post, sites, names), names, f"{path}/posteriors.bgen")
+    else:
+        vcf.write_vcf(cells, sites, stats.select("snp", info.alias("info")), "GT:GP:DS", f"{path}/vcf", (INFO, CELL))
     vcf.write_site_statistics(stats.join(sites.select("snp", "chr", "pos"), "snp"), f"{path}/stats")
 
 
@@ -64,8 +76,42 @@ def output_pileup(obs: DataFrame, sites: DataFrame, path: str) -> None:
     vcf.write_vcf(cells, sites, sites.select("snp", F.lit(".").alias("info")), "GT:AD:PL", f"{path}/input")
 
 
-def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir: str, config: Config, bam: bool = True, pileup_only: bool = False, use_bx: bool = True) -> None:
-    """Impute the samples of ``files`` (BAM, or SAM text) at the sites of ``posfile``."""
+def named_samples(spark: SparkSession, aligned: DataFrame, files: int, names_file: str | None, config: Config) -> DataFrame:
+    """(number, name) of the samples to impute: those of the files, renamed by the lines of ``names_file`` if given, thinned to downsampleSamples. Raises
+    ValueError if two files have one name."""
+    found = [r.sample for r in aligned.select("sample").distinct().orderBy("sample").collect()]  # the samples' names
+    if len(found) < files:
+        raise ValueError(f"{files} files hold {len(found)} samples: names must differ, and files have reads")
+    names = found
+    if names_file is not None:
+        names = [r.value for r in spark.read.text(names_file).collect() if r.value]
+        if len(names) != len(found) or len(set(names)) != len(names):
+            raise ValueError(f"{names_file} must hold {len(found)} different names")
+    every = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(found, names))], "number long, own string, name string")
+    keep = max(1, round(config.downsampleSamples * len(found)))
+    if keep < len(found):
+        kept = reads.choose_samples(every.select(F.col("number").alias("sample")), every.limit(0).select(F.col("number").alias("sample")), keep)
+        every = every.join(kept.withColumnRenamed("sample", "number"), "number", "left_semi")
+    return every
+
+
+def output_truth(post: DataFrame, sites: DataFrame, genfile: str, path: str) -> None:
+    """Squared correlations of dosages with a truth file's genotypes, by sample."""
+    truth = tables.read_genotypes(post.sparkSession, genfile).filter("g is not null")
+    both = truth.join(post.select("sample", "snp", (F.col("g1") + 2 * F.col("g2")).alias("ds")), ["sample", "snp"])
+    vcf.write_site_statistics(evaluate.squared_correlation(both, "sample"), f"{path}/truth")
+
+
+def output_phased(phased: DataFrame, sites: DataFrame, path: str) -> None:
+    """The VCF of phased genotypes, with the haplotypes' dosages."""
+    one = lambda c: F.bround(c, 0).cast("int").cast("string")
+    cell = F.concat(one("h0"), F.lit("|"), one("h1"), F.format_string(":%.3f,%.3f", "h0", "h1"))
+    vcf.write_vcf(phased.select("sample", "snp", cell.alias("cell")), sites, sites.select("snp", F.lit(".").alias("info")), "GT:HD", f"{path}/phased", ({}, {"GT": "Phased genotype", "HD": "Dosages of both haplotypes"}))
+
+
+def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir: str, config: Config, bam: bool = True, pileup_only: bool = False, use_bx: bool = True, genetic_map_file: str | None = None, reference_vcf: str | None = None, genfile: str | None = None, sampleNames_file: str | None = None) -> None:
+    """Impute the samples of ``files`` (BAM, or SAM text; samples without a read at any site too) at the sites of ``posfile``. Optional: a genetic map; a phased
+    VCF as panel, from which founders are fitted to begin with; truth to compare with; names of the samples, in the order of their own."""
     config.check()
     sites = tables.check_sites(tables.read_sites(spark, posfile))
     central = sites.select("snp")
@@ -74,16 +120,34 @@ def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir:
         sites, central = near.select("snp", "chr", "pos", "ref", "alt"), near.filter("central").select("snp")
     sites = sites.persist()
     aligned = (alignments.read_bam if bam else alignments.read_sam)(spark, files)
-    obs = observations(aligned, sites, config, use_bx).persist()
+    names = named_samples(spark, aligned, len(files), sampleNames_file, config).persist()
+    wanted = aligned.join(F.broadcast(names), F.col("sample") == F.col("own"), "left_semi")
+    renamed = observations(wanted, sites, config, use_bx).join(F.broadcast(names), F.col("sample") == F.col("own"))
+    obs = renamed.select(F.col("name").alias("sample"), "number", "read", "snp", "bq").persist()
     out_sites = sites.join(central, "snp", "left_semi")
     if pileup_only:
-        output_pileup(obs, out_sites, outputdir)
-        return
-    names = obs.select("sample").distinct().orderBy("sample")
-    numbers = spark.createDataFrame([(i, r.sample) for i, r in enumerate(names.collect())], "number long, name string")  # the samples' names
-    numbered = obs.join(F.broadcast(numbers), F.col("sample") == F.col("name")).select(F.col("number").alias("sample"), "read", "snp", "bq")
-    post = em.impute(numbered, sites, config).join(central, "snp", "left_semi").join(F.broadcast(numbers), F.col("sample") == F.col("number")).select(F.col("name").alias("sample"), "snp", "g0", "g1", "g2")
-    output(post, obs, out_sites, outputdir)
+        output_pileup(obs.drop("number"), out_sites, outputdir)
+    else:
+        numbered = obs.select(F.col("number").alias("sample"), "read", "snp", "bq")
+        gmap = None
+        if genetic_map_file is not None:
+            one = sites.select("chr").distinct()  # the sites' only chromosome
+            gmap = tables.check_genetic_map(tables.read_genetic_map(spark, genetic_map_file)).crossJoin(F.broadcast(one))
+        founders = None
+        if reference_vcf is not None:
+            panel = vcf.read_panel(spark, reference_vcf).join(sites.select("snp", "pos", "ref", "alt"), ["pos", "ref", "alt"]).select("hap", "snp", "allele")
+            founders = em.panel_model(panel, config.K, seed=config.seed)
+        more = {"every": names.select(F.col("number").alias("sample")), "gmap": gmap, "founders": founders}
+        back = lambda df: df.join(central, "snp", "left_semi").join(F.broadcast(names), F.col("sample") == F.col("number")).drop("sample", "number", "own").withColumnRenamed("name", "sample")
+        post = back(em.impute(numbered, sites, config, **more)).persist()
+        output(post, obs.drop("number"), out_sites, outputdir, config.output_format)
+        if genfile is not None:
+            output_truth(post, out_sites, genfile, outputdir)
+        if config.do_phasing:
+            output_phased(back(em.phase(numbered, sites, config, **more)), out_sites, outputdir)
+        post.unpersist()
+    for held in (obs, names, sites):
+        held.unpersist()
 
 
 def main(args: list[str] | None = None) -> None:
@@ -94,12 +158,14 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--samlist", default="")
     parser.add_argument("--outputInputInVCFFormat", action="store_true")
     parser.add_argument("--no_bx", action="store_true")
+    for name in OPTIONAL:
+        parser.add_argument(f"--{name}", default=None)
     for f in fields(Config):
         kind = str(f.type)
         if "tuple" in kind:
             parser.add_argument(f"--{f.name}", type=lambda x: tuple(int(i) for i in x.split(",") if i), default=f.default)
         elif "bool" in kind:
-            parser.add_argument(f"--{f.name}", action="store_true", default=f.default)
+            parser.add_argument(f"--{f.name}", type=lambda x: x.lower() in ("true", "1"), default=f.default, metavar="TRUE|FALSE")
         else:
             required = f.name in ("K", "nGen")
             parser.add_argument(f"--{f.name}", type=float if "float" in kind else int if "int" in kind else str, required=required, default=None if required else f.default)
@@ -109,7 +175,7 @@ def main(args: list[str] | None = None) -> None:
     if not listed:
         parser.error("one of --bamlist and --samlist is needed")
     files = [r.value for r in spark.read.text(listed).collect() if r.value]
-    impute_files(spark, x.posfile, files, x.outputdir, Config(**{f.name: getattr(x, f.name) for f in fields(Config)}), bool(x.bamlist), x.outputInputInVCFFormat, not x.no_bx)
+    impute_files(spark, x.posfile, files, x.outputdir, Config(**{f.name: getattr(x, f.name) for f in fields(Config)}), bool(x.bamlist), x.outputInputInVCFFormat, not x.no_bx, **{n: getattr(x, n) for n in OPTIONAL})
 
 
 if __name__ == "__main__":

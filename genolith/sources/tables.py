@@ -45,7 +45,9 @@ def read_phase(spark: SparkSession, path: str) -> DataFrame:
     """(snp, sample, h1, h2) of a phasefile with cells a|b."""
     names, rows = _wide(spark, path)
     each = rows.select("snp", F.posexplode("cells").alias("c", "x")).select("snp", F.get(F.array(*map(F.lit, names)), F.col("c")).alias("sample"), F.split("x", r"\|").alias("h"))
-    part = lambda i: F.expr(f"try_cast(get(h, {i}) as int)")
+    wrong = F.raise_error(F.concat(F.lit("not a phased genotype: "), F.array_join("h", "|"))).cast("int")
+    cell = F.array_join("h", "|")
+    part = lambda i: F.when(F.rlike(cell, F.lit(r"^[01]\|[01]$")), F.get("h", F.lit(i)).cast("int")).when(~cell.isin("NA", "NA|NA"), wrong)
     return each.select("snp", "sample", part(0).alias("h1"), part(1).alias("h2"))
 
 

@@ -63,8 +63,13 @@ def write_vcf(cells: DataFrame, sites: DataFrame, info: DataFrame, form: str, pa
     """
     spark = cells.sparkSession
     names = [r.sample for r in cells.select("sample").distinct().orderBy("sample").collect()]  # the header itself
-    row = cells.groupBy("snp").agg(F.map_from_entries(F.collect_list(F.struct(F.col("sample").cast("string"), "cell"))).alias("m"))
-    line = F.array_join(F.transform(F.array(*[F.lit(str(n)) for n in names]), lambda n: F.coalesce(F.element_at(F.col("m"), n), F.lit(missing))), "\t")
+    places = F.broadcast(spark.createDataFrame([(n, i) for i, n in enumerate(names)], f"sample {dict(cells.dtypes)['sample']}, i int"))
+    row = cells.join(places, "sample").groupBy("snp").agg(F.array_sort(F.collect_list(F.struct("i", "cell"))).alias("c"))
+    # Cells by place; gaps between them, before the first and after the last are filled with ``missing``.
+    gap = lambda n: F.array_repeat(F.lit(missing), n)
+    at = F.transform("c", lambda x, j: F.struct((x["i"] - F.when(j == 0, -1).otherwise(F.get(F.col("c.i"), j - 1)) - 1).alias("n"), x["cell"].alias("cell")))
+    filled = F.concat(F.flatten(F.transform(at, lambda x: F.array_append(gap(x["n"]), x["cell"]))), gap(len(names) - 1 - F.element_at("c.i", -1)))
+    line = F.array_join(filled, "\t")
     text = sites.join(row, "snp").join(info, "snp").select("chr", "pos", F.concat_ws("\t", "chr", F.col("pos").cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), "info", F.lit(form), line).alias("value"))
     text.repartitionByRange("chr", "pos").sortWithinPartitions("chr", "pos").select("value").write.option("compression", "gzip").text(f"{path}/rows")
     spark.createDataFrame([(x,) for x in header([str(n) for n in names], *descriptions)], "value string").coalesce(1).write.option("compression", "gzip").text(f"{path}/header")

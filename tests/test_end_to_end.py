@@ -41,6 +41,36 @@ def test_dosages_are_near_truth(spark, simulated, tmp_path):
     assert spark.read.csv(f"{tmp_path}/out/stats", sep="\t", header=True).count() == 10
 
 
+def test_a_run_with_everything(spark, simulated, tmp_path):
+    from genolith.sources import bgen
+
+    folder, truth = simulated
+    files = [str(folder / f"{s}.sam") for s in truth]
+    (folder / "gen").write_text("\t".join(truth) + "\n" + "".join("\t".join(str(t[i]) for t in truth.values()) + "\n" for i in range(10)))
+    (folder / "map").write_text("position COMBINED_rate(cM/Mb) Genetic_Map(cM)\n1 1 0\n11 0 0.00001\n")
+    founders = ["0|0", "1|0", "0|0", "1|1", "0|0", "0|0", "0|0", "0|0", "0|1", "0|0"]
+    (folder / "panel.vcf").write_text("##fileformat=VCFv4.1\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tp\n" + "".join(f"5\t{i + 1}\t.\tA\tG\t.\t.\t.\tGT\t{x}\n" for i, x in enumerate(founders)))
+    config = Config(K=2, nGen=100, niterations=6, refillIterations=(), shuffleHaplotypeIterations=(), output_format="bgen", do_phasing=True)
+    out = str(tmp_path / "out")
+    impute_files(spark, str(folder / "pos"), files, out, config, bam=False, genetic_map_file=str(folder / "map"), reference_vcf=str(folder / "panel.vcf"), genfile=str(folder / "gen"))
+    assert bgen.read_bgen(spark, f"{out}/posteriors.bgen").count() == 100
+    assert spark.read.csv(f"{out}/truth", sep="\t", header=True).count() == 10
+    cells = [c for r in spark.read.text(f"{out}/phased/rows").collect() for c in r.value.split("\t")[9:]]
+    assert len(cells) == 100 and all(c[1] == "|" for c in cells)
+
+
+def test_names_differ(spark, simulated, tmp_path):
+    folder, _ = simulated
+    file = str(folder / "s0.sam")
+    (folder / "twice.sam").write_text((folder / "s0.sam").read_text())
+    with pytest.raises(ValueError, match="names must differ"):
+        impute_files(spark, str(folder / "pos"), [file, str(folder / "twice.sam")], str(tmp_path / "out"), Config(K=2, nGen=100), bam=False)
+    (folder / "names").write_text("other\n")
+    config = Config(K=2, nGen=100, niterations=2, refillIterations=(), shuffleHaplotypeIterations=())
+    impute_files(spark, str(folder / "pos"), [file], str(tmp_path / "named"), config, bam=False, sampleNames_file=str(folder / "names"))
+    assert {r.sample for r in read_dosages(spark, f"{tmp_path}/named/vcf/*").collect()} == {"other"}
+
+
 def test_pileup_export(spark, simulated, tmp_path):
     folder, truth = simulated
     impute_files(spark, str(folder / "pos"), [str(folder / "s0.sam")], str(tmp_path / "out"), Config(K=2, nGen=100), bam=False, pileup_only=True)

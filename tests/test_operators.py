@@ -154,6 +154,95 @@ def test_diploid_equals_all_paths():
     assert switches.sum(axis=0).max() <= 2 * len(e)
 
 
+def _random_reads(rng, k=3, t=23, n=5, reads=80):
+    switch = rng.uniform(0.1, 1, (k, t - 1))
+    m = hmm.Model(rng.uniform(0.1, 0.9, (k, 2 * t)), switch / switch.sum(axis=0), rng.uniform(0.5, 0.95, t - 1), np.full(k, 1 / k))
+    grid, of = rng.integers(0, t, reads), np.repeat(np.arange(reads), rng.integers(1, 4, reads))
+    site = grid[of] * 2 + rng.integers(0, 2, len(of))
+    return m, hmm.Reads(n, np.sort(rng.integers(0, n, reads)), grid, of, site, rng.choice([-30.0, -20.0, 20.0, 30.0], len(of))), np.repeat(np.arange(t), 2)
+
+
+@pytest.mark.parametrize("block", [1, 2, 7])
+def test_blocks_of_grids_change_nothing(monkeypatch, block):
+    m, r, grid_of = _random_reads(np.random.default_rng(0))
+
+    def everything():
+        for method, run in hmm.KERNELS.items():
+            sums = hmm.Sums.zero(m)
+            run(r, m, grid_of, sums)
+            yield from (run(r, m, grid_of), sums.alt, sums.total, sums.switch, sums.prior, hmm.marginals(r, m, method, [3, 9, 20]))
+
+    whole = list(everything())
+    monkeypatch.setattr(hmm.passes, "__defaults__", (block,))
+    assert all(np.allclose(a, b) for a, b in zip(whole, everything()))
+
+
+def test_paths_are_drawn_from_their_posterior():
+    m, r, _ = _random_reads(np.random.default_rng(1))
+    e, grids = hmm.read_likelihoods(r, m), hmm.Grids(r)
+    emit = lambda lo, hi: grids.emissions(np.log((e[:, :, None] + e[:, None, :]) / 2), lo, hi)
+    gamma, _ = hmm.diploid(emit(0, 23), m)
+    drawn, found = hmm.sampled_paths(emit, m, r.n, 3000, 1, block=5), np.zeros_like(gamma)
+    for path in drawn:
+        found[np.arange(r.n)[:, None], np.arange(23)[None], path[:, :, 0], path[:, :, 1]] += 1 / 3000
+    assert np.abs(found - gamma).max() < 0.04
+    stays = (drawn[:, :, 1:] == drawn[:, :, :-1]).mean()
+    assert stays > (found.sum(axis=3)[:, 1:] * found.sum(axis=3)[:, :-1]).sum(axis=2).mean()  # paths, not grids one by one
+
+
+@pytest.mark.parametrize("size", [1, 3, 10, 100])
+def test_output_blocks_equal_the_rule(spark, size):
+    rng = np.random.default_rng(size)
+    grid = np.cumsum(rng.random(60) < 0.4)
+    s = make(spark, [("1", i, int(g)) for i, g in enumerate(grid)], "chr string, snp long, grid long")
+    got = sites.output_blocks(s, size).orderBy("block").collect()
+    begins = [0]
+    for i in range(1, 59):  # the last site begins no block
+        at = begins[-1]
+        held = i - at + (at == 0)  # the first block counts its first site
+        if held > size and grid[i] != grid[i - 1] and grid[i] >= grid[at] + 2:
+            begins.append(i)
+    if len(begins) > 1 and grid[begins[-1]] == grid[-1]:
+        begins.pop()
+    assert [r.snp_start for r in got] == begins and [r.snp_end for r in got] == [*(b - 1 for b in begins[1:]), 59]
+    assert [(r.grid_start, r.grid_end) for r in got] == [(grid[r.snp_start], grid[r.snp_end]) for r in got]
+
+
+def test_depth_is_capped_by_whole_reads(spark):
+    from genolith.operators import reads
+
+    rows = [(1, 1, [5, 5, 7]), (1, 2, [5]), (1, 3, [5, 6]), (1, 4, [6]), (1, 5, [5]), (2, 1, [5])]
+    r = make(spark, rows, "sample int, read int, snp array<int>")
+    got = {(x.sample, x.read) for x in reads.cap_depth_greedy(r, 3).collect()}
+    assert (1, 1) not in got and {(1, 2), (1, 3), (1, 4), (1, 5), (2, 1)} <= got  # the read that covers a site twice goes, and is enough
+    depth = {}
+    for s, read in {(x.sample, x.read) for x in reads.cap_depth_greedy(r, 1).collect()}:
+        for snp in next(z for a, b, z in rows if (a, b) == (s, read)):
+            depth[s, snp] = depth.get((s, snp), 0) + 1
+    assert max(depth.values()) <= 1
+
+
+def test_samples_without_reads_are_imputed(spark):
+    from genolith.plans import em
+
+    obs, s, _ = simulated(spark, n=6)
+    every = spark.range(8).withColumnRenamed("id", "sample")
+    post = em.impute(obs, s, Config(K=2, nGen=10, niterations=3, refillIterations=(), shuffleHaplotypeIterations=()), every).toPandas()
+    assert len(post) == 8 * 30 and np.allclose(post[["g0", "g1", "g2"]].sum(axis=1), 1)
+
+
+def test_founders_and_maps_start_a_fit(spark):
+    from genolith.plans import em
+
+    obs, s, truth = simulated(spark)
+    p = np.array([np.arange(30) % 2, (np.arange(30) // 2) % 2])
+    founders = make(spark, [(k, i, float(p[k, i])) for k in range(2) for i in range(30)], "k int, snp long, p double")
+    gmap = make(spark, [("1", 1, 0.0), ("1", 3000, 0.001)], "chr string, position long, cm double")
+    post = em.impute(obs, s, Config(K=2, nGen=10, niterations=1, refillIterations=(), shuffleHaplotypeIterations=()), None, gmap, founders).toPandas().sort_values(["sample", "snp"])
+    ds = (post["g1"] + 2 * post["g2"]).to_numpy().reshape(truth.shape)
+    assert np.corrcoef(ds.ravel(), truth.ravel())[0, 1] ** 2 > 0.95  # known founders need no iterations
+
+
 def simulated(spark, seed=3, n=30, k=2, t=30, depth=4):
     """Reads of samples that are pairs of two founders all along, and the truth."""
     rng = np.random.default_rng(seed)
