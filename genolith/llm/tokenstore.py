@@ -91,13 +91,14 @@ class Encoder:
         steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers") or []]
         self.by_words = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("behavior") == "Removed"
         self.model = Tokenizer(self.tokenizer.model)  # the same one, without normalisation and splitting
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.split = re.compile(f"{LATIN_PATTERN}| ").findall
         self._forget()
 
     def _forget(self) -> None:
         self.known = _Numbers()
         self.known[" "] = 0  # parts pieces; no ids
-        self.flat, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+        self.flat, self.ends = np.empty(1 << 16, self.kind), np.zeros(1 << 12, np.int64)
 
     def encode_whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -115,7 +116,7 @@ class Encoder:
         while new and ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         if new:
-            self.flat[at : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) - at)
+            self.flat[at : ends[-1]] = np.fromiter(chain.from_iterable(ids), self.kind, int(ends[-1]) - at)
             self.ends[n + 1 : n + 1 + len(new)] = ends
 
     def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +125,13 @@ class Encoder:
         ends = np.cumsum(lens)
         return self.flat[_runs(first, lens, ends)], ends
 
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of pieces without white space; what one call asks for is kept whole, MEMORY bounds the rest."""
         if len(self.known) > MEMORY:
             self._forget()
-        odd = [i for i, x in enumerate(pieces) if not (x.isascii() and x.isprintable() and "<|" not in x) and BEYOND.search(x)]
+        pieces = distinct.to_pylist()
+        fine = pc.and_not(pc.and_(pc.string_is_ascii(distinct), pc.ascii_is_printable(distinct)), pc.match_substring(distinct, "<|"))
+        odd = [i for i in np.flatnonzero(~fine.to_numpy(zero_copy_only=False)).tolist() if BEYOND.search(pieces[i])]
         plain = pieces.copy()
         for i in odd:
             plain[i] = ""
@@ -138,21 +141,22 @@ class Encoder:
         self._learn(new)
         ids, word_ends = self._gathered(numbers)
         ends = np.append(word_ends[numbers == 0], len(ids)) if pieces else np.zeros(0, np.int64)
-        if odd:
-            parts = np.split(ids, ends[:-1])
+        if odd:  # their ids go between those of the others
+            parts, past, more = [], 0, np.zeros(len(pieces), np.int64)
             for i, own in zip(odd, self.encode_whole([pieces[i] for i in odd])):
-                parts[i] = np.array(own, np.uint32)
-            ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+                parts += [ids[past : ends[i]], np.array(own, self.kind)]
+                past, more[i] = int(ends[i]), len(own)
+            ids, ends = np.concatenate([*parts, ids[past:]]), ends + np.cumsum(more)
         return ids, ends
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string array without nulls."""
         if not self.by_words:
-            return [np.array(ids, np.uint32) for ids in self.encode_whole(texts.to_pylist())]
+            return [np.array(ids, self.kind) for ids in self.encode_whole(texts.to_pylist())]
         lists = pc.ascii_split_whitespace(texts)
         cuts = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        ids, ends = self._encode_pieces(coded.dictionary.to_pylist())
+        ids, ends = self._encode_pieces(coded.dictionary)
         at = coded.indices.to_numpy()
         lens = np.diff(ends, prepend=0)
         first, n = (ends - lens)[at], lens[at]
@@ -257,8 +261,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
         for batch in _gathered(batches, together):
             roots, counts, parts, names, offsets, pieces = [], [], [0], [], [], []
             for ids in own_encoder.encode(batch.column(1).fill_null("")):
-                ids = np.append(ids, np.uint32(end_id))
-                data, start = ids.astype(kind).tobytes(), 0
+                ids = np.append(ids.astype(kind, copy=False), np.array(end_id, kind))
+                data, start = ids.tobytes(), 0
                 for end in cut(ids, gear):
                     piece = data[width * start : width * end]
                     names.append(hashlib.sha256(piece).digest())
