@@ -124,24 +124,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for every node with an edge; component = smallest reachable node.
 
     Alternating large-star and small-star steps: each is a pre-aggregated minimum and a join, no step gathers a
-    node's neighbours in one row, and the edge list never grows beyond its input. Both steps' edges are cut off by
-    ``checkpoint()``. Ends when a round leaves the edge set as it was (same count and same hash sum).
+    node's neighbours in one row, and the edge list never grows beyond its input. Each round's edges are written, and those
+    before them go. Ends when a round leaves the edge set as it was (same count and same hash sum).
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
 
     def stars(links: DataFrame) -> DataFrame:
         """links (u, v): v > m goes to m, where m is the least of u and its v's."""
         least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return links.join(least, "u")
 
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct().checkpoint()
+    e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = stars(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = stars(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
-        e = small.checkpoint()
+        before, e = e, written(small, "edges")
+        discard(before)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

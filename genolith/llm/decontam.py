@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import broadcast_if_small, free_name, lower_ascii, second_hash, written
+from .common import broadcast_if_small, discard, free_name, lower_ascii, second_hash, written
 
 #: What separates words, after A-Z are lower-cased; a word holds digits, a-z and all beyond ASCII.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -91,7 +91,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, id_col: st
         starts = near.unionByName(spans.filter("term2 is null")).select("p", "doc", "start", "n").distinct()
     starts = written(starts, "starts")
 
-    own = docs.withColumn(of := free_name(docs, "of"), _key(id_col, text_col)).join(broadcast_if_small(written(starts.select("doc").distinct(), "holders")), F.col(of) == F.col("doc"), "left_semi")
+    holders = written(starts.select("doc").distinct(), "holders")
+    own = docs.withColumn(of := free_name(docs, "of"), _key(id_col, text_col)).join(broadcast_if_small(holders), F.col(of) == F.col("doc"), "left_semi")
     within = postings(own.select(id_col, text_col).distinct(), None, id_col, text_col)
     if exact:
         asked = starts.join(broadcast_if_small(phrases), "p").select("p", "doc", "start", "n", F.posexplode("phrase").alias("place", "term")).withColumn("pos", F.col("start") + F.col("place"))
@@ -100,7 +101,9 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, id_col: st
         asked = starts.withColumn("pos", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
         held = asked.join(within, ["doc", "pos"]).groupBy("p", "doc", "start", "n").agg(F.array_sort(F.collect_list("term")).alias("held"))
         found = held.join(broadcast_if_small(phrases), "p").filter(F.col("held") == F.array_sort("phrase"))
-    return found.select("p", "doc", "start", "n").join(broadcast_if_small(wins).select("p", "item"), "p").select("item", "doc.id", "doc.row", "start", "n")
+    matches = written(found.select("p", "doc", "start", "n").join(broadcast_if_small(wins).select("p", "item"), "p").select("item", "doc.id", "doc.row", "start", "n"), "matches")
+    discard(lists, starts, holders)
+    return matches
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:

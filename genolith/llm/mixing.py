@@ -157,11 +157,12 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap:
     """
     group, own, k, row, n, c, text = (free_name(docs, x) for x in ("group", "own", "of", "row", "nth", "copy", "mixed"))
     sizes = mix_sizes(docs, weights, cap, block, seed, id_col, text_col, source_col).filter("taken > 0")
-    parts = sizes.groupBy(F.struct(F.col(id_col).alias("id"), "row", "k").alias(group)).agg(F.array_sort(F.collect_list(F.struct("offset", "size", "parts"))).alias(own))
+    parts = written(sizes.groupBy(F.struct(F.col(id_col).alias("id"), "row", "k").alias(group)).agg(F.array_sort(F.collect_list(F.struct("offset", "size", "parts"))).alias(own)), "parts")
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     rows = docs.withColumn(k, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), key.alias("k")))
-    # Equal rows take their shares one by one.
-    rows = rows.withColumn(n, F.row_number().over(Window.partitionBy(k).orderBy(F.lit(0))))
+    # Equal rows take their shares one by one; where there are none, texts move once less.
+    several = not parts.filter(F.size(own) > 1).isEmpty()
+    rows = rows.withColumn(n, F.row_number().over(Window.partitionBy(k).orderBy(F.lit(0))) if several else F.lit(1))
     both = rows.join(parts, F.col(k) == F.col(group)).withColumn(own, F.get(own, F.col(n) - 1)).filter(F.col(own).isNotNull())
     copies = both.withColumn(c, F.explode(F.sequence(F.lit(1), F.array_max(f"{own}.parts.times"))))
     mine = F.filter(f"{own}.parts", lambda p: p["times"] >= F.col(c))

@@ -377,38 +377,38 @@ def signatures(docs: DataFrame, k: int, similarity: float, id_col: str = "doc_id
     return narrow.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", prefix array<bigint>")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, k: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Those of ``pairs`` (a, b: structs of id and row) whose texts' shingle sets have Jaccard similarity ``similarity`` or more, written. Only
+def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, k: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those of ``pairs`` (a, b: numbers of ``texts``) whose shingle sets have Jaccard similarity ``similarity`` or more, written. Only
     the texts of the pairs are read. b may be the same in many pairs: it is looked up first, while rows are narrow."""
     pairs = written(pairs.distinct(), "pairs")
     # Computed twice rather than written: the pairs are few next to the texts.
-    wanted = pairs.select("a.id", "a.row").unionByName(pairs.select("b.id", "b.row")).distinct()
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).join(broadcast_if_small(wanted), ["id", "row"], "left_semi")
+    asked = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
+    wanted = texts.select("x", "rep.id", "rep.row").join(broadcast_if_small(asked), "x")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).join(broadcast_if_small(wanted), ["id", "row"]).select("x", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingles).view(np.int64) for _, shingles in _sequences(batch.column(2), k)]
+            sets = [np.unique(shingles).view(np.int64) for _, shingles in _sequences(batch.column(1), k)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, np.concatenate([*sets, np.empty(0, np.int64)]))], ["id", "row", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, np.concatenate([*sets, np.empty(0, np.int64)]))], ["x", "set"])
         release()
 
-    found = narrow.mapInArrow(run, "id long, row long, set array<bigint>").dropDuplicates(["id", "row"])
-    sets = written(found.select(F.struct("id", "row").alias("rep"), "set"), "sets")
-    of = lambda x, name: sets.select(F.col("rep").alias(x), F.col("set").alias(name))
-    both = pairs.join(of("b", "y"), "b").join(of("a", "x"), "a")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = written(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+    sets = written(narrow.mapInArrow(run, "x long, set array<bigint>").dropDuplicates(["x"]), "sets")
+    of = lambda x, name: sets.select(F.col("x").alias(x), F.col("set").alias(name))
+    both = pairs.join(of("b", "theirs"), "b").join(of("a", "own"), "a")
+    shared = F.size(F.array_intersect("own", "theirs"))
+    links = written(both.filter(shared >= similarity * (F.size("own") + F.size("theirs") - shared)).select("a", "b"), "links")
     discard(sets, pairs)
     return links
 
 
-def _grouped(reps: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, c) for all ``reps``: c is the least rep that ``links`` (a, b) lead to, itself included."""
-    return written(reps.select("rep").join(connected_components(links).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c")), "grouped")
+def _grouped(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """(x, c) for all ``texts``: c is the least number that ``links`` (a, b) lead to, its own included."""
+    return written(texts.select("x").join(connected_components(links).withColumnRenamed("node", "x"), "x", "left").select("x", F.coalesce("component", "x").alias("c")), "grouped")
 
 
 def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, rep): each row's id and text hash, and its group, named by the least (id, row) in it.
+    """(id, row, rep): each row's id and text hash, and its group, named by the least (id, row) in it; a written table.
 
     Equal word sequences are one text. Texts link if their k-word shingle sets are ``similarity`` alike or more by Jaccard:
 
@@ -421,23 +421,26 @@ def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_co
        bound that candidates have to meet before their sets are compared (sizes, places of the shared shingle, parity
        bitmaps) refuses such a pair.
 
-    So the pairs whose sets are compared grow with the members of a group; pairs inside a group that is known are never formed.
+    So the pairs whose sets are compared grow with the members of a group; pairs inside a group that is known are never formed. Texts have numbers, so
+    that what moves is narrow.
     """
     each = written(signatures(docs.filter(F.col(id_col).isNotNull()), k, similarity, id_col, text_col), "signatures")
-    rest = F.min_by(F.struct("n", "fp", *_BITMAP, "prefix"), F.struct("id", "row")).alias("x")
-    whole = written(each.groupBy("t1", "t2").agg(F.min(F.struct("id", "row")).alias("rep"), rest).select("t1", "t2", "rep", "x.*"), "texts")
+    rest = F.min_by(F.struct("n", "fp", *_BITMAP, "prefix"), F.struct("id", "row")).alias("s")
+    first = each.groupBy("t1", "t2").agg(F.min(F.struct("id", "row")).alias("rep"), rest).select("t1", "t2", "rep", "s.*")
+    texts = written(first.withColumn("x", F.monotonically_increasing_id()), "texts")  # numbers of the rows as they are written
+    compared = lambda pairs: similar(docs, texts, pairs, k, similarity, id_col, text_col)
 
-    fps = written(whole.groupBy("fp").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    fps = written(texts.groupBy("fp").agg(F.min("x").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprints")
     alike = fingerprint_components(fps, 3).select("fp", F.col("component").alias("b"))
-    proposed = written(whole.select("fp", F.col("rep").alias("a")).join(alike, "fp").filter("a != b").select("a", "b"), "proposed")
+    proposed = written(texts.select("fp", F.col("x").alias("a")).join(alike, "fp").filter("a != b").select("a", "b"), "proposed")
 
-    entries = whole.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
-    twice = written(entries.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "twice")
-    held = written(entries.join(broadcast_if_small(twice), "h"), "held")
-    info = written(whole.select("rep", *_BITMAP).join(held.groupBy("rep").agg(F.sum("texts").alias("weight")), "rep"), "info")
-    now = written(held.drop("texts").join(broadcast_if_small(info), "rep").withColumn("c", F.col("rep")), "entries")
-    reps, total = whole.select("t1", "t2", "rep"), info.count()
-    discard(held, twice)
+    entries = texts.select("x", "n", F.posexplode("prefix").alias("pos", "h"))
+    twice = entries.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    held = written(entries.join(twice, "h"), "held")
+    info = written(texts.select("x", *_BITMAP).join(held.groupBy("x").agg(F.sum("texts").alias("weight")), "x"), "info")
+    now = written(held.drop("texts").join(broadcast_if_small(info), "x").withColumn("c", F.col("x")), "entries")
+    total = info.count()
+    discard(held, fps)
 
     def near(x: str, y: str) -> Column:
         """What holds for similar sets x and y at the first shingle that their prefixes share."""
@@ -450,36 +453,40 @@ def duplicate_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_co
     named = lambda df, x: df.select(*[F.col(c).alias(c if c == "h" else f"{x}{c}") for c in df.columns])
     links, turn = proposed.limit(0), 0
     while True:
-        order = F.struct("weight", "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), "rep")
-        hubs = now.groupBy("h").agg(F.max_by(F.struct("rep", "n", "pos", "c", *_BITMAP), order).alias("x")).select("h", "x.*")
-        met = written(now.join(named(hubs, "hub_"), "h").filter("rep != hub_rep").select(*now.columns, "hub_rep", near("", "hub_").alias("near")), "met")
-        pairs = met.filter("near").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b"))
-        found = similar(docs, pairs.unionByName(proposed) if turn == 0 else pairs, k, similarity, id_col, text_col)
+        order = F.struct("weight", "x") if turn == 0 else F.struct(F.xxhash64("x", F.lit(turn)), "x")
+        hubs = now.groupBy("h").agg(F.max_by(F.struct("x", "n", "pos", "c", *_BITMAP), order).alias("s")).select("h", "s.*")
+        met = written(now.join(named(hubs, "hub_"), "h").filter("x != hub_x").select(*now.columns, "hub_x", near("", "hub_").alias("near")), "met")
+        pairs = met.filter("near").select(F.col("x").alias("a"), F.col("hub_x").alias("b"))
+        found = compared(pairs.unionByName(proposed) if turn == 0 else pairs)
         links = links.unionByName(found)
-        groups = _grouped(reps, links)
+        groups = _grouped(texts, links)
         # The hubs are done with under their shingles, and so are shingles whose other texts are of one group. main is the group that holds
         # most of a shingle's texts.
-        grouped = met.drop("hub_rep", "near", "c").join(broadcast_if_small(groups), "rep")
+        grouped = met.drop("hub_x", "near", "c").join(broadcast_if_small(groups), "x")
         main = grouped.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("h", "main")
-        left = written(grouped.join(broadcast_if_small(written(main, "main")), "h").withColumn("other", F.col("c") != F.col("main")).select(*now.columns, "other"), "left")
-        discard(now, met)
+        main = written(main, "main")
+        left = written(grouped.join(broadcast_if_small(main), "h").withColumn("other", F.col("c") != F.col("main")).select(*now.columns, "other"), "left")
+        discard(now, met, main, groups)
         now, turn = left, turn + 1
         if found.count() <= WORTHWHILE * total:
             break
         now = now.drop("other")
 
-    once = ~F.col("y_other") | (F.col("x_rep") < F.col("y_rep"))
-    cross = named(now.filter("other"), "x_").join(named(now, "y_").hint("merge"), "h").filter(near("x_", "y_") & once).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
-    last = similar(docs, cross, k, similarity, id_col, text_col)
-    groups = _grouped(reps, links.unionByName(last))
-    discard(now)
-    return each.select("id", "row", "t1", "t2").join(reps.join(groups, "rep").select("t1", "t2", F.col("c").alias("rep")), ["t1", "t2"]).select("id", "row", "rep")
+    once = ~F.col("y_other") | (F.col("x_x") < F.col("y_x"))
+    cross = named(now.filter("other"), "x_").join(named(now, "y_").hint("merge"), "h").filter(near("x_", "y_") & once).select(F.col("x_x").alias("a"), F.col("y_x").alias("b"))
+    last = compared(cross)
+    groups = _grouped(texts, links.unionByName(last))
+    named_by = groups.join(texts.select("x", "rep"), "x").groupBy("c").agg(F.min("rep").alias("rep"))
+    known = texts.select("x", "t1", "t2").join(groups, "x").join(named_by, "c").select("t1", "t2", "rep")
+    out = written(each.select("id", "row", "t1", "t2").join(known, ["t1", "t2"]).select("id", "row", "rep"), "found")
+    discard(each, texts, proposed, info, now, groups, links, last)
+    return out
 
 
 def drop_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the smallest id; rows without id stay. Null and empty texts
     are copies of each other; of rows that repeat the id and text that stays, one stays; an empty table stays empty; extra columns pass through."""
-    found = written(duplicate_groups(docs, k, similarity, id_col=id_col, text_col=text_col), "found")
+    found = duplicate_groups(docs, k, similarity, id_col=id_col, text_col=text_col)
     first = F.struct("id", "row") == F.col("rep")
     gone = broadcast_if_small(found.filter(~first).select(F.struct("id", "row").alias("key")).distinct())
     own, nth = free_name(docs, "own"), free_name(docs, "nth")
