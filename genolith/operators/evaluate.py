@@ -61,3 +61,13 @@ def phase_switches_without_doubles(phases: DataFrame) -> DataFrame:
     kept = run.filter("not odd").withColumn("c", (F.col("off") != F.lag("off").over(w)).cast("int"))
     switches = kept.groupBy("sample").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("switches"))
     return run.groupBy("sample").agg(F.count(F.lit(1)).alias("sites"), F.count_if("odd").alias("discordant")).join(switches, "sample").select("sample", "sites", "switches", "discordant")
+
+
+def panel_agreement(counts: DataFrame, panel: DataFrame) -> DataFrame:
+    """One row: correlations of the pileup's allele frequencies (snp, af) with those of a panel (hap, snp, allele): over all sites of both (r), those with
+    a pileup frequency from 5 to 95 % (common), and the others (rare)."""
+    both = counts.select("snp", "af").join(panel.groupBy("snp").agg(F.avg("allele").alias("ref")), "snp")
+    inside = (F.col("af") > 0.05) & (F.col("af") < 0.95)
+    outside = (F.col("af") < 0.05) | (F.col("af") > 0.95)
+    r = lambda where: F.when(F.count_if(where) > 1, F.corr(F.when(where, F.col("af")), F.when(where, F.col("ref"))))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.corr("af", "ref").alias("r"), r(inside).alias("common"), r(outside).alias("rare"))

@@ -20,6 +20,7 @@ class Config:
     switchModelIteration: int | None = None
     refillIterations: tuple[int, ...] = (6, 10, 14, 18)
     shuffleHaplotypeIterations: tuple[int, ...] = (4, 8, 12, 16)
+    splitReadIterations: tuple[int, ...] = ()
     shuffle_bin_radius: int = 5000
     expRate: float = 0.5
     minRate: float = 0.1
@@ -53,6 +54,7 @@ class Config:
         need(self.niterations >= 1, "niterations must be at least 1")
         need(all(i <= self.niterations - 5 for i in self.refillIterations) or self.niterations < 6, "refill iterations must be at least 5 before the last")
         need(all(i <= self.niterations - 5 for i in self.shuffleHaplotypeIterations) or self.niterations < 6, "shuffle iterations must be at least 5 before the last")
+        need(not self.splitReadIterations or self.S == 1, "splitting reads needs S = 1")
         need(self.shuffle_bin_radius > 0, "shuffle_bin_radius must be positive")
         need(0 <= self.downsampleFraction <= 1, "downsampleFraction must be from 0 to 1")
         need(0 < self.downsampleSamples <= 1, "downsampleSamples must be above 0 and at most 1")

@@ -19,6 +19,7 @@ from ..operators import hmm
 from ..operators.pileup import allele_counts
 from ..operators.reads import central
 from ..operators.sites import grid, interpolate
+from ..operators.splitting import split_places, split_reads
 from .config import Config
 
 #: Samples whose arrays are in memory together.
@@ -126,9 +127,10 @@ def continued(samples: DataFrame, model: hmm.Model, method: str, at: list[tuple[
     return found["counts"].reshape(len(at), model.k, model.k) if found else np.zeros((len(at), model.k, model.k))
 
 
-def fit(samples: DataFrame, layout: pd.DataFrame, af: np.ndarray, n: int, config: Config, seed: int, start: np.ndarray | None = None) -> tuple[hmm.Model, str]:
+def fit(inputs: Inputs, config: Config, seed: int, start: np.ndarray | None = None) -> tuple[hmm.Model, str]:
     """The model after ``niterations``, and the method of the last one. Alleles begin as ``start`` [k, site], else as draws; recombination as the
     layout's map (cm) says, if it has one, else as one rate everywhere."""
+    layout, af, n = inputs.layout, inputs.af, inputs.n
     rng = np.random.default_rng([config.seed, seed])
     grid_of = layout["grid"].to_numpy()
     grids = int(grid_of.max()) + 1
@@ -141,15 +143,17 @@ def fit(samples: DataFrame, layout: pd.DataFrame, af: np.ndarray, n: int, config
     for i in range(1, config.niterations):
         if config.switchModelIteration == i:
             method = "diploid"
-        sums = expect(samples, model, grid_of, method)
+        sums = expect(inputs.samples, model, grid_of, method)
         model = hmm.maximise(sums, model, n, af, distance, config.nGen, config.minRate, config.maxRate, config.emissionThreshold, config.alphaMatThreshold)
         if i in config.shuffleHaplotypeIterations and config.K > 1:
             at = hmm.breaks(model, middle, config.shuffle_bin_radius)
             if at:
-                model = hmm.reorder(model, at, continued(samples, model, method, at), grid_of)
+                model = hmm.reorder(model, at, continued(inputs.samples, model, method, at), grid_of)
         if i in config.refillIterations:
             usage = np.maximum(sums.switch, 0) if sums.switch.size else sums.prior[:, None]
             model = hmm.refill(model, usage * n / max(float(usage.sum(axis=0).mean()), 1e-300), grid_of, n, int(rng.integers(1 << 31)))
+        if i in config.splitReadIterations:
+            inputs.split(model, method)
     return model, method
 
 
@@ -158,25 +162,44 @@ class Inputs:
     without any; ``gmap`` (chr, position, cm) is the genetic map, if there is one."""
 
     def __init__(self, observations: DataFrame, sites: DataFrame, config: Config, every: DataFrame | None = None, gmap: DataFrame | None = None):
-        grouped, self.layout = grouped_reads(observations, sites, config.gridWindowSize)
-        if every is not None:
-            grouped = every.select("sample").distinct().join(grouped, "sample", "left")
-            grouped = grouped.select("sample", *[F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in grouped.columns if c != "sample"])
-        spark = grouped.sparkSession
-        self.samples = grouped.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sample").persist()
+        self.observations, self.sites, self.every, self.width = observations, sites, every, config.gridWindowSize
+        self.samples, self.layout = self._grouped(observations)
         self.n = self.samples.count()
         if gmap is not None:
             self.layout = self.layout.merge(interpolate(gmap, sites, config.expRate).select("snp", "cm").toPandas(), on="snp").sort_values("i")
         counted = allele_counts(observations, sites).select("snp", "af").toPandas()
         self.af = self.layout.merge(counted, on="snp", how="left").sort_values("i")["af"].to_numpy()
 
+    def _grouped(self, observations: DataFrame) -> tuple[DataFrame, pd.DataFrame]:
+        grouped, layout = grouped_reads(observations, self.sites, self.width)
+        if self.every is not None:
+            grouped = self.every.select("sample").distinct().join(grouped, "sample", "left")
+            grouped = grouped.select("sample", *[F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in grouped.columns if c != "sample"])
+        return grouped.repartition(int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sample").persist(), layout
+
+    def split(self, model: hmm.Model, method: str) -> None:
+        """Split reads that fit no founder where the sample's founders change."""
+        spark, k = self.samples.sparkSession, model.k
+        rows = pd.DataFrame({"snp": np.tile(self.layout["snp"].to_numpy(), k), "k": np.repeat(np.arange(k), len(self.layout)), "p": model.p.ravel()})
+        founders = spark.createDataFrame(rows, "snp long, k int, p double")
+        posteriors = founder_posteriors(self.samples, model, method == "diploid")
+        if method == "diploid":  # of the first of a pair
+            first = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.aggregate(F.slice("gamma", i * k + 1, k), F.lit(0.0), lambda x, y: x + y))
+            posteriors = posteriors.withColumn("gamma", first)
+        index = F.broadcast(spark.createDataFrame(self.layout[["snp", "grid"]]))
+        centred = central(self.observations, self.sites).join(index, F.col("central") == F.col("snp")).select("sample", "read", "central", F.col("grid").cast("long").alias("grid"))
+        self.observations = split_reads(self.observations, split_places(self.observations, founders, centred, posteriors)).persist()
+        before, (self.samples, _) = self.samples, self._grouped(self.observations)
+        self.samples.count()  # made before what it is made from goes
+        before.unpersist()
+
     def fits(self, config: Config, founders: DataFrame | None) -> list[tuple[hmm.Model, str]]:
         """S fits. ``founders`` (k, snp, p): alleles to begin with."""
         start = None
         if founders is not None:
             found = founders.filter(F.col("k") < config.K).toPandas().pivot(index="k", columns="snp", values="p").reindex(index=range(config.K), columns=self.layout["snp"])
             start = np.where(found.isna(), self.af[None, :], found.to_numpy(float))
-        return [fit(self.samples, self.layout, self.af, self.n, config, s, start) for s in range(config.S)]
+        return [fit(self, config, s, start) for s in range(config.S)]
 
     def share(self, fits: list[tuple[hmm.Model, str]]):
         return self.samples.sparkSession.sparkContext.broadcast((fits, self.layout["grid"].to_numpy(), self.layout["snp"].to_numpy()))

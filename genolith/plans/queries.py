@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import bits, cigar, hwe, phred
-from ..operators import evaluate, forward, hmm, panel as panels, pileup, reads, sites as site_ops
+from ..operators import evaluate, forward, hmm, panel as panels, pileup, reads, sites as site_ops, splitting
 from . import adapter, em
 from .adapter import with_tables
 from .config import Config
@@ -534,6 +534,47 @@ def estep_inbred(spark, d):
     return spark.createDataFrame(rows, "snp long, k int, alt double, total double").select("snp", "k", r6("alt").alias("alt"), r6("total").alias("total"))
 
 
+@query(with_tables("prob", "sites", recursive=True) + f",\n{_F3},\n{_READ_E},\n{_CENTRAL}{_GRID_E}{_HAP}\nSELECT snp, CAST(k AS INT) AS k, round_even(avg(gamma), 6) AS gamma FROM gm JOIN gr USING (grid) GROUP BY snp, k")
+def founders_at_sites(spark, d):
+    samples, model, layout = _fixed_model(spark, d, 3)
+    mean = em.founder_posteriors(samples, model, False).select("grid", F.posexplode("gamma").alias("k", "gamma")).groupBy("grid", "k").agg(F.avg("gamma").alias("gamma"))
+    return mean.join(F.broadcast(spark.createDataFrame(layout[["snp", "grid"]])), "grid").select("snp", "k", r6("gamma").alias("gamma"))
+
+
+_SPLIT = """,
+ord AS (SELECT sample, read, grid, row_number() OVER w AS i, count(*) OVER (PARTITION BY sample) AS n,
+  coalesce(lag(grid, 10) OVER w, first_value(grid) OVER w) AS gs, coalesce(lead(grid, 10) OVER w, last_value(grid) OVER (PARTITION BY sample ORDER BY ce.snp, read ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ge
+  FROM ce JOIN rg USING (sample, read) WINDOW w AS (PARTITION BY sample ORDER BY ce.snp, read)),
+sus AS (SELECT sample, read FROM (SELECT sample, read, count(*) AS c, sum(ln((pa + pr) / 2)) AS l FROM prob GROUP BY ALL) JOIN (SELECT sample, read, max(l) AS m FROM (SELECT sample, read, k, sum(ln(p * pa + (1 - p) * pr)) AS l FROM prob JOIN f USING (snp) GROUP BY ALL) GROUP BY ALL) USING (sample, read) WHERE c >= 4 AND l > m),
+mv AS (SELECT o.sample, o.read, a.k, b.gamma - a.gamma AS d FROM ord o JOIN sus USING (sample, read) JOIN gm a ON a.sample = o.sample AND a.grid = o.gs JOIN gm b ON b.sample = o.sample AND b.grid = o.ge AND b.k = a.k WHERE i > 1 AND i < n),
+ft AS (SELECT sample, read, first(k ORDER BY d, k) AS kf, first(k ORDER BY d DESC, k) AS kt FROM mv GROUP BY ALL),
+zs AS (SELECT sample, read, row_number() OVER w AS m, count(*) OVER (PARTITION BY sample, read) AS c,
+  sum(x) OVER w2 + sum(y) OVER (PARTITION BY sample, read) - sum(y) OVER w2 AS z
+  FROM (SELECT sample, read, prob.snp, bq, ff.p * pa + (1 - ff.p) * pr AS x, fi.p * pa + (1 - fi.p) * pr AS y FROM prob JOIN ft USING (sample, read) JOIN f ff ON ff.snp = prob.snp AND ff.k = kf JOIN f fi ON fi.snp = prob.snp AND fi.k = kt)
+  WINDOW w AS (PARTITION BY sample, read ORDER BY snp, bq), w2 AS (PARTITION BY sample, read ORDER BY snp, bq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query(with_tables("prob", "sites", recursive=True) + f",\n{_F3},\n{_READ_E},\n{_CENTRAL}{_GRID_E}{_HAP}{_SPLIT}\nSELECT sample, read, first(m ORDER BY round_even(z, 9) DESC, m) AS left FROM zs WHERE m < c GROUP BY sample, read")
+def read_split_places(spark, d):
+    samples, model, layout = _fixed_model(spark, d, 3)
+    obs, sites = _obs(spark, d), adapter.sites(spark, d)
+    k = np.repeat(np.arange(3), len(layout))
+    founders = spark.createDataFrame(pd.DataFrame({"snp": np.tile(layout["snp"].to_numpy(), 3), "k": k, "p": model.p.ravel()}), "snp long, k int, p double")
+    centred = reads.central(obs, sites).join(F.broadcast(spark.createDataFrame(layout[["snp", "grid"]])), F.col("central") == F.col("snp")).select("sample", "read", "central", F.col("grid").cast("long").alias("grid"))
+    return splitting.split_places(obs, founders, centred, em.founder_posteriors(samples, model, False))
+
+
+@query(with_tables("obs") + "\nSELECT sample, read, array_to_string(list(snp ORDER BY snp, bq)[2:3], ',') AS snp FROM obs GROUP BY sample, read HAVING count(*) > 1")
+def read_cut(spark, d):
+    return splitting.between(reads.nested(_obs(spark, d)), 1, 2).select("sample", "read", F.array_join(F.col("snp").cast("array<string>"), ",").alias("snp"))
+
+
+@query(with_tables("sites", "prob", "panel") + "\nSELECT count(*) AS n, round_even(corr(af, ref), 6) AS r, round_even(corr(af, ref) FILTER (af > 0.05 AND af < 0.95), 6) AS common, round_even(corr(af, ref) FILTER (af < 0.05 OR af > 0.95), 6) AS rare FROM (SELECT snp, coalesce(w / total, 0) AS af FROM sites LEFT JOIN (SELECT snp, sum(pa) AS w, sum(pa + pr) AS total FROM prob GROUP BY snp) USING (snp)) JOIN (SELECT snp, avg(allele) AS ref FROM panel GROUP BY snp) USING (snp)")
+def panel_pileup_agreement(spark, d):
+    found = evaluate.panel_agreement(pileup.allele_counts(_obs(spark, d), adapter.sites(spark, d)), adapter.panel(spark, d))
+    return found.select("n", *[r6(c).alias(c) for c in ("r", "common", "rare")])
+
+
 _DIP = """,
 le AS (SELECT sample, grid, a.k * 2 + b.k AS s, sum(ln((a.e + b.e) / 2)) AS l FROM re a JOIN re b USING (sample, read) JOIN rg USING (sample, read) GROUP BY ALL),
 ge AS (SELECT sample, grid, s, greatest(exp(l - max(l) OVER (PARTITION BY sample, grid)), 1e-10) AS e FROM le),

@@ -231,6 +231,27 @@ def test_samples_without_reads_are_imputed(spark):
     assert len(post) == 8 * 30 and np.allclose(post[["g0", "g1", "g2"]].sum(axis=1), 1)
 
 
+def test_recombined_reads_are_split(spark):
+    from genolith.operators import splitting
+    from genolith.plans import em
+
+    # Founders 0 and 1 carry opposite alleles; read 50 begins as founder 0 and goes on as founder 1 after its third site.
+    p = np.array([np.arange(24) % 2, 1 - np.arange(24) % 2])
+    rows = [(0, r, r + i, 30 if p[0, r + i] else -30) for r in range(8) for i in range(3)] + [(0, 100 + r, r + i, 30 if p[1, r + i] else -30) for r in range(13, 21) for i in range(3)]
+    rows += [(0, 50, s, 30 if p[int(s > 11), s] else -30) for s in range(9, 15)]
+    obs = make(spark, rows, "sample long, read long, snp long, bq int")
+    founders = make(spark, [(k, i, 0.95 if p[k, i] else 0.05) for k in range(2) for i in range(24)], "k int, snp long, p double")
+    centred = make(spark, [(0, r, r + 1, r + 1) for r in range(8)] + [(0, 50, 11, 11)] + [(0, 100 + r, r + 1, r + 1) for r in range(13, 21)], "sample long, read long, central long, grid long")
+    posteriors = make(spark, [(0, g, [float(g < 12), float(g >= 12)]) for g in range(24)], "sample long, grid long, gamma array<double>")
+    places = splitting.split_places(obs, founders, centred, posteriors).collect()
+    assert [(r.read, r.left) for r in places] == [(50, 3)]
+    split = splitting.split_reads(obs, make(spark, places, "sample long, read long, left long")).collect()
+    assert sorted(r.snp for r in split if r.read == 50) == [9, 10, 11] and len({r.read for r in split}) == 18 and len(split) == len(rows)
+    s = make(spark, [(i, "1", 100 * i + 1, "A", "G") for i in range(24)], "snp long, chr string, pos long, ref string, alt string")
+    config = Config(K=2, nGen=10, niterations=3, refillIterations=(), shuffleHaplotypeIterations=(), splitReadIterations=(1, 2))
+    assert em.impute(obs, s, config).count() == 24
+
+
 def test_founders_and_maps_start_a_fit(spark):
     from genolith.plans import em
 
