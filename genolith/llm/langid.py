@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import bounded, free_name, release
 
-ROWS, CHARACTERS, MOST, BLOCK = 96, 1 << 16, 1 << 19, 2048
+ROWS, CHARACTERS, MOST, BLOCK = 384, 1 << 18, 1 << 19, 2048
 #: Characters of texts that are parsed together, about.
 TOGETHER = 4_000_000
 #: Bits of a character and of a state in a transition: state, character and next state are one 64-bit number.
