@@ -3,8 +3,8 @@
 The lexicon is learned: words whose share of toxic rows exceeds their share of others by far, and stems (the first 4 to
 6 letters), for which less is asked, as inflected words are rare one by one. Spark counts them over the training rows.
 Features are densities and rates, so the length of a text matters through its logarithm alone. Trees are
-grown from histograms on the driver; a quarter of the training rows, chosen by hash, is kept for calibration alone: neither lexicon nor trees
-see it.
+grown from histograms on the driver. The calibration is learned from margins of rows that neither lexicon nor trees had seen: the training rows are dealt
+to FOLDS by hash, and a model without a fold judges its rows; the model that scores learns from all of them.
 
 Bounds, parameters of ``train``: ROWS labelled rows (by hash of the id; labels are cut to them before they meet the
 texts), LEXICON words. Scoring reads whole texts.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded, free_name, release, written
 from .langid import _with
 
-ROWS, LEXICON = 20_000, 256
+ROWS, LEXICON, FOLDS = 20_000, 256, 3
 #: Toxic rows that must hold a word or stem: so many and such a share of them.
 LEAST_ROWS, LEAST_SHARE = 4, 0.005
 #: The log odds of the lexicon's words and stems exceed these; a hit at most NEAR words from a second-person word is near it.
@@ -197,15 +197,16 @@ class Isotonic:
 
 
 class Model:
-    """Lexicon, trees and calibration."""
+    """Lexicon, trees and calibration. ``folds``: for each, whether a row is in it, and all rows' features by the lexicon that didn't see it."""
 
-    def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray, aside: np.ndarray):
+    def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray, folds: list[tuple[np.ndarray, np.ndarray]]):
         self.lexicon, self.share = lexicon, float(y.mean()) if len(y) else 0.0
-        use = ~aside if 0 < y[~aside].sum() < (~aside).sum() and aside.any() else np.ones(len(y), bool)
-        self.trees = Trees(x[use], y[use]) if 0 < y.sum() < len(y) else None
+        self.trees = Trees(x, y) if 0 < y.sum() < len(y) else None
         if self.trees is not None:
-            keep = aside if aside.any() else use
-            self.calibrated = Isotonic(self.trees.margin(x[keep]), y[keep])
+            fair = [(own, seen) for own, seen in folds if own.any() and 0 < y[~own].sum() < (~own).sum()]
+            margins = [Trees(seen[~own], y[~own]).margin(seen[own]) for own, seen in fair] or [self.trees.margin(x)]
+            labels = [y[own] for own, _ in fair] or [y]  # too few rows for folds
+            self.calibrated = Isotonic(np.concatenate(margins), np.concatenate(labels))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None or not texts:
@@ -233,18 +234,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "d
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     some = written(known.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(rows), "labels")
     sample = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id"), "sample")  # at most ``rows`` rows
-    aside = F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)) == 0
-    learned = learn_lexicon(sample.filter(~aside)) or learn_lexicon(sample)  # a sample so small that all toxic rows are aside
-    lexicon = Lexicon(learned)
+    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS))
+    lexicons = [Lexicon(learn_lexicon(rows)) for rows in (sample, *(sample.filter(fold != f) for f in range(FOLDS)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t.as_py(), lexicon) for t in batch.column(2)], pa.list_(pa.float64()))], ["id", "toxic", "x"])
+            every = [[v for lexicon in lexicons for v in features(t.as_py(), lexicon)] for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(every, pa.list_(pa.float64()))], ["id", "toxic", "x"])
+        release()
 
-    found = written(sample.select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, x array<double>").withColumn("aside", aside), "features").toArrow()
+    found = written(sample.select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, x array<double>").withColumn("fold", fold), "features").toArrow()
     order = np.argsort(found["id"].to_numpy(), kind="stable")
-    x = np.array(found["x"].to_pylist(), float).reshape(-1, len(NAMES))[order]
-    return Model(lexicon, x, found["toxic"].to_numpy().astype(float)[order], found["aside"].to_numpy()[order].astype(bool))
+    x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(lexicons), len(NAMES))[order]
+    own = found["fold"].to_numpy()[order]
+    return Model(lexicons[0], x[:, 0], found["toxic"].to_numpy().astype(float)[order], [(own == f, x[:, f + 1]) for f in range(FOLDS)])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -252,12 +252,15 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, toxicity.train(no_docs, labels)).count() == 0
 
 
-def test_calibration_rows_teach_no_words(spark):
-    aside = {r.id for r in spark.range(400).filter(F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)) == 0).collect()}
-    docs = spark.createDataFrame([(i, ("beware " if i in aside else "dreadful ") * (i % 2) + "plain words here") for i in range(400)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
-    weights = toxicity.train(docs, labels).lexicon.weights
-    assert "dreadful" in weights and "beware" not in weights
+def test_calibration_sees_unseen_rows():
+    """Margins that calibrate come from models without the rows: where features say nothing of labels, scores stay near the share."""
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(300, len(toxicity.NAMES))), (rng.random(300) < 0.3).astype(float)
+    own = rng.integers(0, 3, 300)
+    fair = toxicity.Model(toxicity.Lexicon({}), x, y, [(own == f, x) for f in range(3)])
+    seen = toxicity.Isotonic(fair.trees.margin(x), y)
+    sure = lambda scores: (scores > 0.7).mean()
+    assert sure(seen(fair.trees.margin(x))) > 0.2 and sure(fair.calibrated(fair.trees.margin(x))) < 0.05
 
 
 def test_first_tree_splits_best():
