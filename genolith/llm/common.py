@@ -125,7 +125,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star steps: each is a pre-aggregated minimum and a join, no step gathers a
     node's neighbours in one row, and the edge list never grows beyond its input. Each round's edges are written, and those
-    before them go. Ends when a round leaves the edge set as it was (same count and same hash sum).
+    before them go. Ends when all that is left are stars: every node has one edge to a lesser one, or edges from greater ones alone.
     """
 
     def stars(links: DataFrame) -> DataFrame:
@@ -133,18 +133,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return links.join(least, "u")
 
+    def ended(e: DataFrame) -> bool:
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("s")).select("s.*")
+        return ends.groupBy("x").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).filter("down > 1 or (down > 0 and up > 0)").isEmpty()
+
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
-    seen = None
-    while True:
+    while not ended(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = stars(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = stars(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v").distinct()
         before, e = e, written(small, "edges")
         discard(before)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

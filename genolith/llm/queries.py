@@ -80,6 +80,10 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 _ITEM_WORDS = r"list_filter(regexp_split_to_array(%s, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')" % _LOWER.format("coalesce(text, '')")
 
+#: The 5 bits from bit 5 i of a SHA-1 in hexadecimal digits x.
+_NIBBLE = "(instr('0123456789abcdef', substr(x, CAST(floor(5 * i / 4) AS INT) + {}, 1)) - 1)"
+_FIVE = f"((({_NIBBLE.format(1)} * 16 + {_NIBBLE.format(2)}) >> (3 - 5 * i % 4)) & 31)"
+
 ORACLE_SQL = {
     "op5_decontamination": f"""
 WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
@@ -101,4 +105,16 @@ h AS (SELECT key AS hot, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROU
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hot IS NOT NULL AND doc_id <> keep) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (hot IS NULL OR doc_id = keep), '')) AS kept_sha256
 FROM k LEFT JOIN h ON key = hot GROUP BY doc_id""",
+    "op8_warc": f"""
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST({_FIVE} AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+    "op9_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, least(vec_id, coalesce(c, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, min(b) AS c FROM r GROUP BY a) USING (vec_id)""",
 }

@@ -229,7 +229,9 @@ def _slices(batch: pa.RecordBatch, rows: int = 4096, most: int = 8_000_000) -> I
 def _width(path: str, end_id: int) -> str:
     from tokenizers import Tokenizer
 
-    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    size = Tokenizer.from_file(path).get_vocab_size()
+    release()
+    return "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:

@@ -49,6 +49,13 @@ def test_rules_equal_brute_force(spark):
     assert urlfilter.filter_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_urls_of_odd_rows(spark):
+    long = "http://long.com/fr/" + "/".join(f"part{i}" for i in range(20_000))
+    rows = [(None, long), (None, long), (1, None), (None, None), (2, "http://example.org/es/" + "x" * 100_000), (2, "http://example.org/es/y")]
+    got = sorted(((r.page_id or 0, r.url or "", r.rule, r.verdict) for r in urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES, support=0.9).collect()), key=str)
+    assert len(got) == 6 and {(i, rule, v) for i, _, rule, v in got} == {(0, "com/fr/", "allow"), (0, None, "allow"), (1, None, "allow"), (2, "example.org/es/", "block")}
+
+
 def test_late_tokens_are_mined(spark):
     long = lambda i: "/".join(f"s{i}x{j}" for j in range(14))
     rows = [(i, f"http://bad.org/{long(i)}/casino") for i in range(20)] + [(20 + i, f"http://good.org/{long(20 + i)}/news") for i in range(20)] + [(40, f"http://else.net/{long(40)}/casino")]
@@ -409,6 +416,27 @@ def test_pipeline_stages(spark, sf_dir):
     check_store(kept["mixing"].collect(), kept["tokens"].collect())
 
 
+def test_stages_of_odd_rows(spark, sf_dir, odd_docs, no_docs):
+    """Each stage on nulls, empty and very long texts, repeated rows, an empty table and columns with clashing names."""
+    clashing = odd_docs.withColumns({"__score": F.lit(0.9), "own": F.lit(1), "copy": F.lit("x"), "nth": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clashing, sf_dir)
+        assert stage(spark, no_docs, sf_dir).count() == 0
+        if name == "tokens":
+            assert out.count() == clashing.count()
+            continue
+        assert out.columns == clashing.columns
+        rows = out.collect()
+        texts = {r.text for r in rows}
+        assert all(r["__score"] == 0.9 and r.own == 1 for r in rows)
+        if name in ("toxicity", "decontamination"):
+            assert {None, "", "one", "two words"} <= texts
+        if name == "near_duplicates":
+            assert sum(r.doc_id is not None and not (r.text or "").split() for r in rows) == 1 and sum(r.doc_id is None for r in rows) == 2
+        if name == "mixing":
+            assert None not in texts and "" not in texts
+
+
 def _shingles(text):
     import re
 
