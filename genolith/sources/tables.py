@@ -67,6 +67,32 @@ def check_genetic_map(gmap: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     return gmap
 
 
+def check_panel(spark: SparkSession, haps: str, legend: str, samples: str | None = None) -> None:
+    """Raises ValueError if a panel's files don't fit together: the legend has columns id, position, a0, a1 and different positions in order; there is a row of
+    haplotypes, of 0, 1 or -, for each of its rows; the sample file has columns ID, POP, GROUP, SEX and a row for each two haplotypes."""
+
+    def need(right: bool, message: str) -> None:
+        if not right:
+            raise ValueError(message)
+
+    lines = spark.read.text(legend).select(F.split("value", " ").alias("c"))
+    need(lines.filter(F.col("c") == F.array(*map(F.lit, ("id", "position", "a0", "a1")))).count() == 1, f"{legend} has no header id position a0 a1")
+    rows = lines.filter(F.get("c", F.lit(0)) != "id").select(F.expr("try_cast(get(c, 1) as long)").alias("pos"), F.get("c", F.lit(2)).alias("a0"), F.get("c", F.lit(3)).alias("a1"))
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("positions"), F.count_if(F.col("a0").isNull() | F.col("a1").isNull()).alias("short")).first()
+    need(n.n == n.positions, f"{legend} repeats positions, or some are no numbers")
+    need(not n.short, f"{legend} has rows without alleles")
+    cells = spark.read.text(haps).select(F.split("value", " ").alias("a"))
+    h = cells.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("a")).alias("least"), F.max(F.size("a")).alias("most"), F.count_if(F.exists("a", lambda x: ~x.isin("0", "1", "-"))).alias("odd")).first()
+    need(h.n == n.n, f"{haps} has {h.n} rows for {n.n} sites")
+    need(h.least == h.most and h.most % 2 == 0, f"{haps} has rows of {h.least} to {h.most} haplotypes")
+    need(not h.odd, f"{haps} holds other than 0, 1 and -")
+    if samples is not None:
+        people = spark.read.text(samples).select(F.split("value", " ").alias("s"))
+        need(people.filter(F.col("s") == F.array(*map(F.lit, ("ID", "POP", "GROUP", "SEX")))).count() == 1, f"{samples} has no header ID POP GROUP SEX")
+        k = people.count() - 1
+        need(2 * k == h.most, f"{samples} has {k} samples for {h.most} haplotypes")
+
+
 def read_panel(spark: SparkSession, haps: str, legend: str, samples: str | None = None, populations: list[str] | None = None) -> DataFrame:
     """(hap, pos, ref, alt, allele) of a panel in three files; with ``populations``, of their samples alone. The - of a
     haploid male's second copy is left out."""

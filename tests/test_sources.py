@@ -102,3 +102,19 @@ def test_bgen_round_trip(spark, tmp_path, bits):
         for j in range(3):
             assert np.allclose(got[10 * i + 5, f"s{j}"], gp[i, j], atol=1.01 / ((1 << bits) - 1))
     assert [p for p, *_ in [(v[1],) for v in bgen.parse((tmp_path / "x.bgen").read_bytes())[1]]] == [5, 15, 25, 35]
+
+
+def test_panel_files_fit_together(spark, tmp_path):
+    from genolith.sources import tables
+
+    good = {"h": "0 1 1 0\n1 1 0 -\n", "l": "id position a0 a1\nx 5 A G\ny 9 C T\n", "s": "ID POP GROUP SEX\na P G male\nb P G female\n"}
+
+    def check(**changed):
+        for name, text in (good | changed).items():
+            (tmp_path / name).write_text(text)
+        tables.check_panel(spark, *[str(tmp_path / name) for name in "hls"])
+
+    check()
+    for bad in ({"h": "0 1 1 0\n"}, {"h": "0 1 1 0\n1 1 0\n"}, {"h": "0 1 1 2\n1 1 0 0\n"}, {"l": good["l"].replace("9", "5")}, {"l": "x 5 A G\ny 9 C T\n"}, {"s": "ID POP GROUP SEX\na P G male\n"}, {"s": "a P G male\nb P G female\n"}):
+        with pytest.raises(ValueError):
+            check(**bad)
