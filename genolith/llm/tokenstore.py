@@ -23,6 +23,7 @@ import json
 import os
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 
@@ -39,8 +40,8 @@ MEMORY = 500_000
 
 
 def _gear() -> np.ndarray:
-    """65,536 pseudorandom 64-bit numbers, one for each 16-bit value."""
-    return np.random.default_rng(20240101).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
+    """65,536 pseudorandom 32-bit numbers, one for each 16-bit value."""
+    return np.random.default_rng(20240101).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
 class _Numbers(dict):
@@ -184,24 +185,25 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def cut(ids: np.ndarray, gear: np.ndarray) -> list[int]:
-    """The ends of the chunks of ``ids``: content-defined, LEAST to MOST ids long, but for the last."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    g = gear[ids & 0xFFFF]
-    rolled = np.cumsum(g, dtype=np.uint64)
-    rolled[WINDOW:] -= rolled[:-WINDOW].copy()  # the sum over the last WINDOW ids, modulo 2^64
-    mixed = (rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MASK_BITS)
-    marks = np.flatnonzero(mixed == 0) + 1
-    ends, start, i = [], 0, 0
-    while n - start > LEAST:
-        i = int(np.searchsorted(marks, start + LEAST))
-        end = min(int(marks[i]) if i < len(marks) else n, start + MOST, n)
-        ends.append(end)
-        start = end
-    if start < n:
-        ends.append(n)
+def marks(ids: np.ndarray, gear: np.ndarray) -> list[int]:
+    """Where chunks may end: after the ids at which a hash of the last WINDOW ids has MASK_BITS zeros. ``ids`` may hold many documents one after
+    another: what a window sees of the one before concerns its first WINDOW ids alone, and no chunk is as short as that (LEAST)."""
+    rolled = gear[ids & 0xFFFF]
+    np.cumsum(rolled, dtype=np.uint32, out=rolled)
+    rolled[WINDOW:] -= rolled[:-WINDOW].copy()  # the sum over the last WINDOW ids, modulo 2^32
+    rolled *= np.uint32(0x9E3779B1)
+    return (np.flatnonzero(rolled < 1 << (32 - MASK_BITS)) + 1).tolist()
+
+
+def cut(found: list[int], start: int, stop: int) -> list[int]:
+    """The ends of the chunks of the document from ``start`` to ``stop``: content-defined, LEAST to MOST ids long, but for the last."""
+    ends = []
+    while stop - start > LEAST:
+        i = bisect_left(found, start + LEAST)
+        start = min(found[i] if i < len(found) else stop, start + MOST, stop)
+        ends.append(start)
+    if start < stop:
+        ends.append(stop)
     return ends
 
 
@@ -262,18 +264,22 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col:
         own_encoder, gear = encoder(tokenizer), _gear()
         for batch in _gathered(batches, together):
             roots, counts, parts, names, offsets, pieces = [], [], [0], [], [], []
-            for ids in own_encoder.encode(batch.column(1).fill_null("")):
-                ids = np.append(ids.astype(kind, copy=False), np.array(end_id, kind))
-                data, start = ids.tobytes(), 0
-                for end in cut(ids, gear):
-                    piece = data[width * start : width * end]
+            end = np.array([end_id], kind)
+            coded = own_encoder.encode(batch.column(1).fill_null(""))
+            every = np.concatenate([x for ids in coded for x in (ids, end)]).astype(kind, copy=False)
+            found, data, first = marks(every, gear), memoryview(every).cast("B"), 0
+            for ids in coded:
+                start, last = first, first + len(ids) + 1
+                for stop in cut(found, first, last):
+                    piece = bytes(data[width * start : width * stop])
                     names.append(hashlib.sha256(piece).digest())
-                    offsets.append(start)
+                    offsets.append(start - first)
                     pieces.append(piece)
-                    start = end
+                    start = stop
                 roots.append(merkle_root(names[parts[-1] :]))
-                counts.append(len(ids))
+                counts.append(last - first)
                 parts.append(len(names))
+                first = last
             lengths = [len(x) // width for x in pieces]
             fields = [pa.array(names, pa.binary()), pa.array(lengths, pa.int32()), pa.array(offsets, pa.int64()), pa.array(pieces, pa.binary())]
             chunks = pa.ListArray.from_arrays(pa.array(parts, pa.int32()), pa.StructArray.from_arrays(fields, ["name", "n", "offset", "ids"]))

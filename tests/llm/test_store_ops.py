@@ -376,7 +376,12 @@ def test_chunks_are_found_again():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 40000, 20000)
     gear = tokenstore._gear()
-    chunks = lambda x: {x[s:e].tobytes() for s, e in zip([0, *tokenstore.cut(x, gear)], tokenstore.cut(x, gear))}
+    ends = lambda x: tokenstore.cut(tokenstore.marks(x, gear), 0, len(x))
+    chunks = lambda x: {x[s:e].tobytes() for s, e in zip([0, *ends(x)], ends(x))}
+    whole = np.concatenate([a[:7000], a[7000:7040], a[7040:]])  # documents one after another are cut as each alone
+    found = tokenstore.marks(whole, gear)
+    assert [x - 7040 for x in tokenstore.cut(found, 7040, 20000)] == ends(a[7040:]) and tokenstore.cut(found, 7000, 7040) == [7040]
+    assert all(64 <= e - s <= 4096 for s, e in zip([0, *ends(a)], ends(a)[:-1])) and ends(np.zeros(0, int)) == []
     both = chunks(a) & chunks(np.concatenate([rng.integers(0, 40000, 33), a]))
     assert len(both) > 0.8 * len(chunks(a))
 
