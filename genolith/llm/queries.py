@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, embeddings, langid, lines, mixing, simhash, tokenstore, toxicity, urlfilter, warc
+from . import audit, decontam, embeddings, langid, lines, mixing, quality, simhash, tokenstore, toxicity, urlfilter, warc, whitening
 from .common import table
 
 
@@ -73,7 +73,27 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.stored(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_line_dedup, op4_url_filter, op5_decontamination, op6_toxicity, op7_source_mix, op8_warc, op9_embedding_dedup, op10_token_store)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=16, scale=64, offset=1_000_000)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit.audit(docs, table(spark, sf_dir, "labels"), audit.text_filters(F.col("text")), copies="E")
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs.filter(_remainder() != HELD_OUT).select("doc_id", "text"), table(spark, sf_dir, "labels").filter(_remainder() != HELD_OUT))
+    asked = docs.select("doc_id", F.coalesce(_remainder() == HELD_OUT, F.lit(False)).alias("held_out"), "text")
+    return quality.score(asked, model).drop("text").withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+_OPERATORS = (
+    op1_simhash, op2_language_id, op3_line_dedup, op4_url_filter, op5_decontamination, op6_toxicity, op7_source_mix, op8_warc, op9_embedding_dedup,
+    op10_token_store, op11_whitening, op12_filter_audit, op13_quality,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -117,4 +137,22 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, least(vec_id, coalesce(c, vec_id)) = vec_id AS kept
 FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, min(b) AS c FROM r GROUP BY a) USING (vec_id)""",
+    "op12_filter_audit": """
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') AS words FROM t),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+  MAP {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words), 'C': 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x),
+    'D': regexp_matches(x, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false)} AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM c a, c b, c d, c e, c g WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+r AS (SELECT part, filter_order, CAST(step AS INT) AS step, filter_order[step] AS own,
+  count(*) FILTER (NOT now AND NOT past) AS kept, count(*) FILTER (now AND NOT past) AS removed, count(*) FILTER (now AND past) AS redundant, count(*) FILTER (now AND every = 1) AS unique_fails,
+  count(*) FILTER (now AND NOT past AND good = 1) AS good_lost, count(*) FILTER (now AND NOT past AND bad = 1) AS toxic_lost
+  FROM (SELECT part, good, bad, filter_order, step, fails[filter_order[step]] AS now,
+    len(list_filter(range(1, step), lambda i: fails[filter_order[i]])) > 0 AS past, len(list_filter(map_values(fails), lambda v: v)) AS every FROM f, s)
+  GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
