@@ -7,8 +7,8 @@ model asks, so nothing underflows. States are in memory for a block of grids at
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -54,11 +54,15 @@ class Sums:
     total: np.ndarray
     switch: np.ndarray
     prior: np.ndarray
-    extra: dict[str, float] = field(default_factory=dict)
+    usage: np.ndarray  # [k, grid]: how many samples are of each founder
 
     @classmethod
     def zero(cls, m: Model) -> Sums:
-        return cls(np.zeros_like(m.p), np.zeros_like(m.p), np.zeros_like(m.switch), np.zeros(m.k))
+        return cls(np.zeros_like(m.p), np.zeros_like(m.p), np.zeros_like(m.switch), np.zeros(m.k), np.zeros((m.k, len(m.stay) + 1)))
+
+    def use(self, lo: int, gamma: np.ndarray, part: float = 1.0) -> None:
+        """Adds the posteriors [sample, grid, k] of the grids from lo on."""
+        self.usage[:, lo : lo + gamma.shape[1]] += part * gamma.sum(axis=0).T
 
 
 def read_likelihoods(r: Reads, m: Model) -> np.ndarray:
@@ -241,6 +245,7 @@ def run_diploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = Non
         if sums is not None:
             rows, held = own.at(lo, gamma)
             weight[rows] = 2 * (held * e[rows][:, :, None] / pair[rows]).sum(axis=2)
+            sums.use(lo, gamma.sum(axis=3))
             if lo == 0:
                 sums.prior += gamma[:, 0].sum(axis=(0, 2))
             return
@@ -257,8 +262,8 @@ def run_diploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = Non
     return np.clip(out, 0, 1, out=out)
 
 
-def _haploid_pass(own: _Pass, logs: np.ndarray, dosage: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """(posterior of each read's founder [read, k], expected switches, first grid's founders, dosages [sample, site] if asked for)."""
+def _haploid_pass(own: _Pass, logs: np.ndarray, dosage: bool, sums: Sums | None = None, part: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(posterior of each read's founder [read, k], expected switches, first grid's founders, dosages [sample, site] if asked for). Usage is added to ``sums``, times ``part``."""
     held = np.zeros_like(logs)
     first = np.zeros(own.m.k)
     doses = np.empty((own.r.n, len(own.grid_of))) if dosage else None
@@ -266,6 +271,8 @@ def _haploid_pass(own: _Pass, logs: np.ndarray, dosage: bool) -> tuple[np.ndarra
     def visit(lo: int, gamma: np.ndarray) -> None:
         rows, x = own.at(lo, gamma)
         held[rows] = x
+        if sums is not None:
+            sums.use(lo, gamma, part)
         if lo == 0:
             first[:] = gamma[:, 0].sum(axis=0)
         if doses is not None:
@@ -277,7 +284,7 @@ def _haploid_pass(own: _Pass, logs: np.ndarray, dosage: bool) -> tuple[np.ndarra
 
 def run_inbred(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None) -> np.ndarray | None:
     """As ``run_diploid``, of samples with two equal haplotypes: one haploid pass, no heterozygotes."""
-    held, switches, first, d = _haploid_pass(_Pass(r, m, grid_of), np.log(read_likelihoods(r, m)), sums is None)
+    held, switches, first, d = _haploid_pass(_Pass(r, m, grid_of), np.log(read_likelihoods(r, m)), sums is None, sums)
     if sums is not None:
         _count(sums, r, m, held)
         sums.switch += switches
@@ -299,7 +306,7 @@ def run_pseudo_haploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | Non
     for last in [False] * (rounds - 1) + [True]:
         for h in (0, 1):
             mixed = (e + other[1 - h][:, None]) / 2
-            held, switches, first, doses[h] = _haploid_pass(own, np.log(mixed / mixed.max(axis=1, keepdims=True)), last and sums is None)
+            held, switches, first, doses[h] = _haploid_pass(own, np.log(mixed / mixed.max(axis=1, keepdims=True)), last and sums is None, sums if last else None, 0.5)
             other[h] = np.clip((held * e).sum(axis=1), 1e-3, 1 - 1e-3)
             if last and sums is not None:
                 _count(sums, r, m, held * e / (e + other[1 - h][:, None]))
@@ -326,13 +333,12 @@ def maximise(sums: Sums, m: Model, n: int, af: np.ndarray, distance: np.ndarray,
     return replace(m, p=np.clip(p, threshold, 1 - threshold), switch=share / share.sum(axis=0), stay=stay, prior=prior / prior.sum())
 
 
-def refill(m: Model, usage: np.ndarray, grid_of: np.ndarray, n: int, seed: int) -> Model:
-    """Founders used by less than n * min(1/(10k), 1/100) samples on average are overwritten by one drawn by usage."""
-    mean = usage.mean(axis=1)
-    weak = np.flatnonzero(mean < n * min(1 / (10 * m.k), 1 / 100))
-    p, rng = m.p.copy(), np.random.default_rng(seed)
-    for k in weak:
-        p[k] = np.clip(m.p[rng.choice(m.k, p=mean / mean.sum())] + rng.normal(0, 0.05, p.shape[1]), 1e-4, 1 - 1e-4)
+def refill(m: Model, plan: Iterable[tuple[int, int, int, int]], grid_of: np.ndarray) -> Model:
+    """The model whose founders k hold, in the grids first..last, the alleles that donors had there: (k, first, last, donor) of ``plan``."""
+    p = m.p.copy()
+    for k, first, last, donor in plan:
+        own = slice(*np.searchsorted(grid_of, [first, last + 1]))
+        p[k, own] = m.p[donor, own]
     return replace(m, p=p)
 
 
@@ -394,20 +400,61 @@ def marginals(r: Reads, m: Model, method: str, at: list[int]) -> np.ndarray:
     return out
 
 
-def breaks(m: Model, middle: np.ndarray, radius: float, least: int = 1) -> list[tuple[int, int]]:
-    """(left, right) grids around places where founders may have swapped: steps whose smoothed recombination is a local
-    maximum above the median, highest first and apart by more than twice the radius."""
-    rate = -np.log(np.clip(m.stay, 1e-300, 1 - 1e-15)) / np.maximum(np.diff(middle), 1)
-    at = (middle[1:] + middle[:-1]) / 2
-    past, ends = np.concatenate([[0], np.cumsum(rate)]), np.stack([np.searchsorted(at, at - radius, "left"), np.searchsorted(at, at + radius, "right")])
-    smooth = (past[ends[1]] - past[ends[0]]) / (ends[1] - ends[0])
-    peak = [i for i in np.argsort(-smooth, kind="stable") if smooth[i] > np.median(smooth) and smooth[i] >= smooth[max(0, i - 1) : i + 2].max()]
-    kept: list[int] = []
-    for i in peak:
-        if all(abs(at[i] - at[j]) > 2 * radius for j in kept):
-            kept.append(int(i))
-    sides = [(max(0, i - least), min(len(middle) - 1, i + 1 + least)) for i in sorted(kept)]
-    return sides
+def smoothed_rates(rate: np.ndarray, at: np.ndarray, radius: float) -> np.ndarray:
+    """Means of ``rate`` [step], which holds between the positions ``at`` [grid], within ``radius`` of each step's middle (and of the ends)."""
+    past, middle = np.concatenate([[0], np.cumsum(rate * np.diff(at))]), (at[1:] + at[:-1]) / 2
+    lo, hi = np.maximum(middle - radius, at[0]), np.minimum(middle + radius, at[-1])
+    return (np.interp(hi, at, past) - np.interp(lo, at, past)) / (hi - lo)
+
+
+def _valley(rate: np.ndarray, free: np.ndarray, peak: int, way: int, threshold: float) -> int:
+    """The least step on the way (-1 or 1) from a peak, as far as the rate falls: a walk ends near the ends of the chromosome, before a step that isn't free, where the
+    rate is above three times its least so far, or where it is below the threshold and above that of five steps before (of the peak, in the first four)."""
+    least = peak
+    for far in range(1, len(rate)):
+        i = peak + way * far
+        if rate[i] < rate[least]:
+            least = i
+        before = rate[i - 5 * way] if far >= 5 else rate[peak]
+        if not 1 < i < len(rate) - 3 or not free[i + way] or rate[i] > 3 * rate[least] or before < rate[i] < threshold:
+            break
+    return least
+
+
+def breaks(rate: np.ndarray, at: np.ndarray, radius: float, fewest: int = 10, most: int | None = None) -> list[tuple[int, int, int, int]]:
+    """(left, focal, focal + 1, right) grids around places where founders may have swapped, from left to right. ``rate`` [step] is the smoothed recombination rate, as a
+    part of the greatest there may be, ``at`` [grid] are positions.
+
+    Peaks are taken from the highest on, each as far out as its valleys, and mask what is within twice the radius or inside: no later peak is there, no later walk goes there.
+    A step beside a masked one is no peak. It ends after ``most``, or when all above the threshold (1, or the median) are masked and ``fewest`` are found.
+    """
+    steps, most = len(rate), max(1000, round(len(at) / 100)) if most is None else most
+    if len(at) < 5:
+        return []
+    inner = np.arange(1, steps - 1)
+    positive = rate[inner][rate[inner] != 0]
+    threshold = min(1.0, float(np.median(positive))) if len(positive) else 1.0
+    free, high = np.zeros(steps, bool), np.zeros(steps, bool)
+    free[inner], high[inner] = True, rate[inner] > threshold
+    found: list[tuple[int, int, int, int]] = []
+    if free.sum() <= 3:
+        return []
+    for i in inner[np.argsort(-rate[inner], kind="stable")].tolist():
+        if not free[i]:
+            continue
+        if not free[i - 1 : i + 2].all():
+            free[i - 1 : i + 2] = False
+        else:
+            left, right = (_valley(rate, free, i, way, threshold) for way in (-1, 1))
+            found.append((left, i, i + 1, right))
+            middle = (at[i] + at[i + 1]) / 2
+            lo = min(left, int(np.searchsorted(at, middle - 2 * radius, "right")))
+            hi = max(right, min(steps - 1, int(np.searchsorted(at, middle + 2 * radius, "left")) - 2))
+            free[min(lo + 1, i) : max(i, hi - 1) + 1] = False
+            high[lo : hi + 1] = False
+        if not free.any() or len(found) == most or not high.any() and len(found) >= fewest:
+            break
+    return sorted(found, key=lambda b: b[1])
 
 
 def best_order(counts: np.ndarray) -> np.ndarray:
@@ -420,13 +467,23 @@ def best_order(counts: np.ndarray) -> np.ndarray:
     return order
 
 
-def reorder(m: Model, at: list[tuple[int, int]], counts: np.ndarray, grid_of: np.ndarray) -> Model:
-    """The model with founders reordered right of each break as the counts say; orders compose along the chromosome."""
+def reorder(m: Model, at: list[tuple[int, int, int, int]], counts: np.ndarray, grid_of: np.ndarray, seed: int = 0) -> Model:
+    """The model with founders reordered right of each break (left, focal, focal + 1, right) as the counts say; orders compose along the chromosome.
+
+    Where an order isn't the identity, the alleles from left to before right are blended with draws, from none at both ends to nothing else in the middle, and who is switched to
+    is even, so that the next iterations find both anew.
+    """
     p, switch, total = m.p.copy(), m.switch.copy(), np.arange(m.k)
-    for (left, right), own in zip(at, counts):
-        order = best_order(own)
+    into, orders = np.arange(1, switch.shape[1] + 1), [best_order(own) for own in counts]
+    for (_, focal, _, _), order in zip(at, orders):
         total = order[total]
-        cut = (left + right) // 2
-        sites, steps = grid_of > cut, np.arange(switch.shape[1]) > cut
+        sites, steps = grid_of > focal, into > focal
         p[:, sites], switch[:, steps] = m.p[total][:, sites], m.switch[total][:, steps]
+    rng = np.random.default_rng(seed)
+    for (left, _, _, right), order in zip(at, orders):
+        if (order != np.arange(m.k)).any():
+            own = slice(*np.searchsorted(grid_of, [left, right]))
+            keep = np.abs(1 - np.linspace(0, 2, own.stop - own.start))
+            p[:, own] = keep * p[:, own] + (1 - keep) * rng.random((m.k, own.stop - own.start))
+            switch[:, left:right] = 1 / m.k
     return replace(m, p=p, switch=switch)

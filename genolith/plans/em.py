@@ -13,9 +13,9 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import hmm
+from ..operators import founders as founder_ops, hmm
 from ..operators.pileup import allele_counts
 from ..operators.reads import central
 from ..operators.sites import grid, interpolate
@@ -101,7 +101,7 @@ def expect(samples: DataFrame, model: hmm.Model, grid_of: np.ndarray, method: st
         sums = hmm.Sums.zero(m)
         for batch in _slices(batches):
             hmm.KERNELS[method](_batch(batch), m, g, sums)
-        return {name: getattr(sums, name) for name in ("alt", "total", "switch", "prior")}
+        return {name: getattr(sums, name) for name in ("alt", "total", "switch", "prior", "usage")}
 
     out = hmm.Sums.zero(model)
     for name, x in summed(samples, run).items():
@@ -110,9 +110,9 @@ def expect(samples: DataFrame, model: hmm.Model, grid_of: np.ndarray, method: st
     return out
 
 
-def continued(samples: DataFrame, model: hmm.Model, method: str, at: list[tuple[int, int]]) -> np.ndarray:
-    """[break, k, j]: over all samples, founder k left of a break and j right of it."""
-    shared = samples.sparkSession.sparkContext.broadcast((model, at))
+def continued(samples: DataFrame, model: hmm.Model, method: str, at: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """[break, k, j]: over all samples, founder k at the left grid of a break and j at the right one."""
+    shared = samples.sparkSession.sparkContext.broadcast((model, [(left, right) for left, _, _, right in at]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         m, places = shared.value
@@ -127,6 +127,15 @@ def continued(samples: DataFrame, model: hmm.Model, method: str, at: list[tuple[
     return found["counts"].reshape(len(at), model.k, model.k) if found else np.zeros((len(at), model.k, model.k))
 
 
+def refills(spark: SparkSession, usage: np.ndarray, middle: np.ndarray, n: int, seed: int) -> list[tuple[int, int, int, int]]:
+    """(k, first, last, donor) of the stretches to refill, from usage [k, grid] of ``n`` samples and the grids' positions."""
+    k, grids = usage.shape
+    rows = pd.DataFrame({"k": np.repeat(np.arange(k, dtype=np.int32), grids), "grid": np.tile(np.arange(grids), k), "v": usage.ravel()})
+    places = pd.DataFrame({"grid": np.arange(grids), "pos": middle})
+    plan = founder_ops.refill_plan(spark.createDataFrame(rows, "k int, grid long, v double"), spark.createDataFrame(places, "grid long, pos double"), n, k, seed=seed)
+    return [tuple(r) for r in plan.collect()]  # stretches of the model
+
+
 def fit(inputs: Inputs, config: Config, seed: int, start: np.ndarray | None = None) -> tuple[hmm.Model, str]:
     """The model after ``niterations``, and the method of the last one. Alleles begin as ``start`` [k, site], else as draws; recombination as the
     layout's map (cm) says, if it has one, else as one rate everywhere."""
@@ -146,12 +155,13 @@ def fit(inputs: Inputs, config: Config, seed: int, start: np.ndarray | None = No
         sums = expect(inputs.samples, model, grid_of, method)
         model = hmm.maximise(sums, model, n, af, distance, config.nGen, config.minRate, config.maxRate, config.emissionThreshold, config.alphaMatThreshold)
         if i in config.shuffleHaplotypeIterations and config.K > 1:
-            at = hmm.breaks(model, middle, config.shuffle_bin_radius)
+            # Rates before they are held within their bounds.
+            rate = sums.switch.sum(axis=0) / (2 * n) / np.maximum(distance, 1e-9)
+            at = hmm.breaks(hmm.smoothed_rates(rate, middle, config.shuffle_bin_radius) / max(config.nGen * config.maxRate / 1e8, 1e-300), middle, config.shuffle_bin_radius)
             if at:
-                model = hmm.reorder(model, at, continued(inputs.samples, model, method, at), grid_of)
-        if i in config.refillIterations:
-            usage = np.maximum(sums.switch, 0) if sums.switch.size else sums.prior[:, None]
-            model = hmm.refill(model, usage * n / max(float(usage.sum(axis=0).mean()), 1e-300), grid_of, n, int(rng.integers(1 << 31)))
+                model = hmm.reorder(model, at, continued(inputs.samples, model, method, at), grid_of, int(rng.integers(1 << 31)))
+        if i in config.refillIterations and config.K > 1:
+            model = hmm.refill(model, refills(inputs.samples.sparkSession, sums.usage, middle, n, int(rng.integers(1 << 31))), grid_of)
         if i in config.splitReadIterations:
             inputs.split(model, method)
     return model, method

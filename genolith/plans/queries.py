@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import bits, cigar, hwe, phred
-from ..operators import evaluate, forward, hmm, panel as panels, pileup, reads, sites as site_ops, splitting
+from ..operators import evaluate, forward, founders as founder_ops, hmm, panel as panels, pileup, reads, sites as site_ops, splitting
 from . import adapter, em
 from .adapter import with_tables
 from .config import Config
@@ -448,6 +448,40 @@ def refill_bins(spark, d):
     return u.select("bin", "k", "n", (F.col("n") < 0.2 * F.sum("n").over(Window.partitionBy("bin"))).alias("weak"))
 
 
+_USE = """,
+gs AS (SELECT snp, pos, dense_rank() OVER (ORDER BY ceil(pos / 1000)) - 1 AS grid FROM sites),
+pl AS (SELECT grid, CAST(floor(avg(pos) / 5000) AS BIGINT) AS bin FROM gs GROUP BY grid),
+us AS (SELECT CAST(abs(bq) % 4 AS INT) AS k, grid, count(*) AS v FROM obs JOIN gs USING (snp) GROUP BY ALL),
+bn AS (SELECT k, bin, row_number() OVER (PARTITION BY k ORDER BY bin) AS i, min(grid) AS first, max(grid) AS last, avg(v) AS mean FROM us JOIN pl USING (grid) GROUP BY k, bin),
+wk AS (SELECT *, i - row_number() OVER (PARTITION BY k ORDER BY i) AS island FROM (SELECT *, avg(mean) OVER (PARTITION BY i) AS even FROM bn) WHERE mean < 0.98 * even),
+rn AS (SELECT k, min(i) AS a, max(i) AS b, min(first) AS first, max(last) AS last FROM wk GROUP BY k, island),
+wt AS (SELECT rn.k, a, b, rn.first, rn.last, o.k AS j, sum(o.mean) AS w FROM rn JOIN bn o ON o.i BETWEEN a AND b AND o.k <> rn.k GROUP BY ALL),
+dr AS (SELECT *, sum(w) OVER (PARTITION BY k, a ORDER BY j) AS reached, sum(w) OVER (PARTITION BY k, a) * CAST('0x' || substr(md5('7:' || k || ':' || a), 1, 8) AS BIGINT) / 4294967296 AS point FROM wt),
+rp AS (SELECT k, first, last, min(j) AS donor FROM dr WHERE reached > point GROUP BY ALL)"""
+
+
+def _weak_stretches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(gridded sites, refill plan) where usage is how many scores of a grid have the remainder k."""
+    gridded = site_ops.grid(adapter.sites(spark, d), 1000)
+    usage = _obs(spark, d).join(gridded.select("snp", "grid"), "snp").groupBy((F.abs("bq") % 4).alias("k"), "grid").agg(F.count(F.lit(1)).alias("v"))
+    binned = founder_ops.binned_usage(usage, gridded.groupBy("grid").agg(F.avg("pos").alias("pos")), 5000)
+    binned = binned.withColumn("even", F.avg("mean").over(Window.partitionBy("i")))
+    return gridded, founder_ops.donors(binned, founder_ops.weak_runs(binned, 0.98 * F.col("even")), seed=7)
+
+
+@query(with_tables("obs", "sites") + _USE + "\nSELECT k, first, last, donor FROM rp")
+def refill_runs(spark, d):
+    return _weak_stretches(spark, d)[1].select("k", "first", "last", "donor")
+
+
+@query(with_tables("obs", "sites") + _USE + ",\nal AS (SELECT k, snp, grid, round_even(0.1 + 0.8 * ((snp * 7 + k * 3) % 11) / 10, 6) AS p FROM gs, (SELECT unnest([0, 1, 2, 3]) AS k))\nSELECT CAST(al.k AS INT) AS k, al.snp, coalesce(g.p, al.p) AS p FROM al LEFT JOIN rp ON rp.k = al.k AND grid BETWEEN first AND last LEFT JOIN al g ON g.k = donor AND g.snp = al.snp")
+def refilled_founders(spark, d):
+    gridded, plan = _weak_stretches(spark, d)
+    every = gridded.select("snp", "grid", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"))
+    alleles = every.select("k", "snp", "grid", r6(0.1 + 0.8 * ((F.col("snp") * 7 + F.col("k") * 3) % 11) / 10).alias("p"))
+    return founder_ops.refilled(alleles, plan).select("k", "snp", "p")
+
+
 @query(with_tables("obs") + "\nSELECT snp, count(*) AS n FROM (SELECT DISTINCT snp, sample, CASE WHEN (snp * 7 + sample * 3) % 40 < snp % 5 THEN NULL ELSE 1 END AS g FROM obs) GROUP BY snp HAVING count(*) FILTER (g IS NULL) <= 0.05 * count(*)")
 def missing_call_filter(spark, d):
     calls = _obs(spark, d).select("snp", "sample").distinct().select("snp", F.when((F.col("snp") * 7 + F.col("sample") * 3) % 40 >= F.col("snp") % 5, 1).alias("g"))

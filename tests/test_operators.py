@@ -316,7 +316,7 @@ def test_reordering_undoes_a_swap():
     m = hmm.Model(swapped, np.full((3, 9), 1 / 3), np.full(9, 0.9), np.full(3, 1 / 3))
     counts = np.zeros((1, 3, 3))
     counts[0, np.arange(3), [list(np.argsort(order)).index(k) for k in range(3)]] = 5
-    assert np.allclose(hmm.reorder(m, [(4, 5)], counts, np.arange(10)).p, p)
+    assert np.allclose(hmm.reorder(m, [(5, 4, 5, 5)], counts, np.arange(10)).p, p)  # blends nothing
     assert list(hmm.best_order(np.eye(4))) == [0, 1, 2, 3]
 
 
@@ -339,3 +339,122 @@ def test_founders_are_of_different_kinds(spark):
     got = panel.choose_founders(make(spark, rows, "hap int, snp int, allele int"), 3).collect()
     assert sorted(r.hap % 3 for r in got) == [0, 1, 2]
     assert panel.choose_founders(make(spark, rows[:80], "hap int, snp int, allele int"), 3).count() == 2
+
+
+def test_blending_around_breaks():
+    rng = np.random.default_rng(0)
+    grid_of = np.repeat(np.arange(8), 3)
+    m = hmm.Model(rng.uniform(0.1, 0.9, (3, 24)), rng.uniform(0.2, 0.5, (3, 7)), np.full(7, 0.9), np.full(3, 1 / 3))
+    swap = np.array([[0, 1, 0], [1, 0, 0], [0, 0, 1.0]])
+    got = hmm.reorder(m, [(1, 3, 4, 6)], swap[None], grid_of)
+    moved = m.p.copy()
+    moved[:2, grid_of > 3] = m.p[1::-1, grid_of > 3]
+    keep, own = np.abs(1 - np.linspace(0, 2, 15)), (grid_of >= 1) & (grid_of < 6)
+    assert np.array_equal(got.p[:, ~own], moved[:, ~own]) and np.allclose(got.p[:, own][:, [0, -1]], moved[:, own][:, [0, -1]])
+    drawn = (got.p[:, own] - keep * moved[:, own])[:, 1:-1] / (1 - keep[1:-1])
+    assert (drawn > 0).all() and (drawn < 1).all() and drawn.std() > 0.2
+    assert np.allclose(got.switch[:, 1:6], 1 / 3) and np.array_equal(got.switch[:, 0], m.switch[:, 0]) and np.array_equal(got.switch[:, 6], m.switch[[1, 0, 2], 6])
+    same = hmm.reorder(m, [(1, 3, 4, 6)], np.eye(3)[None], grid_of)
+    assert np.array_equal(same.p, m.p) and np.array_equal(same.switch, m.switch)
+
+
+def brute_breaks(rate, at, radius, fewest, most):
+    """The rule of ``hmm.breaks``, with sets and distances step by step."""
+    steps = len(rate)
+    free = set(range(1, steps - 1))
+    shown = [rate[i] for i in free if rate[i] != 0]
+    threshold = min(1.0, float(np.median(shown))) if shown else 1.0
+    high = {i for i in free if rate[i] > threshold}
+    found = []
+    for i in sorted(free, key=lambda i: (-rate[i], i)) if len(free) > 3 and len(at) >= 5 else []:
+        if i not in free:
+            continue
+        if {i - 1, i + 1} <= free:
+            ends = []
+            for way in (-1, 1):
+                walked, j = [i], i
+                while True:
+                    j += way
+                    walked.append(j)
+                    lowest = min(rate[x] for x in walked)
+                    earlier = rate[walked[-6]] if len(walked) > 5 else rate[i]
+                    if j <= 1 or j >= steps - 3 or j + way not in free or rate[j] > 3 * lowest or (rate[j] < threshold and earlier < rate[j]):
+                        break
+                ends.append(next(x for x in walked if rate[x] == lowest))
+            found.append((ends[0], i, i + 1, ends[1]))
+            middle = (at[i] + at[i + 1]) / 2
+            near = [j for j in range(i + 1) if middle - at[j] < 2 * radius] + [j for j in range(i, steps) if at[j + 1] - middle < 2 * radius]
+            lo = min([ends[0], *(near or [i + 1])])
+            hi = max([ends[1], *(near or [i - 1])])
+            free -= set(range(min(lo + 1, i), max(i, hi - 1) + 1))
+            high -= set(range(lo, hi + 1))
+        else:
+            free -= {i - 1, i, i + 1}
+        if not free or len(found) == most or (not high and len(found) >= fewest):
+            break
+    return sorted(found, key=lambda x: x[1])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_breaks_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(4, 160))
+    at = np.cumsum(rng.integers(1, 4000, n)).astype(float)
+    rate = np.convolve(rng.exponential(0.3, n + 8), np.ones(1 + seed % 6) / (1 + seed % 6), "same")[: n - 1] * (rng.random(n - 1) < 0.95)
+    for fewest, most in ((10, 1000), (1, 1000), (3, 4)):
+        assert hmm.breaks(rate, at, 1500.0 + 500 * seed, fewest, most) == brute_breaks(rate, at, 1500.0 + 500 * seed, fewest, most)
+
+
+def test_smoothed_rates_are_means():
+    at = np.array([1.0, 4, 5, 9, 20])
+    rate = np.array([2.0, 0, 1, 3])
+    fine = np.concatenate([np.repeat(rate, np.diff(at).astype(int) * 10)])
+    for i, got in enumerate(hmm.smoothed_rates(rate, at, 3.0)):
+        lo, hi = max((at[i] + at[i + 1]) / 2 - 3, 1), min((at[i] + at[i + 1]) / 2 + 3, 20)
+        assert abs(got - fine[round((lo - 1) * 10) : round((hi - 1) * 10)].mean()) < 1e-9
+
+
+def test_refill_equals_the_rule(spark):
+    from genolith.plans import em
+
+    rng = np.random.default_rng(4)
+    k, grids, n = 5, 60, 200
+    usage = np.full((k, grids), 40.0)
+    usage[1, 10:30], usage[1, 50:55], usage[3, :] = 0.5, 0, 0.01
+    middle = np.cumsum(rng.integers(500, 3000, grids)).astype(float)
+    bins = (middle // 5000).astype(int)
+    kinds = sorted(set(bins))
+    mean = np.array([[usage[f, bins == b].mean() for b in kinds] for f in range(k)])
+    weak = mean < n * min(1 / (10 * k), 1 / 100)
+    wanted = []
+    for f in range(k):
+        i = 0
+        while i < len(kinds):
+            j = i
+            while j < len(kinds) and weak[f, j]:
+                j += 1
+            if j > i:
+                wanted.append((f, int(np.flatnonzero(bins == kinds[i])[0]), int(np.flatnonzero(bins == kinds[j - 1])[-1])))
+            i = max(j, i + 1)
+    got = em.refills(spark, usage, middle, n, 3)
+    assert sorted(x[:3] for x in got) == sorted(wanted) and len(wanted) >= 3 and all(x[3] != x[0] for x in got)
+    assert got == em.refills(spark, usage, middle, n, 3)
+    p, grid_of = rng.uniform(0.1, 0.9, (k, 2 * grids)), np.repeat(np.arange(grids), 2)
+    m = hmm.refill(hmm.Model(p, np.full((k, grids - 1), 1 / k), np.full(grids - 1, 0.9), np.full(k, 1 / k)), got, grid_of)
+    for f in range(k):
+        for g in range(grids):
+            donor = next((x[3] for x in got if x[0] == f and x[1] <= g <= x[2]), f)
+            assert np.array_equal(m.p[f, 2 * g : 2 * g + 2], p[donor, 2 * g : 2 * g + 2])
+    drawn = [em.refills(spark, usage, middle, n, s)[0][3] for s in range(12)]
+    assert len(set(drawn)) > 1 and em.refills(spark, np.zeros((2, 8)), np.arange(8) * 1e4, 10, 0) == []
+
+
+def test_usage_sums_to_the_samples(spark):
+    from genolith.plans import em
+
+    obs, s, _ = simulated(spark, n=6)
+    samples, layout = em.grouped_reads(obs, s, 500)
+    grid_of = layout["grid"].to_numpy()
+    m = hmm.Model(np.random.default_rng(0).uniform(0.1, 0.9, (3, 30)), np.full((3, grid_of.max()), 1 / 3), np.full(grid_of.max(), 0.9), np.full(3, 1 / 3))
+    for method in hmm.KERNELS:
+        assert np.allclose(em.expect(samples, m, grid_of, method).usage.sum(axis=0), 6)
