@@ -110,17 +110,22 @@ def _ahead(x: np.ndarray, m: Model, g: int) -> np.ndarray:
     return s * s * x + one + (1 - s) ** 2 * np.outer(w, w)
 
 
-def _behind(eb: np.ndarray, x: np.ndarray, m: Model, g: int) -> tuple[np.ndarray, np.ndarray]:
-    """(backward states at grid g, expected switches by founder into g + 1): ``eb`` is emission times backward state at g + 1,
-    ``x`` the forward states at g."""
+def _back(eb: np.ndarray, m: Model, g: int) -> np.ndarray:
+    """Backward states at grid g: ``eb`` is emission times backward state at g + 1."""
     s, w = m.stay[g], m.switch[:, g]
     if eb.ndim == 2:
-        into = (1 - s) * w * eb
-        return s * eb + into.sum(axis=1, keepdims=True), into.sum(axis=0)
+        return s * eb + (1 - s) * (eb @ w)[:, None]
     left = (w[:, None] * eb).sum(axis=1)  # the first haplotype switches
-    into = eb * (s * (1 - s) * w[:, None] * x.sum(axis=1)[:, None, :] + (1 - s) ** 2 * np.outer(w, w))
     moved = s * (1 - s) * (left[:, None, :] + (w[None, :] * eb).sum(axis=2)[:, :, None])
-    return s * s * eb + moved + ((1 - s) ** 2 * (left @ w))[:, None, None], 2 * into.sum(axis=(0, 2))
+    return s * s * eb + moved + ((1 - s) ** 2 * (left @ w))[:, None, None]
+
+
+def _switches(eb: np.ndarray, x: np.ndarray, m: Model, g: int) -> np.ndarray:
+    """Expected switches by founder into g + 1, if ``x`` are the forward states at g."""
+    s, w = m.stay[g], m.switch[:, g]
+    if eb.ndim == 2:
+        return ((1 - s) * w * eb).sum(axis=0)
+    return 2 * (eb * (s * (1 - s) * w[:, None] * x.sum(axis=1)[:, None, :] + (1 - s) ** 2 * np.outer(w, w))).sum(axis=(0, 2))
 
 
 def _over(x: np.ndarray) -> tuple[int, ...]:
@@ -142,49 +147,81 @@ def _start(m: Model, pairs: bool) -> np.ndarray:
     return np.outer(m.prior, m.prior) if pairs else m.prior
 
 
-def _forward(emit: Emit, m: Model, pairs: bool, grids: int, block: int) -> list[np.ndarray | None]:
-    """The forward states before each block of grids (none before the first)."""
+def _forward(emit: Emit, m: Model, first: np.ndarray, grids: int, block: int) -> list[np.ndarray | None]:
+    """The forward states before each block of grids (none before the first); ``first`` is what the first grid's emissions meet."""
     saved: list[np.ndarray | None] = [None]
     a: np.ndarray | None = None
     for lo in range(0, grids - block, block):
         e = emit(lo, lo + block)
         for g in range(lo, lo + block):
-            a, _ = _scaled(e[:, g - lo] * (_start(m, pairs) if a is None else _ahead(a, m, g - 1)))
+            a, _ = _scaled(e[:, g - lo] * (first if a is None else _ahead(a, m, g - 1)))
         saved.append(a)
     return saved
 
 
-def _again(e: np.ndarray, before: np.ndarray | None, m: Model, pairs: bool, lo: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _again(e: np.ndarray, before: np.ndarray | None, m: Model, first: np.ndarray, lo: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Forward states of a block with emissions ``e`` that begins at grid lo, and their scales."""
     a, scales = np.empty_like(e), []
     for g in range(e.shape[1]):
-        before, c = _scaled(e[:, g] * (_start(m, pairs) if before is None else _ahead(before, m, lo + g - 1)))
+        before, c = _scaled(e[:, g] * (first if before is None else _ahead(before, m, lo + g - 1)))
         a[:, g] = before
         scales.append(c)
     return a, scales
 
 
-def passes(emit: Emit, m: Model, pairs: bool, visit: Callable[[int, np.ndarray], None], block: int = BLOCK) -> np.ndarray:
-    """Forward and backward over all grids, ``block`` at a time: the forward states before each block are kept, those inside are made
-    again on the way back, when ``visit(lo, gamma)`` sees each block's posteriors [sample, grid, state...]. Returns the expected
-    switches [k, step]."""
+def walk(emit: Emit, m: Model, pairs: bool, switches: np.ndarray, block: int = BLOCK, start: np.ndarray | None = None, end: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(lo, posteriors [sample, grid, state...]) of blocks of grids from lo on, from right to left. The forward states before each block are kept, those inside are made again on the way
+    back. Adds expected switches to ``switches`` [k, step]. ``start`` and ``end`` [sample, state...] replace the prior and the even backward states where the grids are a part of a
+    chromosome."""
     grids = len(m.stay) + 1
-    saved, switches, eb = _forward(emit, m, pairs, grids, block), np.zeros_like(m.switch), None
+    first = _start(m, pairs) if start is None else start
+    saved, eb = _forward(emit, m, first, grids, block), None
     for number in reversed(range(len(saved))):
         lo = number * block
         e = emit(lo, min(grids, lo + block))
-        a, scales = _again(e, saved[number], m, pairs, lo)
+        a, scales = _again(e, saved[number], m, first, lo)
         for g in reversed(range(e.shape[1])):
             if eb is None:
-                b: np.ndarray | float = 1.0
+                b: np.ndarray | float = 1.0 if end is None else end
             else:
-                b, switches[:, lo + g] = _behind(eb, a[:, g], m, lo + g)
+                switches[:, lo + g] += _switches(eb, a[:, g], m, lo + g)
+                b = _back(eb, m, lo + g)
             eb = e[:, g] * b / scales[g]
             a[:, g], _ = _scaled(a[:, g] * b)
-        visit(lo, a)
+        yield lo, a
+
+
+def passes(emit: Emit, m: Model, pairs: bool, visit: Callable[[int, np.ndarray], None], block: int = BLOCK, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+    """The expected switches [k, step] of ``walk``, whose blocks ``visit(lo, gamma)`` sees."""
+    switches = np.zeros_like(m.switch)
+    for lo, gamma in walk(emit, m, pairs, switches, block, start, end):
+        visit(lo, gamma)
     return switches
 
 
+def borders(emit: Emit, m: Model, pairs: bool, n: int, begins: list[int], block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(0, i, what meets the emissions of the first grid of part i) from left to right, then (1, i, backward states of its last grid) from right to left, both [sample, state...],
+    of the parts that begin at the grids ``begins``. With these as ``start`` and ``end``, ``passes`` over a part alone gives what it gives over all. No more is in memory than a
+    block of emissions."""
+    grids, number = len(m.stay) + 1, {g: i for i, g in enumerate(begins)}
+    x = np.broadcast_to(_start(m, pairs), (n, *_start(m, pairs).shape))
+    for lo in range(0, grids, block):
+        e = emit(lo, min(grids, lo + block))
+        for g in range(lo, lo + e.shape[1]):
+            if g in number:
+                yield 0, number[g], x
+            a, _ = _scaled(e[:, g - lo] * x)
+            x = _ahead(a, m, g) if g + 1 < grids else a
+    b = np.ones_like(x)
+    for lo in reversed(range(0, grids, block)):
+        e = emit(lo, min(grids, lo + block))
+        for g in reversed(range(lo, lo + e.shape[1])):
+            if g + 1 == grids or g + 1 in number:
+                yield 1, number[g + 1] - 1 if g + 1 < grids else len(begins) - 1, b
+            if g:
+                b, _ = _scaled(_back(e[:, g - lo] * b, m, g - 1))
+
+
 def _whole(e: np.ndarray, m: Model, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
     gamma = np.empty_like(e)
 
@@ -233,6 +270,12 @@ class _Pass:
         return passes(lambda lo, hi: self.grids.emissions(logs, lo, hi), self.m, pairs, visit)
 
 
+def _pair_genotypes(gamma: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """[sample, site, 3] of posteriors of pairs [sample, k, k] and the sites' alleles [k, site]."""
+    both, none = (((gamma @ x) * x).sum(axis=1) for x in (p, 1 - p))
+    return np.stack([none, 1 - both - none, both], axis=2)
+
+
 def run_diploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None) -> np.ndarray | None:
     """Genotype posteriors [sample, site, 3]; with ``sums``, adds to these instead."""
     e = read_likelihoods(r, m)
@@ -250,9 +293,7 @@ def run_diploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = Non
                 sums.prior += gamma[:, 0].sum(axis=(0, 2))
             return
         for g, a, b in own.sites(lo, gamma):
-            p = m.p[:, a:b]
-            both, none = (((gamma[:, g] @ x) * x).sum(axis=1) for x in (p, 1 - p))
-            out[:, a:b, 0], out[:, a:b, 1], out[:, a:b, 2] = none, 1 - both - none, both
+            out[:, a:b] = _pair_genotypes(gamma[:, g], m.p[:, a:b])
 
     switches = own.run(np.log(pair / 2), True, visit)
     if sums is not None:
@@ -293,31 +334,84 @@ def run_inbred(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None
     return np.stack([1 - d, np.zeros_like(d), d], axis=2)
 
 
-def run_pseudo_haploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None, rounds: int = 3, seed: int = 0) -> np.ndarray | None:
-    """As ``run_diploid``, by two haploid passes that each see a read as half the other haplotype's.
+def _first_shares(r: Reads, h: int, seed: int) -> np.ndarray:
+    """A draw (0.2 to 0.8) for each read, from its number in its sample: whichever samples are in a batch, it is the same."""
+    order = np.argsort(r.sample, kind="stable")
+    begins = np.searchsorted(r.sample[order], np.arange(r.n))
+    number = np.empty(len(order), np.uint64)
+    number[order] = np.arange(len(order)) - begins[r.sample[order]]
+    x = number * np.uint64(2) + np.uint64(h) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # the mixing of splitmix64
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return 0.2 + 0.6 * (x >> np.uint64(11)).astype(float) / (1 << 53)
 
-    What a read is worth under the other haplotype starts from a draw (0.2 to 0.8) and is refined ``rounds`` times; cost
-    is linear in the founders.
-    """
-    e = read_likelihoods(r, m)
-    own = _Pass(r, m, grid_of)
-    other = [x for x in np.random.default_rng(seed).uniform(0.2, 0.8, (2, len(e)))]
-    doses: list[np.ndarray | None] = [None, None]
+
+def _refined(own: _Pass, e: np.ndarray, rounds: int, seed: int, sums: Sums | None) -> list[np.ndarray]:
+    """The likelihoods [read, k] of reads in the last round's two haploid passes. Adds to ``sums``, if given, what these find."""
+    r, m = own.r, own.m
+    other = [_first_shares(r, h, seed) for h in (0, 1)]
+    tracks = [e, e]
     for last in [False] * (rounds - 1) + [True]:
         for h in (0, 1):
             mixed = (e + other[1 - h][:, None]) / 2
-            held, switches, first, doses[h] = _haploid_pass(own, np.log(mixed / mixed.max(axis=1, keepdims=True)), last and sums is None, sums if last else None, 0.5)
+            tracks[h] = mixed / mixed.max(axis=1, keepdims=True)
+            if last and h and sums is None:
+                break  # nobody asks what the last pass finds
+            held, switches, first, _ = _haploid_pass(own, np.log(tracks[h]), False, sums if last else None, 0.5)
             other[h] = np.clip((held * e).sum(axis=1), 1e-3, 1 - 1e-3)
             if last and sums is not None:
                 _count(sums, r, m, held * e / (e + other[1 - h][:, None]))
                 sums.switch += switches
                 sums.prior += first / 2
+    return tracks
+
+
+def run_pseudo_haploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None, rounds: int = 3, seed: int = 0) -> np.ndarray | None:
+    """As ``run_diploid``, by two haploid passes that each see a read as half the other haplotype's.
+
+    What a read is worth under the other haplotype starts from a draw (0.2 to 0.8) and is refined ``rounds`` times; cost
+    is linear in the founders.
+    """
+    own = _Pass(r, m, grid_of)
+    tracks = _refined(own, read_likelihoods(r, m), rounds, seed, sums)
     if sums is not None:
         return None
-    a, b = doses
+    return _of_haplotypes(*(_haploid_pass(own, np.log(x), True)[3] for x in tracks))
+
+
+def _of_haplotypes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([(1 - a) * (1 - b), a * (1 - b) + b * (1 - a), a * b], axis=2)
 
 
+def tracks(r: Reads, m: Model, grid_of: np.ndarray, method: str) -> list[np.ndarray]:
+    """Of each pass that a method's genotypes come from, the likelihoods [read, k] of the reads."""
+    e = read_likelihoods(r, m)
+    return _refined(_Pass(r, m, grid_of), e, 3, 0, None) if method == "pseudoHaploid" else [e]
+
+
+def track_logs(x: np.ndarray, method: str) -> np.ndarray:
+    return np.log((x[:, :, None] + x[:, None, :]) / 2) if method == "diploid" else np.log(x)
+
+
+def part_genotypes(r: Reads, likelihoods: list[np.ndarray], m: Model, grid_of: np.ndarray, method: str, starts: list[np.ndarray], ends: list[np.ndarray]) -> np.ndarray:
+    """Genotype posteriors [sample, site, 3] of a part of a chromosome, whose own grids, sites and founders ``r``, ``grid_of`` and ``m`` are; starts and
+    ends of each track are as of ``borders``."""
+    own, found = _Pass(r, m, grid_of), []
+    for x, start, end in zip(likelihoods, starts, ends):
+        out = np.empty((r.n, len(grid_of), 3) if method == "diploid" else (r.n, len(grid_of)))
+
+        def visit(lo: int, gamma: np.ndarray) -> None:
+            for g, a, b in own.sites(lo, gamma):
+                out[:, a:b] = _pair_genotypes(gamma[:, g], m.p[:, a:b]) if method == "diploid" else gamma[:, g] @ m.p[:, a:b]
+
+        passes(lambda lo, hi: own.grids.emissions(track_logs(x, method), lo, hi), m, method == "diploid", visit, start=start, end=end)
+        found.append(out)
+    if method == "diploid":
+        return np.clip(found[0], 0, 1)
+    d = found[0]
+    return _of_haplotypes(*found) if method == "pseudoHaploid" else np.stack([1 - d, np.zeros_like(d), d], axis=2)
+
+
 KERNELS = {"diploid": run_diploid, "diploid-inbred": run_inbred, "pseudoHaploid": run_pseudo_haploid}
 
 
@@ -348,40 +442,51 @@ def _drawn(weights: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return (past < rng.random(len(past))[:, None] * past[:, -1:]).sum(axis=1).clip(0, weights.shape[1] - 1)
 
 
-def sampled_paths(emit: Emit, m: Model, n: int, paths: int = 20, seed: int = 0, block: int = BLOCK) -> np.ndarray:
-    """[path, sample, grid, 2]: founder pairs of whole paths, drawn from their joint posterior: the last grid's from its forward states, each other's
-    from its own and the transition to what was drawn behind it."""
+def drawn_blocks(emit: Emit, m: Model, n: int, paths: int = 20, seed: int = 0, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray]]:
+    """(lo, [path, sample, grid, 2]) of blocks of grids from right to left: founder pairs of whole paths, drawn from their joint posterior: the last grid's from its forward states, each
+    other's from its own and the transition to what was drawn behind it."""
     grids, k = len(m.stay) + 1, m.k
-    rng = np.random.default_rng(seed)
-    out = np.empty((paths, n, grids, 2), np.int32)
-    saved = _forward(emit, m, True, grids, block)
+    rng, behind = np.random.default_rng(seed), np.empty((paths, n, 2), np.int32)
+    saved = _forward(emit, m, _start(m, True), grids, block)
     for number in reversed(range(len(saved))):
         lo = number * block
-        a, _ = _again(emit(lo, min(grids, lo + block)), saved[number], m, True, lo)
+        a, _ = _again(emit(lo, min(grids, lo + block)), saved[number], m, _start(m, True), lo)
+        out = np.empty((paths, n, a.shape[1], 2), np.int32)
         for g in reversed(range(lo, lo + a.shape[1])):
             x = a[:, g - lo]
             for p in range(paths):
                 w = x
                 if g + 1 < grids:
-                    own = [(1 - m.stay[g]) * m.switch[out[p, :, g + 1, h], g][:, None] + m.stay[g] * (np.arange(k) == out[p, :, g + 1, h][:, None]) for h in (0, 1)]
+                    own = [(1 - m.stay[g]) * m.switch[behind[p, :, h], g][:, None] + m.stay[g] * (np.arange(k) == behind[p, :, h][:, None]) for h in (0, 1)]
                     w = x * own[0][:, :, None] * own[1][:, None, :]
                 drawn = _drawn(w.reshape(n, -1), rng)
-                out[p, :, g, 0], out[p, :, g, 1] = drawn // k, drawn % k
-    return out
+                behind[p, :, 0], behind[p, :, 1] = drawn // k, drawn % k
+            out[:, :, g - lo] = behind
+        yield lo, out
+
+
+def sampled_paths(emit: Emit, m: Model, n: int, paths: int = 20, seed: int = 0, block: int = BLOCK) -> np.ndarray:
+    """[path, sample, grid, 2]: all of ``drawn_blocks``."""
+    return np.concatenate([x for _, x in drawn_blocks(emit, m, n, paths, seed, block)][::-1], axis=2)
 
 
-def sampled_phase(r: Reads, m: Model, grid_of: np.ndarray, paths: int = 20, seed: int = 0) -> np.ndarray:
-    """[sample, site, 2] haplotype dosages: means over sampled founder paths, each turned so that it agrees best with the first."""
+def sampled_phase(r: Reads, m: Model, grid_of: np.ndarray, paths: int = 20, seed: int = 0, block: int = BLOCK) -> Iterator[tuple[slice, np.ndarray]]:
+    """(sites, [sample, site, 2] haplotype dosages) of blocks from right to left: means over sampled founder paths, each turned so that it agrees best with the first. Paths are drawn
+    twice, with the same numbers: once to see how they agree, once to vote, so that none is in memory as a whole."""
     e = read_likelihoods(r, m)
-    own, logs = Grids(r), np.log((e[:, :, None] + e[:, None, :]) / 2)
-    drawn = sampled_paths(lambda lo, hi: own.emissions(logs, lo, hi), m, r.n, paths, seed)
-    votes = np.zeros((r.n, len(grid_of), 2))
-    for pair in drawn:
-        turn = (pair[:, :, ::-1] == drawn[0]).sum(axis=(1, 2)) > (pair == drawn[0]).sum(axis=(1, 2))
-        pair[turn] = pair[turn][:, :, ::-1]
-        for h in (0, 1):
-            votes[:, :, h] += m.p[pair[:, grid_of, h], np.arange(len(grid_of))]
-    return votes / paths
+    own, logs = _Pass(r, m, grid_of), np.log((e[:, :, None] + e[:, None, :]) / 2)
+    emit = lambda lo, hi: own.grids.emissions(logs, lo, hi)
+    agree = np.zeros((paths, r.n), int)
+    for _, drawn in drawn_blocks(emit, m, r.n, paths, seed, block):
+        agree += (drawn == drawn[0]).sum(axis=(2, 3)) - (drawn[..., ::-1] == drawn[0]).sum(axis=(2, 3))
+    for lo, drawn in drawn_blocks(emit, m, r.n, paths, seed, block):
+        drawn = np.where((agree < 0)[:, :, None, None], drawn[..., ::-1], drawn)
+        first, last = np.searchsorted(grid_of, [lo, lo + drawn.shape[2]])
+        votes = np.zeros((r.n, last - first, 2))
+        for pair in drawn:
+            for h in (0, 1):
+                votes[:, :, h] += m.p[pair[:, grid_of[first:last] - lo, h], np.arange(first, last)]
+        yield slice(int(first), int(last)), votes / paths
 
 
 def marginals(r: Reads, m: Model, method: str, at: list[int]) -> np.ndarray:

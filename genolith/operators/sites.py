@@ -133,6 +133,23 @@ def peaks(smoothed: DataFrame, radius: int, most: int) -> DataFrame:
     return top.select("chr", "mid", "smoothed").groupBy("chr").applyInPandas(run, "chr string, mid long, smoothed double")
 
 
+def block_begins(first: np.ndarray, last: int, grid: np.ndarray, size: int) -> list[int]:
+    """Which of the grids (numbers ``grid``, first sites ``first``; the last site is ``last``) begin output blocks, as of ``output_blocks``."""
+    may = len(grid) - int(first[-1] == last)  # grids that a block may begin with
+    begins = [0]
+    while True:
+        at = begins[-1]
+        # The first block counts its first site, later ones don't.
+        enough = np.searchsorted(first[:may], first[at] + size + (at > 0))
+        begin = int(max(enough, np.searchsorted(grid[:may], grid[at] + 2), at + 1))
+        if begin >= may:
+            break
+        begins.append(begin)
+    if len(begins) > 1 and begins[-1] == len(grid) - 1:
+        begins.pop()
+    return begins
+
+
 def output_blocks(gridded: DataFrame, size: int) -> DataFrame:
     """(chr, block, snp_start, snp_end, grid_start, grid_end): blocks of more than ``size`` sites that begin at a new
     grid and hold two grids at least; a last block of one grid joins the one before.
@@ -145,21 +162,9 @@ def output_blocks(gridded: DataFrame, size: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values("grid").reset_index(drop=True)
-        first, grid = own["first"].to_numpy(), own["grid"].to_numpy()
-        may = len(own) - (first[-1] == own["last"].iloc[-1])  # grids that a block may begin with
-        begins = [0]
-        while True:
-            at = begins[-1]
-            # The first block counts its first site, later ones don't.
-            enough = np.searchsorted(first[:may], first[at] + size + (at > 0))
-            begin = int(max(enough, np.searchsorted(grid[:may], grid[at] + 2), at + 1))
-            if begin >= may:
-                break
-            begins.append(begin)
-        if len(begins) > 1 and begins[-1] == len(own) - 1:
-            begins.pop()
+        begins = block_begins(own["first"].to_numpy(), int(own["last"].iloc[-1]), own["grid"].to_numpy(), size)
         ends = [*(x - 1 for x in begins[1:]), len(own) - 1]
-        return pd.DataFrame({"chr": own["chr"].iloc[0], "block": range(len(begins)), "snp_start": own["snp_first"].iloc[begins].to_numpy(), "snp_end": own["snp_last"].iloc[ends].to_numpy(), "grid_start": grid[begins], "grid_end": grid[ends]})
+        return pd.DataFrame({"chr": own["chr"].iloc[0], "block": range(len(begins)), "snp_start": own["snp_first"].iloc[begins].to_numpy(), "snp_end": own["snp_last"].iloc[ends].to_numpy(), "grid_start": own["grid"].iloc[begins].to_numpy(), "grid_end": own["grid"].iloc[ends].to_numpy()})
 
     return grids.groupBy("chr").applyInPandas(run, "chr string, block long, snp_start long, snp_end long, grid_start long, grid_end long")
 

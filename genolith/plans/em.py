@@ -20,6 +20,7 @@ from ..operators.pileup import allele_counts
 from ..operators.reads import central
 from ..operators.sites import grid, interpolate
 from ..operators.splitting import split_places, split_reads
+from . import blocks
 from .config import Config
 
 #: Samples whose arrays are in memory together.
@@ -216,19 +217,21 @@ class Inputs:
 
 
 def impute(observations: DataFrame, sites: DataFrame, config: Config, every: DataFrame | None = None, gmap: DataFrame | None = None, founders: DataFrame | None = None) -> DataFrame:
-    """(sample, snp, g0, g1, g2) of every sample (of ``every``, else of those with reads) at every site: posteriors averaged over S fits."""
+    """(sample, snp, g0, g1, g2) of every sample (of ``every``, else of those with reads) at every site: posteriors averaged over S fits, made block
+    by block of outputSNPBlockSize sites."""
     config.check()
     own = Inputs(observations, sites, config, every, gmap)
-    shared = own.share(own.fits(config, founders))
+    fits = own.fits(config, founders)
+    shared, begins = own.share(fits), blocks.block_grids(own.layout, config.outputSNPBlockSize)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, grid_of, snps = shared.value
+        models, grid_of, _ = shared.value
         for batch in _slices(batches):
-            r = _batch(batch)
-            gp = sum(hmm.KERNELS[method](r, m, grid_of) for m, method in models) / len(models)
-            yield _rows(batch, snps, {f"g{i}": gp[:, :, i] for i in range(3)})
+            r, names = _batch(batch), batch.column("sample").to_numpy(zero_copy_only=False).astype(np.int64)
+            for fit, (m, method) in enumerate(models):
+                yield from blocks.border_rows(names, r, m, grid_of, method, begins, fit)
 
-    return own.samples.mapInArrow(run, "sample long, snp long, g0 double, g1 double, g2 double")
+    return blocks.genotypes(own.samples.mapInArrow(run, blocks.ROW), fits, own.layout, begins, own.n, TOGETHER)
 
 
 def _rows(batch: pa.RecordBatch, snps: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -247,8 +250,8 @@ def phase(observations: DataFrame, sites: DataFrame, config: Config, every: Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ((m, _),), grid_of, snps = shared.value
         for batch in _slices(batches):
-            h = hmm.sampled_phase(_batch(batch), m, grid_of, seed=config.seed)
-            yield _rows(batch, snps, {"h0": h[:, :, 0], "h1": h[:, :, 1]})
+            for own, h in hmm.sampled_phase(_batch(batch), m, grid_of, seed=config.seed):
+                yield _rows(batch, snps[own], {"h0": h[:, :, 0], "h1": h[:, :, 1]})
 
     return own.samples.mapInArrow(run, "sample long, snp long, h0 double, h1 double")
 
@@ -261,13 +264,13 @@ def founder_posteriors(samples: DataFrame, model: hmm.Model, pairs: bool) -> Dat
         m = shared.value
         for batch in _slices(batches):
             r = _batch(batch)
-            e, grids, found = hmm.read_likelihoods(r, m), hmm.Grids(r), []
+            e, grids = hmm.read_likelihoods(r, m), hmm.Grids(r)
             logs = np.log((e[:, :, None] + e[:, None, :]) / 2) if pairs else np.log(e)
-            hmm.passes(lambda lo, hi: grids.emissions(logs, lo, hi), m, pairs, lambda lo, x: found.append(x.copy()))
-            gamma = np.concatenate(found[::-1], axis=1).reshape(r.n, len(m.stay) + 1, -1)
-            names, n = batch.column("sample").to_numpy(zero_copy_only=False).astype(np.int64), gamma.shape[1]
-            ends = np.arange(0, gamma.size + 1, gamma.shape[2], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.tile(np.arange(n), len(names))), pa.ListArray.from_arrays(pa.array(ends), pa.array(gamma.ravel()))], ["sample", "grid", "gamma"])
+            names = batch.column("sample").to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, x in hmm.walk(lambda lo, hi: grids.emissions(logs, lo, hi), m, pairs, np.zeros_like(m.switch)):
+                n, size = x.shape[1], int(np.prod(x.shape[2:]))
+                ends = np.arange(0, x.size + 1, size, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.tile(np.arange(lo, lo + n), len(names))), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))], ["sample", "grid", "gamma"])
 
     return samples.mapInArrow(run, "sample long, grid long, gamma array<double>")
 

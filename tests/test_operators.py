@@ -173,7 +173,7 @@ def test_blocks_of_grids_change_nothing(monkeypatch, block):
             yield from (run(r, m, grid_of), sums.alt, sums.total, sums.switch, sums.prior, hmm.marginals(r, m, method, [3, 9, 20]))
 
     whole = list(everything())
-    monkeypatch.setattr(hmm.passes, "__defaults__", (block,))
+    monkeypatch.setattr(hmm.passes, "__defaults__", (block, None, None))
     assert all(np.allclose(a, b) for a, b in zip(whole, everything()))
 
 
@@ -458,3 +458,60 @@ def test_usage_sums_to_the_samples(spark):
     m = hmm.Model(np.random.default_rng(0).uniform(0.1, 0.9, (3, 30)), np.full((3, grid_of.max()), 1 / 3), np.full(grid_of.max(), 0.9), np.full(3, 1 / 3))
     for method in hmm.KERNELS:
         assert np.allclose(em.expect(samples, m, grid_of, method).usage.sum(axis=0), 6)
+
+
+@pytest.mark.parametrize("method", ["diploid", "diploid-inbred", "pseudoHaploid"])
+@pytest.mark.parametrize("size", [4, 9, 100])
+def test_blocks_give_what_the_whole_gives(spark, method, size):
+    from dataclasses import replace
+
+    from genolith.plans import blocks, em
+
+    obs, s, _ = simulated(spark, n=9)
+    config = Config(K=3, nGen=10, S=2, method=method, niterations=1, refillIterations=(), shuffleHaplotypeIterations=(), gridWindowSize=200, outputSNPBlockSize=size).check()
+    every = make(spark, [(i,) for i in range(11)], "sample long")
+    own = em.Inputs(obs, s, config, every)
+    fits, grid_of = own.fits(config, None), own.layout["grid"].to_numpy()
+    rows = own.samples.toArrow().combine_chunks().to_batches()[0]
+    want = sum(hmm.KERNELS[m](em._batch(rows), x, grid_of) for x, m in fits) / 2
+    got = em.impute(obs, s, config, every).toPandas().sort_values(["sample", "snp"])
+    order = np.argsort(rows.column("sample").to_numpy())
+    assert len(got) == 11 * 30 and np.allclose(got[["g0", "g1", "g2"]].to_numpy().reshape(11, 30, 3), want[order], atol=1e-9)
+    begins = blocks.block_grids(own.layout, size)
+    assert (len(begins) > 2) == (size < 10) and begins[0] == 0
+    assert replace(config, outputSNPBlockSize=1).check()
+
+
+def test_phase_by_blocks_is_that_of_whole_paths():
+    m, r, grid_of = _random_reads(np.random.default_rng(7))
+    e, grids = hmm.read_likelihoods(r, m), hmm.Grids(r)
+    logs = np.log((e[:, :, None] + e[:, None, :]) / 2)
+    drawn = hmm.sampled_paths(lambda lo, hi: grids.emissions(logs, lo, hi), m, r.n, 20, 3, block=5)
+    want = np.zeros((r.n, len(grid_of), 2))
+    for pair in drawn:
+        turn = (pair[:, :, ::-1] == drawn[0]).sum(axis=(1, 2)) > (pair == drawn[0]).sum(axis=(1, 2))
+        pair = np.where(turn[:, None, None], pair[:, :, ::-1], pair)
+        for h in (0, 1):
+            want[:, :, h] += m.p[pair[:, grid_of, h], np.arange(len(grid_of))] / 20
+    got = list(hmm.sampled_phase(r, m, grid_of, 20, 3, block=5))
+    assert len(got) == 5 and all(np.allclose(x, want[:, own]) for own, x in got)
+
+
+def test_borders_hold_a_block_at_a_time():
+    """Many more grids take hardly more memory: emissions of a block, and the states at one border."""
+    import tracemalloc
+
+    peaks = []
+    for grids in (2_000, 20_000):
+        rng = np.random.default_rng(0)
+        m = hmm.Model(np.full((6, 1), 0.5), np.full((6, grids - 1), 1 / 6), np.full(grids - 1, 0.99), np.full(6, 1 / 6))
+        at = np.sort(rng.integers(0, grids, 400))
+        none = np.zeros(0, int)
+        own = hmm.Grids(hmm.Reads(8, rng.integers(0, 8, 400), at, none, none, none))
+        logs = np.log(rng.uniform(0.01, 1, (400, 6, 6)))
+        tracemalloc.start()
+        n = sum(1 for _ in hmm.borders(lambda lo, hi: own.emissions(logs, lo, hi), m, True, 8, list(range(0, grids, 500))))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n == 2 * grids // 500
+    assert peaks[1] < 1.1 * peaks[0]
