@@ -76,10 +76,10 @@ def output_pileup(obs: DataFrame, sites: DataFrame, path: str) -> None:
     vcf.write_vcf(cells, sites, sites.select("snp", F.lit(".").alias("info")), "GT:AD:PL", f"{path}/input")
 
 
-def named_samples(spark: SparkSession, aligned: DataFrame, files: int, names_file: str | None, config: Config) -> DataFrame:
+def named_samples(spark: SparkSession, held: DataFrame, files: int, names_file: str | None, config: Config) -> DataFrame:
     """(number, name) of the samples to impute: those of the files, renamed by the lines of ``names_file`` if given, thinned to downsampleSamples. Raises
     ValueError if two files have one name."""
-    found = [r.sample for r in aligned.select("sample").distinct().orderBy("sample").collect()]  # the samples' names
+    found = [r.sample for r in held.select("sample").distinct().orderBy("sample").collect()]  # the samples' names
     if len(found) < files:
         raise ValueError(f"{files} files hold {len(found)} samples: names must differ, and files have reads")
     names = found
@@ -119,8 +119,14 @@ def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir:
         near = region(sites, config.regionStart, config.regionEnd, config.buffer)
         sites, central = near.select("snp", "chr", "pos", "ref", "alt"), near.filter("central").select("snp")
     sites = sites.persist()
-    aligned = (alignments.read_bam if bam else alignments.read_sam)(spark, files)
-    names = named_samples(spark, aligned, len(files), sampleNames_file, config).persist()
+    if bam:
+        ends = sites.groupBy("chr").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+        near = (ends.chr, ends.lo - config.iSizeUpperLimit, ends.hi + config.iSizeUpperLimit)
+        aligned, held = alignments.read_bam(spark, files, region=near), alignments.bam_samples(spark, files)
+    else:
+        aligned = alignments.read_sam(spark, files)
+        held = aligned.select("sample")
+    names = named_samples(spark, held, len(files), sampleNames_file, config).persist()
     wanted = aligned.join(F.broadcast(names), F.col("sample") == F.col("own"), "left_semi")
     renamed = observations(wanted, sites, config, use_bx).join(F.broadcast(names), F.col("sample") == F.col("own"))
     obs = renamed.select(F.col("name").alias("sample"), "number", "read", "snp", "bq").persist()

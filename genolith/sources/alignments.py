@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import struct
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-SCHEMA = "file string, chr string, qname string, dup boolean, rev boolean, pos long, mapq int, cigar string, isize int, seq string, qual string, bx string"
-_BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+from . import bam
+
 
 
 def sample_names(headers: DataFrame) -> DataFrame:
@@ -34,49 +32,22 @@ def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.join(sample_names(text.filter(F.col("value").startswith("@"))), "file").drop("file")
 
 
-def parse_bam(data: bytes) -> tuple[str, list[tuple]]:
-    """(header text, rows as of SCHEMA without file) of a BAM file's bytes."""
-    raw = gzip.decompress(data)
-    if raw[:4] != b"BAM\1":
-        raise ValueError("not a BAM file")
-    (size,) = struct.unpack_from("<i", raw, 4)
-    header, at = raw[8 : 8 + size].decode().rstrip("\0"), 8 + size
-    (n,) = struct.unpack_from("<i", raw, at)
-    names, at = [], at + 4
-    for _ in range(n):
-        (size,) = struct.unpack_from("<i", raw, at)
-        names.append(raw[at + 4 : at + 3 + size].decode())
-        at += 8 + size
-    rows = []
-    while at < len(raw):
-        size, ref, pos, l_name, mapq, _, n_ops, flag, l_seq, _, _, isize = struct.unpack_from("<iiiBBHHHiiii", raw, at)
-        end, at = at + 4 + size, at + 36
-        name, at = raw[at : at + l_name - 1].decode(), at + l_name
-        ops = struct.unpack_from(f"<{n_ops}I", raw, at)
-        at += 4 * n_ops
-        packed, at = raw[at : at + (l_seq + 1) // 2], at + (l_seq + 1) // 2
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq]
-        scores = raw[at : at + l_seq]
-        qual = "*" if l_seq and scores[0] == 0xFF else bytes(q + 33 for q in scores).decode()
-        tags, bx = raw[at + l_seq : end], ""
-        if (b := tags.find(b"BXZ")) >= 0:
-            bx = tags[b + 3 : tags.index(b"\0", b)].decode()
-        rows.append((names[ref] if ref >= 0 else "*", name, bool(flag & 1024), bool(flag & 16), pos + 1, mapq, "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*", isize, seq, qual, bx))
-        at = end
-    return header, rows
-
-
-def read_bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """As ``read_sam``, of BAM files. A file is one task's, so split what doesn't fit a task by region beforehand."""
+def read_bam(spark: SparkSession, paths: str | list[str], split: int = bam.SPLIT, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """As ``read_sam``, of BAM files, by ranges of their bytes; of stores that workers can't read ranges of, a file is one task's. ``region`` (chr, first, last): those that overlap it."""
+    found = [r.path for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
+    if all(bam.splittable(path) for path in found):
+        return bam.read_splits(spark, found, split, region)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [x.split()[0] for x in SCHEMA.split(", ")]
+        columns = [x.split()[0] for x in bam.ROW.split(", ")]
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                header, rows = parse_bam(content)
-                found = {x[3:] for line in header.split("\n") if line.startswith("@RG") for x in line.split("\t") if x.startswith("SM:")}
-                if len(found) != 1:
-                    raise ValueError(f"not one sample in the header of {path}")
-                yield pd.DataFrame([(next(iter(found)), *r) for r in rows], columns=["sample", *columns[1:]])
+                yield pd.DataFrame(bam.whole(path, content, region), columns=columns)
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, bam.ROW)
+
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, SCHEMA.replace("file string", "sample string"))
+def bam_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(sample) of BAM files, by their headers alone where workers can read ranges."""
+    found = [r.path for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
+    return (bam.references if all(bam.splittable(path) for path in found) else read_bam)(spark, found).select("sample").distinct()

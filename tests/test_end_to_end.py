@@ -76,3 +76,30 @@ def test_pileup_export(spark, simulated, tmp_path):
     impute_files(spark, str(folder / "pos"), [str(folder / "s0.sam")], str(tmp_path / "out"), Config(K=2, nGen=100), bam=False, pileup_only=True)
     rows = [r.value for r in spark.read.text(f"{tmp_path}/out/input/rows").collect()]
     assert len(rows) >= 9 and all(r.split("\t")[8] == "GT:AD:PL" and r.split("\t")[9].startswith("./.:") for r in rows)
+
+
+def test_bam_files_in_a_region(spark, simulated, tmp_path):
+    """A run on BAM files reads what its sites need, and knows samples from headers."""
+    from test_sources import bgzf
+
+    from genolith.sources import alignments
+
+    folder, truth = simulated
+    sam = {s: [x.split("\t") for x in (folder / f"{s}.sam").read_text().split("\n") if x and x[0] != "@"] for s in truth}
+    code = {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}
+    files = []
+    for s, rows in [*sam.items(), ("empty", [])]:
+        text = f"@HD\tVN:1.5\n@RG\tID:x\tSM:{s}\n".encode()
+        out = b"BAM\1" + len(text).to_bytes(4, "little") + text + (1).to_bytes(4, "little") + (2).to_bytes(4, "little") + b"5\0" + (10**6).to_bytes(4, "little")
+        for name, _, _, pos, *_, seq, qual in rows + ([["far", "0", "5", "500000", "60", "2M", "*", "0", "0", "AA", "::"]] if rows else []):
+            packed = bytes(code[seq[i]] << 4 | (code[seq[i + 1]] if i + 1 < len(seq) else 0) for i in range(0, len(seq), 2))
+            fixed = b"".join(x.to_bytes(4, "little", signed=True) for x in (0, int(pos) - 1)) + bytes([len(name) + 1, 60, 0, 0, 1, 0, 0, 0]) + len(seq).to_bytes(4, "little") + b"\xff" * 8 + bytes(4)
+            body = fixed + name.encode() + b"\0" + (len(seq) << 4).to_bytes(4, "little") + packed + bytes(ord(q) - 33 for q in qual)
+            out += len(body).to_bytes(4, "little") + body
+        (tmp_path / f"{s}.bam").write_bytes(bgzf(out, 500))
+        files.append(str(tmp_path / f"{s}.bam"))
+    assert alignments.read_bam(spark, files, region=("5", 1, 700)).filter("qname = 'far'").isEmpty() and not alignments.read_bam(spark, files).filter("qname = 'far'").isEmpty()
+    config = Config(K=2, nGen=100, niterations=3, refillIterations=(), shuffleHaplotypeIterations=())
+    impute_files(spark, str(folder / "pos"), files, str(tmp_path / "out"), config)
+    got = {r.sample for r in read_dosages(spark, f"{tmp_path}/out/vcf/*").collect()}
+    assert got == {*truth, "empty"}

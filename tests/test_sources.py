@@ -1,11 +1,14 @@
 """Readers and writers on small files."""
 
 import gzip
+import re
 import struct
+import zlib
 
+import numpy as np
 import pytest
 
-from genolith.sources import alignments, tables, vcf
+from genolith.sources import alignments, bam, tables, vcf
 from genolith.streaming.sessions import gap_sessions
 from pyspark.sql import functions as F
 
@@ -118,3 +121,83 @@ def test_panel_files_fit_together(spark, tmp_path):
     for bad in ({"h": "0 1 1 0\n"}, {"h": "0 1 1 0\n1 1 0\n"}, {"h": "0 1 1 2\n1 1 0 0\n"}, {"l": good["l"].replace("9", "5")}, {"l": "x 5 A G\ny 9 C T\n"}, {"s": "ID POP GROUP SEX\na P G male\n"}, {"s": "a P G male\nb P G female\n"}):
         with pytest.raises(ValueError):
             check(**bad)
+
+
+def bgzf(data, size, level=6):
+    """``data`` in blocks of ``size`` bytes each, with the empty one at the end."""
+    out = b""
+    for at in [*range(0, len(data), size), len(data)]:
+        machine = zlib.compressobj(level, zlib.DEFLATED, -15)
+        body = machine.compress(data[at : at + size]) + machine.flush()
+        out += b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data[at : at + size]), len(data[at : at + size]))
+    return out
+
+
+def random_bam(rng, n, sample="s1", so="coordinate", nested=True):
+    """(uncompressed BAM, rows) with reads of all lengths, some longer than a block, that look like records inside."""
+    text = f"@HD\tVN:1.5\tSO:{so}\n@RG\tID:a\tSM:{sample}\n".encode()
+    out = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", 2) + b"".join(struct.pack("<i", 3) + c + b"\0" + struct.pack("<i", size) for c, size in ((b"c1", 50_000), (b"c2", 9_000)))
+    rows, code = [], {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}
+    for i, place in enumerate(sorted(rng.integers(0, 57_000, n))):
+        ref, pos = (0, int(place)) if place < 49_000 else (1, int(place) - 49_000)
+        size = int(rng.integers(1, 400)) if rng.random() < 0.05 else int(rng.integers(1, 40))
+        seq, scores = "".join(rng.choice(list("ACGT"), size)), rng.integers(0, 60, size)
+        name, clip = f"r{i}".encode(), int(rng.integers(0, size))
+        ops = [(clip, 4)] * (clip > 0) + [(size - clip, 0)] + [(50, 3)] * (i % 7 == 0)
+        packed = bytes(code[seq[j]] << 4 | (code[seq[j + 1]] if j + 1 < size else 0) for j in range(0, size, 2))
+        tags = b"BXZT%d\0" % (i % 5) if i % 3 else b""
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 60, 0, len(ops), 16 * (i % 2), size, -1, -1, 0) + name + b"\0" + b"".join(struct.pack("<I", a << 4 | b) for a, b in ops) + packed + bytes(scores.tolist()) + tags
+        if nested and i % 11 == 0:  # the record before, as bytes of a tag
+            body += b"XXBC" + struct.pack("<i", min(len(out), 150)) + out[-150:]
+        out += struct.pack("<i", len(body)) + body
+        rows.append((sample, ("c1", "c2")[ref], f"r{i}", False, bool(i % 2), pos + 1, 60, "".join(f"{a}{'MIDNSHP=X'[b]}" for a, b in ops), 0, seq, "".join(chr(33 + q) for q in scores), f"T{i % 5}" if i % 3 else ""))
+    return out, rows
+
+
+@pytest.mark.parametrize("size, split", [(300, 700), (97, 64), (5000, 1500), (65_000, 1 << 20)])
+def test_bam_in_splits_is_the_whole_bam(spark, tmp_path, size, split):
+    rng = np.random.default_rng(size)
+    data, rows = random_bam(rng, 250)
+    other, more = random_bam(rng, 3, "s2", "unsorted")
+    (tmp_path / "a.bam").write_bytes(bgzf(data, size))
+    (tmp_path / "b.bam").write_bytes(gzip.compress(other))  # no blocks
+    read = bam.read_splits(spark, str(tmp_path / "*.bam"), split)
+    assert sorted(map(tuple, read.collect())) == sorted(rows + more)
+    assert read.rdd.getNumPartitions() > 20 or size > 1000
+    assert sorted(bam.whole("a", bgzf(data, size))) == sorted(rows)
+    reach = lambda r: sum(int(n) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", r[7]) if op in "MDN=X")
+    for region in (("c1", 10_000, 12_000), ("c2", 1, 300), ("c1", 49_000, 60_000), ("c3", 1, 9)):
+        want = [r for r in rows + more if r[1] == region[0] and r[5] <= region[2] and r[5] + reach(r) - 1 >= region[1]]
+        assert sorted(map(tuple, bam.read_splits(spark, str(tmp_path / "*.bam"), split, region).collect())) == sorted(want)
+    assert sorted(map(tuple, bam.chromosome_lengths(spark, str(tmp_path / "*.bam")).collect())) == [("c1", 50_000), ("c2", 9_000)]
+
+
+def test_each_place_between_records_is_found():
+    data, _ = random_bam(np.random.default_rng(1), 60, nested=False)
+    header, _, place = bam.parse_header("x", iter([(0, data)]))
+    begins, at = [], place
+    while at < len(data):
+        begins.append(at)
+        at += 4 + struct.unpack_from("<i", data, at)[0]
+    for start in range(place, len(data), 37):
+        want = next((b - start for b in begins if b >= start), None)
+        assert bam.first_record(data[start:], header, True) == want, start
+
+
+def test_splits_far_into_a_file(tmp_path, monkeypatch):
+    monkeypatch.setattr(bam, "BEFORE", 900)
+    rng = np.random.default_rng(5)
+    data, rows = random_bam(rng, 400, nested=False)
+    content = bgzf(data, 350)
+    (tmp_path / "a.bam").write_bytes(content)
+    for split in (333, 2000):
+        got = [r for at in range(0, len(content), split) for r in bam.records(bam.Split(str(tmp_path / "a.bam"), at, min(len(content), at + split), len(content)))]
+        assert got == rows
+
+
+def test_damaged_bam(spark, tmp_path):
+    data, _ = random_bam(np.random.default_rng(2), 50)
+    for name, content in (("cut", bgzf(data, 400)[:-300]), ("text", b"no bam at all"), ("gz", gzip.compress(b"text"))):
+        (tmp_path / name).write_bytes(content)
+        with pytest.raises(Exception):
+            bam.read_splits(spark, str(tmp_path / name), 1000).collect()
