@@ -52,7 +52,7 @@ def test_rules_equal_brute_force(spark):
 def test_urls_of_odd_rows(spark):
     long = "http://long.com/fr/" + "/".join(f"part{i}" for i in range(20_000))
     rows = [(None, long), (None, long), (1, None), (None, None), (2, "http://example.org/es/" + "x" * 100_000), (2, "http://example.org/es/y")]
-    got = sorted(((r.page_id or 0, r.url or "", r.rule, r.verdict) for r in urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES, support=0.9).collect()), key=str)
+    got = sorted(((r.page_id or 0, r.url or "", r.rule, r.verdict) for r in urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()), key=str)
     assert len(got) == 6 and {(i, rule, v) for i, _, rule, v in got} == {(0, "com/fr/", "allow"), (0, None, "allow"), (1, None, "allow"), (2, "example.org/es/", "block")}
 
 
@@ -86,6 +86,50 @@ def test_mined_rules_equal_brute_force(spark, sf_dir):
             assert r.verdict == (max(fit)[3] if fit else "allow")
 
 
+@pytest.mark.parametrize("n, segments", [(2, 40), (10_000, 40)])
+def test_urls_of_many_segments_end(spark, n, segments):
+    """A site's path template costs one item, whatever its length, and so do tokens of one page."""
+    import time
+
+    template = "/".join(f"dir{j}" for j in range(segments))
+    rows = [(i, f"http://{'bad' if i % 2 else 'good'}.org/{template}/{'casino' if i % 2 else 'news'}{i % 5}") for i in range(n)] + [(n, f"http://else.net/{template}/casino1")]
+    began = time.time()
+    got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), [("block", "bad.org/"), ("allow", "good.org/")])
+    verdicts = {r.page_id: r.verdict for r in got.collect()}
+    assert len(verdicts) == n + 1 and time.time() - began < 60 and verdicts[n] == "block"
+
+
+def test_levels_and_growth_find_the_same_rules(spark):
+    rng = random.Random(1)
+    rows = [(sorted({f"t{rng.randrange(12)}" for _ in range(rng.randrange(9))} | ({"u", "v"} if i % 3 else set())), "block" if i % 4 == 0 else "allow") for i in range(300)]
+    rows += [(["t1", "t2", "t3"], "block")] * 30
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    found = []
+    for widest in (0, 50):
+        rules, items = urlfilter.mine(labelled, 0.02, 0.7, longest=3, widest=widest)
+        found.append(sorted((tuple(r.antecedent), r.verdict, round(r.confidence, 9), round(r.support, 9)) for r in rules.collect()))
+    assert found[0] == found[1] and len(found[0]) > 10 and {r.token: r.item for r in items.collect()}["v"] == "u"
+    from itertools import combinations
+
+    sets = [(frozenset(t) - {"v"}, v) for t, v in rows]
+    every = {}
+    for n in (1, 2, 3):
+        for c in combinations(sorted({x for t, _ in sets for x in t}), n):
+            own = [v for t, v in sets if set(c) <= t]
+            for v in ("allow", "block"):
+                if own.count(v) >= 0.02 * len(rows) and own.count(v) / len(own) >= 0.7:
+                    every[c, v] = (own.count(v) / len(own), own.count(v) / len(rows))
+    kept = sorted((c, v, round(x, 9), round(y, 9)) for (c, v), (x, y) in every.items() if not any((s, v) in every and every[s, v][0] >= x for k in range(1, len(c)) for s in combinations(c, k)))
+    assert found[0] == kept
+
+
+def test_urls_with_clashing_names(spark):
+    names = ["__url", "__won", "__host", "__path", "host", "path", "rule", "verdict"]
+    df = spark.createDataFrame([(i, u, *range(8)) for i, u in enumerate(URLS)], "page_id long, url string, " + ", ".join(f"`{n}` int" for n in names))
+    got = urlfilter.filter_urls(df, queries.URL_RULES).collect()
+    assert len(got) == len(URLS) and all([r[n] for n in names] == list(range(8)) and r.host_ == brute_rule(r.url)[0] for r in got)
+
+
 # mixing
 
 
