@@ -41,7 +41,8 @@ SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr eu
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
 
 WORD = re.compile(r"[^\W\d_]+")
-HIDING = re.compile(r"[\d@$!|*._\-]+(?=[^\W\d_])")
+#: Runs of digits or symbols that stand before a letter. A run is tried at its begin alone, and never given back, so that a text is read once.
+HIDING = re.compile(r"(?<![\d@$!|*._\-])[\d@$!|*._\-]++(?=[^\W\d_])")
 SYMBOLS = re.compile(r"[^\w]|_")
 NAMES = ("log_words", "hit_rate", "log_hits", "distinct_hits", "weight_rate", "near_rate", "near_hits", "second_rate", "stem_rate", "log_stems", "stem_weight_rate", "top_stem", "capitals", "exclaimed", "punctuation", "digits", "hidden_rate", "hidden_hits")
 
@@ -84,15 +85,28 @@ class Lexicon(dict):
 def _hidden(lowered: str) -> list[str]:
     """The chunks between white space in which digits or symbols stand before letters."""
     out, past = [], 0
+    ahead = dict.fromkeys(" \n", -1)  # the next of each, looked for once
     for m in HIDING.finditer(lowered):
         if m.start() >= past:
-            start = max(lowered.rfind(" ", 0, m.start()), lowered.rfind("\n", 0, m.start())) + 1
-            ends = [e for e in (lowered.find(" ", m.end()), lowered.find("\n", m.end())) if e >= 0]
-            past = min(ends, default=len(lowered))
+            start = max(lowered.rfind(c, past, m.start()) for c in ahead) + 1
+            for c, at in ahead.items():
+                if at < m.end():
+                    found = lowered.find(c, m.end())
+                    ahead[c] = found if found >= 0 else len(lowered)
+            past = min(ahead.values())
             out.append(lowered[start:past])
     return out
 
 
+def _near(hits: np.ndarray, persons: np.ndarray) -> int:
+    """How many of ``hits`` have one of ``persons`` (both ascending) at most NEAR words away."""
+    if not len(hits) or not len(persons):
+        return 0
+    after = np.searchsorted(persons, hits)
+    behind, ahead = persons[np.maximum(after - 1, 0)], persons[np.minimum(after, len(persons) - 1)]
+    return int((np.minimum(np.abs(hits - behind), np.abs(ahead - hits)) <= NEAR).sum())
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The features of one text, in the order of NAMES."""
     text = text or ""
@@ -103,7 +117,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     places, about = lexicon.of(words)
     hits = [(p, x[0]) for p, x in zip(places.tolist(), about) if x[0]]
     persons = np.array([p for p, x in zip(places.tolist(), about) if x[3]])
-    near = sum(1 for p, _ in hits if np.abs(persons - p).min() <= NEAR) if len(persons) else 0
+    near = _near(np.array([p for p, _ in hits], int), persons)
     stems = [x for x in about if x[2] >= 0]
     top = max(Counter(x[2] for x in stems).values(), default=0)
     weights = lexicon.weights

@@ -299,3 +299,61 @@ def test_features():
 def test_hashes(spark):
     text = "ÀBC dÉf"
     assert spark.createDataFrame([(text,)], "t string").select(lines.line_key(F.col("t")).alias("k")).first().k == "Àbc dÉf"
+
+
+def plain_features(text, lexicon):
+    """The features of a text, word by word."""
+    import re as regex
+
+    from genolith.llm import toxicity as t
+
+    text, weights = text or "", lexicon.weights
+    lowered = text.lower()
+    words = t.WORD.findall(lowered)
+    n = max(1, len(words))
+    hits = [i for i, w in enumerate(words) if weights.get(w)]
+    persons = [i for i, w in enumerate(words) if w in t.SECOND_PERSON]
+    near = [i for i in hits if any(abs(i - p) <= t.NEAR for p in persons)]
+    stems = [max(own, key=weights.get) for w in words if (own := [w[:k] + "*" for k in t.STEMS if len(w) >= k and w[:k] + "*" in weights])]
+    hidden = [c for c in regex.split("[ \n]", lowered) if regex.search(r"[\d@$!|*._\-][^\W\d_]", c)]
+    folded = [c for c in hidden if regex.sub(r"[^\w]|_", "", c.translate(t.LOOKALIKES)) in weights and not any(w in weights for w in t.WORD.findall(c))]
+    capitals, letters = sum(c.isupper() for c in text), max(1, sum(c.isupper() or c.isalpha() for c in text))
+    marks = sum(not (c.isspace() or c.isupper() or c.isalpha() or c.isdigit()) and c.isprintable() for c in text)
+    chars = max(1, len(text))
+    return [
+        np.log1p(len(words)), len(hits) / n, np.log1p(len(hits)), len({words[i] for i in hits}), sum(weights[words[i]] for i in hits) / n, len(near) / n, len(near), len(persons) / n,
+        len(stems) / n, np.log1p(len(stems)), sum(weights[s] for s in stems) / n, max((stems.count(s) for s in stems), default=0),
+        capitals / letters, text.count("!") / chars, marks / chars, sum(c.isdigit() and not c.isspace() for c in text) / chars, len(hidden) / n, len(folded),
+    ]
+
+
+def test_toxicity_features_equal_brute_force():
+    from genolith.llm import toxicity
+
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "trash": 4.0, "idio*": 3.0, "idiots*": 2.0, "you": 1.0, "worth*": 2.5})
+    rng = np.random.default_rng(0)
+    pieces = ["you", "idiot", "Idiots", "1d10t", "tr@sh", "TRASH!!", "--a", "a--", "...", "!!1", "a1b2", "worthless", "der", "_x", "é", "漢字", "\n", "\n\n", "\t", "-" * 40, "x" * 9, "@@\nq", "du,dich", "\x0bz", "٣a"]
+    for i in range(400):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", "", "\n"], p=[0.7, 0.2, 0.1]) for _ in range(int(rng.integers(0, 60))))
+        assert np.allclose(toxicity.features(text, lexicon), plain_features(text, lexicon)), repr(text)
+    assert toxicity.features(None, lexicon) == toxicity.features("", lexicon)
+
+
+@pytest.mark.parametrize("text", ["-" * 1_000_000, "-" * 500_000 + "a", "you idiot " * 100_000, "1d10t " * 150_000, "-a" * 400_000, "x\n1y" * 200_000])
+def test_toxicity_features_of_long_texts_take_their_length(text):
+    import time
+
+    from genolith.llm import toxicity
+
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "idio*": 3.0})
+    began = time.time()
+    toxicity.features(text, lexicon)
+    assert time.time() - began < 2
+
+
+def test_lines_with_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "a line that three documents share", 1, 2, 3, 4) for i in range(4)], "doc_id long, text string, __hash int, __id int, __row int, __drops int")
+    from genolith.llm import lines
+
+    got = lines.dedup_lines(docs).collect()
+    assert sorted(r.n_dropped for r in got) == [0, 1, 1, 1] and all((r["__hash"], r["__id"], r["__row"], r["__drops"]) == (1, 2, 3, 4) for r in got)
