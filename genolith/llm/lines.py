@@ -42,11 +42,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     """All rows and columns of ``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` (longs)."""
     hot = written(repeated_lines(docs, min_chars, min_docs, id_col, text_col), "lines")
     hits = _exploded(docs, min_chars, id_col, text_col).join(hot, ["h1", "h2"]).filter("id != keep")
-    drops = hits.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__drops"))
+    own_id, own_row, own_drops, own_hash = (free_name(docs, f"__{x}") for x in ("id", "row", "drops", "hash"))
+    drops = hits.groupBy(F.col("id").alias(own_id), F.col("row").alias(own_row)).agg(F.collect_set("pos").alias(own_drops))
     kept, n, nd = (free_name(docs, x) for x in ("kept_text", "n_lines", "n_dropped"))
-    rows = docs.withColumn("__hash", F.xxhash64(text_col)).join(drops, (F.col(id_col) == F.col("__id")) & (F.col("__hash") == F.col("__row")), "left")
+    rows = docs.withColumn(own_hash, F.xxhash64(text_col)).join(drops, (F.col(id_col) == F.col(own_id)) & (F.col(own_hash) == F.col(own_row)), "left")
     lines = _lines(F.col(text_col))
     whole = F.coalesce(F.col(text_col), F.lit(""))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drops"))
-    rest = F.when(F.col("__drops").isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
-    return rows.select(*(docs[c] for c in docs.columns), rest.alias(kept), F.size(lines).cast("long").alias(n), F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias(nd))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own_drops))
+    rest = F.when(F.col(own_drops).isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
+    return rows.select(*(docs[c] for c in docs.columns), rest.alias(kept), F.size(lines).cast("long").alias(n), F.coalesce(F.size(own_drops), F.lit(0)).cast("long").alias(nd))
