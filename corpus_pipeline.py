@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from genolith.llm import decontam, mixing, simhash, tokenstore, toxicity
-from genolith.llm.common import free_name, shared_path, table
+from genolith.llm.common import free_name, removed, shared_path, table, until_exit
 
 #: Documents of this score or more are rejected.
 TOXIC = 0.3
@@ -63,9 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table goes when the next one is written, the last when the driver ends."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = shared_path(spark, f"stage-{name}")
+        path = until_exit(spark, shared_path(spark, f"stage-{name}"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            removed(spark, before)
+        before = path
     return docs
