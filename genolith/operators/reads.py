@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
+from itertools import groupby
+from math import ceil
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -93,34 +95,40 @@ def cap_depth(reads: DataFrame, most: int, *by: str) -> DataFrame:
     return reads.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
 
 
+def deep_stretches(reads: DataFrame, most: float) -> DataFrame:
+    """(sample, stretch, snp, read, times) of the observations that lie in stretches with a site deeper than ``most``. A stretch is a run of a sample's reads
+    each of which begins before all before it have ended, so what is done in one doesn't touch another."""
+    ends = reads.filter(F.size("snp") > 0).select("sample", "read", "snp", F.array_min("snp").alias("lo"), F.array_max("snp").alias("hi"))
+    order = Window.partitionBy("sample").orderBy("lo", "hi", "read")
+    new = F.coalesce(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    placed = ends.withColumn("new", new.cast("long")).withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = placed.select("sample", "stretch", "read", F.explode("snp").alias("snp")).groupBy("sample", "stretch", "snp", "read").agg(F.count(F.lit(1)).alias("times"))
+    deep = seen.groupBy("sample", "stretch", "snp").agg(F.sum("times").alias("depth")).filter(F.col("depth") > most).select("sample", "stretch").distinct()
+    return seen.join(deep, ["sample", "stretch"], "left_semi")
+
+
 def cap_depth_greedy(reads: DataFrame, most: float, seed: int = 0) -> DataFrame:
-    """Whole reads (sample, read, snp[]) thinned until no site of a sample is deeper than ``most``; every observation counts. Sites are taken from
-    left to right; where one is too deep, the reads left that cover it more than once go first, all of them, then as many others as
-    are still too many, drawn by (seed, sample). A read that goes lowers the depth of all its sites. Each site depends on those
-    before, so a sample is one group."""
+    """Whole reads (sample, read, snp[]) thinned until no site of a sample is deeper than ``most``; every observation counts. Each read has a rank, drawn
+    by (seed, sample, read). At a site that what is left covers too often, from left to right, reads that cover it more than once go, and then those of the greatest ranks, until it isn't
+    too deep. Stretches without a deep site are left alone; each other one is a group of its own."""
+    seen = deep_stretches(reads, most).withColumn("rank", F.xxhash64("sample", "read", F.lit(seed)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("read", ignore_index=True)
-        owner = np.repeat(np.arange(len(pdf)), pdf["snp"].map(len).to_numpy())
-        sites, site = np.unique(np.concatenate([*pdf["snp"], np.empty(0, np.int64)]), return_inverse=True)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(pdf)))])
-        depth, by_site = np.bincount(site, minlength=len(sites)), owner[np.argsort(site, kind="stable")]
-        past = np.concatenate([[0], np.cumsum(depth)])
-        stays, rng = np.ones(len(pdf), bool), np.random.default_rng([seed, zlib.crc32(str(pdf["sample"].iloc[0]).encode())])
-        for s in np.flatnonzero(depth > most):
-            if depth[s] > most:
-                own = by_site[past[s] : past[s + 1]]
-                here, times = np.unique(own[stays[own]], return_counts=True)
-                gone = here[times > 1]
-                extra = int(np.ceil(depth[s] - most - times[times > 1].sum()))
-                if extra > 0:
-                    gone = np.concatenate([gone, rng.choice(here[times == 1], extra, replace=False)])
-                stays[gone] = False
-                for r in gone:
-                    np.subtract.at(depth, site[ends[r] : ends[r + 1]], 1)
-        return pdf[stays]
-
-    return reads.groupBy("sample").applyInPandas(run, reads.schema)
+        gone: set = set()
+        listed = pdf.sort_values(["snp", "rank", "read"])
+        for _, here in groupby(zip(listed["snp"], listed["read"], listed["times"]), key=itemgetter(0)):
+            left = [(read, times) for _, read, times in here if read not in gone]
+            over = sum(times for _, times in left) - most
+            if over > 0:
+                twice = {read: times for read, times in left if times > 1}
+                once = [read for read, times in left if times == 1]
+                gone |= twice.keys()
+                gone.update(once[len(once) - max(0, ceil(over - sum(twice.values()))) :])
+        return pdf.loc[pdf["read"].isin(gone), ["sample", "read"]].drop_duplicates()
+
+    kinds = dict(reads.dtypes)
+    gone = seen.groupBy("sample", "stretch").applyInPandas(run, f"sample {kinds['sample']}, read {kinds['read']}")
+    return reads.join(gone, ["sample", "read"], "left_anti").select(*reads.columns)
 
 
 def thin(reads: DataFrame, fraction: float) -> DataFrame:

@@ -22,6 +22,9 @@ class Config:
     shuffleHaplotypeIterations: tuple[int, ...] = (4, 8, 12, 16)
     splitReadIterations: tuple[int, ...] = ()
     shuffle_bin_radius: int = 5000
+    reference_iterations: int = 40
+    reference_shuffleHaplotypeIterations: tuple[int, ...] = (4, 8, 12, 16)
+    reference_phred: int = 20
     expRate: float = 0.5
     minRate: float = 0.1
     maxRate: float = 100.0
@@ -55,6 +58,9 @@ class Config:
         need(self.niterations >= 1, "niterations must be at least 1")
         need(all(i <= self.niterations - 5 for i in self.refillIterations) or self.niterations < 6, "refill iterations must be at least 5 before the last")
         need(all(i <= self.niterations - 5 for i in self.shuffleHaplotypeIterations) or self.niterations < 6, "shuffle iterations must be at least 5 before the last")
+        need(self.reference_iterations >= 0 and self.reference_phred > 0, "reference_iterations must not be negative, reference_phred must be positive")
+        need(self.reference_iterations < 6 or all(i <= self.reference_iterations - 5 for i in self.reference_shuffleHaplotypeIterations), "reference shuffle iterations must be at least 5 before the last")
+        need(all(i < self.niterations for i in self.splitReadIterations), "reads can't be split in the last iteration")
         need(not self.splitReadIterations or self.S == 1, "splitting reads needs S = 1")
         need(self.shuffle_bin_radius > 0, "shuffle_bin_radius must be positive")
         need(0 <= self.downsampleFraction <= 1, "downsampleFraction must be from 0 to 1")

@@ -8,14 +8,15 @@ driver between iterations; plans don't grow.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import founders as founder_ops, hmm
+from ..operators.panel import choose_founders
 from ..operators.pileup import allele_counts
 from ..operators.reads import central
 from ..operators.sites import grid, interpolate
@@ -27,13 +28,17 @@ from .config import Config
 TOGETHER = 64
 
 
+def site_layout(sites: DataFrame, width: int | None) -> pd.DataFrame:
+    """The sites in order (chr, snp, pos, grid, i): i numbers them, grid the windows of ``width`` bases that hold any."""
+    gridded = grid(sites, width or 1).toPandas().sort_values("pos").reset_index(drop=True)  # the model's own size
+    gridded["grid"] = pd.factorize(gridded["grid"])[0]
+    return gridded.assign(i=np.arange(len(gridded)))
+
+
 def grouped_reads(observations: DataFrame, sites: DataFrame, width: int | None) -> tuple[DataFrame, pd.DataFrame]:
     """(samples, layout): a row for each sample with its reads (grid, sites, scores; sites by index), and the sites in
     order with index and grid."""
-    gridded = grid(sites, width or 1).toPandas().sort_values("pos").reset_index(drop=True)  # the model's own size
-    gridded["grid"] = pd.factorize(gridded["grid"])[0]
-    layout = gridded.assign(i=np.arange(len(gridded)))
-    spark = observations.sparkSession
+    layout, spark = site_layout(sites, width), observations.sparkSession
     index = F.broadcast(spark.createDataFrame(layout[["snp", "i", "grid"]]))
     mid = central(observations, sites).select("sample", "read", F.col("central").alias("snp")).join(index.select("snp", "grid"), "snp").select("sample", "read", "grid")
     reads = observations.join(index.select("snp", "i"), "snp").groupBy("sample", "read").agg(F.collect_list("i").alias("site"), F.collect_list("bq").alias("bq")).join(mid, ["sample", "read"])
@@ -137,7 +142,7 @@ def refills(spark: SparkSession, usage: np.ndarray, middle: np.ndarray, n: int,
     return [tuple(r) for r in plan.collect()]  # stretches of the model
 
 
-def fit(inputs: Inputs, config: Config, seed: int, start: np.ndarray | None = None) -> tuple[hmm.Model, str]:
+def fit(inputs: Inputs | PanelInputs, config: Config, seed: int, start: np.ndarray | None = None) -> tuple[hmm.Model, str]:
     """The model after ``niterations``, and the method of the last one. Alleles begin as ``start`` [k, site], else as draws; recombination as the
     layout's map (cm) says, if it has one, else as one rate everywhere."""
     layout, af, n = inputs.layout, inputs.af, inputs.n
@@ -204,9 +209,11 @@ class Inputs:
         self.samples.count()  # made before what it is made from goes
         before.unpersist()
 
-    def fits(self, config: Config, founders: DataFrame | None) -> list[tuple[hmm.Model, str]]:
-        """S fits. ``founders`` (k, snp, p): alleles to begin with."""
+    def fits(self, config: Config, founders: DataFrame | None, panel: DataFrame | None = None) -> list[tuple[hmm.Model, str]]:
+        """S fits. ``founders`` (k, snp, p): alleles to begin with; or ``panel`` (hap, snp, allele), of whose haplotypes they are made."""
         start = None
+        if panel is not None:
+            return [fit(self, config, s, x) for s, x in enumerate(panel_starts(panel, self.layout, config))]
         if founders is not None:
             found = founders.filter(F.col("k") < config.K).toPandas().pivot(index="k", columns="snp", values="p").reindex(index=range(config.K), columns=self.layout["snp"])
             start = np.where(found.isna(), self.af[None, :], found.to_numpy(float))
@@ -216,12 +223,12 @@ class Inputs:
         return self.samples.sparkSession.sparkContext.broadcast((fits, self.layout["grid"].to_numpy(), self.layout["snp"].to_numpy()))
 
 
-def impute(observations: DataFrame, sites: DataFrame, config: Config, every: DataFrame | None = None, gmap: DataFrame | None = None, founders: DataFrame | None = None) -> DataFrame:
+def impute(observations: DataFrame, sites: DataFrame, config: Config, every: DataFrame | None = None, gmap: DataFrame | None = None, founders: DataFrame | None = None, panel: DataFrame | None = None) -> DataFrame:
     """(sample, snp, g0, g1, g2) of every sample (of ``every``, else of those with reads) at every site: posteriors averaged over S fits, made block
     by block of outputSNPBlockSize sites."""
     config.check()
     own = Inputs(observations, sites, config, every, gmap)
-    fits = own.fits(config, founders)
+    fits = own.fits(config, founders, panel)
     shared, begins = own.share(fits), blocks.block_grids(own.layout, config.outputSNPBlockSize)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +248,11 @@ def _rows(batch: pa.RecordBatch, snps: np.ndarray, columns: dict[str, np.ndarray
     return pa.RecordBatch.from_arrays(arrays + [pa.array(np.ascontiguousarray(x).ravel()) for x in columns.values()], ["sample", "snp", *columns])
 
 
-def phase(observations: DataFrame, sites: DataFrame, config: Config, every: DataFrame | None = None, gmap: DataFrame | None = None, founders: DataFrame | None = None) -> DataFrame:
+def phase(observations: DataFrame, sites: DataFrame, config: Config, every: DataFrame | None = None, gmap: DataFrame | None = None, founders: DataFrame | None = None, panel: DataFrame | None = None) -> DataFrame:
     """(sample, snp, h0, h1): haplotype dosages by votes over sampled founder paths."""
     config = replace(config, do_phasing=True, method="diploid").check()
     own = Inputs(observations, sites, config, every, gmap)
-    shared = own.share(own.fits(config, founders))
+    shared = own.share(own.fits(config, founders, panel))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ((m, _),), grid_of, snps = shared.value
@@ -275,19 +282,61 @@ def founder_posteriors(samples: DataFrame, model: hmm.Model, pairs: bool) -> Dat
     return samples.mapInArrow(run, "sample long, grid long, gamma array<double>")
 
 
-def panel_model(panel: DataFrame, k: int, iterations: int = 40, phred: int = 20, switch: float = 0.01, seed: int = 0) -> DataFrame:
-    """(k, snp, p): founders fitted to a panel (hap, snp, allele), each haplotype read as one-site reads of score ``phred``."""
-    spark = panel.sparkSession
-    snps = np.array([r.snp for r in panel.select("snp").distinct().orderBy("snp").collect()])  # the model's own size
-    index = F.broadcast(spark.createDataFrame(pd.DataFrame({"snp": snps, "i": np.arange(len(snps), dtype=np.int32)})))
-    cells = panel.join(index, "snp").select("hap", F.struct("i", F.when(F.col("allele") == 1, phred).otherwise(-phred).alias("bq")).alias("x"))
-    lists = cells.groupBy("hap").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    haps = lists.select(F.col("hap").alias("sample"), F.col("x.i").alias("grid"), F.transform("x", lambda _: F.lit(1)).alias("sites"), F.col("x.i").alias("site"), F.col("x.bq").alias("bq")).persist()
-    n, grid_of = haps.count(), np.arange(len(snps))
-    model = hmm.Model(np.random.default_rng(seed).uniform(0.2, 0.8, (k, len(snps))), np.full((k, len(snps) - 1), 1 / k), np.full(len(snps) - 1, 1 - switch), np.full(k, 1 / k))
-    for _ in range(iterations):
-        sums = expect(haps, model, grid_of, "diploid-inbred")
-        model = hmm.maximise(sums, model, n, np.full(len(snps), 0.5), np.ones(len(snps) - 1), 1.0, 0.0, 1e9)
-    haps.unpersist()
-    rows = pd.DataFrame({"k": np.repeat(np.arange(k), len(snps)), "snp": np.tile(snps, k), "p": model.p.ravel()})
-    return spark.createDataFrame(rows, "k int, snp long, p double")
+@dataclass
+class PanelInputs:
+    """A panel's haplotypes as samples of a fit: each a run of one-site reads. ``af`` is the panel's; 0.5 at sites that it lacks."""
+
+    samples: DataFrame
+    layout: pd.DataFrame
+    af: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, panel: DataFrame, layout: pd.DataFrame, phred: int) -> PanelInputs:
+        spark = panel.sparkSession
+        index = F.broadcast(spark.createDataFrame(layout[["snp", "i", "grid"]], "snp long, i int, grid int"))
+        cells = panel.join(index, "snp").select("hap", "snp", "allele", F.struct("grid", "i", F.when(F.col("allele") == 1, phred).otherwise(-phred).alias("bq")).alias("x"))
+        lists = cells.groupBy("hap").agg(F.array_sort(F.collect_list("x")).alias("x"))
+        samples = lists.select(F.col("hap").cast("long").alias("sample"), "x.grid", F.transform("x", lambda _: F.lit(1)).alias("sites"), F.col("x.i").alias("site"), "x.bq").persist()
+        af = layout[["snp"]].merge(cells.groupBy("snp").agg(F.avg("allele").alias("af")).toPandas(), on="snp", how="left")["af"]
+        return cls(samples, layout, af.fillna(0.5).to_numpy(), samples.count())
+
+
+def panel_starts(panel: DataFrame, layout: pd.DataFrame, config: Config) -> list[np.ndarray]:
+    """Alleles [k, site] to begin each of S fits with, from a panel (hap, snp, allele).
+
+    As many haplotypes as founders, or fewer, are founders themselves, the other founders draws. Of more, one of each kind is chosen, blended with draws and fitted to all haplotypes
+    for reference_iterations, with founders reordered at reference_shuffleHaplotypeIterations. At sites that the panel lacks founders are draws, around a half after such a fit.
+    """
+    panel = panel.persist()
+    haps = panel.select("hap").distinct().count()
+    many = haps > config.K
+    own = PanelInputs.of(panel, layout, config.reference_phred) if many and config.reference_iterations else None
+    fitting = replace(config, niterations=config.reference_iterations + 1, method="diploid-inbred", switchModelIteration=None, refillIterations=(), shuffleHaplotypeIterations=config.reference_shuffleHaplotypeIterations, splitReadIterations=())
+    out = []
+    for s in range(config.S):
+        rng = np.random.default_rng([config.seed, s, 1])
+        chosen = choose_founders(panel, config.K, config.seed + s) if many else panel.select("hap").distinct().withColumn("k", (F.row_number().over(Window.orderBy("hap")) - 1).cast("int"))  # K rows
+        cells = panel.join(F.broadcast(chosen), "hap").select("k", "snp", "allele").toPandas()
+        found = cells.pivot_table(index="k", columns="snp", values="allele").reindex(index=range(config.K), columns=layout["snp"]).to_numpy(float)
+        known = ~np.isnan(found).all(axis=0)
+        draws = rng.random(found.shape)
+        if not many:
+            out.append(np.where(np.isnan(found), 0.05 + 0.9 * draws, np.clip(found, config.emissionThreshold, 1 - config.emissionThreshold)))
+            continue
+        start = np.where(np.isnan(found), 0.5, 0.95 * found + 0.05 * draws)
+        if own is not None:
+            start = fit(own, fitting, s, start)[0].p
+        out.append(np.where(known, start, 0.4 + 0.2 * draws))
+    if own is not None:
+        own.samples.unpersist()
+    panel.unpersist()
+    return out
+
+
+def panel_model(panel: DataFrame, sites: DataFrame, config: Config) -> DataFrame:
+    """(k, snp, p): the founders that a panel (hap, snp, allele) gives to begin with."""
+    layout = site_layout(sites, config.gridWindowSize)
+    p = panel_starts(panel, layout, replace(config, S=1))[0]
+    rows = pd.DataFrame({"k": np.repeat(np.arange(config.K), len(layout)), "snp": np.tile(layout["snp"].to_numpy(), config.K), "p": p.ravel()})
+    return panel.sparkSession.createDataFrame(rows, "k int, snp long, p double")

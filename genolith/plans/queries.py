@@ -285,6 +285,53 @@ def symbol_dictionary(spark, d):
     return bits.dictionary(bits.pack(adapter.panel(spark, d)), 10).withColumn("code", F.col("code").cast("long"))
 
 
+_SYMBOLS = _PACKED.replace("sum(allele <<", "sum(CAST(allele AS BIGINT) <<") + """,
+sy AS (SELECT block, word, bits, row_number() OVER (PARTITION BY block ORDER BY word) AS code, count(*) AS n FROM w JOIN packed USING (hap, block) GROUP BY block, word, bits),
+cv AS (SELECT code, sum(sum(n)) OVER (ORDER BY code) / (SELECT count(*) FROM packed) AS covered FROM sy GROUP BY code),
+sz AS (SELECT least(greatest(15, coalesce((SELECT min(code) FROM cv WHERE code <= 1023 AND covered > (SELECT CASE WHEN k > 50000 THEN 0.9999 WHEN k > 10000 THEN 0.9995 WHEN k > 1000 THEN 0.999 ELSE 0.99 END FROM (SELECT count(DISTINCT hap) AS k FROM packed))), 1023)), (SELECT greatest(15, max(code)) FROM sy)) AS size)"""
+
+
+def _symbols(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    """(packed panel, its symbols, how many of a block to keep)."""
+    panel = adapter.panel(spark, d)
+    packed = bits.pack(panel)
+    numbered = bits.symbols(packed)
+    return packed, numbered, bits.dictionary_size(numbered, panel.select("hap").distinct().count())
+
+
+@query(_SYMBOLS + "\nSELECT CAST(hap AS INT) AS hap, CAST(block AS INT) AS block, CAST(CASE WHEN code <= size THEN code ELSE 0 END AS INT) AS code, CAST(CASE WHEN code > size THEN bits ELSE 0 END AS INT) AS exception FROM packed JOIN sy USING (block, bits), sz")
+def symbol_codes(spark, d):
+    packed, numbered, size = _symbols(spark, d)
+    return bits.encoded(packed, numbered, size).withColumn("exception", F.coalesce("exception", F.lit(0)))
+
+
+@query(_SYMBOLS + "\nSELECT CAST(block AS INT) AS block, CAST(code AS INT) AS code, CAST(bits AS INT) AS bits, n FROM sy, sz WHERE code <= size UNION ALL SELECT CAST(block AS INT), CAST(any_value(size) + 1 AS INT), CAST(min_by(bits, code) AS INT), CAST(sum(n) FILTER (code > size) AS BIGINT) FROM sy, sz GROUP BY block HAVING max(code) > any_value(size)")
+def symbol_table(spark, d):
+    _, numbered, size = _symbols(spark, d)
+    return bits.symbol_counts(numbered, size)
+
+
+_PARTS = with_tables("panel") + """,
+st AS (SELECT *, CASE WHEN common THEN sum(CAST(common AS INT)) OVER (ORDER BY snp) - 1 END AS i FROM (SELECT snp, CAST(sum(allele) AS BIGINT) AS alt, count(*) AS n, sum(allele) / count(*) AS af, sum(allele) / count(*) >= 0.5 AS common FROM panel GROUP BY snp))"""
+
+
+@query(_PARTS + "\nSELECT snp, alt, n, round_even(af, 6) AS af, common, CAST(coalesce(i, -1) AS BIGINT) AS i FROM st")
+def panel_site_counts(spark, d):
+    return bits.site_counts(adapter.panel(spark, d), 0.5).withColumns({"af": r6("af"), "i": F.coalesce("i", F.lit(-1).cast("long"))})
+
+
+@query(_PARTS + "\nSELECT hap, CAST(block AS INT) AS block, CAST(CASE WHEN word >= 2147483648 THEN word - 4294967296 ELSE word END AS INT) AS bits FROM (SELECT hap, i // 32 AS block, CAST(sum(CAST(allele AS BIGINT) << (i % 32)) AS BIGINT) AS word FROM panel JOIN st USING (snp) WHERE common GROUP BY ALL)")
+def panel_common_words(spark, d):
+    panel = adapter.panel(spark, d)
+    return bits.split_panel(panel, bits.site_counts(panel, 0.5))[0]
+
+
+@query(_PARTS + "\nSELECT hap, array_to_string(list(snp ORDER BY snp), ',') AS snps FROM panel JOIN st USING (snp) WHERE NOT common AND allele = 1 GROUP BY hap")
+def panel_rare_lists(spark, d):
+    panel = adapter.panel(spark, d)
+    return bits.split_panel(panel, bits.site_counts(panel, 0.5))[1].select("hap", F.array_join(F.col("snps").cast("array<string>"), ",").alias("snps"))
+
+
 _FOUNDERS = "f AS (SELECT snp, k, 0.1 + 0.8 * ((snp * 7 + k * 3) % 11) / 10 AS p FROM (SELECT DISTINCT p_partkey AS snp FROM part), (SELECT unnest([0, 1]) AS k))"
 
 
@@ -650,7 +697,7 @@ def phase_votes(spark, d):
 
 @query()
 def panel_init_em(spark, d):
-    return em.panel_model(adapter.panel(spark, d), 4).select("k", "snp", r6("p").alias("p"))
+    return em.panel_model(adapter.panel(spark, d), adapter.sites(spark, d), Config(K=4, nGen=100, gridWindowSize=5000)).select("k", "snp", r6("p").alias("p"))
 
 
 @query()

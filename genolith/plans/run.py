@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.hwe import hwe_p
 from ..functions.phred import genotype_cell, phred_likelihoods, pileup_cell
 from ..operators import evaluate, pileup, reads
-from ..operators.sites import region
+from ..operators.sites import match_panel, region
 from ..sources import alignments, bgen, tables, vcf
 from . import em
 from .config import Config
 
 #: Files that a run may take besides sites and alignments.
-OPTIONAL = ("genetic_map_file", "reference_vcf", "genfile", "sampleNames_file")
+OPTIONAL = ("genetic_map_file", "reference_vcf", "reference_haplotype_file", "reference_legend_file", "reference_sample_file", "reference_populations", "genfile", "sampleNames_file")
 INFO = {"EAF": "Estimated allele frequency", "INFO_SCORE": "Info score", "HWE": "Hardy-Weinberg p-value", "ERC": "Weight of the alternative allele", "EAC": "Weight of the reference allele", "PAF": "Allele frequency of the pileup"}
 CELL = {"GT": "Best genotype, if its posterior is 0.9 or more", "GP": "Posteriors", "DS": "Dosage"}
 
@@ -95,6 +95,28 @@ def named_samples(spark: SparkSession, held: DataFrame, files: int, names_file:
     return every
 
 
+def read_panel(spark: SparkSession, sites: DataFrame, config: Config, reference_vcf: str | None, haps: str | None, legend: str | None, samples: str | None, populations: str | None) -> DataFrame | None:
+    """(hap, snp, allele) of the panel at the sites, if one is given. Raises ValueError if its files don't fit together, if it shares no site, or if, with one iteration, it lacks
+    or adds any."""
+    if reference_vcf is None and haps is None:
+        return None
+    if reference_vcf is not None:
+        found = vcf.read_panel(spark, reference_vcf)
+    else:
+        if legend is None:
+            raise ValueError("a haplotype file needs a legend")
+        tables.check_panel(spark, haps, legend, samples)
+        found = tables.read_panel(spark, haps, legend, samples, populations.split(",") if populations else None)
+    if config.regionStart is not None:
+        found = found.filter(F.col("pos").between(config.regionStart - config.buffer, config.regionEnd + config.buffer))
+    met = match_panel(sites, found.select("pos", "ref", "alt").distinct()).first()
+    if not met.both:
+        raise ValueError("the panel has none of the sites")
+    if config.niterations == 1 and (met.only_sites or met.only_legend):
+        raise ValueError(f"one iteration needs the panel's own sites: {met.only_sites} are not in the panel, {met.only_legend} only there")
+    return found.join(sites.select("snp", "pos", "ref", "alt"), ["pos", "ref", "alt"]).select("hap", "snp", "allele")
+
+
 def output_truth(post: DataFrame, sites: DataFrame, genfile: str, path: str) -> None:
     """Squared correlations of dosages with a truth file's genotypes, by sample."""
     truth = tables.read_genotypes(post.sparkSession, genfile).filter("g is not null")
@@ -109,9 +131,9 @@ def output_phased(phased: DataFrame, sites: DataFrame, path: str) -> None:
     vcf.write_vcf(phased.select("sample", "snp", cell.alias("cell")), sites, sites.select("snp", F.lit(".").alias("info")), "GT:HD", f"{path}/phased", ({}, {"GT": "Phased genotype", "HD": "Dosages of both haplotypes"}))
 
 
-def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir: str, config: Config, bam: bool = True, pileup_only: bool = False, use_bx: bool = True, genetic_map_file: str | None = None, reference_vcf: str | None = None, genfile: str | None = None, sampleNames_file: str | None = None) -> None:
-    """Impute the samples of ``files`` (BAM, or SAM text; samples without a read at any site too) at the sites of ``posfile``. Optional: a genetic map; a phased
-    VCF as panel, from which founders are fitted to begin with; truth to compare with; names of the samples, in the order of their own."""
+def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir: str, config: Config, bam: bool = True, pileup_only: bool = False, use_bx: bool = True, genetic_map_file: str | None = None, reference_vcf: str | None = None, reference_haplotype_file: str | None = None, reference_legend_file: str | None = None, reference_sample_file: str | None = None, reference_populations: str | None = None, genfile: str | None = None, sampleNames_file: str | None = None) -> None:
+    """Impute the samples of ``files`` (BAM, or SAM text; samples without a read at any site too) at the sites of ``posfile``. Optional: a genetic map; a panel
+    (a phased VCF, or files of haplotypes, legend and samples, of all or of some populations, split by commas) that founders are made of to begin with; truth to compare with; names of the samples, in the order of their own."""
     config.check()
     sites = tables.check_sites(tables.read_sites(spark, posfile))
     central = sites.select("snp")
@@ -139,11 +161,8 @@ def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir:
         if genetic_map_file is not None:
             one = sites.select("chr").distinct()  # the sites' only chromosome
             gmap = tables.check_genetic_map(tables.read_genetic_map(spark, genetic_map_file)).crossJoin(F.broadcast(one))
-        founders = None
-        if reference_vcf is not None:
-            panel = vcf.read_panel(spark, reference_vcf).join(sites.select("snp", "pos", "ref", "alt"), ["pos", "ref", "alt"]).select("hap", "snp", "allele")
-            founders = em.panel_model(panel, config.K, seed=config.seed)
-        more = {"every": names.select(F.col("number").alias("sample")), "gmap": gmap, "founders": founders}
+        panel = read_panel(spark, sites, config, reference_vcf, reference_haplotype_file, reference_legend_file, reference_sample_file, reference_populations)
+        more = {"every": names.select(F.col("number").alias("sample")), "gmap": gmap, "panel": panel}
         back = lambda df: df.join(central, "snp", "left_semi").join(F.broadcast(names), F.col("sample") == F.col("number")).drop("sample", "number", "own").withColumnRenamed("name", "sample")
         post = back(em.impute(numbered, sites, config, **more)).persist()
         output(post, obs.drop("number"), out_sites, outputdir, config.output_format)

@@ -103,3 +103,24 @@ def test_bam_files_in_a_region(spark, simulated, tmp_path):
     impute_files(spark, str(folder / "pos"), files, str(tmp_path / "out"), config)
     got = {r.sample for r in read_dosages(spark, f"{tmp_path}/out/vcf/*").collect()}
     assert got == {*truth, "empty"}
+
+
+def test_panel_files_and_populations(spark, simulated, tmp_path):
+    folder, truth = simulated
+    files = [str(folder / f"{s}.sam") for s in truth]
+    founders = np.zeros((2, 10), int)
+    founders[0, [1, 3, 6]], founders[1, [3, 8]] = 1, 1
+    (tmp_path / "legend").write_text("id position a0 a1\n" + "".join(f"x{i} {i + 1} A G\n" for i in range(10)))
+    (tmp_path / "haps").write_text("".join(f"{1 - founders[0, i]} {1 - founders[1, i]} {founders[0, i]} {founders[1, i]}\n" for i in range(10)))
+    (tmp_path / "samples").write_text("ID POP GROUP SEX\na wrong g 1\nb right g 1\n")
+    config = Config(K=2, nGen=100, niterations=1, refillIterations=(), shuffleHaplotypeIterations=(), reference_iterations=0, reference_shuffleHaplotypeIterations=())
+    panel = {f"reference_{n}_file": str(tmp_path / f) for n, f in (("haplotype", "haps"), ("legend", "legend"), ("sample", "samples"))}
+    impute_files(spark, str(folder / "pos"), files, str(tmp_path / "out"), config, bam=False, reference_populations="right", **panel)
+    got = {(r.sample, r.pos): r.ds for r in read_dosages(spark, f"{tmp_path}/out/vcf/*").collect()}
+    assert np.mean([abs(got[s, i + 1] - t[i]) for s, t in truth.items() for i in range(10)]) < 0.05  # the founders themselves
+    (tmp_path / "legend").write_text("id position a0 a1\n" + "".join(f"x{i} {i + 101} A G\n" for i in range(10)))
+    with pytest.raises(ValueError, match="none of the sites"):
+        impute_files(spark, str(folder / "pos"), files, str(tmp_path / "out2"), config, bam=False, **panel)
+    (tmp_path / "legend").write_text("id position a0 a1\n" + "".join(f"x{i} {i + 2} A G\n" for i in range(10)))
+    with pytest.raises(ValueError, match="own sites"):
+        impute_files(spark, str(folder / "pos"), files, str(tmp_path / "out2"), config, bam=False, **panel)

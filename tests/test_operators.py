@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from genolith.functions import cigar, hwe, phred
+from genolith.functions import bits, cigar, hwe, phred
 from genolith.operators import evaluate, hmm, reads, sites
 from genolith.plans.config import Config
 from pyspark.sql import functions as F
@@ -222,6 +222,61 @@ def test_depth_is_capped_by_whole_reads(spark):
     assert max(depth.values()) <= 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_depth_cap_equals_the_rule(spark, seed):
+    """Site by site: what is left of the reads there, twice-covering ones first, then by rank."""
+    rng = np.random.default_rng(seed)
+    rows = [(s, r, sorted(int(x) for x in rng.integers(0, 4, int(rng.integers(0, 5))) + 5 * rng.integers(0, 6))) for s in range(3) for r in range(50)]
+    df = make(spark, rows, "sample long, read long, snp array<long>")
+    rank = {(x.sample, x.read): x.h for x in df.select("sample", "read", F.xxhash64("sample", "read", F.lit(seed)).alias("h")).collect()}
+    for most in (1, 3, 4.5):
+        want = set()
+        for s in range(3):
+            left = {r: snp for a, r, snp in rows if a == s}
+            for site in range(40):
+                depth = sum(x.count(site) for x in left.values())
+                if depth > most:
+                    doubled = [r for r, x in left.items() if x.count(site) > 1]
+                    for r in doubled:
+                        del left[r]
+                    for r in sorted((r for r, x in left.items() if site in x), key=lambda r: -rank[s, r]):
+                        if sum(x.count(site) for x in left.values()) > most:
+                            del left[r]
+            want |= {(s, r) for r in left}
+        assert {(x.sample, x.read) for x in reads.cap_depth_greedy(df, most, seed).collect()} == want
+
+
+def test_panel_parts_give_the_panel_back(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    alleles = (rng.random((40, 70)) < np.where(np.arange(70) % 3, 0.4, 0.05)).astype(int)
+    panel = make(spark, [(h, s, int(alleles[h, s])) for h in range(40) for s in range(70)], "hap int, snp int, allele int")
+    monkeypatch.setattr(bits, "RANGE", 16)
+    counts = bits.site_counts(panel, 0.2)
+    common, rare = bits.split_panel(panel, counts)
+    kinds = alleles.mean(axis=0) >= 0.2
+    assert [r.common for r in counts.orderBy("snp").collect()] == list(kinds) and [r.i for r in counts.filter("common").orderBy("snp").collect()] == list(range(kinds.sum()))
+    back = {(r.hap, r.snp): r.allele for r in bits.joined_panel(common, rare, counts, panel.select("hap").distinct()).filter(F.col("snp") < 70).collect()}
+    assert back == {(h, s): alleles[h, s] for h in range(40) for s in range(70)}
+
+
+def test_dictionary_of_symbols(spark):
+    rng = np.random.default_rng(1)
+    kinds = rng.integers(-(2**31), 2**31, (3, 60))
+    rows = [(h, b, int(kinds[b, min(59, rng.geometric(0.08))])) for h in range(500) for b in range(3)]
+    packed = make(spark, rows, "hap int, block int, bits int")
+    numbered = bits.symbols(packed)
+    words = {b: sorted({w % 2**32 for _, x, w in rows if x == b}) for b in range(3)}
+    assert {(r.block, r.bits % 2**32): r.code for r in numbered.collect()} == {(b, w): i + 1 for b in range(3) for i, w in enumerate(words[b])}
+    size = bits.dictionary_size(numbered, 500)
+    held = lambda n: sum(w % 2**32 in words[b][:n] for _, b, w in rows) / len(rows)
+    assert held(size) > 0.99 >= held(size - 1) and bits.dictionary_size(numbered, 500, most=20) == 20 and bits.dictionary_size(numbered.filter("code = 1"), 500) == 15
+    codes = bits.encoded(packed, numbered, 20)
+    assert codes.filter("code = 0").count() == sum(w % 2**32 not in words[b][:20] for _, b, w in rows) > 0
+    assert sorted(map(tuple, bits.decoded(codes, numbered).collect())) == sorted(rows)
+    table = {(r.block, r.code): r.n for r in bits.symbol_counts(numbered, 20).collect()}
+    assert all(sum(n for (x, _), n in table.items() if x == b) == 500 and (b, 21) in table for b in range(3))
+
+
 def test_samples_without_reads_are_imputed(spark):
     from genolith.plans import em
 
@@ -515,3 +570,23 @@ def test_borders_hold_a_block_at_a_time():
         tracemalloc.stop()
         assert n == 2 * grids // 500
     assert peaks[1] < 1.1 * peaks[0]
+
+
+def test_starts_from_a_panel(spark):
+    from genolith.plans import em
+
+    rng = np.random.default_rng(0)
+    kinds = rng.integers(0, 2, (3, 40))
+    s = make(spark, [(i, "1", 1000 * i + 1, "A", "G") for i in range(50)], "snp long, chr string, pos long, ref string, alt string")
+    layout = em.site_layout(s, None)
+    config = Config(K=3, nGen=10, S=2, reference_iterations=12, reference_shuffleHaplotypeIterations=(3,)).check()
+    of = lambda haps: make(spark, [(h, i, int(kinds[h % 3, i])) for h in range(haps) for i in range(40)], "hap int, snp long, allele int")
+    fewer, same, more = (em.panel_starts(of(n), layout, config) for n in (2, 3, 30))
+    e = config.emissionThreshold
+    assert all(np.array_equal(x[:2, :40], np.clip(kinds[:2], e, 1 - e)) and x[2].std() > 0.2 and (x > 0).all() for x in fewer)
+    assert all(np.array_equal(x[:, :40], np.clip(kinds, e, 1 - e)) and x[:, 40:].std() > 0.2 for x in same) and not np.array_equal(same[0], same[1])
+    for x in more:
+        assert x.shape == (3, 50) and (abs(x[:, 40:] - 0.5) <= 0.1).all()
+        assert sorted(np.abs(x[:, None, :40] - kinds[None]).mean(axis=2).argmin(axis=1)) == [0, 1, 2] and np.abs(x[:, None, :40] - kinds[None]).mean(axis=2).min(axis=1).max() < 0.06
+    plain = em.panel_starts(of(30), layout, Config(K=3, nGen=10, reference_iterations=0, reference_shuffleHaplotypeIterations=()))[0]
+    assert (np.minimum(plain[:, :40], 1 - plain[:, :40]) <= 0.05).all()
