@@ -615,6 +615,22 @@ def estep_inbred(spark, d):
     return spark.createDataFrame(rows, "snp long, k int, alt double, total double").select("snp", "k", r6("alt").alias("alt"), r6("total").alias("total"))
 
 
+def _of_steps(spark: SparkSession, sums: hmm.Sums) -> DataFrame:
+    """(step, k, v) of expected switches."""
+    k, step = np.indices(sums.switch.shape)
+    return spark.createDataFrame(pd.DataFrame({"step": step.ravel(), "k": k.ravel(), "v": sums.switch.ravel()}), "step long, k int, v double").select("step", "k", r6("v").alias("v"))
+
+
+_HAP_SWITCH = """,
+sw AS (SELECT f.grid AS step, unnest([0, 1, 2]) AS k, unnest([b.e0 * b0, b.e1 * b1, b.e2 * b2]) * (0.1 / 3) / (b.e0 * b0 * (0.9 * a0 + 0.1 / 3) + b.e1 * b1 * (0.9 * a1 + 0.1 / 3) + b.e2 * b2 * (0.9 * a2 + 0.1 / 3)) AS v FROM fw f JOIN bw b ON b.sample = f.sample AND b.grid = f.grid + 1)"""
+
+
+@query(with_tables("prob", "sites", recursive=True) + f",\n{_F3},\n{_READ_E},\n{_CENTRAL}{_GRID_E}{_HAP}{_HAP_SWITCH}\nSELECT step, CAST(k AS INT) AS k, round_even(sum(v), 6) AS v FROM sw GROUP BY step, k")
+def estep_inbred_switches(spark, d):
+    samples, model, layout = _fixed_model(spark, d, 3)
+    return _of_steps(spark, em.expect(samples, model, layout["grid"].to_numpy(), "diploid-inbred"))
+
+
 @query(with_tables("prob", "sites", recursive=True) + f",\n{_F3},\n{_READ_E},\n{_CENTRAL}{_GRID_E}{_HAP}\nSELECT snp, CAST(k AS INT) AS k, round_even(avg(gamma), 6) AS gamma FROM gm JOIN gr USING (grid) GROUP BY snp, k")
 def founders_at_sites(spark, d):
     samples, model, layout = _fixed_model(spark, d, 3)
@@ -676,6 +692,72 @@ def diploid_posterior_k2(spark, d):
     return em.founder_posteriors(samples, model, True).select("sample", "grid", F.posexplode("gamma").alias("pair", "gamma")).select("sample", "grid", "pair", r6("gamma").alias("gamma"))
 
 
+#: With k the first of a pair: what is in each state, what of each read is of k, and how often a haplotype switches to k.
+_DIP_STEP = """,
+gm AS (SELECT sample, grid, unnest([0, 0, 1, 1]) AS k, unnest([0, 1, 0, 1]) AS j, unnest([a0 * b0, a1 * b1, a2 * b2, a3 * b3]) / (a0 * b0 + a1 * b1 + a2 * b2 + a3 * b3) AS gamma FROM fw JOIN bw USING (sample, grid)),
+rw AS (SELECT rg.sample, rg.read, gm.k, sum(2 * gamma * x.e / (x.e + y.e)) AS w FROM rg JOIN gm ON gm.sample = rg.sample AND gm.grid = rg.grid JOIN re x ON x.sample = rg.sample AND x.read = rg.read AND x.k = gm.k JOIN re y ON y.sample = rg.sample AND y.read = rg.read AND y.k = gm.j GROUP BY rg.sample, rg.read, gm.k),
+es AS (SELECT snp, k, sum(w * p * pa / (p * pa + (1 - p) * pr)) AS alt, sum(w) AS total FROM prob JOIN rw USING (sample, read) JOIN f USING (snp, k) GROUP BY snp, k),
+ah AS (SELECT f.sample, f.grid AS step, a0 + a2 AS u, a1 + a3 AS v, b.e0 * b0 AS z0, b.e1 * b1 AS z1, b.e2 * b2 AS z2, b.e3 * b3 AS z3,
+  0.81 * a0 + 0.045 * (a0 + a2 + a0 + a1) + 0.0025 AS h0, 0.81 * a1 + 0.045 * (a1 + a3 + a0 + a1) + 0.0025 AS h1, 0.81 * a2 + 0.045 * (a0 + a2 + a2 + a3) + 0.0025 AS h2, 0.81 * a3 + 0.045 * (a1 + a3 + a2 + a3) + 0.0025 AS h3
+  FROM fw f JOIN bw b ON b.sample = f.sample AND b.grid = f.grid + 1),
+sw AS (SELECT step, unnest([0, 1]) AS k, 2 * unnest([z0 * (0.045 * u + 0.0025) + z1 * (0.045 * v + 0.0025), z2 * (0.045 * u + 0.0025) + z3 * (0.045 * v + 0.0025)]) / (z0 * h0 + z1 * h1 + z2 * h2 + z3 * h3) AS v FROM ah),
+st AS (SELECT step, k, sum(v) AS v FROM sw GROUP BY step, k)"""
+_DIP_WHOLE = with_tables("prob", "sites", recursive=True) + f",\n{_FOUNDERS},\n{_READ_E},\n{_CENTRAL}{_GRID_E}{_DIP}{_DIP_STEP}"
+
+
+def _diploid_step(spark: SparkSession, d: str) -> tuple[hmm.Sums, hmm.Model, pd.DataFrame, int]:
+    samples, model, layout = _fixed_model(spark, d, 2)
+    samples = samples.persist()
+    sums, n = em.expect(samples, model, layout["grid"].to_numpy(), "diploid"), samples.count()
+    samples.unpersist()
+    return sums, model, layout, n
+
+
+@query(_DIP_WHOLE + "\nSELECT snp, CAST(k AS INT) AS k, round_even(alt, 6) AS alt, round_even(total, 6) AS total FROM es")
+def estep_diploid(spark, d):
+    sums, _, layout, _ = _diploid_step(spark, d)
+    k, i = np.nonzero(sums.total > 0)
+    rows = pd.DataFrame({"snp": layout["snp"].to_numpy()[i], "k": k, "alt": sums.alt[k, i], "total": sums.total[k, i]})
+    return spark.createDataFrame(rows, "snp long, k int, alt double, total double").select("snp", "k", r6("alt").alias("alt"), r6("total").alias("total"))
+
+
+@query(_DIP_WHOLE + "\nSELECT step, CAST(k AS INT) AS k, round_even(v, 6) AS v FROM st")
+def estep_diploid_switches(spark, d):
+    return _of_steps(spark, _diploid_step(spark, d)[0])
+
+
+@query(_DIP_WHOLE + "\nSELECT grid, CAST(k AS INT) AS k, round_even(sum(gamma), 6) AS v FROM gm GROUP BY grid, k")
+def estep_diploid_usage(spark, d):
+    usage = _diploid_step(spark, d)[0].usage
+    k, grid = np.indices(usage.shape)
+    return spark.createDataFrame(pd.DataFrame({"grid": grid.ravel(), "k": k.ravel(), "v": usage.ravel()}), "grid long, k int, v double").select("grid", "k", r6("v").alias("v"))
+
+
+def _after_iteration(spark: SparkSession, d: str) -> tuple[hmm.Model, pd.DataFrame]:
+    sums, model, layout, n = _diploid_step(spark, d)
+    middle = layout.groupby("grid")["pos"].mean().to_numpy()
+    return hmm.maximise(sums, model, n, np.full(len(layout), 0.5), np.diff(middle), 100.0, 0.1, 100.0), layout
+
+
+@query(_DIP_WHOLE + "\nSELECT s.snp, CAST(k AS INT) AS k, round_even(least(greatest(coalesce(alt / total, 0.5), 0.0001), 0.9999), 6) AS p FROM (SELECT snp, unnest([0, 1]) AS k FROM sites) s LEFT JOIN es USING (snp, k)")
+def em_iteration_alleles(spark, d):
+    model, layout = _after_iteration(spark, d)
+    rows = pd.DataFrame({"snp": np.tile(layout["snp"].to_numpy(), 2), "k": np.repeat([0, 1], len(layout)), "p": model.p.ravel()})
+    return spark.createDataFrame(rows, "snp long, k int, p double").select("snp", "k", r6("p").alias("p"))
+
+
+@query(_DIP_WHOLE + """,
+md AS (SELECT grid AS step, lead(m) OVER (ORDER BY grid) - m AS dist FROM (SELECT grid, avg(pos) AS m FROM gr JOIN sites USING (snp) GROUP BY grid)),
+sh AS (SELECT step, k, v / sum(v) OVER (PARTITION BY step) AS share, sum(v) OVER (PARTITION BY step) AS every FROM st)
+SELECT step, CAST(k AS INT) AS k, round_even(greatest(share, 0.0001) / sum(greatest(share, 0.0001)) OVER (PARTITION BY step), 6) AS share,
+  round_even(least(greatest(exp(-every / (2 * (SELECT count(DISTINCT sample) FROM obs))), exp(-100 * 100 * dist / 1e8)), exp(-100 * 0.1 * dist / 1e8)), 6) AS stay FROM sh JOIN md USING (step)""")
+def em_iteration_switches(spark, d):
+    model, _ = _after_iteration(spark, d)
+    k, step = np.indices(model.switch.shape)
+    rows = pd.DataFrame({"step": step.ravel(), "k": k.ravel(), "share": model.switch.ravel(), "stay": np.tile(model.stay, 2)})
+    return spark.createDataFrame(rows, "step long, k int, share double, stay double").select("step", "k", r6("share").alias("share"), r6("stay").alias("stay"))
+
+
 def _imputed(method: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         config = Config(K=4, nGen=100, method=method, gridWindowSize=5000)
