@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.hwe import hwe_p
+
 #: Upper bounds of the frequency bins.
 BINS = (0.01, 0.05, 0.1, 0.2, 0.5)
 
@@ -44,9 +46,13 @@ def phase_switches(phases: DataFrame) -> DataFrame:
     return sums.select("sample", "sites", "switches", F.when(F.col("sites") > 1, F.col("switches") / (F.col("sites") - 1)).alias("error"))
 
 
-def usable_calls(calls: DataFrame, missing: float = 0.05) -> DataFrame:
-    """Sites (snp) of calls (snp, g) of which at most a share of ``missing`` is null."""
-    return calls.groupBy("snp").agg(F.avg(F.col("g").isNull().cast("double")).alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("m") <= missing).select("snp", "n")
+def usable_calls(calls: DataFrame, missing: float = 0.05, least_hwe: float | None = None) -> DataFrame:
+    """Sites (snp, n) of calls (snp, g) of which at most a share of ``missing`` is null and whose genotypes are, by the exact test, no less likely than ``least_hwe``."""
+    counts = [F.count_if(F.col("g") == i).alias(f"n{i}") for i in range(3)]
+    sites = calls.groupBy("snp").agg(F.avg(F.col("g").isNull().cast("double")).alias("m"), F.count(F.lit(1)).alias("n"), *counts).filter(F.col("m") <= missing)
+    if least_hwe is not None:
+        sites = sites.filter(hwe_p("n0", "n1", "n2") >= least_hwe)
+    return sites.select("snp", "n")
 
 
 def phase_switches_without_doubles(phases: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.cigar import blocks
+from ..functions.cigar import blocks, span
 
 #: Width of the bins on which range joins meet.
 BIN = 4096
@@ -27,20 +27,19 @@ def range_join(left: DataFrame, points: DataFrame, start: str, end: str, pos: st
 
 
 def scan(alignments: DataFrame, sites: DataFrame, bq_filter: int = 17, insert_limit: int = 600) -> DataFrame:
-    """(sample, qname, bx, rev, start, end, snp, bq): signed scores of reads at sites, negative for the reference base.
+    """(sample, qname, bx, rev, start, end, snp, bq): signed scores of reads at sites, negative for the reference base; start and end are those of the alignment.
 
     Duplicates, poor mapping, wide inserts and alignments without CIGAR go; a score is at most the mapping quality and
     must reach ``bq_filter``; a quality of * counts as 10; a score of 0 says nothing and goes.
     """
     good = alignments.filter(~F.col("dup") & (F.col("mapq") >= bq_filter) & (F.abs("isize") <= insert_limit) & ~F.col("cigar").isin("", "*"))
-    each = good.withColumn("__b", F.explode(blocks(F.col("cigar"), F.col("pos")))).select("*", F.col("__b.ref").alias("__s"), (F.col("__b.ref") + F.col("__b.len") - 1).alias("__e"), F.col("__b.read").alias("__r")).drop("__b")
+    each = good.withColumn("__last", F.col("pos") + span(F.col("cigar")) - 1).withColumn("__b", F.explode(blocks(F.col("cigar"), F.col("pos")))).select("*", F.col("__b.ref").alias("__s"), (F.col("__b.ref") + F.col("__b.len") - 1).alias("__e"), F.col("__b.read").alias("__r")).drop("__b")
     at = F.col("__site_pos") - F.col("__s") + F.col("__r") + 1
     hit = range_join(each, sites.select("chr", "snp", F.col("pos").alias("__site_pos"), "ref", "alt"), "__s", "__e", "__site_pos", ("chr",))
     base = F.substring("seq", at.cast("int"), F.lit(1))
     score = F.least(F.when(F.col("qual") == "*", 10).otherwise(F.ascii(F.substring("qual", at.cast("int"), F.lit(1))) - 33), "mapq")
     seen = F.when(base == F.col("ref"), -score).when(base == F.col("alt"), score)
-    last = F.max("__e").over(Window.partitionBy("sample", "qname", "pos", "cigar", "seq"))
-    return hit.withColumn("bq", seen.cast("int")).filter((F.abs("bq") >= bq_filter) & (F.col("bq") != 0)).select("sample", "qname", "bx", "rev", F.col("pos").alias("start"), last.alias("end"), "snp", "bq")
+    return hit.withColumn("bq", seen.cast("int")).filter((F.abs("bq") >= bq_filter) & (F.col("bq") != 0)).select("sample", "qname", "bx", "rev", F.col("pos").alias("start"), F.col("__last").alias("end"), "snp", "bq")
 
 
 def nested(observations: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ class Config:
     alphaMatThreshold: float = 1e-4
     maxDifferenceBetweenReads: float = 1000.0
     bqFilter: int = 17
+    useSoftClippedBases: bool = False
     iSizeUpperLimit: int = 600
     downsampleToCov: float = 50.0
     downsampleFraction: float = 1.0

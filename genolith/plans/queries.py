@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import bits, cigar, hwe, phred
 from ..operators import evaluate, forward, founders as founder_ops, hmm, panel as panels, pileup, reads, sites as site_ops, splitting
+from ..sources import arrays
 from . import adapter, em
 from .adapter import with_tables
 from .config import Config
@@ -516,6 +517,29 @@ def _weak_stretches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return gridded, founder_ops.donors(binned, founder_ops.weak_runs(binned, 0.98 * F.col("even")), seed=7)
 
 
+_ARRAY = """,
+pr AS (SELECT snp AS probe, snp AS nth, chr, pos, ref, alt FROM sites),
+ch AS (SELECT DISTINCT pos // 3000 AS b FROM sites WHERE pos // 3000 % 5 < 4),
+lf AS (SELECT probe, nth, ref, alt, 'chr' || (b % 2) AS chr, CASE WHEN b % 3 > 0 THEN 100000 + 1500 * b + (pos - 3000 * b) // 1 ELSE 100000 + 1500 * b + (3000 * b + 2999 - pos) END AS pos FROM pr JOIN ch ON pos BETWEEN 3000 * b AND 3000 * b + 2999),
+fp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chr, pos ORDER BY nth, probe) AS n FROM lf) WHERE n = 1),
+rp AS (SELECT DISTINCT sample, snp AS probe FROM obs),
+cl AS (SELECT sample, chr, pos, ref, alt, CASE WHEN (sample * 7 + probe * 3) % 100 >= 15 THEN CAST((sample + probe) % 3 = 0 AS INT) + CAST((sample + 2 * probe) % 4 = 0 AS INT) ELSE -1 END AS g FROM rp JOIN fp USING (probe) WHERE sample % 10 <> 3)"""
+
+
+@query(with_tables("obs", "sites") + _ARRAY + "\nSELECT sample, chr, CAST(pos AS BIGINT) AS pos, ref, alt, g FROM cl")
+def array_calls(spark, d):
+    sites = adapter.sites(spark, d)
+    b = F.floor(F.col("pos") / 3000)
+    blocks = sites.select(b.alias("b")).distinct().filter("b % 5 < 4")
+    chain = blocks.select(F.lit(adapter.CHROMOSOME).alias("chr"), (3000 * F.col("b")).alias("start"), (3000 * F.col("b") + 2999).alias("end"), F.concat(F.lit("chr"), (F.col("b") % 2).cast("string")).alias("to_chr"), (100000 + 1500 * F.col("b")).alias("to_start"), (F.col("b") % 3 > 0).alias("forward"))
+    probes = arrays.lift(sites.select(F.col("snp").alias("probe"), F.col("snp").alias("nth"), "chr", "pos", "ref", "alt"), chain)
+    s, p = F.col("sample"), F.col("probe")
+    ab = lambda c: F.when(c, "B").otherwise("A")
+    report = _obs(spark, d).select("sample", F.col("snp").alias("probe")).distinct().select("sample", "probe", ab((s + p) % 3 == 0).alias("a1"), ab((s + 2 * p) % 4 == 0).alias("a2"), ((s * 7 + p * 3) % 100 / 100).alias("score"))
+    bad = adapter.samples(spark, d).filter("sample % 10 = 3")
+    return arrays.report_calls(report, probes, 0.15, bad).withColumn("g", F.coalesce("g", F.lit(-1)))
+
+
 @query(with_tables("obs", "sites") + _USE + "\nSELECT k, first, last, donor FROM rp")
 def refill_runs(spark, d):
     return _weak_stretches(spark, d)[1].select("k", "first", "last", "donor")

@@ -11,6 +11,7 @@ from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.cigar import clip
 from ..functions.hwe import hwe_p
 from ..functions.phred import genotype_cell, phred_likelihoods, pileup_cell
 from ..operators import evaluate, pileup, reads
@@ -20,7 +21,7 @@ from . import em
 from .config import Config
 
 #: Files that a run may take besides sites and alignments.
-OPTIONAL = ("genetic_map_file", "reference_vcf", "reference_haplotype_file", "reference_legend_file", "reference_sample_file", "reference_populations", "genfile", "sampleNames_file")
+OPTIONAL = ("genetic_map_file", "reference_vcf", "reference_haplotype_file", "reference_legend_file", "reference_sample_file", "reference_populations", "genfile", "phasefile", "sampleNames_file", "downsampleSamplesKeepList", "subsetSNPsfile")
 INFO = {"EAF": "Estimated allele frequency", "INFO_SCORE": "Info score", "HWE": "Hardy-Weinberg p-value", "ERC": "Weight of the alternative allele", "EAC": "Weight of the reference allele", "PAF": "Allele frequency of the pileup"}
 CELL = {"GT": "Best genotype, if its posterior is 0.9 or more", "GP": "Posteriors", "DS": "Dosage"}
 
@@ -30,6 +31,8 @@ def observations(aligned: DataFrame, sites: DataFrame, config: Config, use_bx: b
 
     With tags, a molecule is a run of a tag's fragments at most ``bx_limit`` apart; else the fragments of a name.
     """
+    if config.useSoftClippedBases:
+        aligned = aligned.withColumns(clip(F.col("cigar"), F.col("pos"), F.col("seq"), F.col("qual"), True))
     seen = reads.scan(aligned.filter(F.col("chr").isin([r.chr for r in sites.select("chr").distinct().collect()])), sites, config.bqFilter, config.iSizeUpperLimit)
     fragments = seen.select("sample", "qname", "bx", "start", "end").distinct()
     whole = reads.merge_molecules(fragments, config.iSizeUpperLimit).select("sample", "qname")
@@ -44,9 +47,7 @@ def observations(aligned: DataFrame, sites: DataFrame, config: Config, use_bx: b
         first = run.groupBy("sample", "qname").agg(F.min(F.struct("start", "tag", "session")).alias("s")).select("sample", "qname", F.concat_ws("/", "s.tag", F.col("s.session").cast("string")).alias("molecule"))
         named = named.join(first, ["sample", "qname"], "left")
         read = F.coalesce("molecule", "qname")
-    # Mates that overlap see a site twice; a read speaks of it once, with the surer score.
-    once = named.groupBy("sample", F.xxhash64(read).alias("read"), "snp").agg(F.max_by("bq", F.struct(F.abs("bq"), "bq")).alias("bq"))
-    obs = once.select("sample", "read", "snp", "bq")
+    obs = named.select("sample", F.xxhash64(read).alias("read"), "snp", "bq")  # mates that overlap see a site twice
     if config.downsampleFraction < 1:
         obs = obs.filter(F.pmod(F.xxhash64("sample", "read", F.lit(config.seed)), F.lit(1_000_000)) < int(config.downsampleFraction * 1_000_000))
     whole = obs.groupBy("sample", "read").agg(F.array_sort(F.collect_list(F.struct("snp", "bq"))).alias("x")).select("sample", "read", F.col("x.snp").alias("snp"), F.col("x.bq").alias("bq"))
@@ -76,8 +77,9 @@ def output_pileup(obs: DataFrame, sites: DataFrame, path: str) -> None:
     vcf.write_vcf(cells, sites, sites.select("snp", F.lit(".").alias("info")), "GT:AD:PL", f"{path}/input")
 
 
-def named_samples(spark: SparkSession, held: DataFrame, files: int, names_file: str | None, config: Config) -> DataFrame:
-    """(number, name) of the samples to impute: those of the files, renamed by the lines of ``names_file`` if given, thinned to downsampleSamples. Raises
+def named_samples(spark: SparkSession, held: DataFrame, files: int, names_file: str | None, config: Config, keep_list: str | None = None) -> DataFrame:
+    """(number, name) of the samples to impute: those of the files, renamed by the lines of ``names_file`` if given, thinned to downsampleSamples, with those named in
+    the file ``keep_list`` first. Raises
     ValueError if two files have one name."""
     found = [r.sample for r in held.select("sample").distinct().orderBy("sample").collect()]  # the samples' names
     if len(found) < files:
@@ -90,7 +92,8 @@ def named_samples(spark: SparkSession, held: DataFrame, files: int, names_file:
     every = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(found, names))], "number long, own string, name string")
     keep = max(1, round(config.downsampleSamples * len(found)))
     if keep < len(found):
-        kept = reads.choose_samples(every.select(F.col("number").alias("sample")), every.limit(0).select(F.col("number").alias("sample")), keep)
+        wanted = every.limit(0) if keep_list is None else every.join(spark.read.text(keep_list).withColumnRenamed("value", "name"), "name", "left_semi")
+        kept = reads.choose_samples(every.select(F.col("number").alias("sample")), wanted.select(F.col("number").alias("sample")), keep)
         every = every.join(kept.withColumnRenamed("sample", "number"), "number", "left_semi")
     return every
 
@@ -124,6 +127,13 @@ def output_truth(post: DataFrame, sites: DataFrame, genfile: str, path: str) ->
     vcf.write_site_statistics(evaluate.squared_correlation(both, "sample"), f"{path}/truth")
 
 
+def output_phase_truth(phased: DataFrame, phasefile: str, path: str) -> None:
+    """Phase switches against a truth file, by sample."""
+    truth = tables.read_phase(phased.sparkSession, phasefile).filter("h1 is not null and h2 is not null").select("sample", "snp", F.col("h1").alias("t1"), F.col("h2").alias("t2"))
+    both = truth.join(phased, ["sample", "snp"]).select("sample", F.col("snp").alias("pos"), "t1", "t2", F.bround("h0", 0).cast("int").alias("h1"))
+    vcf.write_site_statistics(evaluate.phase_switches(both), f"{path}/phase_truth")
+
+
 def output_phased(phased: DataFrame, sites: DataFrame, path: str) -> None:
     """The VCF of phased genotypes, with the haplotypes' dosages."""
     one = lambda c: F.bround(c, 0).cast("int").cast("string")
@@ -131,11 +141,15 @@ def output_phased(phased: DataFrame, sites: DataFrame, path: str) -> None:
     vcf.write_vcf(phased.select("sample", "snp", cell.alias("cell")), sites, sites.select("snp", F.lit(".").alias("info")), "GT:HD", f"{path}/phased", ({}, {"GT": "Phased genotype", "HD": "Dosages of both haplotypes"}))
 
 
-def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir: str, config: Config, bam: bool = True, pileup_only: bool = False, use_bx: bool = True, genetic_map_file: str | None = None, reference_vcf: str | None = None, reference_haplotype_file: str | None = None, reference_legend_file: str | None = None, reference_sample_file: str | None = None, reference_populations: str | None = None, genfile: str | None = None, sampleNames_file: str | None = None) -> None:
+def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir: str, config: Config, bam: bool = True, pileup_only: bool = False, use_bx: bool = True, genetic_map_file: str | None = None, reference_vcf: str | None = None, reference_haplotype_file: str | None = None, reference_legend_file: str | None = None, reference_sample_file: str | None = None, reference_populations: str | None = None, genfile: str | None = None, phasefile: str | None = None, sampleNames_file: str | None = None, downsampleSamplesKeepList: str | None = None, subsetSNPsfile: str | None = None) -> None:
     """Impute the samples of ``files`` (BAM, or SAM text; samples without a read at any site too) at the sites of ``posfile``. Optional: a genetic map; a panel
-    (a phased VCF, or files of haplotypes, legend and samples, of all or of some populations, split by commas) that founders are made of to begin with; truth to compare with; names of the samples, in the order of their own."""
+    (a phased VCF, or files of haplotypes, legend and samples, of all or of some populations, split by commas) that founders are made of to begin with; truth to compare with (genotypes, phases); names of the
+    samples, in the order of their own; samples to keep first where only a share is imputed; positions (chr, pos) of the sites to use."""
     config.check()
     sites = tables.check_sites(tables.read_sites(spark, posfile))
+    if subsetSNPsfile is not None:
+        listed = spark.read.csv(subsetSNPsfile, sep="\t", schema="chr string, pos long")
+        sites = sites.join(listed.distinct(), ["chr", "pos"], "left_semi").select("snp", "chr", "pos", "ref", "alt")
     central = sites.select("snp")
     if config.regionStart is not None:
         near = region(sites, config.regionStart, config.regionEnd, config.buffer)
@@ -148,7 +162,7 @@ def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir:
     else:
         aligned = alignments.read_sam(spark, files)
         held = aligned.select("sample")
-    names = named_samples(spark, held, len(files), sampleNames_file, config).persist()
+    names = named_samples(spark, held, len(files), sampleNames_file, config, downsampleSamplesKeepList).persist()
     wanted = aligned.join(F.broadcast(names), F.col("sample") == F.col("own"), "left_semi")
     renamed = observations(wanted, sites, config, use_bx).join(F.broadcast(names), F.col("sample") == F.col("own"))
     obs = renamed.select(F.col("name").alias("sample"), "number", "read", "snp", "bq").persist()
@@ -169,7 +183,11 @@ def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir:
         if genfile is not None:
             output_truth(post, out_sites, genfile, outputdir)
         if config.do_phasing:
-            output_phased(back(em.phase(numbered, sites, config, **more)), out_sites, outputdir)
+            phased = back(em.phase(numbered, sites, config, **more)).persist()
+            output_phased(phased, out_sites, outputdir)
+            if phasefile is not None:
+                output_phase_truth(phased, phasefile, outputdir)
+            phased.unpersist()
         post.unpersist()
     for held in (obs, names, sites):
         held.unpersist()

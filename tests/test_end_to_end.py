@@ -50,13 +50,16 @@ def test_a_run_with_everything(spark, simulated, tmp_path):
     (folder / "map").write_text("position COMBINED_rate(cM/Mb) Genetic_Map(cM)\n1 1 0\n11 0 0.00001\n")
     founders = ["0|0", "1|0", "0|0", "1|1", "0|0", "0|0", "0|0", "0|0", "0|1", "0|0"]
     (folder / "panel.vcf").write_text("##fileformat=VCFv4.1\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tp\n" + "".join(f"5\t{i + 1}\t.\tA\tG\t.\t.\t.\tGT\t{x}\n" for i, x in enumerate(founders)))
-    config = Config(K=2, nGen=100, niterations=6, refillIterations=(), shuffleHaplotypeIterations=(), output_format="bgen", do_phasing=True)
+    config = Config(K=2, nGen=100, niterations=6, refillIterations=(), shuffleHaplotypeIterations=(), output_format="bgen", do_phasing=True, useSoftClippedBases=True)
     out = str(tmp_path / "out")
-    impute_files(spark, str(folder / "pos"), files, out, config, bam=False, genetic_map_file=str(folder / "map"), reference_vcf=str(folder / "panel.vcf"), genfile=str(folder / "gen"))
-    assert bgen.read_bgen(spark, f"{out}/posteriors.bgen").count() == 100
+    (folder / "phase").write_text("\t".join(truth) + "\n" + "".join("\t".join("0|1" if t[i] == 1 else f"{t[i] // 2}|{t[i] // 2}" for t in truth.values()) + "\n" for i in range(10)))
+    (folder / "some").write_text("".join(f"5\t{i + 1}\n" for i in range(10) if i != 4))
+    impute_files(spark, str(folder / "pos"), files, out, config, bam=False, genetic_map_file=str(folder / "map"), reference_vcf=str(folder / "panel.vcf"), genfile=str(folder / "gen"), phasefile=str(folder / "phase"), subsetSNPsfile=str(folder / "some"))
+    assert bgen.read_bgen(spark, f"{out}/posteriors.bgen").count() == 90
+    assert spark.read.csv(f"{out}/phase_truth", sep="\t", header=True).count() == sum((t == 1).any() for t in truth.values())
     assert spark.read.csv(f"{out}/truth", sep="\t", header=True).count() == 10
     cells = [c for r in spark.read.text(f"{out}/phased/rows").collect() for c in r.value.split("\t")[9:]]
-    assert len(cells) == 100 and all(c[1] == "|" for c in cells)
+    assert len(cells) == 90 and all(c[1] == "|" for c in cells)
 
 
 def test_names_differ(spark, simulated, tmp_path):
@@ -124,3 +127,13 @@ def test_panel_files_and_populations(spark, simulated, tmp_path):
     (tmp_path / "legend").write_text("id position a0 a1\n" + "".join(f"x{i} {i + 2} A G\n" for i in range(10)))
     with pytest.raises(ValueError, match="own sites"):
         impute_files(spark, str(folder / "pos"), files, str(tmp_path / "out2"), config, bam=False, **panel)
+
+
+def test_samples_of_the_keep_list_come_first(spark, tmp_path):
+    from genolith.plans.run import named_samples
+
+    (tmp_path / "keep").write_text("s7\ns3\n")
+    held = spark.createDataFrame([(f"s{i}",) for i in range(10)], "sample string")
+    config = Config(K=2, nGen=10, niterations=3, refillIterations=(), shuffleHaplotypeIterations=(), downsampleSamples=0.3)
+    kept = {r.name for r in named_samples(spark, held, 10, None, config, str(tmp_path / "keep")).collect()}
+    assert len(kept) == 3 and {"s3", "s7"} <= kept

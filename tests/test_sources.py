@@ -201,3 +201,25 @@ def test_damaged_bam(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
         with pytest.raises(Exception):
             bam.read_splits(spark, str(tmp_path / name), 1000).collect()
+
+
+def test_array_reports(spark, tmp_path):
+    from genolith.operators import evaluate
+    from genolith.sources import arrays
+
+    (tmp_path / "report").write_text("[Header]\nContent\tx\n[Data]\nSNP Name\tSample ID\tAllele1 - AB\tAllele2 - AB\tGC Score\n" + "p1\ts1\tA\tB\t0.9\np1\ts2\tB\tB\t0.1\np2\ts1\tB\tB\t0.15\np3\ts1\tA\tA\t1\np4\ts1\tA\tA\t1\np1\tbad\tA\tA\t1\n")
+    (tmp_path / "probes").write_text("Index\tName\tChromosome\tPosition\tSNP\n1\tp1\t7\t105\t[A/G]\n2\tp2\t7\t205\t[C/T]\n3\tp3\t7\t106\t[A/C]\n4\tp4\t7\t900\t[A/C]\n")
+    chain = spark.createDataFrame([("7", 100, 199, "chr7", 1100, True), ("7", 200, 299, "chr7", 1010, False), ("7", 106, 106, "chr7", 1105, True)], "chr string, start long, end long, to_chr string, to_start long, forward boolean")
+    probes = arrays.lift(arrays.read_manifest(spark, str(tmp_path / "probes")), chain.filter("start != 106"))
+    assert {(r.probe, r.chr, r.pos) for r in probes.collect()} == {("p1", "chr7", 1105), ("p2", "chr7", 1104), ("p3", "chr7", 1106)}
+    moved = probes.withColumn("pos", F.when(F.col("probe") == "p3", 1105).otherwise(F.col("pos")))  # where p1 is already
+    without, names = spark.createDataFrame([("bad",)], "sample string"), spark.createDataFrame([("s2", "t2")], "sample string, name string")
+    got = arrays.report_calls(arrays.read_report(spark, str(tmp_path / "report")), moved, 0.15, without, names)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("s1", "chr7", 1105, "A", "G", 1), ("t2", "chr7", 1105, "A", "G", None), ("s1", "chr7", 1104, "C", "T", 2)], key=str)
+    wide = spark.createDataFrame([("a", 0, -1), ("b", 2, 1), ("c", 1, 1)], "probeset_id string, `x.cel` int, `y.cel` int")
+    annotation = spark.createDataFrame([("a", "1", 5, "A", "G"), ("b", "1", 9, "A", "GT")], "probe string, chr string, pos long, ref string, alt string")
+    calls = arrays.probe_calls(wide, annotation, names=spark.createDataFrame([("x.cel", "x"), ("y.cel", "y")], "sample string, name string"))
+    assert sorted(map(tuple, calls.collect()), key=str) == sorted([("x", "1", 5, "A", "G", 0), ("y", "1", 5, "A", "G", None)], key=str)
+    rows = [(1, g) for g in [0] * 60 + [2] * 60] + [(2, g) for g in [0] * 30 + [1] * 60 + [2] * 30] + [(3, None)] * 10 + [(3, 0)] * 100
+    sites = spark.createDataFrame(rows, "snp int, g int")
+    assert [r.snp for r in evaluate.usable_calls(sites, 0.05, 1e-10).collect()] == [2] and {r.snp for r in evaluate.usable_calls(sites).collect()} == {1, 2}
