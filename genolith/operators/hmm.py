@@ -346,31 +346,38 @@ def _first_shares(r: Reads, h: int, seed: int) -> np.ndarray:
     return 0.2 + 0.6 * (x >> np.uint64(11)).astype(float) / (1 << 53)
 
 
+def mixed_likelihoods(e: np.ndarray, p: list[np.ndarray], ratio: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(shares, likelihoods [read, k]) of reads in the passes of both haplotypes: a read whose probability under them is p[0] and p[1] is of the first with the share p[0] / (p[0] + p[1]), and else
+    says p of the other haplotype whatever the founder; floored at a ``ratio``-th of the greatest."""
+    first = p[0] / (p[0] + p[1])
+    shares = [first, 1 - first]
+    mixed = [x[:, None] * e + (1 - x)[:, None] * other[:, None] for x, other in zip(shares, p[::-1])]
+    return shares, [np.maximum(x, x.max(axis=1, keepdims=True) / ratio) for x in mixed]
+
+
 def _refined(own: _Pass, e: np.ndarray, rounds: int, seed: int, sums: Sums | None) -> list[np.ndarray]:
     """The likelihoods [read, k] of reads in the last round's two haploid passes. Adds to ``sums``, if given, what these find."""
-    r, m = own.r, own.m
-    other = [_first_shares(r, h, seed) for h in (0, 1)]
-    tracks = [e, e]
+    p, mixed = [_first_shares(own.r, h, seed) for h in (0, 1)], []
     for last in [False] * (rounds - 1) + [True]:
-        for h in (0, 1):
-            mixed = (e + other[1 - h][:, None]) / 2
-            tracks[h] = mixed / mixed.max(axis=1, keepdims=True)
-            if last and h and sums is None:
-                break  # nobody asks what the last pass finds
-            held, switches, first, _ = _haploid_pass(own, np.log(tracks[h]), False, sums if last else None, 0.5)
-            other[h] = np.clip((held * e).sum(axis=1), 1e-3, 1 - 1e-3)
+        shares, mixed = mixed_likelihoods(e, p, own.m.read_ratio)
+        if last and sums is None:
+            break  # nobody asks what the last passes find
+        new = []
+        for x, own_mixed in zip(shares, mixed):
+            held, switches, first, _ = _haploid_pass(own, np.log(own_mixed), False, sums if last else None, 0.5)
+            new.append(np.clip((held * e).sum(axis=1), 1e-3, 1 - 1e-3))
             if last and sums is not None:
-                _count(sums, r, m, held * e / (e + other[1 - h][:, None]))
+                _count(sums, own.r, own.m, held * x[:, None] * e / own_mixed)
                 sums.switch += switches
                 sums.prior += first / 2
-    return tracks
+        p = new
+    return [x / x.max(axis=1, keepdims=True) for x in mixed]
 
 
 def run_pseudo_haploid(r: Reads, m: Model, grid_of: np.ndarray, sums: Sums | None = None, rounds: int = 3, seed: int = 0) -> np.ndarray | None:
-    """As ``run_diploid``, by two haploid passes that each see a read as half the other haplotype's.
+    """As ``run_diploid``, by two haploid passes, each of which sees a read in part as the other haplotype's (``mixed_likelihoods``).
 
-    What a read is worth under the other haplotype starts from a draw (0.2 to 0.8) and is refined ``rounds`` times; cost
-    is linear in the founders.
+    A read's probabilities under both haplotypes start from draws (0.2 to 0.8), and become what the posteriors of both passes make them, ``rounds`` times; cost is linear in the founders.
     """
     own = _Pass(r, m, grid_of)
     tracks = _refined(own, read_likelihoods(r, m), rounds, seed, sums)

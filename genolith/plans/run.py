@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,12 +15,12 @@ from ..functions.hwe import hwe_p
 from ..functions.phred import genotype_cell, phred_likelihoods, pileup_cell
 from ..operators import evaluate, pileup, reads
 from ..operators.sites import match_panel, region
-from ..sources import alignments, bgen, tables, vcf
+from ..sources import alignments, bgen, inputs, tables, vcf
 from . import em
 from .config import Config
 
 #: Files that a run may take besides sites and alignments.
-OPTIONAL = ("genetic_map_file", "reference_vcf", "reference_haplotype_file", "reference_legend_file", "reference_sample_file", "reference_populations", "genfile", "phasefile", "sampleNames_file", "downsampleSamplesKeepList", "subsetSNPsfile")
+OPTIONAL = ("genetic_map_file", "reference_vcf", "reference_haplotype_file", "reference_legend_file", "reference_sample_file", "reference_populations", "genfile", "phasefile", "sampleNames_file", "downsampleSamplesKeepList", "subsetSNPsfile", "save_inputs", "saved_inputs")
 INFO = {"EAF": "Estimated allele frequency", "INFO_SCORE": "Info score", "HWE": "Hardy-Weinberg p-value", "ERC": "Weight of the alternative allele", "EAC": "Weight of the reference allele", "PAF": "Allele frequency of the pileup"}
 CELL = {"GT": "Best genotype, if its posterior is 0.9 or more", "GP": "Posteriors", "DS": "Dosage"}
 
@@ -63,7 +62,6 @@ def output(post: DataFrame, obs: DataFrame, sites: DataFrame, path: str, form: s
     cells = post.select("sample", "snp", genotype_cell([F.col("g0"), F.col("g1"), F.col("g2")]).alias("cell"))
     if form == "bgen":
         names = [r.sample for r in post.select("sample").distinct().orderBy("sample").collect()]  # the header itself
-        os.makedirs(path, exist_ok=True)
         bgen.assemble(bgen.blocks(post, sites, names), names, f"{path}/posteriors.bgen")
     else:
         vcf.write_vcf(cells, sites, stats.select("snp", info.alias("info")), "GT:GP:DS", f"{path}/vcf", (INFO, CELL))
@@ -141,10 +139,19 @@ def output_phased(phased: DataFrame, sites: DataFrame, path: str) -> None:
     vcf.write_vcf(phased.select("sample", "snp", cell.alias("cell")), sites, sites.select("snp", F.lit(".").alias("info")), "GT:HD", f"{path}/phased", ({}, {"GT": "Phased genotype", "HD": "Dosages of both haplotypes"}))
 
 
-def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir: str, config: Config, bam: bool = True, pileup_only: bool = False, use_bx: bool = True, genetic_map_file: str | None = None, reference_vcf: str | None = None, reference_haplotype_file: str | None = None, reference_legend_file: str | None = None, reference_sample_file: str | None = None, reference_populations: str | None = None, genfile: str | None = None, phasefile: str | None = None, sampleNames_file: str | None = None, downsampleSamplesKeepList: str | None = None, subsetSNPsfile: str | None = None) -> None:
+#: Settings that decide what is observed.
+_OBSERVED = ("bqFilter", "iSizeUpperLimit", "useSoftClippedBases", "downsampleToCov", "downsampleFraction", "readAware", "seed")
+
+
+def input_settings(config: Config, use_bx: bool) -> dict:
+    return {name: getattr(config, name) for name in _OBSERVED} | {"use_bx": use_bx}
+
+
+def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir: str, config: Config, bam: bool = True, pileup_only: bool = False, use_bx: bool = True, genetic_map_file: str | None = None, reference_vcf: str | None = None, reference_haplotype_file: str | None = None, reference_legend_file: str | None = None, reference_sample_file: str | None = None, reference_populations: str | None = None, genfile: str | None = None, phasefile: str | None = None, sampleNames_file: str | None = None, downsampleSamplesKeepList: str | None = None, subsetSNPsfile: str | None = None, save_inputs: str | None = None, saved_inputs: str | None = None) -> None:
     """Impute the samples of ``files`` (BAM, or SAM text; samples without a read at any site too) at the sites of ``posfile``. Optional: a genetic map; a panel
     (a phased VCF, or files of haplotypes, legend and samples, of all or of some populations, split by commas) that founders are made of to begin with; truth to compare with (genotypes, phases); names of the
-    samples, in the order of their own; samples to keep first where only a share is imputed; positions (chr, pos) of the sites to use."""
+    samples, in the order of their own; samples to keep first where only a share is imputed; positions (chr, pos) of the sites to use;
+    a folder to save the inputs in, or one to take them from, when no alignments are read."""
     config.check()
     sites = tables.check_sites(tables.read_sites(spark, posfile))
     if subsetSNPsfile is not None:
@@ -155,17 +162,14 @@ def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir:
         near = region(sites, config.regionStart, config.regionEnd, config.buffer)
         sites, central = near.select("snp", "chr", "pos", "ref", "alt"), near.filter("central").select("snp")
     sites = sites.persist()
-    if bam:
-        ends = sites.groupBy("chr").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
-        near = (ends.chr, ends.lo - config.iSizeUpperLimit, ends.hi + config.iSizeUpperLimit)
-        aligned, held = alignments.read_bam(spark, files, region=near), alignments.bam_samples(spark, files)
+    if saved_inputs is not None:
+        kept, names = inputs.load(spark, saved_inputs, sites, input_settings(config, use_bx))
+        names = names.persist()
+        obs = kept.withColumnRenamed("sample", "number").join(F.broadcast(names), "number").select(F.col("name").alias("sample"), "number", "read", "snp", "bq").persist()
     else:
-        aligned = alignments.read_sam(spark, files)
-        held = aligned.select("sample")
-    names = named_samples(spark, held, len(files), sampleNames_file, config, downsampleSamplesKeepList).persist()
-    wanted = aligned.join(F.broadcast(names), F.col("sample") == F.col("own"), "left_semi")
-    renamed = observations(wanted, sites, config, use_bx).join(F.broadcast(names), F.col("sample") == F.col("own"))
-    obs = renamed.select(F.col("name").alias("sample"), "number", "read", "snp", "bq").persist()
+        names, obs = _scanned(spark, files, sites, config, bam, use_bx, sampleNames_file, downsampleSamplesKeepList)
+        if save_inputs is not None:
+            inputs.save(obs.select(F.col("number").alias("sample"), "read", "snp", "bq"), sites, names, save_inputs, input_settings(config, use_bx))
     out_sites = sites.join(central, "snp", "left_semi")
     if pileup_only:
         output_pileup(obs.drop("number"), out_sites, outputdir)
@@ -177,7 +181,7 @@ def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir:
             gmap = tables.check_genetic_map(tables.read_genetic_map(spark, genetic_map_file)).crossJoin(F.broadcast(one))
         panel = read_panel(spark, sites, config, reference_vcf, reference_haplotype_file, reference_legend_file, reference_sample_file, reference_populations)
         more = {"every": names.select(F.col("number").alias("sample")), "gmap": gmap, "panel": panel}
-        back = lambda df: df.join(central, "snp", "left_semi").join(F.broadcast(names), F.col("sample") == F.col("number")).drop("sample", "number", "own").withColumnRenamed("name", "sample")
+        back = lambda df: df.join(central, "snp", "left_semi").join(F.broadcast(names), F.col("sample") == F.col("number")).drop("sample", "number", *{"own"} & set(names.columns)).withColumnRenamed("name", "sample")
         post = back(em.impute(numbered, sites, config, **more)).persist()
         output(post, obs.drop("number"), out_sites, outputdir, config.output_format)
         if genfile is not None:
@@ -193,6 +197,21 @@ def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir:
         held.unpersist()
 
 
+def _scanned(spark: SparkSession, files: list[str], sites: DataFrame, config: Config, bam: bool, use_bx: bool, names_file: str | None, keep_list: str | None) -> tuple[DataFrame, DataFrame]:
+    """((number, own, name), (sample, number, read, snp, bq)) of alignment files, both held."""
+    if bam:
+        ends = sites.groupBy("chr").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+        near = (ends.chr, ends.lo - config.iSizeUpperLimit, ends.hi + config.iSizeUpperLimit)
+        aligned, held = alignments.read_bam(spark, files, region=near), alignments.bam_samples(spark, files)
+    else:
+        aligned = alignments.read_sam(spark, files)
+        held = aligned.select("sample")
+    names = named_samples(spark, held, len(files), names_file, config, keep_list).persist()
+    wanted = aligned.join(F.broadcast(names), F.col("sample") == F.col("own"), "left_semi")
+    renamed = observations(wanted, sites, config, use_bx).join(F.broadcast(names), F.col("sample") == F.col("own"))
+    return names, renamed.select(F.col("name").alias("sample"), "number", "read", "snp", "bq").persist()
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Impute genotypes from low-coverage reads.")
     for name in ("posfile", "outputdir"):
@@ -215,9 +234,9 @@ def main(args: list[str] | None = None) -> None:
     x = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     listed = x.bamlist or x.samlist
-    if not listed:
-        parser.error("one of --bamlist and --samlist is needed")
-    files = [r.value for r in spark.read.text(listed).collect() if r.value]
+    if not listed and not x.saved_inputs:
+        parser.error("one of --bamlist, --samlist and --saved_inputs is needed")
+    files = [r.value for r in spark.read.text(listed).collect() if r.value] if listed else []
     impute_files(spark, x.posfile, files, x.outputdir, Config(**{f.name: getattr(x, f.name) for f in fields(Config)}), bool(x.bamlist), x.outputInputInVCFFormat, not x.no_bx, **{n: getattr(x, n) for n in OPTIONAL})
 
 

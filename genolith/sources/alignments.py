@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bam
+from . import bam, stores
 
 
 
@@ -35,7 +35,7 @@ def read_sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_bam(spark: SparkSession, paths: str | list[str], split: int = bam.SPLIT, region: tuple[str, int, int] | None = None) -> DataFrame:
     """As ``read_sam``, of BAM files, by ranges of their bytes; of stores that workers can't read ranges of, a file is one task's. ``region`` (chr, first, last): those that overlap it."""
     found = [r.path for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
-    if all(bam.splittable(path) for path in found):
+    if all(stores.known(path) for path in found):
         return bam.read_splits(spark, found, split, region)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,4 +50,4 @@ def read_bam(spark: SparkSession, paths: str | list[str], split: int = bam.SPLIT
 def bam_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(sample) of BAM files, by their headers alone where workers can read ranges."""
     found = [r.path for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
-    return (bam.references if all(bam.splittable(path) for path in found) else read_bam)(spark, found).select("sample").distinct()
+    return (bam.references if all(stores.known(path) for path in found) else read_bam)(spark, found).select("sample").distinct()

@@ -8,17 +8,17 @@ together and with the file's references. A file that isn't made of such blocks (
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import stores
+
 ROW = "sample string, chr string, qname string, dup boolean, rev boolean, pos long, mapq int, cigar string, isize int, seq string, qual string, bx string"
 HEADER = "file string, sample string, nth int, chr string, length long"
 _BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
@@ -26,22 +26,6 @@ _PAIRS = [_BASES[b >> 4] + _BASES[b & 15] for b in range(256)]
 _FIXED = struct.Struct("<iiiBBHHHiiii")
 #: Bytes of a partition, and before it from which on its first record is looked for; records of a batch; bytes read at once; records that must follow a place for it to begin one.
 SPLIT, BEFORE, TOGETHER, CHUNK, CHAIN = 64 << 20, 1 << 17, 4096, 1 << 20, 12
-#: Schemes of stores that workers can read ranges of.
-SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
-
-
-def splittable(path: str) -> bool:
-    found = re.match(r"([a-z0-9]+):", path)
-    return found is None or found[1] in SCHEMES
-
-
-def _open(path: str):
-    scheme, _, rest = path.partition(":") if re.match(r"[a-z0-9]+:", path) else ("file", "", path)
-    if scheme == "file":
-        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/") if rest.startswith("/") else rest)
-    store, name = fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
-    return store.open_input_file(name)
-
 
 def block_size(data: bytes | memoryview, at: int) -> int | None:
     """The size of the block that begins at ``at`` of ``data``; None if none does, or its header isn't there as a whole."""
@@ -252,7 +236,7 @@ def whole(path: str, content: bytes, region: tuple[str, int, int] | None = None)
 
 def records(split: Split, region: tuple[str, int, int] | None = None, opened=None) -> Iterator[tuple]:
     """The records that begin in the split's blocks (and overlap the region), as of ROW."""
-    with opened or _open(split.path) as file:
+    with opened or stores.open_input(split.path) as file:
         header, block, place = parse_header(split.path, blocks(file, 0, split.length))
         wanted = header.names.index(region[0]) if region and region[0] in header.names else None
         if region and wanted is None:
@@ -329,7 +313,7 @@ class _Reader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         if self.headers:
-            with _open(partition.path) as file:
+            with stores.open_input(partition.path) as file:
                 header, _, _ = parse_header(partition.path, blocks(file, 0, partition.length))
             if header.names:
                 yield batch([(partition.path, header.sample, i, n, size) for i, (n, size) in enumerate(zip(header.names, header.lengths))])
@@ -361,7 +345,7 @@ class BamSource(DataSource):
 def _files(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, int]]:
     """(path, bytes) of the files; their contents aren't read."""
     found = [(r.path, r.length) for r in spark.read.format("binaryFile").load(paths).select("path", "length").orderBy("path").collect()]
-    other = [path for path, _ in found if not splittable(path)]
+    other = [path for path, _ in found if not stores.known(path)]
     if other:
         raise ValueError(f"workers can't read ranges of {other[0]}")
     return found

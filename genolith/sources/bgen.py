@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import stores
+
 #: Bytes a probability takes, by bits.
 WIDTHS = {8: 1, 16: 2, 24: 3, 32: 4}
 
@@ -75,9 +77,9 @@ def blocks(post: DataFrame, sites: DataFrame, samples: list[str], bits: int = 16
 
 
 def assemble(made: DataFrame, samples: list[str], path: str) -> None:
-    """One file at the local ``path``; the driver holds a partition's blocks at a time."""
+    """One file at ``path``, in any store that can be opened; the driver holds a partition's blocks at a time."""
     made = made.repartitionByRange("chr", "pos").sortWithinPartitions("chr", "pos").persist()
-    with open(path, "wb") as out:
+    with stores.open_output(path) as out:
         out.write(header(samples, made.count()))
         for row in made.select("block").toLocalIterator():
             out.write(row.block)

@@ -1,5 +1,7 @@
 """Simulated samples as SAM text, imputed from files to files."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -137,3 +139,21 @@ def test_samples_of_the_keep_list_come_first(spark, tmp_path):
     config = Config(K=2, nGen=10, niterations=3, refillIterations=(), shuffleHaplotypeIterations=(), downsampleSamples=0.3)
     kept = {r.name for r in named_samples(spark, held, 10, None, config, str(tmp_path / "keep")).collect()}
     assert len(kept) == 3 and {"s3", "s7"} <= kept
+
+
+def test_saved_inputs_stand_for_alignments(spark, simulated, tmp_path):
+    folder, truth = simulated
+    files = [str(folder / f"{s}.sam") for s in truth]
+    config = Config(K=2, nGen=100, niterations=3, refillIterations=(), shuffleHaplotypeIterations=())
+    saved, outs = str(tmp_path / "inputs"), [str(tmp_path / x) for x in "abc"]
+    impute_files(spark, str(folder / "pos"), files, outs[0], config, bam=False, save_inputs=saved)
+    impute_files(spark, str(folder / "pos"), [], outs[1], config, saved_inputs=saved)
+    rows = [sorted(map(tuple, read_dosages(spark, f"{x}/vcf/*").collect())) for x in outs[:2]]
+    assert len(rows[0]) == 100 and [r[:5] for r in rows[0]] == [r[:5] for r in rows[1]] and np.allclose([r[5] for r in rows[0]], [r[5] for r in rows[1]], atol=0.002)
+    (tmp_path / "some").write_text("".join(f"5\t{i + 1}\tA\tG\n" for i in range(2, 8)))
+    impute_files(spark, str(tmp_path / "some"), [], outs[2], replace(config, gridWindowSize=3), saved_inputs=saved)
+    assert len({r.pos for r in read_dosages(spark, f"{outs[2]}/vcf/*").collect()}) == 6
+    (tmp_path / "more").write_text("5\t1\tA\tG\n5\t2\tA\tC\n")
+    for pos, other, message in ((tmp_path / "more", config, "not in"), (folder / "pos", replace(config, bqFilter=5), "was made with")):
+        with pytest.raises(ValueError, match=message):
+            impute_files(spark, str(pos), [], str(tmp_path / "d"), other, saved_inputs=saved)

@@ -590,3 +590,55 @@ def test_starts_from_a_panel(spark):
         assert sorted(np.abs(x[:, None, :40] - kinds[None]).mean(axis=2).argmin(axis=1)) == [0, 1, 2] and np.abs(x[:, None, :40] - kinds[None]).mean(axis=2).min(axis=1).max() < 0.06
     plain = em.panel_starts(of(30), layout, Config(K=3, nGen=10, reference_iterations=0, reference_shuffleHaplotypeIterations=()))[0]
     assert (np.minimum(plain[:, :40], 1 - plain[:, :40]) <= 0.05).all()
+
+
+def test_pseudo_haploid_equals_the_rule():
+    """Reads one by one: shares, mixtures, posteriors by sums over all paths, and the counts of the last round."""
+    rng = np.random.default_rng(3)
+    k, t = 2, 4
+    switch = rng.uniform(0.2, 1, (k, t - 1))
+    m = hmm.Model(rng.uniform(0.1, 0.9, (k, t)), switch / switch.sum(axis=0), rng.uniform(0.5, 0.9, t - 1), np.full(k, 1 / k))
+    sites, bq = rng.integers(0, t, 9), rng.choice([-20.0, 25.0], 9)
+    r = hmm.Reads(1, np.zeros(9, int), sites, np.arange(9), sites, bq)
+    grid_of = np.arange(t)
+    eps = 10 ** (-np.abs(bq) / 10)
+    pa, pr = np.where(bq > 0, 1 - eps, eps / 3), np.where(bq < 0, 1 - eps, eps / 3)
+    e = np.array([[m.p[f, s] * a + (1 - m.p[f, s]) * b for f in range(k)] for s, a, b in zip(sites, pa, pr)])
+    e /= e.max(axis=1, keepdims=True)
+
+    def gamma(like):
+        out, total = np.zeros((t, k)), 0.0
+        for path in itertools.product(range(k), repeat=t):
+            w = m.prior[path[0]] * np.prod([like[i, path[s]] for i, s in enumerate(sites)])
+            for g in range(t - 1):
+                w *= m.stay[g] * (path[g] == path[g + 1]) + (1 - m.stay[g]) * m.switch[path[g + 1], g]
+            total += w
+            for g in range(t):
+                out[g, path[g]] += w
+        return out / total
+
+    p = [hmm._first_shares(r, h, 0) for h in (0, 1)]
+    assert all((0.2 <= x).all() and (x <= 0.8).all() for x in p) and not np.allclose(*p)
+    alt, total = np.zeros((k, t)), np.zeros((k, t))
+    for last in (False, False, True):
+        new = [np.zeros(9), np.zeros(9)]
+        for h in (0, 1):
+            share = [p[h][i] / (p[0][i] + p[1][i]) for i in range(9)]
+            mixed = np.array([[share[i] * e[i, f] + (1 - share[i]) * p[1 - h][i] for f in range(k)] for i in range(9)])
+            own = gamma(mixed)
+            if last:
+                for i, s in enumerate(sites):
+                    for f in range(k):
+                        w, q = own[s, f] * share[i] * e[i, f] / mixed[i, f], m.p[f, s]
+                        alt[f, s] += w * q * pa[i] / (q * pa[i] + (1 - q) * pr[i])
+                        total[f, s] += w
+            new[h] = np.clip([sum(own[s, f] * (mixed[i, f] - (1 - share[i]) * p[1 - h][i]) / share[i] for f in range(k)) for i, s in enumerate(sites)], 1e-3, 1 - 1e-3)
+        if last:
+            doses = [gamma(np.array([[(p[h][i] * e[i, f] + p[1 - h][i] * p[1 - h][i]) / (p[0][i] + p[1][i]) for f in range(k)] for i in range(9)])) for h in (0, 1)]
+            a, b = ((x * m.p.T).sum(axis=1) for x in doses)
+            want = np.stack([(1 - a) * (1 - b), a * (1 - b) + b * (1 - a), a * b], axis=1)
+        p = new
+    sums = hmm.Sums.zero(m)
+    hmm.run_pseudo_haploid(r, m, grid_of, sums)
+    assert np.allclose(sums.alt, alt) and np.allclose(sums.total, total)
+    assert np.allclose(hmm.run_pseudo_haploid(r, m, grid_of)[0], want)
