@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .chains import cut, next_above, picked, reached
+
 
 def _by(order: Column | str):
     """Sites of one chromosome are ordered together; chromosomes are apart."""
@@ -81,18 +82,13 @@ def constant_map(sites: DataFrame, rate: float) -> DataFrame:
 
 def adaptive_grid(mapped: DataFrame, most: float) -> DataFrame:
     """(chr, snp, grid) of sites (chr, snp, pos, cm): a grid begins where more than ``most`` cM have passed since its own
-    begin. Each begin depends on the one before, so a chromosome is one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        out, start, n = [], None, -1
-        for cm in pdf["cm"]:
-            if start is None or cm - start > most:
-                start, n = cm, n + 1
-            out.append(n)
-        return pdf[["chr", "snp"]].assign(grid=out)
-
-    return mapped.select("chr", "snp", "pos", "cm").groupBy("chr").applyInPandas(run, "chr string, snp long, grid long")
+    begin. Each begin depends on the one before: they are found by following the chain of next begins."""
+    w = _by("pos")
+    placed = mapped.select("chr", "snp", "pos", "cm", F.row_number().over(w).cast("long").alias("i"))
+    placed = cut(placed)
+    begins = reached(next_above(placed, "cm", F.col("cm") + most, "i", strictly=True), placed.filter("i = 1").select("chr", F.col("i").alias("node")))
+    flagged = placed.join(begins.select("chr", F.col("node").alias("i"), F.lit(1).alias("begins")), ["chr", "i"], "left")
+    return flagged.select("chr", "snp", (F.count("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long").alias("grid"))
 
 
 def sigma(mapped: DataFrame, n_gen: float) -> DataFrame:
@@ -119,22 +115,16 @@ def smooth(steps: DataFrame, radius: int) -> DataFrame:
 
 def peaks(smoothed: DataFrame, radius: int, most: int) -> DataFrame:
     """(chr, mid, smoothed): local maxima picked greedily, highest first, more than twice the radius apart, at most ``most`` a
-    chromosome. Earlier picks decide over later ones, so a chromosome's local maxima are one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        for i in pdf.sort_values(["smoothed", "mid"], ascending=[False, True]).index:
-            if len(kept) < most and all(abs(pdf["mid"][i] - pdf["mid"][j]) > 2 * radius for j in kept):
-                kept.append(i)
-        return pdf.loc[sorted(kept)]
-
+    chromosome."""
     w = _by("mid")
     top = smoothed.withColumn("__l", F.lag("smoothed").over(w)).withColumn("__r", F.lead("smoothed").over(w)).filter("(__l is null or smoothed >= __l) and (__r is null or smoothed >= __r)")
-    return top.select("chr", "mid", "smoothed").groupBy("chr").applyInPandas(run, "chr string, mid long, smoothed double")
+    kept = picked(top.select("chr", "mid", "smoothed"), "mid", "smoothed", 2 * radius)
+    nth = F.row_number().over(Window.partitionBy("chr").orderBy(F.desc("smoothed"), "mid"))
+    return kept.withColumn("__n", nth).filter(F.col("__n") <= most).drop("__n")
 
 
 def block_begins(first: np.ndarray, last: int, grid: np.ndarray, size: int) -> list[int]:
-    """Which of the grids (numbers ``grid``, first sites ``first``; the last site is ``last``) begin output blocks, as of ``output_blocks``."""
+    """Which of a model's grids (numbers ``grid``, first sites ``first``; the last site is ``last``) begin output blocks, as of ``output_blocks``, by bisection."""
     may = len(grid) - int(first[-1] == last)  # grids that a block may begin with
     begins = [0]
     while True:
@@ -154,19 +144,24 @@ def output_blocks(gridded: DataFrame, size: int) -> DataFrame:
     """(chr, block, snp_start, snp_end, grid_start, grid_end): blocks of more than ``size`` sites that begin at a new
     grid and hold two grids at least; a last block of one grid joins the one before.
 
-    A block may begin at the first site of any grid but at a chromosome's last site. Where it does begin follows from the block before, so
-    a chromosome's grids (not its sites) are one group, in which each block's begin is looked up by bisection.
+    A block may begin at the first site of any grid but at a chromosome's last site. Where it does begin follows from the block before: the first grid that is far enough both by sites and by
+    grids, which are two look-ups for each grid; the chain of begins is then followed.
     """
     numbered = gridded.select("chr", "snp", "grid", (F.row_number().over(_by("snp")) - 1).alias("i"))
     grids = numbered.groupBy("chr", "grid").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.min("snp").alias("snp_first"), F.max("snp").alias("snp_last"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("grid").reset_index(drop=True)
-        begins = block_begins(own["first"].to_numpy(), int(own["last"].iloc[-1]), own["grid"].to_numpy(), size)
-        ends = [*(x - 1 for x in begins[1:]), len(own) - 1]
-        return pd.DataFrame({"chr": own["chr"].iloc[0], "block": range(len(begins)), "snp_start": own["snp_first"].iloc[begins].to_numpy(), "snp_end": own["snp_last"].iloc[ends].to_numpy(), "grid_start": own["grid"].iloc[begins].to_numpy(), "grid_end": own["grid"].iloc[ends].to_numpy()})
-
-    return grids.groupBy("chr").applyInPandas(run, "chr string, block long, snp_start long, snp_end long, grid_start long, grid_end long")
+    every = Window.partitionBy("chr")
+    placed = cut(grids.select("*", (F.row_number().over(_by("grid")) - 1).cast("long").alias("n"), F.max("last").over(every).alias("end"), F.max("grid").over(every).alias("last_grid")))
+    # The first block counts its first site, later ones don't.
+    by_sites = next_above(placed, "first", F.col("first") + size + (F.col("n") > 0).cast("int"), "n")
+    by_grids = next_above(placed, "grid", F.col("grid") + 2, "n")
+    nexts = by_sites.join(by_grids.withColumnRenamed("next", "other"), ["chr", "node"]).filter("next is not null and other is not null").select("chr", "node", F.greatest("next", "other").alias("next"))
+    may = placed.filter("first < end or n = 0").select("chr", F.col("n").alias("next"))
+    found = reached(nexts.join(may, ["chr", "next"]).select("chr", "node", "next"), placed.filter("n = 0").select("chr", F.col("n").alias("node")))
+    w = Window.partitionBy("chr").orderBy("n")
+    begins = placed.join(found.withColumnRenamed("node", "n"), ["chr", "n"]).filter("n = 0 or grid < last_grid")  # the last grid alone is no block
+    blocks = begins.select("chr", (F.row_number().over(w) - 1).cast("long").alias("block"), F.col("snp_first").alias("snp_start"), F.col("grid").alias("grid_start"), F.coalesce(F.lead("n").over(w) - 1, F.lit(-1).cast("long")).alias("n"))
+    ends = placed.select("chr", F.when(F.col("grid") == F.col("last_grid"), F.lit(-1).cast("long")).otherwise(F.col("n")).alias("n"), F.col("snp_last").alias("snp_end"), F.col("grid").alias("grid_end"))
+    return blocks.join(ends, ["chr", "n"]).select("chr", "block", "snp_start", "snp_end", "grid_start", "grid_end")
 
 
 def subset(observations: DataFrame, kept: DataFrame) -> DataFrame:

@@ -241,9 +241,17 @@ def smoothed_rate(spark, d):
     return site_ops.smooth(_steps(spark, d), 500).select("mid", r6("smoothed").alias("smoothed"))
 
 
-@query()
+@query(with_tables("sites") + f""",
+{_STEPS},
+m AS (SELECT (a + b) // 2 AS mid FROM steps),
+x AS (SELECT mid, rate, least(mid + 500, b) - greatest(mid - 500, a) AS o FROM m JOIN steps ON a < mid + 500 AND b > mid - 500),
+s AS (SELECT mid, round_even(sum(o * rate) / sum(o), 9) AS h FROM x WHERE o > 0 GROUP BY mid),
+t AS (SELECT mid, h FROM (SELECT *, lag(h) OVER w AS l, lead(h) OVER w AS r FROM s WINDOW w AS (ORDER BY mid)) WHERE (l IS NULL OR h >= l) AND (r IS NULL OR h >= r)),
+k AS (SELECT list_reduce(list_prepend([CAST(-1000000 AS BIGINT)], list([CAST(mid AS BIGINT)] ORDER BY h DESC, mid)), lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: abs(y - x[1]) <= 1000)) = 0 THEN list_concat(kept, x) ELSE kept END) AS kept FROM t)
+SELECT mid, round_even(h, 6) AS smoothed FROM t WHERE mid IN (SELECT unnest(kept) FROM k)""")
 def recombination_peaks(spark, d):
-    return site_ops.peaks(site_ops.smooth(_steps(spark, d), 500), 500, 1000).select("mid", r6("smoothed").alias("smoothed"))
+    smoothed = site_ops.smooth(_steps(spark, d), 500).withColumn("smoothed", F.bround("smoothed", 9))
+    return site_ops.peaks(smoothed, 500, 1000).select("mid", r6("smoothed").alias("smoothed"))
 
 
 _CHAIN = """,
@@ -569,9 +577,14 @@ def constant_map(spark, d):
     return site_ops.constant_map(adapter.sites(spark, d), 0.5).select("position", "rate", F.bround(F.col("cm") + 1e-12, 8).alias("cm"))
 
 
-@query()
+@query(_MAPPED.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+s AS (SELECT snp, row_number() OVER (ORDER BY pos) AS i, round_even(cm, 9) AS cm FROM mapped),
+nx AS (SELECT a.i, min(b.i) AS j FROM s a JOIN s b ON b.cm > a.cm + 0.01 GROUP BY a.i),
+b AS (SELECT CAST(1 AS BIGINT) AS i UNION ALL SELECT j FROM b JOIN nx USING (i))
+SELECT snp, count(b.i) OVER (ORDER BY i) - 1 AS grid FROM s LEFT JOIN b USING (i)""")
 def adaptive_grid(spark, d):
-    return site_ops.adaptive_grid(site_ops.interpolate(_map(spark, d), adapter.sites(spark, d)), 0.01).select("snp", "grid")
+    mapped = site_ops.interpolate(_map(spark, d), adapter.sites(spark, d)).withColumn("cm", F.bround("cm", 9))
+    return site_ops.adaptive_grid(mapped, 0.01).select("snp", "grid")
 
 
 @query(with_tables("prob") + f",\n{_FOUNDERS},\n{_READ_E},\nw AS (SELECT sample, read, k, e / sum(e) OVER (PARTITION BY sample, read) AS w FROM re)\nSELECT snp, CAST(k AS INT) AS k, round_even(sum(CASE WHEN bq < 0 THEN w ELSE 0 END), 6) AS ref, round_even(sum(CASE WHEN bq > 0 THEN w ELSE 0 END), 6) AS alt FROM obs JOIN w USING (sample, read) GROUP BY snp, k")

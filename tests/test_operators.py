@@ -642,3 +642,33 @@ def test_pseudo_haploid_equals_the_rule():
     hmm.run_pseudo_haploid(r, m, grid_of, sums)
     assert np.allclose(sums.alt, alt) and np.allclose(sums.total, total)
     assert np.allclose(hmm.run_pseudo_haploid(r, m, grid_of)[0], want)
+
+
+def test_chains_and_picks_of_many_groups(spark):
+    from genolith.operators import chains
+
+    rng = np.random.default_rng(2)
+    values = {c: np.cumsum(rng.integers(0, 3, n)) for c, n in (("a", 80), ("b", 1), ("c", 33))}
+    rows = make(spark, [(c, i, float(v)) for c, own in values.items() for i, v in enumerate(own)], "chr string, i long, v double")
+    for strictly in (False, True):
+        nexts = chains.next_above(rows, "v", F.col("v") + 4, "i", strictly=strictly)
+        first = lambda own, i: next((j for j, v in enumerate(own) if (v > own[i] + 4 if strictly else v >= own[i] + 4)), None)  # noqa: E731,B023
+        assert {(r.chr, r.node): r.next for r in nexts.collect()} == {(c, i): first(own, i) for c, own in values.items() for i in range(len(own))}
+        want = set()
+        for c, own in values.items():
+            i = 0
+            while i is not None:
+                want.add((c, i))
+                i = first(own, i)
+        assert {(r.chr, r.node) for r in chains.reached(nexts, rows.filter("i = 0").select("chr", F.col("i").alias("node"))).collect()} == want
+    heights = {c: rng.integers(0, 6, len(own)) for c, own in values.items()}
+    items = make(spark, [(c, int(v), float(h)) for c, own in values.items() for v, h in dict(zip(own.tolist(), heights[c])).items()], "chr string, at long, h double")
+    want = set()
+    for c, own in values.items():
+        kept = []
+        for at, h in sorted(dict(zip(own.tolist(), heights[c])).items(), key=lambda x: (-x[1], x[0])):
+            if all(abs(at - k) > 3 for k in kept):
+                kept.append(at)
+        want |= {(c, k) for k in kept}
+    assert {(r.chr, r.at) for r in chains.picked(items, "at", "h", 3).collect()} == want
+    assert chains.picked(items.limit(0), "at", "h", 3).count() == 0 and chains.reached(nexts.limit(0), rows.limit(0).select("chr", F.col("i").alias("node"))).count() == 0
