@@ -449,32 +449,32 @@ def _drawn(weights: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return (past < rng.random(len(past))[:, None] * past[:, -1:]).sum(axis=1).clip(0, weights.shape[1] - 1)
 
 
-def drawn_blocks(emit: Emit, m: Model, n: int, paths: int = 20, seed: int = 0, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray]]:
-    """(lo, [path, sample, grid, 2]) of blocks of grids from right to left: founder pairs of whole paths, drawn from their joint posterior: the last grid's from its forward states, each
-    other's from its own and the transition to what was drawn behind it."""
-    grids, k = len(m.stay) + 1, m.k
-    rng, behind = np.random.default_rng(seed), np.empty((paths, n, 2), np.int32)
-    saved = _forward(emit, m, _start(m, True), grids, block)
+def drawn_blocks(emit: Emit, m: Model, n: int, paths: int = 20, seed: int = 0, block: int = BLOCK, pairs: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+    """(lo, [path, sample, grid, haplotype]) of blocks of grids from right to left: founders of whole paths (of both haplotypes, or, without ``pairs``, of one), drawn from their joint
+    posterior: the last grid's from its forward states, each other's from its own and the transition to what was drawn behind it."""
+    grids, k, haps = len(m.stay) + 1, m.k, 2 if pairs else 1
+    rng, behind = np.random.default_rng(seed), np.empty((paths, n, haps), np.int32)
+    first = _start(m, pairs)
+    saved = _forward(emit, m, first, grids, block)
     for number in reversed(range(len(saved))):
         lo = number * block
-        a, _ = _again(emit(lo, min(grids, lo + block)), saved[number], m, _start(m, True), lo)
-        out = np.empty((paths, n, a.shape[1], 2), np.int32)
+        a, _ = _again(emit(lo, min(grids, lo + block)), saved[number], m, first, lo)
+        out = np.empty((paths, n, a.shape[1], haps), np.int32)
         for g in reversed(range(lo, lo + a.shape[1])):
             x = a[:, g - lo]
             for p in range(paths):
                 w = x
                 if g + 1 < grids:
-                    own = [(1 - m.stay[g]) * m.switch[behind[p, :, h], g][:, None] + m.stay[g] * (np.arange(k) == behind[p, :, h][:, None]) for h in (0, 1)]
-                    w = x * own[0][:, :, None] * own[1][:, None, :]
-                drawn = _drawn(w.reshape(n, -1), rng)
-                behind[p, :, 0], behind[p, :, 1] = drawn // k, drawn % k
+                    own = [(1 - m.stay[g]) * m.switch[behind[p, :, h], g][:, None] + m.stay[g] * (np.arange(k) == behind[p, :, h][:, None]) for h in range(haps)]
+                    w = x * own[0][:, :, None] * own[1][:, None, :] if pairs else x * own[0]
+                behind[p] = np.stack(np.unravel_index(_drawn(w.reshape(n, -1), rng), (k,) * haps), axis=1)
             out[:, :, g - lo] = behind
         yield lo, out
 
 
-def sampled_paths(emit: Emit, m: Model, n: int, paths: int = 20, seed: int = 0, block: int = BLOCK) -> np.ndarray:
-    """[path, sample, grid, 2]: all of ``drawn_blocks``."""
-    return np.concatenate([x for _, x in drawn_blocks(emit, m, n, paths, seed, block)][::-1], axis=2)
+def sampled_paths(emit: Emit, m: Model, n: int, paths: int = 20, seed: int = 0, block: int = BLOCK, pairs: bool = True) -> np.ndarray:
+    """[path, sample, grid, haplotype]: all of ``drawn_blocks``."""
+    return np.concatenate([x for _, x in drawn_blocks(emit, m, n, paths, seed, block, pairs)][::-1], axis=2)
 
 
 def sampled_phase(r: Reads, m: Model, grid_of: np.ndarray, paths: int = 20, seed: int = 0, block: int = BLOCK) -> Iterator[tuple[slice, np.ndarray]]:

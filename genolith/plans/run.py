@@ -154,6 +154,11 @@ def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir:
     a folder to save the inputs in, or one to take them from, when no alignments are read."""
     config.check()
     sites = tables.check_sites(tables.read_sites(spark, posfile))
+    for path, read in ((genfile, tables.read_genotypes), (phasefile, tables.read_phase)):
+        if path is not None:
+            rows, n = read(spark, path).agg(F.count_distinct("snp")).first()[0], sites.count()
+            if rows != n:
+                raise ValueError(f"{path} has {rows} rows for {n} sites")
     if subsetSNPsfile is not None:
         listed = spark.read.csv(subsetSNPsfile, sep="\t", schema="chr string, pos long")
         sites = sites.join(listed.distinct(), ["chr", "pos"], "left_semi").select("snp", "chr", "pos", "ref", "alt")
@@ -162,6 +167,9 @@ def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir:
         near = region(sites, config.regionStart, config.regionEnd, config.buffer)
         sites, central = near.select("snp", "chr", "pos", "ref", "alt"), near.filter("central").select("snp")
     sites = sites.persist()
+    n, own = sites.count(), central.count()
+    if n < 2 or own < 1:
+        raise ValueError(f"{n} sites are left, {own} of them in the region itself: at least two are needed, and one in the region")
     if saved_inputs is not None:
         kept, names = inputs.load(spark, saved_inputs, sites, input_settings(config, use_bx))
         names = names.persist()

@@ -157,3 +157,13 @@ def test_saved_inputs_stand_for_alignments(spark, simulated, tmp_path):
     for pos, other, message in ((tmp_path / "more", config, "not in"), (folder / "pos", replace(config, bqFilter=5), "was made with")):
         with pytest.raises(ValueError, match=message):
             impute_files(spark, str(pos), [], str(tmp_path / "d"), other, saved_inputs=saved)
+
+
+def test_regions_and_truth_that_do_not_fit(spark, simulated, tmp_path):
+    folder, truth = simulated
+    config = Config(K=2, nGen=100, niterations=3, refillIterations=(), shuffleHaplotypeIterations=(), regionStart=50, regionEnd=60, buffer=45)
+    with pytest.raises(ValueError, match="in the region itself"):
+        impute_files(spark, str(folder / "pos"), [], str(tmp_path / "o"), config, bam=False)
+    (tmp_path / "gen").write_text("a\n0\n1\n")
+    with pytest.raises(ValueError, match="rows for 10 sites"):
+        impute_files(spark, str(folder / "pos"), [], str(tmp_path / "o"), replace(config, regionStart=1), bam=False, genfile=str(tmp_path / "gen"))

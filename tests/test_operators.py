@@ -190,6 +190,17 @@ def test_paths_are_drawn_from_their_posterior():
     assert stays > (found.sum(axis=3)[:, 1:] * found.sum(axis=3)[:, :-1]).sum(axis=2).mean()  # paths, not grids one by one
 
 
+def test_haploid_paths_are_drawn_from_their_posterior():
+    m, r, _ = _random_reads(np.random.default_rng(5), t=8, n=3, reads=20)
+    own, logs = hmm.Grids(r), np.log(hmm.read_likelihoods(r, m))
+    emit = lambda lo, hi: own.emissions(logs, lo, hi)
+    gamma, switches = hmm.haploid(emit(0, 8), m)
+    drawn = hmm.sampled_paths(emit, m, r.n, 4000, 1, block=3, pairs=False)
+    assert drawn.shape == (4000, 3, 8, 1)
+    found = np.stack([(drawn[..., 0] == k).mean(axis=0) for k in range(m.k)], axis=2)
+    assert np.abs(found - gamma).max() < 0.04
+
+
 @pytest.mark.parametrize("size", [1, 3, 10, 100])
 def test_output_blocks_equal_the_rule(spark, size):
     rng = np.random.default_rng(size)
