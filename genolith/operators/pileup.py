@@ -62,9 +62,11 @@ def diploid_emissions(read_emission: DataFrame, central: DataFrame, floor: float
     """(sample, snp, k1, k2, e): product over a site's reads of the mean emission of two founders, scaled likewise."""
     from pyspark.sql import Window
 
-    x = read_emission.select("sample", "read", F.col("k").alias("k1"), F.col("e").alias("e1"))
-    y = read_emission.select("sample", "read", F.col("k").alias("k2"), F.col("e").alias("e2"))
-    each = x.join(y, ["sample", "read"]).join(central.select("sample", "read", F.col("central").alias("snp")), ["sample", "read"]).groupBy("sample", "snp", "k1", "k2").agg(F.sum(F.log((F.col("e1") + F.col("e2")) / 2)).alias("l"))
+    # A read's founders are one array, which has the partitioning of its emissions; pairs come from that.
+    own = read_emission.groupBy("sample", "read").agg(F.collect_list(F.struct("k", "e")).alias("x"))
+    pairs = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: F.struct(a["k"].alias("k1"), b["k"].alias("k2"), F.log((a["e"] + b["e"]) / 2).alias("l")))))
+    placed = own.join(central.select("sample", "read", F.col("central").alias("snp")), ["sample", "read"])
+    each = placed.select("sample", "snp", F.explode(pairs).alias("p")).groupBy("sample", "snp", "p.k1", "p.k2").agg(F.sum("p.l").alias("l"))
     top = F.max("l").over(Window.partitionBy("sample", "snp"))
     return each.select("sample", "snp", "k1", "k2", F.greatest(F.exp(F.col("l") - top), F.lit(1 / floor)).alias("e"))
 
