@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.draws import uniform
+
 
 def binned_usage(usage: DataFrame, grids: DataFrame, width: int = 5000) -> DataFrame:
     """(k, i, bin, first, last, mean): mean usage over the grids first..last of each bin of ``width`` bases that holds any; i numbers bins from 1."""
@@ -24,11 +26,6 @@ def weak_runs(binned: DataFrame, least: Column | float) -> DataFrame:
     return runs.agg(F.min("i").alias("a"), F.max("i").alias("b"), F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
 
 
-def drawn_point(seed: int, *keys: str) -> Column:
-    """A number from 0 to 1 (excluded) that depends on the seed and the keys alone."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("double") / (1 << 32)
-
-
 def donors(binned: DataFrame, runs: DataFrame, seed: int = 0) -> DataFrame:
     """``runs`` with donor: another founder, drawn in proportion to its usage over the run (the bins' means, summed). Runs in which no other is used have none, and go.
 
@@ -40,7 +37,7 @@ def donors(binned: DataFrame, runs: DataFrame, seed: int = 0) -> DataFrame:
     weighed = ends.join(starts, ["j", "a"], "left").withColumn("w", F.greatest(F.col("past") - F.coalesce("before", F.lit(0.0)), F.lit(0.0)))
     own = Window.partitionBy("k", "a")
     reached = F.sum("w").over(own.orderBy("j").rowsBetween(Window.unboundedPreceding, 0))
-    asked = weighed.select("*", reached.alias("reached"), (drawn_point(seed, "k", "a") * F.sum("w").over(own)).alias("point"))
+    asked = weighed.select("*", reached.alias("reached"), (uniform(seed, "k", "a") * F.sum("w").over(own)).alias("point"))
     return asked.filter("w > 0 and reached > point").groupBy("k", "a", "b", "first", "last").agg(F.min("j").alias("donor"))
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cigar import blocks, span
+from ..functions.draws import uniform
 
 #: Width of the bins on which range joins meet.
 BIN = 4096
@@ -130,12 +131,13 @@ def cap_depth_greedy(reads: DataFrame, most: float, seed: int = 0) -> DataFrame:
     return reads.join(gone, ["sample", "read"], "left_anti").select(*reads.columns)
 
 
-def thin(reads: DataFrame, fraction: float) -> DataFrame:
-    """A share of each sample's reads by arithmetic hash, and the first read of a sample that would lose all."""
-    kept = (F.col("sample") * 31 + F.col("read") * 17) % 1000 < int(round(fraction * 1000))
+def thin(reads: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+    """A share of each sample's reads, each drawn by itself, and the first read of a sample that would lose all."""
+    kept = uniform(seed, "sample", "read") < fraction
     w = Window.partitionBy("sample")
-    none = ~F.max(kept).over(w)
-    return reads.withColumn("__k", kept | (none & (F.col("read") == F.min("read").over(w)))).filter("__k").drop("__k")
+    marked = reads.withColumn("__kept", kept)
+    none = ~F.max("__kept").over(w)
+    return marked.withColumn("__k", F.col("__kept") | (none & (F.col("read") == F.min("read").over(w)))).filter("__k").drop("__k", "__kept")
 
 
 def inside(reads: DataFrame, first: int, last: int) -> DataFrame:
@@ -152,8 +154,7 @@ def reads_of_blocks(centred: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.groupBy("sample", "block").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def choose_samples(samples: DataFrame, keep: DataFrame, n: int) -> DataFrame:
-    """``n`` samples: those of ``keep`` first, then by an arithmetic hash."""
+def choose_samples(samples: DataFrame, keep: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` samples: those of ``keep`` first, then others by draws."""
     kept = samples.join(keep.select("sample", F.lit(1).alias("__k")).distinct(), "sample", "left")
-    order = (F.col("sample") * 7919 + 13) % 10007
-    return kept.orderBy(F.col("__k").isNull(), order, "sample").limit(n).select("sample")
+    return kept.orderBy(F.col("__k").isNull(), uniform(seed, "sample"), "sample").limit(n).select("sample")

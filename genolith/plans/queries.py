@@ -182,7 +182,7 @@ def depth_cap_greedy(spark, d):
     return reads.cap_depth_greedy(reads.nested(_obs(spark, d)).select("sample", "read", "snp"), 2).select("sample", "read", F.size("snp").alias("n"))
 
 
-@query(with_tables("obs") + ",\nr AS (SELECT DISTINCT sample, read FROM obs),\nx AS (SELECT *, (sample * 31 + read * 17) % 1000 < 250 AS kept, min(read) OVER (PARTITION BY sample) AS first, bool_or((sample * 31 + read * 17) % 1000 < 250) OVER (PARTITION BY sample) AS anyk FROM r)\nSELECT sample, read FROM x WHERE kept OR (NOT anyk AND read = first)")
+@query(with_tables("obs") + ",\nr AS (SELECT DISTINCT sample, read FROM obs),\nx AS (SELECT *, CAST('0x' || substr(md5('0:' || sample || ':' || read), 1, 8) AS BIGINT) / 4294967296 < 0.25 AS kept, min(read) OVER (PARTITION BY sample) AS first, bool_or(CAST('0x' || substr(md5('0:' || sample || ':' || read), 1, 8) AS BIGINT) / 4294967296 < 0.25) OVER (PARTITION BY sample) AS anyk FROM r)\nSELECT sample, read FROM x WHERE kept OR (NOT anyk AND read = first)")
 def bernoulli_reads(spark, d):
     return reads.thin(_obs(spark, d).select("sample", "read").distinct(), 0.25)
 
@@ -600,7 +600,7 @@ def reads_in_output_blocks(spark, d):
     return found.select("sample", "block", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n")
 
 
-@query(with_tables("samples") + "\nSELECT sample FROM samples ORDER BY sample % 50 <> 0, (sample * 7919 + 13) % 10007, sample LIMIT 100")
+@query(with_tables("samples") + "\nSELECT sample FROM samples ORDER BY sample % 50 <> 0, substr(md5('0:' || sample), 1, 8), sample LIMIT 100")
 def downsample_individuals(spark, d):
     every = adapter.samples(spark, d)
     return reads.choose_samples(every, every.filter("sample % 50 = 0"), 100)

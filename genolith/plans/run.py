@@ -48,7 +48,7 @@ def observations(aligned: DataFrame, sites: DataFrame, config: Config, use_bx: b
         read = F.coalesce("molecule", "qname")
     obs = named.select("sample", F.xxhash64(read).alias("read"), "snp", "bq")  # mates that overlap see a site twice
     if config.downsampleFraction < 1:
-        obs = obs.filter(F.pmod(F.xxhash64("sample", "read", F.lit(config.seed)), F.lit(1_000_000)) < int(config.downsampleFraction * 1_000_000))
+        obs = reads.thin(obs, config.downsampleFraction, config.seed)
     whole = obs.groupBy("sample", "read").agg(F.array_sort(F.collect_list(F.struct("snp", "bq"))).alias("x")).select("sample", "read", F.col("x.snp").alias("snp"), F.col("x.bq").alias("bq"))
     kept = reads.cap_depth_greedy(whole, config.downsampleToCov, config.seed).select("sample", "read", F.explode(F.arrays_zip("snp", "bq")).alias("x")).select("sample", "read", "x.snp", "x.bq")
     return kept if config.readAware else kept.withColumn("read", F.xxhash64("read", "snp"))
@@ -91,7 +91,7 @@ def named_samples(spark: SparkSession, held: DataFrame, files: int, names_file:
     keep = max(1, round(config.downsampleSamples * len(found)))
     if keep < len(found):
         wanted = every.limit(0) if keep_list is None else every.join(spark.read.text(keep_list).withColumnRenamed("value", "name"), "name", "left_semi")
-        kept = reads.choose_samples(every.select(F.col("number").alias("sample")), wanted.select(F.col("number").alias("sample")), keep)
+        kept = reads.choose_samples(every.select(F.col("number").alias("sample")), wanted.select(F.col("number").alias("sample")), keep, config.seed)
         every = every.join(kept.withColumnRenamed("sample", "number"), "number", "left_semi")
     return every
 
