@@ -400,6 +400,19 @@ def track_logs(x: np.ndarray, method: str) -> np.ndarray:
     return np.log((x[:, :, None] + x[:, None, :]) / 2) if method == "diploid" else np.log(x)
 
 
+def founder_shares(r: Reads, m: Model, grid_of: np.ndarray, method: str, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray]]:
+    """(lo, [sample, grid, k]) of blocks of grids from right to left: how many of a sample's two haplotypes are of each founder."""
+    own, none = Grids(r), np.zeros_like(m.switch)
+
+    def one(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        logs = track_logs(x, method)
+        return walk(lambda lo, hi: own.emissions(logs, lo, hi), m, method == "diploid", none, block)
+
+    for parts in zip(*(one(x) for x in tracks(r, m, grid_of, method))):
+        gammas = [g.sum(axis=3) + g.sum(axis=2) if method == "diploid" else g for _, g in parts]
+        yield parts[0][0], sum(gammas) * (2 if method == "diploid-inbred" else 1)
+
+
 def part_genotypes(r: Reads, likelihoods: list[np.ndarray], m: Model, grid_of: np.ndarray, method: str, starts: list[np.ndarray], ends: list[np.ndarray]) -> np.ndarray:
     """Genotype posteriors [sample, site, 3] of a part of a chromosome, whose own grids, sites and founders ``r``, ``grid_of`` and ``m`` are; starts and
     ends of each track are as of ``borders``."""

@@ -111,7 +111,7 @@ def cap_depth_greedy(reads: DataFrame, most: float, seed: int = 0) -> DataFrame:
     """Whole reads (sample, read, snp[]) thinned until no site of a sample is deeper than ``most``; every observation counts. Each read has a rank, drawn
     by (seed, sample, read). At a site that what is left covers too often, from left to right, reads that cover it more than once go, and then those of the greatest ranks, until it isn't
     too deep. Stretches without a deep site are left alone; each other one is a group of its own."""
-    seen = deep_stretches(reads, most).withColumn("rank", F.xxhash64("sample", "read", F.lit(seed)))
+    seen = deep_stretches(reads, most).withColumn("rank", uniform(seed, "sample", "read"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         gone: set = set()

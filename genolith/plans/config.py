@@ -43,6 +43,7 @@ class Config:
     buffer: int | None = None
     output_format: str = "bgvcf"
     outputSNPBlockSize: int = 10_000
+    output_haplotype_dosages: bool = False
     readAware: bool = True
     do_phasing: bool = False
     seed: int = 1
@@ -71,6 +72,7 @@ class Config:
         need(all(given) or not any(given), "regionStart, regionEnd and buffer go together")
         need(not all(given) or 0 < self.regionStart <= self.regionEnd and self.buffer >= 0, "regionStart must be positive and at most regionEnd")
         need(self.output_format in ("bgvcf", "bgen"), "output_format must be bgvcf or bgen")
+        need(not self.output_haplotype_dosages or self.S == 1 and self.output_format == "bgvcf", "haplotype dosages need S = 1 and bgvcf")
         need(self.outputSNPBlockSize >= 1, "outputSNPBlockSize must be at least 1")
         need(self.maxDifferenceBetweenReads >= 1, "maxDifferenceBetweenReads must be at least 1")
         need(0 < self.alphaMatThreshold < 1 and 0 < self.emissionThreshold < 0.5, "thresholds must be small shares")

@@ -35,11 +35,21 @@ def site_layout(sites: DataFrame, width: int | None) -> pd.DataFrame:
     return gridded.assign(i=np.arange(len(gridded)))
 
 
+#: The most bytes of a table of sites that is broadcast, at 8 a number.
+BROADCAST_BYTES = 16_000_000
+
+
+def site_table(spark: SparkSession, layout: pd.DataFrame, *columns: str) -> DataFrame:
+    """Columns of the layout as a table for joins: broadcast if it is small, else as it is, to be shuffled."""
+    table = spark.createDataFrame(pa.table({c: layout[c].to_numpy() for c in columns}))
+    return F.broadcast(table) if 8 * len(columns) * len(layout) <= BROADCAST_BYTES else table
+
+
 def grouped_reads(observations: DataFrame, sites: DataFrame, width: int | None) -> tuple[DataFrame, pd.DataFrame]:
     """(samples, layout): a row for each sample with its reads (grid, sites, scores; sites by index), and the sites in
     order with index and grid."""
     layout, spark = site_layout(sites, width), observations.sparkSession
-    index = F.broadcast(spark.createDataFrame(layout[["snp", "i", "grid"]]))
+    index = site_table(spark, layout, "snp", "i", "grid")
     mid = central(observations, sites).select("sample", "read", F.col("central").alias("snp")).join(index.select("snp", "grid"), "snp").select("sample", "read", "grid")
     reads = observations.join(index.select("snp", "i"), "snp").groupBy("sample", "read").agg(F.collect_list("i").alias("site"), F.collect_list("bq").alias("bq")).join(mid, ["sample", "read"])
     own = reads.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("grid", "read", "site", "bq"))).alias("r"))
@@ -136,9 +146,9 @@ def continued(samples: DataFrame, model: hmm.Model, method: str, at: list[tuple[
 def refills(spark: SparkSession, usage: np.ndarray, middle: np.ndarray, n: int, seed: int) -> list[tuple[int, int, int, int]]:
     """(k, first, last, donor) of the stretches to refill, from usage [k, grid] of ``n`` samples and the grids' positions."""
     k, grids = usage.shape
-    rows = pd.DataFrame({"k": np.repeat(np.arange(k, dtype=np.int32), grids), "grid": np.tile(np.arange(grids), k), "v": usage.ravel()})
-    places = pd.DataFrame({"grid": np.arange(grids), "pos": middle})
-    plan = founder_ops.refill_plan(spark.createDataFrame(rows, "k int, grid long, v double"), spark.createDataFrame(places, "grid long, pos double"), n, k, seed=seed)
+    rows = pa.table({"k": np.repeat(np.arange(k, dtype=np.int32), grids), "grid": np.tile(np.arange(grids), k), "v": usage.ravel()})
+    places = pa.table({"grid": np.arange(grids), "pos": middle})
+    plan = founder_ops.refill_plan(spark.createDataFrame(rows), spark.createDataFrame(places), n, k, seed=seed)
     return [tuple(r) for r in plan.collect()]  # stretches of the model
 
 
@@ -202,7 +212,7 @@ class Inputs:
         if method == "diploid":  # of the first of a pair
             first = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.aggregate(F.slice("gamma", i * k + 1, k), F.lit(0.0), lambda x, y: x + y))
             posteriors = posteriors.withColumn("gamma", first)
-        index = F.broadcast(spark.createDataFrame(self.layout[["snp", "grid"]]))
+        index = site_table(spark, self.layout, "snp", "grid")
         centred = central(self.observations, self.sites).join(index, F.col("central") == F.col("snp")).select("sample", "read", "central", F.col("grid").cast("long").alias("grid"))
         self.observations = split_reads(self.observations, split_places(self.observations, founders, centred, posteriors)).persist()
         before, (self.samples, _) = self.samples, self._grouped(self.observations)
@@ -226,6 +236,11 @@ class Inputs:
 def impute(observations: DataFrame, sites: DataFrame, config: Config, every: DataFrame | None = None, gmap: DataFrame | None = None, founders: DataFrame | None = None, panel: DataFrame | None = None) -> DataFrame:
     """(sample, snp, g0, g1, g2) of every sample (of ``every``, else of those with reads) at every site: posteriors averaged over S fits, made block
     by block of outputSNPBlockSize sites."""
+    return impute_with_shares(observations, sites, config, every, gmap, founders, panel)[0]
+
+
+def impute_with_shares(observations: DataFrame, sites: DataFrame, config: Config, every: DataFrame | None = None, gmap: DataFrame | None = None, founders: DataFrame | None = None, panel: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(posteriors as of ``impute``, (sample, snp, hd)): hd is how many of a sample's two haplotypes are of each founder of the first fit."""
     config.check()
     own = Inputs(observations, sites, config, every, gmap)
     fits = own.fits(config, founders, panel)
@@ -234,16 +249,31 @@ def impute(observations: DataFrame, sites: DataFrame, config: Config, every: Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, grid_of, _ = shared.value
         for batch in _slices(batches):
-            r, names = _batch(batch), batch.column("sample").to_numpy(zero_copy_only=False).astype(np.int64)
+            r, names = _batch(batch), _names(batch)
             for fit, (m, method) in enumerate(models):
                 yield from blocks.border_rows(names, r, m, grid_of, method, begins, fit)
 
-    return blocks.genotypes(own.samples.mapInArrow(run, blocks.ROW), fits, own.layout, begins, own.n, TOGETHER)
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (m, method), grid_of, snps = shared.value[0][0], *shared.value[1:]
+        for batch in _slices(batches):
+            for lo, x in hmm.founder_shares(_batch(batch), m, grid_of, method):
+                first, last = np.searchsorted(grid_of, [lo, lo + x.shape[1]])
+                at_sites = x[:, grid_of[first:last] - lo]
+                ends = np.arange(0, at_sites.size + 1, m.k, dtype=np.int32)
+                names = np.repeat(_names(batch), last - first)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.tile(snps[first:last].astype(np.int64), batch.num_rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(at_sites.ravel()))], ["sample", "snp", "hd"])
+
+    post = blocks.genotypes(own.samples.mapInArrow(run, blocks.ROW), fits, own.layout, begins, own.n, TOGETHER)
+    return post, own.samples.mapInArrow(shares, "sample long, snp long, hd array<double>")
+
+
+def _names(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("sample").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _rows(batch: pa.RecordBatch, snps: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """A row for each sample of the batch and each site."""
-    names = batch.column("sample").to_numpy(zero_copy_only=False).astype(np.int64)
+    names = _names(batch)
     arrays = [pa.array(np.repeat(names, len(snps))), pa.array(np.tile(snps.astype(np.int64), len(names)))]
     return pa.RecordBatch.from_arrays(arrays + [pa.array(np.ascontiguousarray(x).ravel()) for x in columns.values()], ["sample", "snp", *columns])
 
@@ -273,7 +303,7 @@ def founder_posteriors(samples: DataFrame, model: hmm.Model, pairs: bool) -> Dat
             r = _batch(batch)
             e, grids = hmm.read_likelihoods(r, m), hmm.Grids(r)
             logs = np.log((e[:, :, None] + e[:, None, :]) / 2) if pairs else np.log(e)
-            names = batch.column("sample").to_numpy(zero_copy_only=False).astype(np.int64)
+            names = _names(batch)
             for lo, x in hmm.walk(lambda lo, hi: grids.emissions(logs, lo, hi), m, pairs, np.zeros_like(m.switch)):
                 n, size = x.shape[1], int(np.prod(x.shape[2:]))
                 ends = np.arange(0, x.size + 1, size, dtype=np.int32)
@@ -294,7 +324,7 @@ class PanelInputs:
     @classmethod
     def of(cls, panel: DataFrame, layout: pd.DataFrame, phred: int) -> PanelInputs:
         spark = panel.sparkSession
-        index = F.broadcast(spark.createDataFrame(layout[["snp", "i", "grid"]], "snp long, i int, grid int"))
+        index = site_table(spark, layout, "snp", "i", "grid")
         cells = panel.join(index, "snp").select("hap", "snp", "allele", F.struct("grid", "i", F.when(F.col("allele") == 1, phred).otherwise(-phred).alias("bq")).alias("x"))
         lists = cells.groupBy("hap").agg(F.array_sort(F.collect_list("x")).alias("x"))
         samples = lists.select(F.col("hap").cast("long").alias("sample"), "x.grid", F.transform("x", lambda _: F.lit(1)).alias("sites"), F.col("x.i").alias("site"), "x.bq").persist()

@@ -177,7 +177,16 @@ def depth_cap(spark, d):
     return reads.cap_depth(gridded, 2, "sample", "grid").select("sample", "read", "snp", "bq")
 
 
-@query()
+_CAPPED = """,
+li AS (SELECT sample, snp, list({r: substr(md5('0:' || sample || ':' || read), 1, 8), read: read, times: times} ORDER BY substr(md5('0:' || sample || ':' || read), 1, 8), read) AS xs FROM (SELECT sample, read, snp, count(*) AS times FROM obs GROUP BY ALL) GROUP BY sample, snp),
+nu AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY snp) AS i FROM li),
+go AS (SELECT sample, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone FROM (SELECT DISTINCT sample FROM obs)
+  UNION ALL SELECT sample, i, CASE WHEN over > 0 THEN list_concat(gone, list_concat(list_transform(twice, lambda x: x.read), list_transform(once[len(once) - CAST(greatest(0, over - coalesce(list_sum(list_transform(twice, lambda x: x.times)), 0)) AS BIGINT) + 1:], lambda x: x.read))) ELSE gone END
+  FROM (SELECT sample, i, gone, coalesce(list_sum(list_transform(remaining, lambda x: x.times)), 0) - 2 AS over, list_filter(remaining, lambda x: x.times > 1) AS twice, list_filter(remaining, lambda x: x.times = 1) AS once
+    FROM (SELECT n.sample, n.i, gone, list_filter(xs, lambda x: NOT list_contains(gone, x.read)) AS remaining FROM go g JOIN nu n ON n.sample = g.sample AND n.i = g.i + 1)))"""
+
+
+@query(with_tables("obs", recursive=True) + _CAPPED + "\nSELECT sample, read, CAST(count(*) AS INT) AS n FROM obs JOIN (SELECT sample, arg_max(gone, i) AS gone FROM go GROUP BY sample) USING (sample) WHERE NOT list_contains(gone, read) GROUP BY sample, read")
 def depth_cap_greedy(spark, d):
     return reads.cap_depth_greedy(reads.nested(_obs(spark, d)).select("sample", "read", "snp"), 2).select("sample", "read", F.size("snp").alias("n"))
 
@@ -606,7 +615,12 @@ def downsample_individuals(spark, d):
     return reads.choose_samples(every, every.filter("sample % 50 = 0"), 100)
 
 
-@query()
+@query(with_tables("obs") + """,
+he AS (SELECT sample, snp AS pos, CAST((sample + snp + snp // 9) % 2 <> (sample + snp) % 2 AS INT) AS off FROM (SELECT DISTINCT sample, snp FROM obs)),
+al AS (SELECT *, coalesce(lag(off) OVER w = lead(off) OVER w AND off <> lag(off) OVER w, false) AS alone FROM he WINDOW w AS (PARTITION BY sample ORDER BY pos)),
+od AS (SELECT *, alone AND NOT coalesce(lag(alone) OVER (PARTITION BY sample ORDER BY pos), false) AS odd FROM al),
+kp AS (SELECT sample, CAST(off <> lag(off) OVER (PARTITION BY sample ORDER BY pos) AS INT) AS c FROM od WHERE NOT odd)
+SELECT sample, count(*) AS sites, switches, count(*) FILTER (odd) AS discordant FROM od JOIN (SELECT sample, CAST(coalesce(sum(c), 0) AS BIGINT) AS switches FROM kp GROUP BY sample) USING (sample) GROUP BY sample, switches""")
 def phase_discordance(spark, d):
     s, n = F.col("sample"), F.col("snp")
     p = _obs(spark, d).select("sample", "snp").distinct().select("sample", n.alias("pos"), ((s + n) % 2).alias("t1"), ((s + n + 1) % 2).alias("t2"), ((s + n + F.floor(n / 9)) % 2).alias("h1"))

@@ -54,17 +54,18 @@ def observations(aligned: DataFrame, sites: DataFrame, config: Config, use_bx: b
     return kept if config.readAware else kept.withColumn("read", F.xxhash64("read", "snp"))
 
 
-def output(post: DataFrame, obs: DataFrame, sites: DataFrame, path: str, form: str = "bgvcf") -> None:
-    """The VCF of posteriors (or, of form bgen, the file posteriors.bgen), and the table of site statistics, in ``path``."""
+def output(post: DataFrame, obs: DataFrame, sites: DataFrame, path: str, form: str = "bgvcf", shares: DataFrame | None = None) -> None:
+    """The VCF of posteriors (or, of form bgen, the file posteriors.bgen), with founders' ``shares`` (sample, snp, hd) if given, and the table of site statistics, in ``path``."""
     stats = pileup.site_summary(post).join(pileup.allele_counts(obs, sites), "snp").withColumn("hwe", hwe_p("hom_ref", "het", "hom_alt"))
     five = lambda name, c: F.concat(F.lit(f"{name}="), F.format_string("%.5f", c))
     info = F.concat_ws(";", five("EAF", F.col("eaf")), five("INFO_SCORE", F.col("info")), F.concat(F.lit("HWE="), F.format_string("%.2e", F.col("hwe"))), five("ERC", F.col("alt")), five("EAC", F.col("total") - F.col("alt")), five("PAF", F.col("af")))
-    cells = post.select("sample", "snp", genotype_cell([F.col("g0"), F.col("g1"), F.col("g2")]).alias("cell"))
+    both = post if shares is None else post.join(shares, ["sample", "snp"])
+    cells = both.select("sample", "snp", genotype_cell([F.col("g0"), F.col("g1"), F.col("g2")], None if shares is None else F.col("hd")).alias("cell"))
     if form == "bgen":
         names = [r.sample for r in post.select("sample").distinct().orderBy("sample").collect()]  # the header itself
         bgen.assemble(bgen.blocks(post, sites, names), names, f"{path}/posteriors.bgen")
     else:
-        vcf.write_vcf(cells, sites, stats.select("snp", info.alias("info")), "GT:GP:DS", f"{path}/vcf", (INFO, CELL))
+        vcf.write_vcf(cells, sites, stats.select("snp", info.alias("info")), "GT:GP:DS" if shares is None else "GT:GP:DS:HD", f"{path}/vcf", (INFO, CELL if shares is None else CELL | {"HD": "Haplotypes of each founder"}))
     vcf.write_site_statistics(stats.join(sites.select("snp", "chr", "pos"), "snp"), f"{path}/stats")
 
 
@@ -102,7 +103,8 @@ def read_panel(spark: SparkSession, sites: DataFrame, config: Config, reference_
     if reference_vcf is None and haps is None:
         return None
     if reference_vcf is not None:
-        found = vcf.read_panel(spark, reference_vcf)
+        ends = sites.groupBy("chr").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()  # one chromosome
+        found = vcf.read_panel(spark, reference_vcf, (ends.chr, ends.lo, ends.hi) if config.niterations > 1 else None)
     else:
         if legend is None:
             raise ValueError("a haplotype file needs a legend")
@@ -190,8 +192,9 @@ def impute_files(spark: SparkSession, posfile: str, files: list[str], outputdir:
         panel = read_panel(spark, sites, config, reference_vcf, reference_haplotype_file, reference_legend_file, reference_sample_file, reference_populations)
         more = {"every": names.select(F.col("number").alias("sample")), "gmap": gmap, "panel": panel}
         back = lambda df: df.join(central, "snp", "left_semi").join(F.broadcast(names), F.col("sample") == F.col("number")).drop("sample", "number", *{"own"} & set(names.columns)).withColumnRenamed("name", "sample")
-        post = back(em.impute(numbered, sites, config, **more)).persist()
-        output(post, obs.drop("number"), out_sites, outputdir, config.output_format)
+        post, shares = em.impute_with_shares(numbered, sites, config, **more)
+        post = back(post).persist()
+        output(post, obs.drop("number"), out_sites, outputdir, config.output_format, back(shares) if config.output_haplotype_dosages else None)
         if genfile is not None:
             output_truth(post, out_sites, genfile, outputdir)
         if config.do_phasing:

@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): the lines of one file, numbered from 0. Lines are numbered within their partitions, which are counted first: no task sees all."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), "value")
+    part, within = F.call_function("shiftright", F.col("id"), F.lit(33)), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(lines.groupBy(part.alias("part")).count().collect())  # a row for each partition
+    past, offsets = 0, []
+    for r in counts:
+        offsets.append((r[0], past))
+        past += r[1]
+    if not offsets:
+        return lines.select(F.col("id").alias("n"), "value")
+    begins = F.broadcast(spark.createDataFrame(offsets, "part long, past long"))  # as many rows
+    return lines.withColumn("part", part).join(begins, "part").select((F.col("past") + within).alias("n"), "value")
+
+
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """(snp, chr, pos, ref, alt) of a posfile without header; snp numbers positions from 0."""
     raw = spark.read.csv(path, sep="\t", schema="chr string, pos long, ref string, alt string")
@@ -24,13 +39,11 @@ def check_sites(sites: DataFrame) -> DataFrame:
 
 def _wide(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
     """Sample names of the header, and (snp, line) of the rows below, numbered by their place in the file."""
-    text = spark.read.text(path)
-    numbered = text.select(F.monotonically_increasing_id().alias("i"), F.split("value", "\t").alias("cells"))
-    names = list(numbered.orderBy("i").first().cells)
+    numbered = numbered_lines(spark, path).select("n", F.split("value", "\t").alias("cells"))
+    names = list(numbered.filter("n = 0").first().cells)
     if all(x in ("0", "1", "2", "NA") or "|" in x for x in names):
         raise ValueError(f"{path} has no header of sample names")
-    rows = numbered.filter("i > 0").select((F.row_number().over(Window.orderBy("i")) - 1).cast("long").alias("snp"), "cells")  # a truth file's lines
-    return names, rows
+    return names, numbered.filter("n > 0").select((F.col("n") - 1).alias("snp"), "cells")
 
 
 def read_genotypes(spark: SparkSession, path: str) -> DataFrame:
@@ -93,18 +106,24 @@ def check_panel(spark: SparkSession, haps: str, legend: str, samples: str | None
         need(2 * k == h.most, f"{samples} has {k} samples for {h.most} haplotypes")
 
 
-def read_panel(spark: SparkSession, haps: str, legend: str, samples: str | None = None, populations: list[str] | None = None) -> DataFrame:
-    """(hap, pos, ref, alt, allele) of a panel in three files; with ``populations``, of their samples alone. The - of a
+def read_panel(spark: SparkSession, haps: str, legend: str, samples: str | None = None, populations: list[str] | None = None, region: tuple[int, int] | None = None) -> DataFrame:
+    """(hap, pos, ref, alt, allele) of a panel in three files; with ``populations``, of their samples alone, with ``region``, of the positions within. The - of a
     haploid male's second copy is left out."""
-    lines = spark.read.text(haps).select(F.monotonically_increasing_id().alias("i"), F.split("value", " ").alias("a"))
-    rank = lambda df: df.withColumn("n", F.row_number().over(Window.orderBy("i")))  # noqa: E731  a row for each site
-    sites = spark.read.text(legend).select(F.monotonically_increasing_id().alias("i"), F.split("value", " ").alias("l")).filter("i > 0")
-    sites = rank(sites).select("n", F.get("l", F.lit(1)).cast("long").alias("pos"), F.get("l", F.lit(2)).alias("ref"), F.get("l", F.lit(3)).alias("alt"))
-    each = rank(lines).join(sites, "n").select(F.posexplode("a").alias("hap", "x"), "pos", "ref", "alt")
+    site = F.split("value", " ")
+    sites = numbered_lines(spark, legend).filter("n > 0").select((F.col("n") - 1).alias("n"), F.get(site, F.lit(1)).try_cast("long").alias("pos"), F.get(site, F.lit(2)).alias("ref"), F.get(site, F.lit(3)).alias("alt"))
+    if region is not None:
+        sites = sites.filter(F.col("pos").between(*region))
+    each = numbered_lines(spark, haps).join(sites, "n").select(F.posexplode(F.split("value", " ")).alias("hap", "x"), "pos", "ref", "alt")
     if populations is not None:
         if samples is None:
             raise ValueError("populations need a sample file")
-        people = spark.read.text(samples).select(F.monotonically_increasing_id().alias("i"), F.split("value", " ").alias("s")).filter("i > 0")
-        kept = rank(people).filter(F.get("s", F.lit(1)).isin(*populations)).select(F.explode(F.array((2 * F.col("n") - 2).cast("int"), (2 * F.col("n") - 1).cast("int"))).alias("hap"))
+        people = numbered_lines(spark, samples).filter("n > 0").filter(F.get(F.split("value", " "), F.lit(1)).isin(*populations))
+        kept = people.select(F.explode(F.array((2 * F.col("n") - 2).cast("int"), (2 * F.col("n") - 1).cast("int"))).alias("hap"))
         each = each.join(kept, "hap", "left_semi")
     return each.filter("x in ('0', '1')").select("hap", "pos", "ref", "alt", F.col("x").cast("int").alias("allele"))
+
+
+def write_genetic_map(gmap: DataFrame, path: str) -> None:
+    """A map (position, rate, cm) as ``read_genetic_map`` reads it, in parts by position, each with its header."""
+    rows = gmap.select("position", F.col("rate").alias("COMBINED_rate(cM/Mb)"), F.col("cm").alias("Genetic_Map(cM)"))
+    rows.repartitionByRange("position").sortWithinPartitions("position").write.csv(path, sep=" ", header=True)

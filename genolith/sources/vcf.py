@@ -33,17 +33,32 @@ def read_dosages(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.get(F.array(*map(F.lit, names)), F.col("c")).alias("sample"), "chr", "pos", "ref", "alt", F.coalesce(_field("DS").cast("double"), from_gp, from_gt).alias("ds"))
 
 
-def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    """(hap, pos, ref, alt, allele) of a phased VCF; rows that aren't single-base, phased and complete, or repeat a position,
-    are left out."""
-    _, rows = _lines(spark, path)
+def read_panel(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None, samples: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """(hap, pos, ref, alt, allele) of a phased VCF, of a region (chr, first, last) if one is given, and of ``samples`` or all but those of ``without``; haplotypes are numbered by the columns
+    of the file. Rows that aren't single-base, phased and complete, or repeat a position, are left out. ValueError for a sample that the file lacks."""
+    names, rows = _lines(spark, path)
+    odd = [s for s in [*(samples or []), *(without or [])] if s not in names]
+    if odd:
+        raise ValueError(f"{path} has no sample {odd[0]}")
+    if region is not None:
+        rows = rows.filter((F.col("chr") == region[0]) & F.col("pos").between(*region[1:]))
+    kept = [i for i, s in enumerate(names) if (samples is None or s in samples) and s not in (without or [])]
+    if len(kept) < len(names):
+        rows = rows.withColumn("cells", F.array(*[F.get("cells", F.lit(i)) for i in kept]))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("chr", "pos").orderBy("ref", "alt"))).filter("n = 1")
     good = first.filter((F.length("ref") == 1) & (F.length("alt") == 1) & F.forall("cells", lambda x: F.rlike(x, F.lit(r"^[01]\|[01]"))))
-    each = good.select("pos", "ref", "alt", F.posexplode("cells").alias("c", "x"))
+    columns = F.array(*[F.lit(i) for i in kept]).cast("array<int>")
+    each = good.select("pos", "ref", "alt", F.posexplode("cells").alias("c", "x")).withColumn("c", F.get(columns, F.col("c")))
     alleles = each.select("pos", "ref", "alt", "c", F.posexplode(F.array(F.substring("x", 1, 1), F.substring("x", 3, 1))).alias("h", "a"))
     return alleles.select((2 * F.col("c") + F.col("h")).alias("hap"), "pos", "ref", "alt", F.col("a").cast("int").alias("allele"))
 
 
+def read_positions(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """(chr, pos, ref, alt) of all rows of a VCF (of a region)."""
+    rows = _lines(spark, path)[1].select("chr", "pos", "ref", "alt")
+    return rows if region is None else rows.filter((F.col("chr") == region[0]) & F.col("pos").between(*region[1:]))
+
+
 def info_value(info: Column, key: str) -> Column:
     return F.nullif(F.regexp_extract(info, rf"(?:^|;){key}=([^;]*)", 1), F.lit(""))
 

@@ -167,3 +167,14 @@ def test_regions_and_truth_that_do_not_fit(spark, simulated, tmp_path):
     (tmp_path / "gen").write_text("a\n0\n1\n")
     with pytest.raises(ValueError, match="rows for 10 sites"):
         impute_files(spark, str(folder / "pos"), [], str(tmp_path / "o"), replace(config, regionStart=1), bam=False, genfile=str(tmp_path / "gen"))
+
+
+def test_haplotype_dosages(spark, simulated, tmp_path):
+    folder, truth = simulated
+    files = [str(folder / f"{s}.sam") for s in truth]
+    config = Config(K=3, nGen=100, niterations=3, refillIterations=(), shuffleHaplotypeIterations=(), output_haplotype_dosages=True)
+    impute_files(spark, str(folder / "pos"), files, str(tmp_path / "out"), config, bam=False)
+    rows = [r.value.split("\t") for r in spark.read.text(f"{tmp_path}/out/vcf/rows").collect()]
+    assert len(rows) == 10 and all(r[8] == "GT:GP:DS:HD" for r in rows)
+    shares = np.array([[float(x) for x in c.split(":")[3].split(",")] for r in rows for c in r[9:]])
+    assert shares.shape == (100, 3) and np.allclose(shares.sum(axis=1), 2, atol=0.01)

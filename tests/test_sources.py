@@ -223,3 +223,35 @@ def test_array_reports(spark, tmp_path):
     rows = [(1, g) for g in [0] * 60 + [2] * 60] + [(2, g) for g in [0] * 30 + [1] * 60 + [2] * 30] + [(3, None)] * 10 + [(3, 0)] * 100
     sites = spark.createDataFrame(rows, "snp int, g int")
     assert [r.snp for r in evaluate.usable_calls(sites, 0.05, 1e-10).collect()] == [2] and {r.snp for r in evaluate.usable_calls(sites).collect()} == {1, 2}
+
+
+def test_lines_are_numbered_across_partitions(spark, tmp_path):
+    (tmp_path / "lines").write_text("".join(f"line {i}\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = tables.numbered_lines(spark, str(tmp_path / "lines"))
+        assert lines.rdd.getNumPartitions() > 5 and lines.filter(F.col("value") != F.concat(F.lit("line "), F.col("n").cast("string"))).isEmpty() and lines.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "none").write_text("")
+    assert tables.numbered_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_parts_of_panels_and_maps(spark, tmp_path):
+    from genolith.operators import sites as site_ops
+
+    cells = ["0|1\t1|1\t0|0", "1|0\t.|.\t0|1", "1|1\t0|1\t1|0"]
+    (tmp_path / "p.vcf").write_text("##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\tc\n" + "".join(f"1\t{5 * (i + 1)}\t.\tA\tG\t.\t.\t.\tGT\t{x}\n" for i, x in enumerate(cells)))
+    path = str(tmp_path / "p.vcf")
+    got = lambda **k: sorted((r.pos, r.hap, r.allele) for r in vcf.read_panel(spark, path, **k).collect())
+    assert got(samples=["a", "c"]) == got(without=["b"]) == sorted((5 * (i + 1), 2 * c + h, int(x.split("\t")[c][2 * h])) for i, x in enumerate(cells) for c in (0, 2) for h in (0, 1))
+    assert {p for p, _, _ in got()} == {5, 15} and {p for p, _, _ in got(region=("1", 6, 20))} == {15} and got(region=("2", 1, 99)) == []
+    with pytest.raises(ValueError, match="no sample"):
+        got(samples=["z"])
+    where = vcf.read_positions(spark, path, ("1", 6, 20))
+    assert sorted(r.pos for r in where.collect()) == [10, 15]
+    made = site_ops.constant_map(vcf.read_positions(spark, path), 2.0)
+    tables.write_genetic_map(made, str(tmp_path / "map"))
+    back = tables.check_genetic_map(tables.read_genetic_map(spark, str(tmp_path / "map")))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, made.select("position", "rate", "cm").collect()))
