@@ -430,6 +430,25 @@ def test_chunks_are_found_again():
     assert len(both) > 0.8 * len(chunks(a))
 
 
+@pytest.mark.parametrize("dims", [16, 64, 256])
+@pytest.mark.parametrize("threshold", [0.85, 0.93, 0.98])
+def test_recall_of_candidates(spark, dims, threshold):
+    """Pairs just above the threshold, in vectors of all lengths of codes, among others of one label."""
+    rng = np.random.default_rng(dims)
+    base = rng.normal(size=(500, dims))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(threshold + 1e-4, threshold + (1 - threshold) / 3, (500, 1))
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * side])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= threshold).sum() - len(x)
+    got = sum(r.n_links for r in embeddings.near_duplicates(df, threshold).collect())
+    assert 0.9 * want <= got <= want
+
+
 # the pipeline
 
 
@@ -502,3 +521,14 @@ def _words(text):
 def _windows(text, n):
     w = _words(text)
     return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_tables_of_stages_go(spark, sf_dir):
+    import os
+
+    from genolith.llm.common import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, sf_dir).count()
+    assert {x.split("-")[1] for x in set(os.listdir(folder)) - before if x.startswith("stage-")} == {"tokens"}
