@@ -698,3 +698,51 @@ def test_founder_shares_are_marginals(method):
         e, own = hmm.read_likelihoods(r, m), hmm.Grids(r)
         gamma, _ = hmm.diploid(own.emissions(np.log((e[:, :, None] + e[:, None, :]) / 2), 0, 23), m)
         assert np.allclose(whole, gamma.sum(axis=3) + gamma.sum(axis=2))
+
+
+def scattered(seed, k, grids=60, n=7, reads=25):
+    """A model whose steps all differ, the grids of its sites, and reads in few grids of each sample; the last sample has none."""
+    rng = np.random.default_rng(seed)
+    grid_of = np.sort(np.concatenate([np.arange(grids), rng.integers(0, grids, grids)]))
+    m = hmm.Model(rng.uniform(0.01, 0.99, (k, len(grid_of))), rng.dirichlet(np.ones(k), grids - 1).T, np.exp(-(10.0 ** rng.uniform(-4, 0.5, grids - 1))), rng.dirichlet(np.ones(k)))
+    site, sample = rng.integers(0, len(grid_of), reads), np.sort(rng.integers(0, n - 1, reads))
+    return m, grid_of, hmm.Reads(n, sample, grid_of[site], np.arange(reads), site, rng.choice([-1, 1], reads) * rng.integers(10, 40, reads).astype(float))
+
+
+@pytest.mark.parametrize("method", list(hmm.COUNTS))
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_counts_over_reads_are_those_over_all_grids(monkeypatch, method, k):
+    m, grid_of, r = scattered(k, k)
+    pairs, e = method == "diploid", hmm.read_likelihoods(r, m)
+    likelihoods = [hmm.track_logs(e, method)]
+    if method == "pseudoHaploid":  # the two passes of the last round, each for half a sample
+        likelihoods = [np.log(x) for x in hmm._refined(r, m, e, 3, 0)]
+    usage, switches = 0, 0
+    for logs in likelihoods:
+        gamma, own = (hmm.diploid if pairs else hmm.haploid)(hmm.Grids(r).emissions(logs, 0, len(m.stay) + 1), m)
+        usage = usage + (gamma.sum(axis=3) if pairs else gamma).sum(axis=0).T / len(likelihoods)
+        switches = switches + own
+    monkeypatch.setattr(hmm, "walk", None)  # no visit to each grid
+    sums = hmm.Sums.zero(m)
+    hmm.KERNELS[method](r, m, grid_of, sums)
+    assert np.allclose(sums.usage, usage, atol=1e-11) and np.allclose(sums.switch, switches, atol=1e-11) and np.allclose(sums.prior, usage[:, 0], atol=1e-11)
+    in_parts, runs = hmm.Sums.zero(m), hmm.Runs(m)
+    for s in range(r.n):
+        own = r.sample == s
+        hmm.KERNELS[method](hmm.Reads(1, np.zeros(own.sum(), int), r.grid[own], np.arange(own.sum()), r.site[own], r.bq[own]), m, grid_of, in_parts, runs)
+    runs.into(in_parts, m, *hmm.COUNTS[method])
+    assert all(np.allclose(getattr(in_parts, x), getattr(sums, x), atol=1e-11) for x in ("alt", "total", "switch", "prior", "usage"))
+
+
+def test_posteriors_at_reads_are_no_more_than_reads(spark, sf_dir):
+    from genolith.plans import adapter, em
+
+    samples, layout = em.grouped_reads(adapter.observations(spark, sf_dir), adapter.sites(spark, sf_dir), 500)
+    m = scattered(0, 2, grids=int(layout["grid"].max()) + 1)[0]
+    m = hmm.Model(np.resize(m.p, (2, len(layout))), m.switch, m.stay, m.prior)
+    for pairs in (False, True):
+        every = {(r.sample, r.grid): r.gamma for r in em.founder_posteriors(samples, m, pairs).collect()}
+        found = {(r.sample, r.grid): r.gamma for r in em.founder_posteriors_at_reads(samples, m, pairs).collect()}
+        own = {(r.sample, g) for r in samples.collect() for g in r.grid}
+        assert set(found) == own and len(own) < len(every) / 2
+        assert all(np.allclose(x, every[at]) for at, x in found.items())
