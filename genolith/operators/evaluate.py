@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hwe import hwe_p
 
@@ -10,10 +10,17 @@ from ..functions.hwe import hwe_p
 BINS = (0.01, 0.05, 0.1, 0.2, 0.5)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """The correlation of pairs without nulls; null where either doesn't vary. (``F.corr`` divides by zero there, also inside a condition that asks first.)"""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def squared_correlation(pairs: DataFrame, *by: str) -> DataFrame:
     """r2 of g (truth) and ds (dosage) by the given columns; null with fewer than two distinct values of either."""
     spread = (F.min("g") != F.max("g")) & (F.min("ds") != F.max("ds"))
-    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(spread, F.pow(F.corr("g", "ds"), 2)).alias("r2"))
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(spread, F.pow(correlation(F.col("g"), F.col("ds")), 2)).alias("r2"))
 
 
 def flip_join(truth: DataFrame, dosages: DataFrame) -> DataFrame:
@@ -75,5 +82,5 @@ def panel_agreement(counts: DataFrame, panel: DataFrame) -> DataFrame:
     both = counts.select("snp", "af").join(panel.groupBy("snp").agg(F.avg("allele").alias("ref")), "snp")
     inside = (F.col("af") > 0.05) & (F.col("af") < 0.95)
     outside = (F.col("af") < 0.05) | (F.col("af") > 0.95)
-    r = lambda where: F.when(F.count_if(where) > 1, F.corr(F.when(where, F.col("af")), F.when(where, F.col("ref"))))
-    return both.agg(F.count(F.lit(1)).alias("n"), F.corr("af", "ref").alias("r"), r(inside).alias("common"), r(outside).alias("rare"))
+    r = lambda where: F.when(F.count_if(where) > 1, correlation(F.when(where, F.col("af")), F.when(where, F.col("ref"))))
+    return both.agg(F.count(F.lit(1)).alias("n"), correlation(F.col("af"), F.col("ref")).alias("r"), r(inside).alias("common"), r(outside).alias("rare"))

@@ -746,3 +746,21 @@ def test_posteriors_at_reads_are_no_more_than_reads(spark, sf_dir):
         own = {(r.sample, g) for r in samples.collect() for g in r.grid}
         assert set(found) == own and len(own) < len(every) / 2
         assert all(np.allclose(x, every[at]) for at, x in found.items())
+
+
+def test_correlations_of_what_does_not_vary_are_null(spark):
+    from genolith.operators import evaluate
+
+    rows = [("a", 1.0, 0.5), ("a", 1.0, 0.7), ("b", 0.0, 0.5), ("b", 1.0, 0.5), ("c", 0.0, 0.25), ("c", 1.0, 0.75), ("c", None, 0.1), ("d", 1.0, 1.0)]
+    found = evaluate.squared_correlation(spark.createDataFrame(rows, "sample string, g double, ds double"), "sample")
+    assert {r.sample: r.r2 for r in found.collect()} == {"a": None, "b": None, "c": 1.0, "d": None}
+    counts = spark.createDataFrame([(i, 0.5) for i in range(4)], "snp long, af double")
+    panel = spark.createDataFrame([(h, i, (h + i) % 2) for h in range(3) for i in range(4)], "hap int, snp long, allele int")
+    assert tuple(evaluate.panel_agreement(counts, panel).first()) == (4, None, None, None)
+
+
+@pytest.mark.parametrize("p", [0.2328125, 0.23281250000000003, 0.23281249999999998])
+def test_halves_of_shares_hold_whatever_the_order_of_their_sum(spark, p):
+    from genolith.plans.queries import r6_ratio
+
+    assert spark.createDataFrame([(p,)], "p double").select(r6_ratio("p")).first()[0] == 0.232812
