@@ -764,3 +764,48 @@ def test_halves_of_shares_hold_whatever_the_order_of_their_sum(spark, p):
     from genolith.plans.queries import r6_ratio
 
     assert spark.createDataFrame([(p,)], "p double").select(r6_ratio("p")).first()[0] == 0.232812
+
+
+@pytest.mark.parametrize("method", list(hmm.COUNTS))
+def test_summaries_are_those_of_the_posteriors(spark, monkeypatch, method):
+    from genolith.operators.pileup import site_summary
+    from genolith.plans import blocks, em
+
+    obs, s, _ = simulated(spark, n=9, depth=2)
+    config = Config(K=3, nGen=10, method=method, niterations=2, S=2, refillIterations=(), shuffleHaplotypeIterations=(), seed=1)
+    want = site_summary(em.impute(obs, s, config)).orderBy("snp").toPandas()
+    monkeypatch.setattr(blocks, "genotypes", None)  # no posterior travels
+    found = em.summaries(obs, s, config).orderBy("snp").toPandas()
+    assert list(found.dtypes) == list(want.dtypes) and np.allclose(found[want.columns].astype(float), want.astype(float), atol=1e-9)
+
+
+def test_phase_means_are_those_of_the_dosages(spark):
+    from genolith.plans import em
+
+    obs, s, _ = simulated(spark, n=9, depth=2)
+    config = Config(K=3, nGen=10, niterations=2, refillIterations=(), shuffleHaplotypeIterations=(), seed=1)
+    want = em.phase(obs, s, config).groupBy("snp").agg({"h0": "avg", "h1": "avg"}).orderBy("snp").toPandas()
+    found = em.phase_means(obs, s, config).orderBy("snp").toPandas()
+    assert np.allclose(found[["h0", "h1"]], want[["avg(h0)", "avg(h1)"]], atol=1e-12)
+
+
+def test_slices_by_reads_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    from genolith.plans import em
+
+    monkeypatch.setattr(em, "TOGETHER_BY_READS", 20)
+    batch = pa.record_batch({"sample": pa.array(range(7)), "grid": pa.array([[0] * n for n in (3, 0, 2, 30, 1, 4, 1)], pa.list_(pa.int32()))})
+    parts = list(em._slices_by_reads(iter([batch]), 4))
+    assert [x for p in parts for x in p.column("sample").to_pylist()] == list(range(7))
+    assert [p.num_rows for p in parts] == [3, 1, 2, 1] and all(p.num_rows == 1 or sum(map(len, p.column("grid").to_pylist())) * 4 <= 20 for p in parts)
+
+
+def test_a_panel_is_dealt_over_partitions(spark):
+    from genolith.plans import em
+
+    panel = make(spark, [(h, i, (h * 7 + i) % 2) for h in range(40) for i in range(6)], "hap int, snp long, allele int")
+    layout = em.site_layout(make(spark, [(i, "1", 100 * i + 1, "A", "G") for i in range(6)], "snp long, chr string, pos long, ref string, alt string"), 200)
+    own = em.PanelInputs.of(panel, layout, 20)
+    assert own.samples.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own.samples.unpersist()
