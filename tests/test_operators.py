@@ -809,3 +809,31 @@ def test_a_panel_is_dealt_over_partitions(spark):
     own = em.PanelInputs.of(panel, layout, 20)
     assert own.samples.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     own.samples.unpersist()
+
+
+def test_reads_are_grouped_in_one_shuffle(spark, monkeypatch):
+    from genolith.plans import em
+
+    sites = make(spark, [(9, "1", 100, "A", "G"), (4, "1", 200, "A", "G"), (7, "1", 300, "A", "G"), (1, "1", 1000, "A", "G")], "snp long, chr string, pos long, ref string, alt string")
+    rows = [(2, "b", 4, -20), (2, "b", 1, 30), (2, "b", 9, 25), (2, "a", 7, 18), (2, "a", 7, -19), (2, "c", 555, 20), (3, "x", 555, 20), (1, "z", 9, 20), (1, "z", 7, 21), (1, "y", 1, 22)]
+    for most in (em.GROUPED, 1):  # samples are kept whole in tables of any size
+        monkeypatch.setattr(em, "GROUPED", most)
+        samples, layout = em.grouped_reads(make(spark, rows, "sample long, read string, snp long, bq int"), sites, 500)
+        assert list(layout["snp"]) == [9, 4, 7, 1] and list(layout["grid"]) == [0, 0, 0, 1]
+        found = {r.sample: (r.grid, r.sites, r.site, r.bq) for r in samples.collect()}
+        # Read b lies at 100, 200 and 1000: 200 is nearest to the mean. Read z, at 100 and 300, is as near to both.
+        assert found == {1: ([0, 1], [2, 1], [0, 2, 3], [20, 21, 22]), 2: ([0, 0], [2, 3], [2, 2, 0, 1, 3], [-19, 18, 25, -20, 30])}
+    plan = em.grouped_reads(make(spark, rows, "sample long, read string, snp long, bq int"), sites, 500)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_an_estep_counts_what_is_wanted(spark, sf_dir):
+    from genolith.plans import adapter, em
+
+    samples, layout = em.grouped_reads(adapter.observations(spark, sf_dir), adapter.sites(spark, sf_dir), 5000)
+    rng, grids = np.random.default_rng(4), int(layout["grid"].max()) + 1
+    m = hmm.Model(rng.uniform(0.1, 0.9, (2, len(layout))), np.full((2, grids - 1), 0.5), np.full(grids - 1, 0.9), np.full(2, 0.5))
+    every = em.expect(samples, m, layout["grid"].to_numpy(), "diploid")
+    some = em.expect(samples, m, layout["grid"].to_numpy(), "diploid", ("usage", "switch"))
+    assert np.allclose(every.usage, some.usage) and np.allclose(every.switch, some.switch)
+    assert some.alt.shape == some.total.shape == (2, 0) and not some.prior.any()
