@@ -837,3 +837,11 @@ def test_an_estep_counts_what_is_wanted(spark, sf_dir):
     some = em.expect(samples, m, layout["grid"].to_numpy(), "diploid", ("usage", "switch"))
     assert np.allclose(every.usage, some.usage) and np.allclose(every.switch, some.switch)
     assert some.alt.shape == some.total.shape == (2, 0) and not some.prior.any()
+
+
+def test_next_positions_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sites, "STRETCH", 100)
+    rng = np.random.default_rng(2)
+    rows = [(c, int(x)) for c, n in (("1", 40), ("2", 1)) for x in rng.choice(3000, n, replace=False)]
+    found = {(r.chr, r.pos): r.end for r in sites.with_next(make(spark, rows, "chr string, pos long"), "end").collect()}
+    assert found == {(c, x): min((y for d, y in rows if d == c and y > x), default=None) for c, x in rows}
