@@ -845,3 +845,17 @@ def test_next_positions_across_stretches(spark, monkeypatch):
     rows = [(c, int(x)) for c, n in (("1", 40), ("2", 1)) for x in rng.choice(3000, n, replace=False)]
     found = {(r.chr, r.pos): r.end for r in sites.with_next(make(spark, rows, "chr string, pos long"), "end").collect()}
     assert found == {(c, x): min((y for d, y in rows if d == c and y > x), default=None) for c, x in rows}
+
+
+@pytest.mark.parametrize("name", ["depth_cap_greedy", "mstep_founders", "molecule_merge", "haploid_forward_k2", "haploid_posterior_k2", "bx_rescue", "mstep_normalise", "diploid_emission_grid", "read_emission", "read_proportions"])
+def test_large_tables_are_dealt_by_their_rows(spark, duck, sf_dir, monkeypatch, name):
+    from comparing import rows_of
+    from genolith.operators import spread
+    from genolith.plans.queries import QUERIES, SQL
+
+    monkeypatch.setattr(spread, "LARGE", 1)
+    monkeypatch.setattr(spread, "ROWS", 500)
+    df = QUERIES[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert ", 12), REPARTITION_BY_NUM" in plan  # some 6,000 observations
+    assert rows_of(df.toPandas()) == rows_of(duck.execute(SQL[name]).df())
