@@ -4,7 +4,7 @@ A bounded sample of labelled texts per language becomes a suffix automaton over
 longest phrases that occur in a language's sample (a character that doesn't occur is a phrase by itself); the fewer phrases it needs,
 normalised by the sample's length, the closer the language.
 
-The transitions of an automaton are one hash table, and the texts of an Arrow batch are parsed together: step t takes the t-th character of every
+The transitions of an automaton are one table in which one look finds each (in large alphabets some by search), and the texts of an Arrow batch are parsed together: step t takes the t-th character of every
 block of BLOCK characters. Each block's parse begins anew at its first character; then the parse that comes from the block before is followed until a
 phrase of it begins where one of the block's own does, from where on both are the same. So the counts are those of one parse from
 end to end, whatever BLOCK is.
@@ -19,6 +19,7 @@ name; no labelled rows at all: every text is ``und``; texts may repeat; extra co
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from math import log2
@@ -32,9 +33,11 @@ from .common import bounded, free_name, release
 ROWS, CHARACTERS, MOST, BLOCK = 384, 1 << 18, 1 << 19, 2048
 #: Characters of texts that are parsed together, about.
 TOGETHER = 4_000_000
-#: Bits of a character and of a state in a transition: state, character and next state are one 64-bit number.
-POINT, STATE = 21, 21
-_NONE, _ODD = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
+#: Rounds in which states look for a place.
+ROUNDS = 64
+#: Bits of a character and of a state in a transition: a state and the next one, or a state and a character, are one 64-bit number.
+POINT, STATE = 21, 31
+_NEXT, _NONE = (1 << STATE) - 1, -1
 
 
 def automaton(text: str) -> list[dict[int, int]]:
@@ -67,82 +70,109 @@ def automaton(text: str) -> list[dict[int, int]]:
     return nexts
 
 
+def _places(sizes: np.ndarray, first: np.ndarray, by: np.ndarray, known: int) -> tuple[np.ndarray, int]:
+    """(a place for each state or -1, a number above all). States of many characters come first; each tries places until all its cells are free, and of several that
+    want a cell or a place in the same round one gets it. Those that find none in ROUNDS rounds are left without, as in large alphabets some are."""
+    cells = len(by) * 3 // 2 + 16 * (known + 16)
+    place, free, unused = np.full(len(sizes), -1), np.ones(cells + known + 1, bool), np.ones(cells, bool)
+    rng = np.random.default_rng(0)
+    kinds = np.unique(sizes)
+    for size in kinds[kinds > 0][::-1].tolist():
+        left = np.flatnonzero(sizes == size)
+        mine = by[first[left][:, None] + np.arange(size)]
+        for _ in range(ROUNDS):
+            # Single cells are looked for among the free ones.
+            at = rng.integers(0, cells, len(left)) if size > 1 else rng.choice(np.flatnonzero(free[known:cells]) + known, len(left)) - mine[:, 0]
+            good = np.flatnonzero(unused[at] & free[at[:, None] + mine].all(axis=1))
+            good = good[np.unique(at[good], return_index=True)[1]]
+            want = at[good][:, None] + mine[good]
+            earliest = np.zeros(want.size, bool)
+            earliest[np.unique(want, return_index=True)[1]] = True
+            alone = earliest.reshape(want.shape).all(axis=1)
+            good = good[alone]
+            place[left[good]] = at[good]
+            free[want[alone]] = unused[at[good]] = False
+            left, mine = np.delete(left, good), np.delete(mine, good, axis=0)
+            if not len(left):
+                break
+    return place, cells
+
+
 class Parser:
-    """Phrases of texts in one sample."""
+    """Phrases of texts in one sample.
+
+    Characters are numbered from 1, and each state is a place in ``table``: what follows state s by character c is in cell s + c, as the state that the cell
+    belongs to and the next one. States lie so that no two need the same cell; the transitions of those that found no such place, which are numbered beyond
+    ``dead``, are in sorted arrays.
+    """
 
     def __init__(self, sample: str):
         nexts = automaton(sample)
-        #: The state after a character that the sample lacks: nothing goes on from it.
-        self.dead = len(nexts)
-        if self.dead >= 1 << STATE:
-            raise ValueError(f"a sample of {len(sample)} characters has too many states")
-        pairs = [(s << POINT | c, n) for s, own in enumerate(nexts) for c, n in own.items()]
-        keys, to = (np.array(x, np.uint64) for x in (zip(*pairs) if pairs else ((), ())))
-        bits = max(4, int(3 * len(keys)).bit_length())
-        self.shift, self.last, self.table = np.uint64(64 - bits), (1 << bits) - 1, np.full(1 << bits, _NONE)
-        at, left = self._place(keys), np.arange(len(keys))
-        while len(left):
-            free = left[self.table[at[left]] == _NONE]
-            _, first = np.unique(at[free], return_index=True)
-            own = free[first]
-            self.table[at[own]] = keys[own] << np.uint64(STATE) | to[own]
-            left = np.setdiff1d(left, own, assume_unique=True)
-            at[left] = (at[left] + 1) & self.last
-        self.plain: dict[int, int] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"plain": None}
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * _ODD) >> self.shift).astype(np.int64)
-
-    def _next(self, state: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next states, places without any): what follows each state by each code point."""
-        keys = state << np.uint64(POINT) | points
-        at = self._place(keys)
-        found = self.table[at]
-        lost = np.flatnonzero(found >> np.uint64(STATE) != keys)
-        looking = lost[found[lost] != _NONE]
-        none = [lost[found[lost] == _NONE]]
-        while len(looking):  # another transition lies in this place: look on
-            at[looking] = (at[looking] + 1) & self.last
-            found[looking] = self.table[at[looking]]
-            none.append(looking[found[looking] == _NONE])
-            looking = looking[(found[looking] >> np.uint64(STATE) != keys[looking]) & (found[looking] != _NONE)]
-        return found & np.uint64((1 << STATE) - 1), np.concatenate(none)
+        known = sorted(nexts[0])
+        #: Numbers of code points; 0 for all that the sample lacks, in the last place for those beyond.
+        self.number = np.zeros(known[-1] + 2 if known else 1, np.int32)
+        self.number[known] = np.arange(1, len(known) + 1)
+        sizes = np.array([len(own) for own in nexts])
+        first = np.append(0, np.cumsum(sizes))
+        by = self.number[np.fromiter((c for own in nexts for c in own), np.int64, first[-1])].astype(np.int64)
+        #: The state after a character that the sample lacks, and after the whole sample: nothing goes on from it.
+        place, self.dead = _places(sizes, first, by, len(known))
+        place[sizes == 0] = self.dead
+        wide = place < 0
+        place[wide] = self.dead + np.arange(1, wide.sum() + 1)
+        self.table = np.full(self.dead + wide.sum() + len(known) + 1, _NONE)
+        to = place[np.fromiter((n for own in nexts for n in own.values()), np.int64, first[-1])]
+        own, apart = np.repeat(place, sizes), np.repeat(wide, sizes)
+        self.table[(own + by)[~apart]] = (own << STATE | to)[~apart]
+        keys = (own << POINT | by)[apart]
+        order = np.argsort(keys)
+        self.keys, self.after = keys[order], to[apart][order]
+        #: States after the first character of a phrase.
+        self.start = np.full(len(known) + 1, self.dead)
+        self.start[by[: sizes[0]]] = to[: sizes[0]]
 
     def step(self, state: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(states after ``points``, places where a phrase begins with them)."""
-        after, begins = self._next(state, points)
-        if len(begins):
-            first, unknown = self._next(np.zeros(len(begins), np.uint64), points[begins])
-            first[unknown] = self.dead
-            after[begins] = first
-        return after, begins
+        """(states after characters ``points``, by number; places where a phrase begins with them)."""
+        found = self.table.take(state + points)
+        begins = np.flatnonzero(found >> STATE != state)
+        found &= _NEXT
+        if len(self.keys):
+            look = np.flatnonzero(state[begins] > self.dead)
+            keys = state[begins[look]] << POINT | points[begins[look]]
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            found[begins[look[hit]]] = self.after[at[hit]]
+            begins = np.delete(begins, look[hit])
+        found[begins] = self.start.take(points[begins])
+        return found, begins
 
     def _walk(self, state: int, points: np.ndarray, own: np.ndarray) -> tuple[int, int, int]:
         """Follow a parse in ``state`` through ``points`` to the first phrase that begins where ``own`` is true: phrases begun
         before, that place (the end if there is none) and the state at the end."""
-        if self.plain is None:
-            full = self.table[self.table != _NONE]
-            self.plain = dict(zip((full >> np.uint64(STATE)).tolist(), (full & np.uint64((1 << STATE) - 1)).tolist()))
-        known, begun = self.plain.get, 0
+        table, keys, begun = memoryview(self.table), memoryview(self.keys), 0
         for t, c in enumerate(points.tolist()):
-            after = known(state << POINT | c)
-            if after is None:
-                if own[t]:
-                    return begun, t, state
-                begun += 1
-                after = known(c, self.dead)
-            state = after
+            found = table[state + c]
+            if found >> STATE == state:
+                state = found & _NEXT
+                continue
+            if state > self.dead:
+                at = bisect_left(keys, state << POINT | c)
+                if at < len(keys) and keys[at] == state << POINT | c:
+                    state = int(self.after[at])
+                    continue
+            if own[t]:
+                return begun, t, state
+            begun += 1
+            state = int(self.start[c])
         return begun, len(points), state
 
     def count(self, grid: np.ndarray, sizes: np.ndarray, follows: np.ndarray) -> np.ndarray:
         """Phrases that begin in each column of ``grid`` (a block of code points; columns by falling ``sizes``) in the parse of its whole
         text; follows[j] is the column of the next block of the same text, or -1."""
         lanes, height = len(sizes), len(grid)
+        grid = self.number.take(grid, mode="clip")
         alive = lanes - np.searchsorted(sizes[::-1], np.arange(height), side="right")  # columns longer than t
-        marks, state = np.zeros((height, lanes), bool), np.full(lanes, self.dead, np.uint64)
+        marks, state = np.zeros((height, lanes), bool), np.full(lanes, self.dead)
         for t, m in enumerate(alive.tolist()):
             state[:m], begins = self.step(state[:m], grid[t, :m])
             marks[t, begins] = True
@@ -206,7 +236,7 @@ class Model:
             column[order] = np.arange(len(order))
             later = np.append(of[1:] == of[:-1], False)
             follows = np.where(later, np.append(column[1:], -1), -1)[order]
-            grid, at = np.zeros((int(sizes.max()), len(order)), np.uint64), 0
+            grid, at = np.zeros((int(sizes.max()), len(order)), np.uint32), 0
             for c, n in zip(codes, parts):
                 for j in range(n):
                     block = c[j * BLOCK : (j + 1) * BLOCK]

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from grouping import components
@@ -185,6 +186,28 @@ def test_parse_equals_naive(monkeypatch, block):
         assert [round(x * len(t) / cost) for x, cost in zip(row, m.cost)] == [naive_phrases(t, samples[x]) for x in m.langs]
 
 
+@pytest.mark.parametrize("rounds", [1, 3, langid.ROUNDS])
+def test_parse_equals_naive_in_large_alphabets(monkeypatch, rounds):
+    """States that find no place among the others' cells are searched for, with the same phrases."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(langid, "ROUNDS", rounds)
+    monkeypatch.setattr(langid, "BLOCK", 50)
+    sample = "".join(map(chr, 0x4E00 + rng.integers(0, 60, 6000)))
+    m = langid.Model({"zh": sample, "x": "a"})
+    assert rounds > 1 or len(m.parsers[1].keys) > 0
+    texts = ["".join(map(chr, 0x4E00 + rng.integers(0, 70, n))) for n in (1, 50, 700)] + [sample[100:400], sample[7:10] * 100, "\0\U0010ffff a"]
+    for t, row in zip(texts, m.phrases(texts)):
+        assert [round(x * len(t) / cost) for x, cost in zip(row, m.cost)] == [naive_phrases(t, {"zh": sample, "x": "a"}[x]) for x in m.langs]
+
+
+def test_transitions_lie_close(sf_dir):
+    """What a parse looks up stays in a processor's cache: cells are few for the transitions they hold, and one look finds them."""
+    sample = "\n".join(pq.read_table(f"{sf_dir}/documents.parquet")["text"].drop_null().to_pylist())[:60000].lower()
+    p = langid.Parser(sample)
+    transitions = sum(map(len, langid.automaton(sample)))
+    assert p.table.nbytes < 24 * transitions and (p.table != langid._NONE).sum() == transitions
+
+
 def test_scripts_of_their_own(spark):
     """Words drawn from alphabets of any size and plane are told apart."""
     rng = np.random.default_rng(5)
