@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -859,3 +860,16 @@ def test_large_tables_are_dealt_by_their_rows(spark, duck, sf_dir, monkeypatch,
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert ", 12), REPARTITION_BY_NUM" in plan  # some 6,000 observations
     assert rows_of(df.toPandas()) == rows_of(duck.execute(SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", ["molecule_merge", "haploid_forward_k2", "haploid_posterior_k2"])
+def test_no_step_of_large_tables_keeps_the_sessions_partitions(spark, sf_dir, monkeypatch, name):
+    """Nor is a table of sites broadcast, or joined in another way at another size."""
+    from genolith.operators import spread
+    from genolith.plans.queries import QUERIES
+
+    monkeypatch.setattr(spread, "LARGE", 1)
+    monkeypatch.setattr(spread, "ROWS", 500)
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\(.*, (\d+)\)", plan)) == {"12"}
+    assert name in ("molecule_merge", "mstep_normalise") or "SortMergeJoin [snp" in plan
