@@ -862,7 +862,7 @@ def test_large_tables_are_dealt_by_their_rows(spark, duck, sf_dir, monkeypatch,
     assert rows_of(df.toPandas()) == rows_of(duck.execute(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["molecule_merge", "haploid_forward_k2", "haploid_posterior_k2", "mstep_founders", "mstep_normalise"])
+@pytest.mark.parametrize("name", ["molecule_merge", "haploid_forward_k2", "haploid_posterior_k2", "mstep_founders", "mstep_normalise", "read_emission"])
 def test_no_step_of_large_tables_keeps_the_sessions_partitions(spark, sf_dir, monkeypatch, name):
     """Nor is a table of sites broadcast, or joined in another way at another size."""
     from genolith.operators import spread
