@@ -735,6 +735,39 @@ def test_counts_over_reads_are_those_over_all_grids(monkeypatch, method, k):
     assert all(np.allclose(getattr(in_parts, x), getattr(sums, x), atol=1e-11) for x in ("alt", "total", "switch", "prior", "usage"))
 
 
+@pytest.mark.parametrize("pairs", [False, True])
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_posteriors_along_runs_are_those_of_a_walk(k, pairs):
+    m, _, r = scattered(k, k)
+    logs, grids = hmm.track_logs(hmm.read_likelihoods(r, m), "diploid" if pairs else "diploid-inbred"), len(m.stay) + 1
+    wanted, _ = (hmm.diploid if pairs else hmm.haploid)(hmm.Grids(r).emissions(logs, 0, grids), m)
+    c = hmm.Cells(r, grids)
+    met = hmm.over_cells(c, c.emissions(logs), m)
+    for together in (1, 7, 1 << 15):  # runs are cut into single grids, into pieces, or not at all
+        found, runs = np.full(wanted.shape, np.nan), 0
+        for sample, lo, n, x in hmm.along(c, met, m, together):
+            at, g = np.repeat(sample, n), np.concatenate([np.arange(a, a + b) for a, b in zip(lo, n)])
+            assert np.isnan(found[at, g]).all()
+            found[at, g], runs = x, runs + len(n)
+        assert np.allclose(found, wanted, rtol=0, atol=1e-12)
+    assert runs <= len(c.grid) + r.n < wanted.shape[0] * wanted.shape[1] / 2
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+def test_posteriors_travel_by_runs_of_grids(spark, sf_dir, pairs):
+    from genolith.plans import adapter, em
+
+    samples, layout = em.grouped_reads(adapter.observations(spark, sf_dir), adapter.sites(spark, sf_dir), 500)
+    m = scattered(0, 2, grids=int(layout["grid"].max()) + 1)[0]
+    m = hmm.Model(np.resize(m.p, (2, len(layout))), m.switch, m.stay, m.prior)
+    runs = em._posterior_runs(samples, m, pairs)
+    assert runs.count() <= samples.count() + samples.select(F.explode(F.array_distinct("grid"))).count() < samples.count() * (len(m.stay) + 1) / 2
+    every = {(r.sample, r.grid): r.gamma for r in em.founder_posteriors(samples, m, pairs).collect()}
+    rows = em.founder_posteriors_by_state(samples, m, pairs).collect()
+    assert len(rows) == len({(r.sample, r.grid, r.state) for r in rows}) == samples.count() * (len(m.stay) + 1) * (4 if pairs else 2)
+    assert all(every[r.sample, r.grid][r.state] == r.gamma for r in rows)
+
+
 def test_posteriors_at_reads_are_no_more_than_reads(spark, sf_dir):
     from genolith.plans import adapter, em
 
