@@ -881,6 +881,12 @@ def test_next_positions_across_stretches(spark, monkeypatch):
     assert found == {(c, x): min((y for d, y in rows if d == c and y > x), default=None) for c, x in rows}
 
 
+def test_peaks_of_a_chromosome_are_all_kept(spark):
+    steps = spark.range(5000).select(F.lit("1").alias("chr"), (F.col("id") * 100).alias("mid"), F.when(F.col("id") % 4 == 0, 1.0 + F.col("id")).otherwise(0.5).alias("smoothed"))
+    found = {r.mid for r in sites.peaks(steps, 50).filter("smoothed > 0.5").collect()}
+    assert found == {400 * i for i in range(1250)}
+
+
 @pytest.mark.parametrize("name", ["depth_cap_greedy", "mstep_founders", "molecule_merge", "haploid_forward_k2", "haploid_posterior_k2", "bx_rescue", "mstep_normalise", "diploid_emission_grid", "read_emission", "read_proportions"])
 def test_large_tables_are_dealt_by_their_rows(spark, duck, sf_dir, monkeypatch, name):
     from comparing import rows_of
