@@ -912,3 +912,19 @@ def test_no_step_of_large_tables_keeps_the_sessions_partitions(spark, sf_dir, mo
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert set(re.findall(r"hashpartitioning\(.*, (\d+)\)", plan)) == {"12"}
     assert name in ("molecule_merge", "mstep_normalise") or "SortMergeJoin [snp" in plan
+
+
+@pytest.mark.parametrize("method", list(hmm.KERNELS))
+def test_sums_of_genotypes_visit_grids_for_all_samples_together(monkeypatch, method):
+    m, r, grid_of = _random_reads(np.random.default_rng(11))
+    models = [(m, method), (hmm.replace(m, p=m.p[::-1].copy()), method)]
+    g = sum(hmm.KERNELS[method](r, x, grid_of) for x, _ in models) / 2
+    e, f = (np.rint((g[:, :, 1] + x * g[:, :, 2]) * 1000) for x in (2, 4))
+    ref = (g[:, :, 0] >= g[:, :, 1]) & (g[:, :, 0] >= g[:, :, 2])
+    want = {"e": e, "ee": e * e, "f": f, "hom_ref": ref, "het": ~ref & (g[:, :, 1] >= g[:, :, 2])}
+    monkeypatch.setattr(hmm, "_ahead", None)  # no pass visits grids one sample's block at a time
+    for tile in (1, 1 << 14):
+        monkeypatch.setattr(hmm, "TILE", tile)
+        out = {name: np.zeros(len(grid_of)) for name in want}
+        hmm.add_genotypes(r, models, grid_of, out)
+        assert all(np.array_equal(out[name], x.sum(axis=0)) for name, x in want.items())
