@@ -928,3 +928,32 @@ def test_sums_of_genotypes_visit_grids_for_all_samples_together(monkeypatch, met
         out = {name: np.zeros(len(grid_of)) for name in want}
         hmm.add_genotypes(r, models, grid_of, out)
         assert all(np.array_equal(out[name], x.sum(axis=0)) for name, x in want.items())
+
+
+@pytest.mark.parametrize("proposed", [0, 24])
+def test_paths_by_stretches_are_drawn_from_their_posterior(monkeypatch, proposed):
+    monkeypatch.setattr(hmm, "PROPOSED", proposed)
+    m, r, _ = _random_reads(np.random.default_rng(1))
+    grids, own, names = len(m.stay) + 1, hmm.Grids(r), 5 * np.arange(r.n) + 3
+    logs = hmm.track_logs(hmm.read_likelihoods(r, m), "diploid")
+    emit = lambda lo, hi: own.emissions(logs, lo, hi)
+    gamma, _ = hmm.diploid(emit(0, grids), m)
+    drawn = hmm.drawn_paths(r, m, names, 3000, 1)
+    founders = lambda x, n, paths: x.at(np.arange(n * paths * 2)[:, None], np.arange(grids)).reshape(n, paths, 2, grids)
+    path, old = founders(drawn, r.n, 3000), hmm.sampled_paths(emit, m, r.n, 3000, 1)
+    found = np.stack([[(path[:, :, 0] == i) & (path[:, :, 1] == j) for j in range(m.k)] for i in range(m.k)]).mean(axis=3)
+    assert np.abs(found.transpose(2, 3, 0, 1) - gamma).max() < 0.04
+    for far in (1, 5):  # whole paths, not grids one by one
+        stays = (path[..., far:] == path[..., :-far]).mean(axis=1)
+        assert np.abs(stays - (old[:, :, far:] == old[:, :, :-far]).mean(axis=0).transpose(0, 2, 1)).max() < 0.06
+    # A sample's draws are its own, and turning is by agreement with its first path.
+    some = founders(hmm.drawn_paths(r, m, names, 20, 1), r.n, 20)
+    turn = (some[:, :, ::-1] == some[:, :1]).sum(axis=(2, 3)) > (some == some[:, :1]).sum(axis=(2, 3))
+    turned = hmm.drawn_paths(r, m, names, 20, 1).turned()
+    want = np.where(turn[:, :, None, None], some[:, :, ::-1], some)
+    assert np.array_equal(founders(turned, r.n, 20), want)
+    assert np.array_equal(turned.counts(m.k), [[(want[:, :, h] == k).sum(axis=(0, 1)) for k in range(m.k)] for h in (0, 1)])
+    mine = np.flatnonzero(r.sample == r.n - 1)
+    seen = np.isin(r.read, mine)
+    alone = hmm.Reads(1, np.zeros(len(mine), int), r.grid[mine], np.searchsorted(mine, r.read[seen]), r.site[seen], r.bq[seen])
+    assert np.array_equal(founders(hmm.drawn_paths(alone, m, names[-1:], 20, 1), 1, 20)[0], some[-1])
